@@ -43,6 +43,10 @@ _WORD_ITEM = r"(?:(?<!\\)\w|\\[wd]|\[[\w-]+\])"
 _WORD_AHEAD = re.compile(rf"({_WORD_ITEM})(?![*?]|\{{0)", re.ASCII)
 _WORD_BEHIND = re.compile(rf"({_WORD_ITEM})(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?\Z", re.ASCII)
 _CONTROL = {"a": r"\x07", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t", "v": r"\x0B"}
+
+# ASCII letters with a case variant outside ASCII, under RE2's folding and under plain lower-casing.
+_REGEX_FOLDS = {"k": "[kK\u212a]", "s": "[sS\u017f]"}
+_LOWER_FOLDS = {"k": "[kK\u212a]", "i": "[iI\u0130]"}
 _FOLDS_OUTSIDE_ASCII = set("kKsS")
 
 
@@ -62,16 +66,17 @@ class Regex:
     literal_folded: bool = False
 
     def found_in(self, text: Column) -> Column:
-        """Boolean column; a byte-level ``contains`` runs first whenever every match must hold a known literal."""
+        """Boolean column; a byte-level ``contains`` runs first where every match must hold a known literal."""
         test = text.rlike(self.java)
-        guard = self.may_occur_in(text)
-        return test if guard is None else guard & test
+        return test if self.literal_folded or len(self.literal) < 2 else F.contains(text, F.lit(self.literal)) & test
 
     def may_occur_in(self, text: Column) -> Column | None:
         """Cheap necessary condition for a match, or None when the pattern has no usable literal."""
         if len(self.literal) < 2:
             return None
-        return F.contains(F.lower(text) if self.literal_folded else text, F.lit(self.literal))
+        if self.literal_folded:
+            return text.rlike("(?i)" + "".join(_fold_like_regex(c) for c in self.literal))
+        return F.contains(text, F.lit(self.literal))
 
     def group(self, text: Column, index: int = 0) -> Column:
         return F.regexp_extract(text, self.java, index)
@@ -83,7 +88,7 @@ class _Rewriter:
     def __init__(self, pattern: str, ignore_case: bool):
         self.src = pattern
         self.pos = 0
-        self.out: list[str] = ["(?iu)"] if ignore_case else []
+        self.out: list[str] = ["(?i)"] if ignore_case else []
         self.flags = {"i": ignore_case, "m": False, "s": False, "U": False}
         self.scopes: list[dict] = []
         self.groups = 0
@@ -99,7 +104,7 @@ class _Rewriter:
 
     def _note_literal(self, ch: str):
         folded = self.flags["i"]
-        usable = not self.scopes and not (folded and (ord(ch) > 127 or ch in _FOLDS_OUTSIDE_ASCII))
+        usable = not self.scopes and (ch.isascii() or not folded)
         if usable:
             self.runs[-1].append((ch, folded))
         else:
@@ -130,10 +135,7 @@ class _Rewriter:
             self._note_literal(literal)
 
     def _literal(self, ch: str):
-        if self.flags["i"] and ch in "iI":
-            java = "(?-iu:[iI])"  # Java would also fold the dotless and dotted Turkish letters
-        else:
-            java = java_quote(ch)
+        java = _fold_like_regex(ch) if self.flags["i"] else java_quote(ch)
         self._atom(java, ch)
 
     def run(self) -> Regex:
@@ -234,7 +236,7 @@ class _Rewriter:
         for name in m.group(2) or "":
             self.flags[name] = False
         self.pos = m.end()
-        fold = "" if self.flags["i"] == before["i"] else ("iu" if self.flags["i"] else "-iu")
+        fold = "" if self.flags["i"] == before["i"] else ("i" if self.flags["i"] else "-i")
         if m.group(3) == ":":
             self._enter(f"(?{fold}:", before)
         elif fold:
@@ -323,6 +325,13 @@ class _Rewriter:
     # -- bracket expressions -----------------------------------------------------------------------------------------
 
     def _bracket(self) -> str:
+        start = self.pos
+        java = self._bracket_body()
+        if self.flags["i"] and _folds_beyond_ascii(self.src[start : self.pos]):
+            return f"(?iu:{java})"
+        return java
+
+    def _bracket_body(self) -> str:
         src = self.src
         self.pos += 1
         body = ["["]
@@ -384,15 +393,46 @@ class _Rewriter:
 
 
 def _folds_beyond_ascii(item: str) -> bool:
-    """Whether a word character or simple class can match a non-ASCII letter once case is ignored."""
-    if item.startswith("\\"):
-        return item[1] == "w"
-    chars = set(item.strip("[]"))
+    """Whether a word character or bracket expression can match a non-ASCII letter once case is ignored."""
+    if not item.isascii() or re.search(r"\\[xpP0-7]|\[:|\\w", item):
+        return True
+    chars = set(re.sub(r"\\.", "", item))
     for low, high in re.findall(r"(\w)-(\w)", item):
         chars |= {chr(c) for c in range(ord(low), ord(high) + 1)}
     return bool(chars & _FOLDS_OUTSIDE_ASCII)
 
 
+def _fold_like_regex(ch: str) -> str:
+    """One character of a case-insensitive pattern, to stand under Java's ASCII-only ``(?i)``."""
+    if ch.isascii():
+        return _REGEX_FOLDS.get(ch.lower()) or java_quote(ch)
+    return f"(?iu:{java_quote(ch)})" if ch.lower() != ch or ch.upper() != ch else java_quote(ch)
+
+
+@lru_cache(maxsize=1)
+def _lower_sources() -> dict[str, str]:
+    """Characters outside ASCII by what they become in lower case."""
+    sources: dict[str, str] = {}
+    for ch in map(chr, range(0x80, 0x110000)):
+        low = ch.lower()
+        if len(low) == 1 and low != ch:
+            sources[low] = sources.get(low, "") + ch
+    return sources
+
+
+@lru_cache(maxsize=4096)
+def folded_literal(term: str) -> Regex:
+    """Pattern matching ``term`` as it would be found if text and term were lower-cased character by character."""
+    out = ["(?i)"]
+    for ch in term:
+        low = "i" if ch == "\u0130" else ch.lower()
+        if low.isascii():
+            out.append(_LOWER_FOLDS.get(low) or java_quote(low))
+        else:
+            out.append("[" + java_quote(low + _lower_sources().get(low, "")) + "]")
+    return Regex(term, "".join(out), 0)
+
+
 def java_quote(text: str) -> str:
     """Text as a Java pattern matching exactly that text, inside or outside brackets."""
     return "".join(

@@ -8,45 +8,36 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusrules.functions.patterns import Regex, regex
-from corpusrules.functions.text import fold_case, fold_case_text, strip_cr
+from corpusrules.functions.patterns import Regex, folded_literal, regex
+from corpusrules.functions.text import strip_cr
 
 
 @dataclass(frozen=True)
 class LineTest:
-    """One search term compiled to columns; built by :func:`line_test`."""
+    """One search term compiled to columns; built by :func:`line_test`.  Without a pattern the term is found as bytes."""
 
     term: str
-    case_sensitive: bool
     pattern: Regex | None
+    literal: bool
 
     def may_occur_in(self, content: Column) -> Column | None:
         """Cheap whole-file condition every file with a matching line meets; lets files go before they are split."""
-        if self.pattern is not None:
-            return self.pattern.may_occur_in(content)
-        return self.matches(content)
+        return self.matches(content) if self.literal else self.pattern.may_occur_in(content)
 
     def matches(self, line: Column) -> Column:
-        if self.pattern is not None:
-            return self.pattern.found_in(line)
-        if self.case_sensitive:
-            return F.contains(line, F.lit(self.term))
-        return F.contains(fold_case(line), F.lit(fold_case_text(self.term)))
+        return F.contains(line, F.lit(self.term)) if self.pattern is None else self.pattern.found_in(line)
 
     def matched_text(self, line: Column) -> Column:
         """Text of the first match, to be read only where :meth:`matches` holds."""
-        if self.pattern is not None:
-            return self.pattern.group(line)
-        if self.case_sensitive:
-            return F.lit(self.term)
-        at = F.locate(fold_case_text(self.term), fold_case(line))
-        return F.substr(line, at, F.lit(len(self.term)))
+        return F.lit(self.term) if self.pattern is None else self.pattern.group(line)
 
 
 def line_test(term: str, is_regex: bool = False, case_sensitive: bool = False) -> LineTest:
     if not term:
         raise ValueError("search term cannot be empty")
-    return LineTest(term, case_sensitive, regex(term, not case_sensitive) if is_regex else None)
+    if is_regex:
+        return LineTest(term, regex(term, not case_sensitive), False)
+    return LineTest(term, None if case_sensitive else folded_literal(term), True)
 
 
 def first_matching_line(

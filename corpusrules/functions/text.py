@@ -27,16 +27,6 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def fold_case(col: Column) -> Column:
-    """Lower-case one character at a time, so positions in the result are positions in the input."""
-    return F.lower(F.replace(F.replace(col, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
-
-
-def fold_case_text(text: str) -> str:
-    """Driver-side twin of :func:`fold_case` for search terms."""
-    return "".join("i" if c == "\u0130" else c.lower() for c in text)
-
-
 def drop_prefix(col: Column, prefix: str) -> Column:
     return F.when(col.startswith(prefix), F.substr(col, F.lit(len(prefix) + 1))).otherwise(col)
 

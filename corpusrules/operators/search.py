@@ -43,12 +43,6 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _file_gate(search: Search, columns: Sequence[str], content: Column) -> Column:
-    """Files that can hold a match: names and sizes first, then a scan for the literal part of the term."""
-    possible = _test(search).may_occur_in(content)
-    return _all(_names_and_sizes(search, columns) + ([possible] if possible is not None else []))
-
-
 def _keys(files: DataFrame) -> list[str]:
     return [c for c in ("project_id", "file_path") if c in files.columns]
 
@@ -57,7 +51,8 @@ def search_lines(files: DataFrame, search: Search) -> DataFrame:
     """One row per matching line.  With ``context_lines`` (C6) neighbours come as ``before`` and ``after``."""
     test, keys = _test(search), _keys(files)
     content = as_text(F.col("content"))
-    files = files.where(_file_gate(search, files.columns, content))
+    possible = test.may_occur_in(content)
+    files = files.where(_all(_names_and_sizes(search, files.columns) + ([possible] if possible is not None else [])))
     if search.context_lines > 0:
         return _with_context(files, keys, content, test, search.context_lines)
     lines = files.select(*keys, F.posexplode(F.split(content, "\n")).alias("_pos", "_line"))
@@ -133,9 +128,12 @@ def _apply_caps(matches: DataFrame, searches: Sequence[Search]) -> DataFrame:
 def _one_pass(files: DataFrame, searches: Sequence[Search], with_context: bool) -> DataFrame:
     keys, content = _keys(files), as_text(F.col("content"))
     tests = [_test(s) for s in searches]
-    gates = {f"_gate{i}": _file_gate(s, files.columns, content) for i, s in enumerate(searches)}
-    gated = files.select(*keys, content.alias("_content"), *[g.alias(n) for n, g in gates.items()])
-    gated = gated.where(_any([F.col(n) for n in gates]))
+    metadata = [_all(_names_and_sizes(s, files.columns)) for s in searches]
+    possible = [t.may_occur_in(content) for t in tests]
+    gates = {f"_gate{i}": m if p is None else m & p for i, (m, p) in enumerate(zip(metadata, possible))}
+    # Only metadata is filtered on: a filter on the gates would move below them and scan every text twice.
+    gated = files.where(_any(metadata)).select(*keys, content.alias("_content"), *[g.alias(n) for n, g in gates.items()])
+    split = F.when(_any([F.col(n) for n in gates]), F.split("_content", "\n"))
 
     def here(line: Column) -> list[Column]:
         return [F.col(gate) & test.matches(line) for gate, test in zip(gates, tests)]
@@ -150,7 +148,7 @@ def _one_pass(files: DataFrame, searches: Sequence[Search], with_context: bool)
         return F.array_compact(F.array(*found))
 
     if with_context:
-        lines = gated.select(*keys, *gates, F.split("_content", "\n").alias("_lines"))
+        lines = gated.select(*keys, *gates, split.alias("_lines"))
         per_line = F.transform(
             "_lines",
             lambda line, i: F.when(
@@ -160,7 +158,7 @@ def _one_pass(files: DataFrame, searches: Sequence[Search], with_context: bool)
         rows = lines.select(*keys, F.inline(F.array_compact(per_line)))
         rows = rows.select(*keys, "_pos", "_line", F.inline("_hits"))
     else:
-        lines = gated.select(*keys, *gates, F.posexplode(F.split("_content", "\n")).alias("_pos", "_line"))
+        lines = gated.select(*keys, *gates, F.posexplode(split).alias("_pos", "_line"))
         lines = lines.where(_any(here(F.col("_line"))))
         rows = lines.select(*keys, "_pos", "_line", F.inline(hits(F.col("_line"), F.col("_pos"))))
     return rows.select(

@@ -11,7 +11,7 @@ from corpusrules.session import ensure_checkpoint_dir
 
 # Spark ranks before the shuffle only for limits below its own threshold of the same name.
 _GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-_SLICES = 1024
+_MAX_SLICES = 1024
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank: str | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank
     out = rank or "_rank"
     spark = df.sparkSession
     if n >= int(spark.conf.get(_GROUP_LIMIT_CONF, "1000")):
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(_SLICES)))
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(_MAX_SLICES)))
         within = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = sliced.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= n).drop("_n", "_slice")
     ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -41,13 +41,14 @@ def nest(
     ordinary size gives one row, and no row, group or task ever holds a whole hot key.  The choice needs nothing but
     the slice's own size, so the input is read once and never joined.
     """
+    slices = max(1, min(_MAX_SLICES, max_items // 64))
     rows = df.select(*keys, item.alias("_item"), F.xxhash64(*spread).alias("_hash"))
-    rows = rows.withColumn("_slice", F.pmod("_hash", F.lit(_SLICES)).cast("int"))
+    rows = rows.withColumn("_slice", F.pmod("_hash", F.lit(slices)).cast("int"))
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_slice")))
     pieces = F.ceil(F.col("_n") / F.lit(max_items))
     piece = F.pmod(F.shiftright("_hash", 16), pieces).cast("int")
-    own_part = F.lit(1) + F.col("_slice") + F.lit(_SLICES) * piece
-    rows = rows.withColumn("part", F.when(F.col("_n") <= max_items // _SLICES, 0).otherwise(own_part))
+    own_part = F.lit(1) + F.col("_slice") + F.lit(slices) * piece
+    rows = rows.withColumn("part", F.when(F.col("_n") <= max_items // slices, 0).otherwise(own_part))
     return rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias(name))
 
 

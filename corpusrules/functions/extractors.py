@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from corpusrules.functions import text as t
 from corpusrules.functions.patterns import Regex, regex
 from corpusrules.functions.search_lines import first_matching_line
-from corpusrules.functions.requirement_lines import requirement_structs
-from corpusrules.schemas import RESULT
+from corpusrules.functions.requirement_lines import requirement_labels
 
 Build = Callable[[Column, Column], Column]
 Factory = Callable[[Mapping[str, object]], Build]
@@ -64,20 +63,39 @@ def extractor(kind: str):
 
 
 def result(version: Column, source: Column, confidence: float | Column, raw: Column, **metadata: str | Column) -> Column:
-    pairs = [x for k, v in metadata.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))]
-    entries = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map()
+    """A result struct; metadata entries whose column is null are left out."""
+    values = {k: v if isinstance(v, Column) else F.lit(v) for k, v in metadata.items()}
+    pairs = [x for k, v in values.items() for x in (F.lit(k), v)]
+    entries = F.create_map(*pairs).cast("map<string,string>")
     confidence = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
     return F.struct(
         version.alias("version"),
         source.alias("source"),
         confidence.alias("confidence"),
         raw.alias("raw_value"),
-        entries.cast("map<string,string>").alias("metadata"),
-    ).cast(RESULT)
+        entries.alias("metadata"),
+    )
+
+
+def drop_nulls(struct: Column) -> Column:
+    """Result whose metadata may hold nulls, without them."""
+    return struct.withField("metadata", F.map_filter(struct["metadata"], lambda k, v: v.isNotNull()))
+
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def found(version: Column, source: Column, confidence: float, raw: Column, **metadata) -> Column:
-    return F.when(version != "", result(version, source, confidence, raw, **metadata))
+
+def found(
+    raw: Column, version_of: Callable[[Column], Column], describe: Callable[[Column, Column], Column]
+) -> Column:
+    """``describe(version, raw)`` where the raw value holds a version, else null."""
+
+    def check(raw: Column) -> Column:
+        return bind(version_of(raw), lambda version: F.when(version != "", describe(version, raw)))
+
+    return bind(raw, check)
 
 
 # -- P1, P2: files that hold nothing but a version ---------------------------------------------------------------------
@@ -86,13 +104,17 @@ def found(version: Column, source: Column, confidence: float, raw: Column, **met
 @extractor("python_version_file")
 def python_version_file(content: Column, name: Column) -> Column:
     stripped = t.drop_prefix(t.drop_prefix(t.drop_prefix(t.trim_space(content), "python-"), "Python-"), "py")
-    return found(t.leading_version(stripped), name, 1.0, stripped, source_type="explicit_version_file")
+    return found(
+        stripped, t.leading_version, lambda version, raw: result(version, name, 1.0, raw, source_type="explicit_version_file")
+    )
 
 
 @extractor("runtime_txt")
 def runtime_txt(content: Column, name: Column) -> Column:
     stripped = t.drop_prefix(t.drop_prefix(t.trim_space(content), "python-"), "Python-")
-    return found(t.leading_version(stripped), name, 0.95, content, source_type="heroku_runtime")
+    return found(
+        stripped, t.leading_version, lambda version, _: result(version, name, 0.95, content, source_type="heroku_runtime")
+    )
 
 
 # -- P3-P5: packaging manifests ------------------------------------------------------------------------------------------
@@ -102,19 +124,24 @@ SETUP_PY = regex(r"""python_requires\s*=\s*['"]([^'"]+)['"]""")
 
 @extractor("setup_py")
 def setup_py(content: Column, name: Column) -> Column:
-    constraint = SETUP_PY.group(content, 1)
     return found(
-        t.constraint_version(constraint), name, 0.9, constraint, source_type="setup_py", constraint=constraint
+        SETUP_PY.group(content, 1),
+        t.constraint_version,
+        lambda version, raw: result(version, name, 0.9, raw, source_type="setup_py", constraint=raw),
     )
 
 
 @extractor("pipfile")
 def pipfile(content: Column, name: Column) -> Column:
-    section = t.section_body(content, "requires")
-    raw = F.coalesce(
-        t.blank_to_null(t.quoted_value(section, "python_full_version")), t.quoted_value(section, "python_version")
+    def required(section: Column) -> Column:
+        full = t.blank_to_null(t.quoted_value(section, "python_full_version"))
+        return F.coalesce(full, t.quoted_value(section, "python_version"))
+
+    return found(
+        bind(t.section_body(content, "requires"), required),
+        t.leading_version,
+        lambda version, raw: result(version, name, 0.9, raw, source_type="pipfile", format="pipenv"),
     )
-    return found(t.leading_version(raw), name, 0.9, raw, source_type="pipfile", format="pipenv")
 
 
 _POETRY_PYTHON = (
@@ -129,29 +156,26 @@ def _positive(n: Column) -> Column:
 
 @extractor("pyproject_toml")
 def pyproject_toml(content: Column, name: Column) -> Column:
-    project = t.section_body(content, "project")
-    required = t.quoted_value(project, "requires-python")
-    poetry = t.section_body(content, "tool.poetry.dependencies")
-    python = F.concat(F.regexp_extract(poetry, _POETRY_PYTHON, 1), F.regexp_extract(poetry, _POETRY_PYTHON, 2))
+    def constrained(form: str, raw: Column, dependencies: Column) -> Column:
+        def describe(version: Column, raw: Column) -> Column:
+            made = result(
+                version, name, 0.9, raw, format=form, constraint=raw, dependency_count=_positive(dependencies)
+            )
+            return bind(made, drop_nulls)
+
+        return found(raw, t.constraint_version, describe)
+
+    def standard(project: Column) -> Column:
+        dependencies = F.size(t.list_items(project, "dependencies"))
+        return constrained("PEP621", t.quoted_value(project, "requires-python"), dependencies)
+
+    def poetry(section: Column) -> Column:
+        python = F.concat(F.regexp_extract(section, _POETRY_PYTHON, 1), F.regexp_extract(section, _POETRY_PYTHON, 2))
+        return constrained("Poetry", python, t.key_count(section) - 1)
+
     return F.coalesce(
-        found(
-            t.constraint_version(required),
-            name,
-            0.9,
-            required,
-            format="PEP621",
-            constraint=required,
-            dependency_count=_positive(F.size(t.list_items(project, "dependencies"))),
-        ),
-        found(
-            t.constraint_version(python),
-            name,
-            0.9,
-            python,
-            format="Poetry",
-            constraint=python,
-            dependency_count=_positive(t.key_count(poetry) - 1),
-        ),
+        bind(t.section_body(content, "project"), standard),
+        bind(t.section_body(content, "tool.poetry.dependencies"), poetry),
     )
 
 
@@ -159,14 +183,17 @@ def pyproject_toml(content: Column, name: Column) -> Column:
 
 # White space that can occur inside one line.
 _IN_LINE = t.WHITE_SPACE.replace("\n", "")
-_FROM_PYTHON = rf"(?:\A|\n)[{_IN_LINE}]*(FROM[\t\f\r ]+python:({t.VERSION})[^\n]*)"
+_FROM_IMAGE = rf"FROM[\t\f\r ]+python:({t.VERSION})"
+_FROM_PYTHON = rf"(?:\A|\n)[{_IN_LINE}]*({_FROM_IMAGE}[^\n]*)"
 
 
 @extractor("dockerfile")
 def dockerfile(content: Column, name: Column) -> Column:
-    line = t.trim_space(F.regexp_extract(content, _FROM_PYTHON, 1))
-    version = F.regexp_extract(content, _FROM_PYTHON, 2)
-    return found(version, name, 0.8, line, source_type="dockerfile", from_image=line)
+    return found(
+        t.trim_space(F.regexp_extract(content, _FROM_PYTHON, 1)),
+        lambda line: F.regexp_extract(line, rf"\A{_FROM_IMAGE}", 1),
+        lambda version, line: result(version, name, 0.8, line, source_type="dockerfile", from_image=line),
+    )
 
 
 CI_IMAGE = regex(rf"image:\s*python:({t.VERSION})")
@@ -174,8 +201,11 @@ CI_IMAGE = regex(rf"image:\s*python:({t.VERSION})")
 
 @extractor("gitlab_ci")
 def gitlab_ci(content: Column, name: Column) -> Column:
-    image = CI_IMAGE.group(content, 0)
-    return found(CI_IMAGE.group(content, 1), name, 0.75, image, source_type="gitlab_ci", image=image)
+    return found(
+        CI_IMAGE.group(content, 0),
+        t.constraint_version,
+        lambda version, image: result(version, name, 0.75, image, source_type="gitlab_ci", image=image),
+    )
 
 
 TOX_ENVLIST = regex(r"envlist\s*=\s*([^\n]+)")
@@ -186,7 +216,14 @@ def tox_ini(content: Column, name: Column) -> Column:
     quoted = t.quoted_value(t.section_body(content, "tox"), "envlist")
     plain = TOX_ENVLIST.group(content, 1)
     return F.coalesce(
-        *[found(t.tox_env_version(raw), name, 0.7, raw, source_type="tox_ini", envlist=raw) for raw in (quoted, plain)]
+        *[
+            found(
+                raw,
+                t.tox_env_version,
+                lambda version, raw: result(version, name, 0.7, raw, source_type="tox_ini", envlist=raw),
+            )
+            for raw in (quoted, plain)
+        ]
     )
 
 
@@ -203,7 +240,8 @@ _COMMENT_LINE = r"(?:\A|\n)((?:" + "|".join(r"[^\n]*?" + p for p in _COMMENT_VER
 
 def comment_version_line(content: Column) -> Column:
     """First line with a version comment, '' when there is none."""
-    return F.regexp_extract(content, _COMMENT_LINE, 1)
+    line = F.regexp_replace(F.regexp_extract(content, _COMMENT_LINE, 1), r"\r\z", "")
+    return F.when(content.contains("#"), line).otherwise("")
 
 
 def comment_version(line: Column) -> Column:
@@ -212,38 +250,34 @@ def comment_version(line: Column) -> Column:
 
 @extractor("requirements_comment")
 def requirements_comment(content: Column, name: Column) -> Column:
-    line = comment_version_line(content)
-    raw = F.regexp_replace(line, r"\r\z", "")
-    return found(comment_version(line), name, 0.6, raw, source_type="requirements_comment")
+    return found(
+        comment_version_line(content),
+        comment_version,
+        lambda version, line: result(version, name, 0.6, line, source_type="requirements_comment"),
+    )
 
 
 @extractor("requirements_dependencies")
 def requirements_dependencies(content: Column, name: Column) -> Column:
-    def describe(parsed: Column) -> Column:
-        line, rows = parsed["line"], parsed["rows"]
+    def describe(line: Column, labels: Column) -> Column:
         version = comment_version(line)
-        has_version, count = version != "", F.size(rows)
-        examples = {}
-        for i in range(5):
-            row = F.get(rows, F.lit(i))
-            examples[f"dependency_{i + 1}"] = F.concat(row["name"], row["specifier"])
-        return F.when(
-            has_version | (count > 0),
-            result(
-                version,
-                name,
-                F.when(has_version, 0.6).otherwise(0.5),
-                F.regexp_replace(line, r"\r\z", ""),
-                python_version_source=F.when(has_version, "comment"),
-                dependency_count=_positive(count),
-                has_dependencies=F.when(count > 0, "true"),
-                source_type=F.when(has_version, "requirements_txt").otherwise("dependencies_only"),
-                **examples,
-            ),
+        has_version, count = line != "", F.size(labels)
+        made = result(
+            version,
+            name,
+            F.when(has_version, 0.6).otherwise(0.5),
+            line,
+            python_version_source=F.when(has_version, "comment"),
+            dependency_count=_positive(count),
+            has_dependencies=F.when(count > 0, "true"),
+            source_type=F.when(has_version, "requirements_txt").otherwise("dependencies_only"),
+            **{f"dependency_{i + 1}": F.get(labels, F.lit(i)) for i in range(5)},
         )
+        return F.when(has_version | (count > 0), bind(made, drop_nulls))
 
-    parsed = F.struct(comment_version_line(content).alias("line"), requirement_structs(content).alias("rows"))
-    return F.get(F.transform(F.array(parsed), describe), F.lit(0))
+    return bind(
+        comment_version_line(content), lambda line: bind(requirement_labels(content), lambda labels: describe(line, labels))
+    )
 
 
 # -- P12-P14: extractors that rule packs configure ---------------------------------------------------------------------
@@ -273,7 +307,7 @@ def regex_extractor(config: Mapping[str, object]) -> Build:
 
     def build(content: Column, name: Column) -> Column:
         raw = pattern.group(content, index)
-        hit = F.when(raw != "", result(t.trim_space(raw), name, confidence, raw))
+        hit = found(raw, t.identity, lambda version, raw: result(t.trim_space(version), name, confidence, raw))
         guard = pattern.may_occur_in(content)
         return hit if guard is None else F.when(guard, hit)
 
@@ -286,7 +320,7 @@ def simple_version_extractor(config: Mapping[str, object]) -> Build:
 
     def build(content: Column, name: Column) -> Column:
         version = t.trim_space(content) if trim else content
-        return found(version, name, confidence, version)
+        return found(version, t.identity, lambda version, raw: result(version, name, confidence, raw))
 
     return build
 

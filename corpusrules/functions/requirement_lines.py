@@ -1,7 +1,7 @@
 """Parsing one line of a pip requirements file, as native columns.
 
-The steps below are applied in order, each seeing the columns of the ones before.  They run either as DataFrame columns
-(one row per line, inside code generation) or as fields of an array of structs (one row per file, no shuffle).
+``STEPS`` give all parts of a requirement: they are applied in order to one row per line, each seeing the columns of the
+ones before.  ``requirement_labels`` gives just names with specifiers, for whole files and without leaving their rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from corpusrules.functions.text import drop_prefix, trim_space
 
 Fields = Callable[[str], Column]
 
-_EMPTY = F.lit("")
+NAME_AND_SPECIFIER = r"\A([a-zA-Z0-9_-]+)([^\n]*)\z"
 _NO_TEXTS = "array<string>"
 
 
@@ -85,11 +85,10 @@ def _extras(c: Fields) -> dict[str, Column]:
 
 
 def _name(c: Fields) -> dict[str, Column]:
-    parts = r"\A([a-zA-Z0-9_-]+)([^\n]*)\z"
     skipped = c("is_requirement_file") | c("is_option")
 
     def pick(index: int) -> Column:
-        return F.when(skipped, "").otherwise(trim_space(F.regexp_extract(c("named"), parts, index)))
+        return F.when(skipped, "").otherwise(trim_space(F.regexp_extract(c("named"), NAME_AND_SPECIFIER, index)))
 
     return {
         "name": F.when(c("is_editable"), c("target")).otherwise(pick(1)),
@@ -101,23 +100,23 @@ STEPS = (_editable, _comment, _options, _hashes, _markers, _extras, _name)
 COLUMNS = ("name", "specifier", "extras", "markers", "hashes", "is_editable", "is_requirement_file", "comment")
 
 
-def _extend(step: Callable[[Fields], dict[str, Column]], kept: tuple[str, ...]) -> Callable[[Column], Column]:
-    def apply(row: Column) -> Column:
-        new = step(lambda name: row[name])
-        return F.struct(*[row[k].alias(k) for k in kept], *[v.alias(k) for k, v in new.items()])
-
-    return apply
+def _label(line: Column) -> Column:
+    """Name and specifier of one trimmed line run together, '' when the line is no requirement."""
+    body = trim_space(F.substring_index(line, "#", 1))
+    spec = trim_space(F.substring_index(body, "--hash", 1))
+    package = trim_space(F.substring_index(spec, ";", 1))
+    named = F.regexp_replace(package, r"\A([^\[\]]*)\[[^\]]*\]", "$1")
+    name, specifier = (F.regexp_extract(named, NAME_AND_SPECIFIER, i) for i in (1, 2))
+    flagged = line.startswith("-")
+    return (
+        F.when(flagged & line.startswith("-e "), trim_space(drop_prefix(line, "-e ")))
+        .when(flagged & line.startswith("--editable "), trim_space(drop_prefix(line, "--editable ")))
+        .when(flagged, "")
+        .otherwise(F.concat(name, trim_space(specifier)))
+    )
 
 
-def requirement_structs(content: Column) -> Column:
-    """Array of requirement structs, in line order, of one file's content."""
-    rows = F.transform(
-        F.split(content, "\n"),
-        lambda line, i: F.struct((i + 1).cast("bigint").alias("line_no"), trim_space(line).alias("line")),
-    )
-    rows = F.filter(rows, lambda r: (r["line"] != "") & ~r["line"].startswith("#"))
-    known = ["line_no", "line"]
-    for step in STEPS:
-        rows = F.transform(rows, _extend(step, tuple(known)))
-        known += step(lambda name: F.lit(None))
-    return F.filter(rows, lambda r: (r["name"] != "") & ~r["is_requirement_file"])
+def requirement_labels(content: Column) -> Column:
+    """``name + specifier`` of every requirement of one file, in line order, as an array."""
+    lines = F.transform(F.split(content, "\n"), trim_space)
+    return F.filter(F.transform(lines, _label), lambda label: label != "")

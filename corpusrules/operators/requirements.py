@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrules.functions.requirement_lines import COLUMNS, STEPS, requirement_structs
+from corpusrules.functions.requirement_lines import COLUMNS, STEPS, requirement_labels
 from corpusrules.functions.text import as_text, trim_space
 
 
@@ -26,4 +26,4 @@ def requirement_rows(files: DataFrame, keep_requirement_files: bool = False) ->
 def dependency_counts(files: DataFrame) -> DataFrame:
     """Requirements per manifest.  A file is one input row, so the count never leaves that row."""
     keys = [c for c in ("project_id", "file_path") if c in files.columns]
-    return files.select(*keys, F.size(requirement_structs(as_text(F.col("content")))).cast("bigint").alias("dependency_count"))
+    return files.select(*keys, F.size(requirement_labels(as_text(F.col("content")))).cast("bigint").alias("dependency_count"))

@@ -218,9 +218,13 @@ def first_match(
     wanted = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
     errors = [F.when(e.isNotNull(), F.struct(F.lit(p).alias("position"), e.alias("error"))) for p, e in sizes]
     empty = F.lit(None).cast("struct<position:int,error:string>")
+    first_error = F.get(F.array_compact(F.array(*errors, empty)), F.lit(0))
+    if not any(r.extractor().can_fail for r in pack):
+        smallest = min((r.max_file_size for r in pack if r.max_file_size), default=0)
+        first_error = F.when(file.size > smallest, first_error)
     rows = wanted.select(
         *_keys(files),
-        F.get(F.array_compact(F.array(*errors, empty)), F.lit(0)).alias("_error"),
+        first_error.alias("_error"),
         F.explode(F.array_compact(F.array(F.coalesce(*chain)))).alias("o"),
     )
     keys = [c for c in rows.columns if c not in ("o", "_error")]

@@ -12,7 +12,6 @@ from corpusrules.operators.rules import first_match
 from corpusrules.operators.search import search_content
 from corpusrules.operators.stats import scan_statistics
 from corpusrules.rulepack import RulePack, Search
-from corpusrules.sources.files import tree_columns
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -29,15 +28,6 @@ def stream_table(
     return reader.parquet(path)
 
 
-def stream_tree(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """Raw files arriving below ``root/<project_id>/`` as a ``files`` stream."""
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return tree_columns(reader.load(root), root)
-
-
 def append_detections(files: DataFrame, pack: RulePack, out: str, checkpoint: str) -> StreamingQuery:
     """ST1, ST3: each new file's first match, appended to a JSON log; restarting goes on after the last batch.
 

@@ -1,122 +1,98 @@
-"""Parsing one line of a pip requirements file, as native columns.
-
-``STEPS`` give all parts of a requirement: they are applied in order to one row per line, each seeing the columns of the
-ones before.  ``requirement_labels`` gives just names with specifiers, for whole files and without leaving their rows.
-"""
+"""Parsing one trimmed line of a pip requirements file, as native columns over that line."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusrules.functions.text import drop_prefix, trim_space
 
-Fields = Callable[[str], Column]
+COLUMNS = ("name", "specifier", "extras", "markers", "hashes", "is_editable", "is_requirement_file", "comment")
 
-NAME_AND_SPECIFIER = r"\A([a-zA-Z0-9_-]+)([^\n]*)\z"
-_NO_TEXTS = "array<string>"
+_NAME_AND_SPECIFIER = r"\A([a-zA-Z0-9_-]+)([^\n]*)\z"
+# Extras count only where the first bracket of the line opens them.
+_EXTRAS = r"\A([^\[\]]*)\[([^\]]*)\]"
 
 
-def _starts(text: Column, *prefixes: str) -> Column:
-    test = text.startswith(prefixes[0])
-    for prefix in prefixes[1:]:
-        test = test | text.startswith(prefix)
-    return test
+def _before(text: Column, mark: str) -> Column:
+    return trim_space(F.substring_index(text, mark, 1))
 
 
-def _editable(c: Fields) -> dict[str, Column]:
-    line = c("line")
-    target = F.when(line.startswith("-e "), drop_prefix(line, "-e ")).otherwise(drop_prefix(line, "--editable "))
-    return {
-        "is_editable": _starts(line, "-e ", "--editable "),
-        "target": trim_space(target),
-    }
+def _after(text: Column, mark: str) -> Column:
+    at = F.locate(mark, text)
+    return F.when(at > 0, trim_space(F.substr(text, at + 1))).otherwise("")
 
 
-def _comment(c: Fields) -> dict[str, Column]:
-    line = c("line")
-    at = F.locate("#", line)
-    return {
-        "comment": F.when(~c("is_editable") & (at > 0), trim_space(F.substr(line, at + 1))).otherwise(""),
-        "body": trim_space(F.substring_index(line, "#", 1)),
-    }
+def is_editable(line: Column) -> Column:
+    return line.startswith("-e ") | line.startswith("--editable ")
 
 
-def _options(c: Fields) -> dict[str, Column]:
-    body = c("body")
-    is_file = ~c("is_editable") & _starts(body, "-r ", "--requirement ")
-    return {"is_requirement_file": is_file, "is_option": ~c("is_editable") & ~is_file & body.startswith("-")}
+def _target(line: Column) -> Column:
+    """What an editable line installs; its ``#`` belongs to the URL."""
+    flag = F.when(line.startswith("-e "), drop_prefix(line, "-e ")).otherwise(drop_prefix(line, "--editable "))
+    return trim_space(flag)
 
 
-def _hashes(c: Fields) -> dict[str, Column]:
-    parts = F.split(c("body"), "--hash")
-    values = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda part: drop_prefix(trim_space(F.substring_index(part, " ", 1)), "="),
-    )
-    plain = c("is_editable") | ~c("body").contains("--hash")
-    return {
-        "hashes": F.when(plain, F.array().cast(_NO_TEXTS)).otherwise(F.filter(values, lambda h: h != "")),
-        "spec": F.when(plain, c("body")).otherwise(trim_space(F.get(parts, F.lit(0)))),
-    }
+def _body(line: Column) -> Column:
+    return _before(line, "#")
 
 
-def _markers(c: Fields) -> dict[str, Column]:
-    spec = c("spec")
-    at = F.when(c("is_editable"), 0).otherwise(F.locate(";", spec))
-    return {
-        "markers": F.when(at > 0, trim_space(F.substr(spec, at + 1))).otherwise(""),
-        "package": F.when(at > 0, trim_space(F.substring_index(spec, ";", 1))).otherwise(spec),
-    }
+def is_requirement_file(line: Column) -> Column:
+    body = _body(line)
+    return body.startswith("-r ") | body.startswith("--requirement ")
 
 
-def _extras(c: Fields) -> dict[str, Column]:
-    package = c("package")
-    left, right = F.locate("[", package), F.locate("]", package)
-    has_extras = ~c("is_editable") & (left > 0) & (right > left)
-    inner = F.substr(package, left + 1, right - left - 1)
-    outer = F.concat(F.substr(package, F.lit(1), left - 1), F.substr(package, right + 1))
-    return {
-        "extras": F.when(has_extras, F.transform(F.split(inner, ","), trim_space)).otherwise(F.array().cast(_NO_TEXTS)),
-        "named": F.when(has_extras, outer).otherwise(package),
-    }
+def _package(line: Column) -> Column:
+    """Name, extras and specifier: what precedes comment, hashes and markers."""
+    return _before(_before(_body(line), "--hash"), ";")
 
 
-def _name(c: Fields) -> dict[str, Column]:
-    skipped = c("is_requirement_file") | c("is_option")
+def _named(line: Column, group: int) -> Column:
+    return F.regexp_extract(F.regexp_replace(_package(line), _EXTRAS, "$1"), _NAME_AND_SPECIFIER, group)
 
-    def pick(index: int) -> Column:
-        return F.when(skipped, "").otherwise(trim_space(F.regexp_extract(c("named"), NAME_AND_SPECIFIER, index)))
 
-    return {
-        "name": F.when(c("is_editable"), c("target")).otherwise(pick(1)),
-        "specifier": F.when(c("is_editable"), "").otherwise(pick(2)),
-    }
+def name(line: Column) -> Column:
+    """Package name, or an editable line's target; '' for options, ``-r`` lines and what cannot be read."""
+    return F.when(is_editable(line), _target(line)).when(line.startswith("-"), "").otherwise(_named(line, 1))
 
 
-STEPS = (_editable, _comment, _options, _hashes, _markers, _extras, _name)
-COLUMNS = ("name", "specifier", "extras", "markers", "hashes", "is_editable", "is_requirement_file", "comment")
+def specifier(line: Column) -> Column:
+    return F.when(line.startswith("-"), "").otherwise(trim_space(_named(line, 2)))
 
 
-def _label(line: Column) -> Column:
-    """Name and specifier of one trimmed line run together, '' when the line is no requirement."""
-    body = trim_space(F.substring_index(line, "#", 1))
-    spec = trim_space(F.substring_index(body, "--hash", 1))
-    package = trim_space(F.substring_index(spec, ";", 1))
-    named = F.regexp_replace(package, r"\A([^\[\]]*)\[[^\]]*\]", "$1")
-    name, specifier = (F.regexp_extract(named, NAME_AND_SPECIFIER, i) for i in (1, 2))
-    flagged = line.startswith("-")
-    return (
-        F.when(flagged & line.startswith("-e "), trim_space(drop_prefix(line, "-e ")))
-        .when(flagged & line.startswith("--editable "), trim_space(drop_prefix(line, "--editable ")))
-        .when(flagged, "")
-        .otherwise(F.concat(name, trim_space(specifier)))
+def _hashes(line: Column) -> Column:
+    parts = F.split(_body(line), "--hash")
+    values = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts) - 1),
+        lambda part: drop_prefix(trim_space(F.substring_index(part, " ", 1)), "="),
     )
+    return F.when(F.size(parts) > 1, F.filter(values, lambda h: h != ""))
+
+
+def _extras(line: Column) -> Column:
+    package = _package(line)
+    inner = F.regexp_extract(package, _EXTRAS, 2)
+    return F.when(package.rlike(_EXTRAS), F.transform(F.split(inner, ","), trim_space))
+
+
+def requirement_columns(line: Column) -> dict[str, Column]:
+    """All parts of a requirement line by column name."""
+    plain = ~line.startswith("-")
+    nothing = F.array().cast("array<string>")
+    return {
+        "name": name(line),
+        "specifier": specifier(line),
+        "extras": F.coalesce(F.when(plain, _extras(line)), nothing),
+        "markers": F.when(plain, _after(_before(_body(line), "--hash"), ";")).otherwise(""),
+        "hashes": F.coalesce(F.when(plain, _hashes(line)), nothing),
+        "is_editable": is_editable(line),
+        "is_requirement_file": is_requirement_file(line),
+        "comment": F.when(is_editable(line), "").otherwise(_after(line, "#")),
+    }
 
 
 def requirement_labels(content: Column) -> Column:
     """``name + specifier`` of every requirement of one file, in line order, as an array."""
     lines = F.transform(F.split(content, "\n"), trim_space)
-    return F.filter(F.transform(lines, _label), lambda label: label != "")
+    labels = F.transform(lines, lambda line: F.concat(name(line), specifier(line)))
+    return F.filter(labels, lambda label: label != "")

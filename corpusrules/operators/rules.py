@@ -182,7 +182,8 @@ def execute_rules(
 def rule_results(executed: DataFrame) -> DataFrame:
     """Results of :func:`execute_rules` as rows, with ``position`` counting from 1 within a file."""
     keys = [c for c in ("project_id", "file_path", "file_name") if c in executed.columns]
-    rows = executed.select(*keys, F.posexplode("results").alias("_pos", "r"))
+    # Exploding the bare column would infer a filter on its size, which moves down and works every result out twice.
+    rows = executed.select(*keys, F.posexplode(F.array_compact("results")).alias("_pos", "r"))
     return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
 

@@ -52,10 +52,12 @@ def search_lines(files: DataFrame, search: Search) -> DataFrame:
     test, keys = _test(search), _keys(files)
     content = as_text(F.col("content"))
     possible = test.may_occur_in(content)
-    files = files.where(_all(_names_and_sizes(search, files.columns) + ([possible] if possible is not None else [])))
+    # The text test gates the split instead of filtering: filters move down, in front of any repartitioning of the files.
+    split = F.split(content, "\n") if possible is None else F.when(possible, F.split(content, "\n"))
+    files = files.where(_all(_names_and_sizes(search, files.columns)))
     if search.context_lines > 0:
-        return _with_context(files, keys, content, test, search.context_lines)
-    lines = files.select(*keys, F.posexplode(F.split(content, "\n")).alias("_pos", "_line"))
+        return _with_context(files, keys, split, test, search.context_lines)
+    lines = files.select(*keys, F.posexplode(split).alias("_pos", "_line"))
     return lines.where(test.matches(F.col("_line"))).select(*keys, *_match_columns(test))
 
 
@@ -75,9 +77,9 @@ def _neighbours(i: Column, n: int) -> list[Column]:
     return [F.transform(before, strip_cr).alias("before"), F.transform(after, strip_cr).alias("after")]
 
 
-def _with_context(files: DataFrame, keys: list[str], content: Column, test: LineTest, n: int) -> DataFrame:
+def _with_context(files: DataFrame, keys: list[str], split: Column, test: LineTest, n: int) -> DataFrame:
     """Neighbouring lines are cut out beside each hit, so the exploded rows never carry the whole file."""
-    lines = files.select(*keys, F.split(content, "\n").alias("_lines"))
+    lines = files.select(*keys, split.alias("_lines"))
     hits = F.transform(
         "_lines",
         lambda line, i: F.when(test.matches(line), F.struct(i.alias("_pos"), line.alias("_line"), *_neighbours(i, n))),

@@ -39,3 +39,12 @@ def collect_small(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} {what}")
     return rows
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` when the source has fewer splits than there are cores, else the frame as it is.
+
+    Pattern work is bound by cores.  An input of many splits is left alone, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

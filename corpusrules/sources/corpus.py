@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusrules.session import spread
+
 # A manifest corpus derived from ``part`` by SQL both Spark and DuckDB run.  Four parts make a project with a file of a
 # different kind each; every third part instead goes to one large shared project, a file per package folder.
 MANIFEST_SQL = """
@@ -115,7 +117,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: the source is the project, the language a folder."""
-    return as_document_files(table(spark, sf_dir, "documents"))
+    return as_document_files(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def as_document_files(documents: DataFrame) -> DataFrame:
@@ -140,30 +142,30 @@ def document_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").alias("project_id"), F.lit("index.html").alias("file_path"), F.col("html").alias("content")
     )
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         F.col("conv_id").alias("project_id"),
         F.concat("role", F.lit("/"), F.col("turn").cast("string")).alias("file_path"),
         F.col("text").alias("content"),
     )
 
 
-def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _sql(spark: SparkSession, part: DataFrame, sql: str) -> DataFrame:
     text = sql.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {part} AS part")
-    return spark.sql(text, part=table(spark, sf_dir, "part"))
+    return spark.sql(text, part=part)
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, MANIFEST_SQL)
+    return _sql(spark, spread(table(spark, sf_dir, "part"), "p_partkey"), MANIFEST_SQL)
 
 
 def manifest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, MANIFEST_PROJECTS_SQL)
+    return _sql(spark, table(spark, sf_dir, "part"), MANIFEST_PROJECTS_SQL)
 
 
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,11 +45,15 @@ def extractor_kinds() -> list[str]:
     return sorted(_FACTORIES)
 
 
-def get_extractor(kind: str, config: Mapping[str, object] | None = None) -> Extractor:
+def extractor_factory(kind: str) -> Factory:
     if kind not in _FACTORIES:
         raise ValueError(f"unknown parser type: {kind}")
-    factory, can_fail = _FACTORIES[kind]
-    return Extractor(factory(config or {}), can_fail)
+    return _FACTORIES[kind][0]
+
+
+def get_extractor(kind: str, config: Mapping[str, object] | None = None) -> Extractor:
+    factory = extractor_factory(kind)
+    return Extractor(factory(config or {}), _FACTORIES[kind][1])
 
 
 def extractor(kind: str):

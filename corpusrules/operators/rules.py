@@ -6,12 +6,14 @@ rule ever crosses a shuffle, and everything about one file is decided inside its
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusrules.functions.extractors import Factory, extractor_factory
 from corpusrules.functions.patterns import regex, rule_glob, rule_glob_matches
 from corpusrules.functions.text import as_text, base_name, blank_to_null
 from corpusrules.rulepack import Rule, RulePack
@@ -19,16 +21,46 @@ from corpusrules.schemas import RESULT
 
 RESULT_FIELDS = ("version", "source", "confidence", "raw_value", "metadata")
 MAX_JOINED_RULES = 100_000
+MAX_UNROLLED_RULES = 200
 
 
-class _File:
-    """Columns of one file row, with defaults for what the table leaves out."""
+@dataclass(frozen=True)
+class _Shape:
+    """What a file table offers, with defaults for what it leaves out."""
 
-    def __init__(self, columns: Sequence[str]):
-        self.path = F.col("file_path")
-        self.name = F.col("file_name") if "file_name" in columns else base_name(self.path)
-        self.content = as_text(F.col("content"))
-        self.size = F.col("size") if "size" in columns else F.octet_length(F.col("content"))
+    named: bool
+    sized: bool
+
+    @classmethod
+    def of(cls, files: DataFrame) -> _Shape:
+        return cls("file_name" in files.columns, "size" in files.columns)
+
+    @property
+    def path(self) -> Column:
+        return F.col("file_path")
+
+    @property
+    def name(self) -> Column:
+        return F.col("file_name") if self.named else base_name(self.path)
+
+    @property
+    def content(self) -> Column:
+        return as_text(F.col("content"))
+
+    @property
+    def size(self) -> Column:
+        return F.col("size") if self.sized else F.octet_length(F.col("content"))
+
+
+@dataclass(frozen=True)
+class _Compiled:
+    """A rule as columns over one shape of file table."""
+
+    applies: Column
+    outcome: Column
+    error: Column | None
+    first: Column
+    first_with_version: Column
 
 
 def _keys(files: DataFrame) -> list[Column]:
@@ -57,44 +89,68 @@ def any_rule_applies(pack: RulePack, name: Column, path: Column, pattern_mode: s
     return reduce(lambda a, b: a | b, [rule_applies(r, name, path, pattern_mode) for r in pack])
 
 
-def _oversize(rule: Rule, file: _File) -> Column | None:
-    return file.size > F.lit(rule.max_file_size) if rule.max_file_size else None
+def _no_outcome() -> Column:
+    """A null that gives outcome arrays their type, so that packs without rules work too."""
+    return F.lit(None).cast(f"struct<rule_name:string,priority:int,result:{RESULT.simpleString()},error:string>")
+
 
+def _worth_reading(files: DataFrame, rules: Sequence[_Compiled]) -> DataFrame:
+    return files.where(reduce(lambda a, b: a | b, [r.applies for r in rules], F.lit(False)))
 
-def _size_error(rule: Rule, file: _File) -> Column:
+
+def _size_error(rule: Rule, size: Column) -> Column:
     return F.concat(
-        F.lit(f"rule {rule.name}: file size "), file.size.cast("string"), F.lit(f" exceeds maximum {rule.max_file_size} bytes")
+        F.lit(f"rule {rule.name}: file size "), size.cast("string"), F.lit(f" exceeds maximum {rule.max_file_size} bytes")
     )
 
 
-def _outcome(rule: Rule, file: _File, applies: Column) -> Column:
-    """Struct of one rule on one file, null when the rule does not apply.
+def _compile_pack(files: DataFrame, pack: RulePack, pattern_mode: str) -> list[_Compiled]:
+    application = files.sparkSession.sparkContext.applicationId
+    shape = _Shape.of(files)
+    return [_compile(application, extractor_factory(r.parser_type), r, shape, pattern_mode) for r in pack]
+
+
+@lru_cache(maxsize=4096)
+def _compile(application: str, factory: Factory, rule: Rule, shape: _Shape, pattern_mode: str) -> _Compiled:
+    """Columns of one rule on one file, null where the rule does not apply; kept for the application's next query.
 
     The guards sit outside the extractor in the same ``when``, so content is only searched by rules that get that far.
     """
-    oversize = _oversize(rule, file)
+    name, content, size = shape.name, shape.content, shape.size
+    applies = rule_applies(rule, name, shape.path, pattern_mode)
     extractor = rule.extractor()
-    guards = [~oversize] if oversize is not None else []
+    guards, error = [], None
+    if rule.max_file_size:
+        oversize = size > F.lit(rule.max_file_size)
+        guards.append(~oversize)
+        error = F.when(oversize, _size_error(rule, size))
     if rule.required_content:
-        guards.append(regex(rule.required_content).found_in(file.content))
+        guards.append(regex(rule.required_content).found_in(content))
     open_ = reduce(lambda a, b: a & b, guards) if guards else F.lit(True)
-    error = F.when(oversize, _size_error(rule, file)) if oversize is not None else F.lit(None).cast("string")
     if extractor.can_fail:
         # The extractor may be a Python UDF, which runs before any ``when``: hand it nulls where it is not wanted.
-        made = extractor.build(F.when(applies & open_, file.content), file.name)
+        made = extractor.build(F.when(applies & open_, content), name)
         failure = F.concat(F.lit(f"rule {rule.name}: parser error in rule {rule.name}: "), made["error"])
-        error = F.coalesce(error, failure)
+        error = failure if error is None else F.coalesce(error, failure)
         made = F.when(made["error"].isNull() & made["version"].isNotNull(), made.dropFields("error").cast(RESULT))
     else:
-        made = extractor.build(file.content, file.name)
-    return F.when(
+        made = extractor.build(content, name)
+    outcome = F.struct(
+        F.lit(rule.name).alias("rule_name"),
+        F.lit(rule.priority).alias("priority"),
+        F.when(open_, made).alias("result"),
+        (F.lit(None).cast("string") if error is None else error).alias("error"),
+    )
+
+    def first(accepted: Callable[[Column], Column]) -> Column:
+        return F.when(applies, F.get(F.filter(F.array(outcome), accepted), F.lit(0)))
+
+    return _Compiled(
         applies,
-        F.struct(
-            F.lit(rule.name).alias("rule_name"),
-            F.lit(rule.priority).alias("priority"),
-            F.when(open_, made).alias("result"),
-            error.alias("error"),
-        ),
+        F.when(applies, outcome),
+        None if error is None else F.when(applies, error),
+        first(lambda o: o["result"].isNotNull()),
+        first(lambda o: o["result"].isNotNull() & (o["result"]["version"] != "")),
     )
 
 
@@ -112,12 +168,9 @@ def _flat(outcome: Column, file_name: Column) -> list[Column]:
 
 def rule_outcomes(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
     """One row per (file, applicable rule): found or not, with the result or the error."""
-    pack = pack.enabled()
-    file = _File(files.columns)
-    applies = [rule_applies(r, file.name, file.path, pattern_mode) for r in pack]
-    outcomes = F.array(*[_outcome(r, file, a) for r, a in zip(pack, applies)])
-    wanted = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
-    rows = wanted.select(*_keys(files), F.explode(F.array_compact(outcomes)).alias("o"))
+    rules = _compile_pack(files, pack.enabled(), pattern_mode)
+    outcomes = F.array_compact(F.array(*[r.outcome for r in rules], _no_outcome()))
+    rows = _worth_reading(files, rules).select(*_keys(files), F.explode(outcomes).alias("o"))
     keys = [c for c in rows.columns if c != "o"]
     return rows.select(*keys, *_flat(F.col("o"), F.col("file_name")), F.col("o.error").alias("error"))
 
@@ -137,16 +190,12 @@ def execute_rules(
     Columns: the file keys, ``results`` (array), ``best_result``, ``rules_applied`` and ``errors``.  Files no rule
     applies to are left out unless ``all_files``.
     """
-    pack = pack.enabled().tagged(tags)
-    file = _File(files.columns)
-    outcomes = [_outcome(r, file, rule_applies(r, file.name, file.path, pattern_mode)) for r in pack]
+    rules = _compile_pack(files, pack.enabled().tagged(tags), pattern_mode)
+    outcomes = [r.outcome for r in rules]
     if not all_files:
-        files = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
-    if not outcomes:
-        nothing = "struct<rule_name:string,priority:int,result:{},error:string>".format(RESULT.simpleString())
-        outcomes = [F.lit(None).cast(nothing)]
+        files = _worth_reading(files, rules)
     tried = F.transform(
-        F.array_compact(F.array(*outcomes)),
+        F.array_compact(F.array(*outcomes, _no_outcome())),
         lambda o, i: F.struct((i + 1).alias("position"), o.alias("outcome")),
     )
     rows = files.select(*_keys(files), tried.alias("tried"))
@@ -200,37 +249,26 @@ def first_match(
     over hits without a version.  ``error`` is the first error met on the way; ``strict`` blanks the result then.
     """
     pack = pack.enabled()
-    file = _File(files.columns)
-    chain, sizes = [], []
-    for position, rule in enumerate(pack):
-        applies = rule_applies(rule, file.name, file.path, pattern_mode)
-        outcome = _outcome(rule, file, applies)
-        numbered = F.when(applies, F.struct(F.lit(position).alias("position"), outcome.alias("outcome")))
-
-        def accepted(o: Column) -> Column:
-            hit = o["outcome"]["result"].isNotNull()
-            return hit & (o["outcome"]["result"]["version"] != "") if need_version else hit
-
-        chain.append(F.when(applies, F.get(F.filter(F.array(numbered), accepted), F.lit(0))))
-        if rule.extractor().can_fail:
-            sizes.append((position, outcome["error"]))
-        elif rule.max_file_size:
-            sizes.append((position, F.when(applies & _oversize(rule, file), _size_error(rule, file))))
-    wanted = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
-    errors = [F.when(e.isNotNull(), F.struct(F.lit(p).alias("position"), e.alias("error"))) for p, e in sizes]
-    empty = F.lit(None).cast("struct<position:int,error:string>")
-    first_error = F.get(F.array_compact(F.array(*errors, empty)), F.lit(0))
+    rules = _compile_pack(files, pack, pattern_mode)
+    chain = F.coalesce(*[r.first_with_version if need_version else r.first for r in rules], _no_outcome())
+    errors = [
+        F.when(r.error.isNotNull(), F.struct(F.lit(i).alias("position"), r.error.alias("error")))
+        for i, r in enumerate(rules)
+        if r.error is not None
+    ]
+    nothing = F.lit(None).cast("struct<position:int,error:string>")
+    first_error = F.get(F.array_compact(F.array(*errors, nothing)), F.lit(0))
     if not any(r.extractor().can_fail for r in pack):
         smallest = min((r.max_file_size for r in pack if r.max_file_size), default=0)
-        first_error = F.when(file.size > smallest, first_error)
-    rows = wanted.select(
-        *_keys(files),
-        first_error.alias("_error"),
-        F.explode(F.array_compact(F.array(F.coalesce(*chain)))).alias("o"),
+        first_error = F.when(_Shape.of(files).size > smallest, first_error)
+    rows = _worth_reading(files, rules).select(
+        *_keys(files), first_error.alias("_error"), F.explode(F.array_compact(F.array(chain))).alias("o")
     )
     keys = [c for c in rows.columns if c not in ("o", "_error")]
-    error = F.when(F.col("_error.position") < F.col("o.position"), F.col("_error.error"))
-    rows = rows.select(*keys, *_flat(F.col("o.outcome"), F.col("file_name")), error.alias("error"))
+    order = F.array(*[F.lit(r.name) for r in pack]).cast("array<string>")
+    position = F.array_position(order, F.col("o.rule_name")) - 1
+    error = F.when(F.col("_error.position") < position, F.col("_error.error"))
+    rows = rows.select(*keys, *_flat(F.col("o"), F.col("file_name")), error.alias("error"))
     return _blank_failed(rows) if strict else rows
 
 
@@ -257,7 +295,7 @@ def _blank_failed(rows: DataFrame) -> DataFrame:
 def matching_rules(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
     """J1, unrolled: one row per (file, applicable rule) in ``position`` order, from names and paths alone."""
     pack = pack.enabled()
-    file = _File([*files.columns, "size"])
+    file = _Shape.of(files)
     hits = [
         F.when(
             rule_applies(r, file.name, file.path, pattern_mode),
@@ -265,39 +303,50 @@ def matching_rules(files: DataFrame, pack: RulePack, pattern_mode: str = "glob")
         )
         for r in pack
     ]
-    rows = files.select(*_keys(files), F.posexplode(F.array_compact(F.array(*hits))).alias("_pos", "r"))
+    nothing = F.lit(None).cast("struct<rule_name:string,priority:int>")
+    rows = files.select(*_keys(files), F.posexplode(F.array_compact(F.array(*hits, nothing))).alias("_pos", "r"))
     keys = [c for c in rows.columns if c not in ("_pos", "r")]
     return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
 
+def _join_key(rule: Rule) -> str | None:
+    """Key under which a plain name or an extension pattern finds its files by equality, None for other rules."""
+    pattern = rule.file_pattern
+    if not pattern or rule.path_pattern:
+        return None
+    if rule_glob(pattern) is None:
+        return "=" + pattern
+    return pattern if pattern.startswith("*.") and rule_glob(pattern[1:]) is None else None
+
+
+def _name_keys(name: Column) -> Column:
+    """Keys of a file: its name and, as ``*.tar.gz`` and ``*.gz``, each of its extensions."""
+    parts = F.split(name, r"\.")
+    starts = F.when((F.size(parts) > 1) & ~name.contains("\n"), F.sequence(F.lit(2), F.size(parts)))
+    extensions = F.transform(
+        F.coalesce(starts, F.array().cast("array<int>")),
+        lambda i: F.concat(F.lit("*."), F.array_join(F.slice(parts, i, F.size(parts)), ".")),
+    )
+    return F.concat(F.array(F.concat(F.lit("="), name)), extensions)
+
+
 def join_rules(files: DataFrame, pack: RulePack) -> DataFrame:
-    """J1 as a join, for packs too long to unroll: plain names by hash join, wildcards by a broadcast loop.
+    """J1 as a join, for packs too long to unroll: plain names and extensions meet their rules by equality.
 
-    The rule side is built from the pack on the driver, so its size is known and checked before it is broadcast.
+    The rule side is built from the pack on the driver, so its size is known and checked before it is broadcast.  Rules
+    with other patterns stay unrolled, some hundred at a time, over names and paths only.
     """
     pack = pack.enabled()
     if len(pack) > MAX_JOINED_RULES:
         raise ValueError(f"{len(pack)} rules; at most {MAX_JOINED_RULES} can be broadcast")
-    plain, wild = [], []
-    for r in pack:
-        path = regex(r.path_pattern).java if r.path_pattern else None
-        glob = rule_glob(r.file_pattern) if r.file_pattern else r"(?s).*"
-        if glob is None:
-            plain.append((r.name, r.priority, r.file_pattern, path))
-        else:
-            wild.append((r.name, r.priority, glob, path))
-    spark = files.sparkSession
-    schema = "rule_name string, priority int, pattern string, path_regex string"
     names = files.select(*_keys(files))
     keys = names.columns
-    path_ok = F.col("path_regex").isNull() | F.expr("file_path rlike path_regex")
-    sides = []
-    if plain:
-        rules = F.broadcast(spark.createDataFrame(plain, schema))
-        sides.append(names.join(rules, (F.col("file_name") == F.col("pattern")) & path_ok))
-    if wild:
-        rules = F.broadcast(spark.createDataFrame(wild, schema))
-        sides.append(names.join(rules, F.expr("file_name rlike pattern") & path_ok))
-    if not sides:
-        return names.limit(0).select(*keys, F.lit("").alias("rule_name"), F.lit(0).alias("priority"))
+    keyed = [(_join_key(r), r.name, r.priority) for r in pack if _join_key(r)]
+    others = [r for r in pack if not _join_key(r)]
+    schema = "_key string, rule_name string, priority int"
+    rules = F.broadcast(files.sparkSession.createDataFrame(keyed, schema))
+    sides = [names.withColumn("_key", F.explode(_name_keys(F.col("file_name")))).join(rules, "_key").drop("_key")]
+    for start in range(0, len(others), MAX_UNROLLED_RULES):
+        part = RulePack(tuple(others[start : start + MAX_UNROLLED_RULES]))
+        sides.append(matching_rules(names, part).drop("position"))
     return reduce(DataFrame.unionByName, sides).select(*keys, "rule_name", "priority")

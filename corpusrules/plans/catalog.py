@@ -417,6 +417,7 @@ _PATH_RULES = RulePack(
         Rule("english", "1*.txt", "simple_version", path_pattern="^en/", priority=5),
         Rule("numbered", "?7?.txt", "simple_version", priority=7),
         Rule("first", "0.txt", "simple_version", priority=3),
+        Rule("text", "*.txt", "simple_version", priority=9),
         Rule("romance", None, "simple_version", path_pattern="^(fr|es)/[0-9]*5", priority=5),
     )
 )
@@ -424,7 +425,7 @@ _PATH_RULES_SQL = (
     with_(DOCUMENT_FILES)
     + """SELECT f.project_id, f.file_path, r.rule_name, r.priority FROM files AS f JOIN (VALUES
   ('english', 5, '^1.*[.]txt$', '^en/'), ('numbered', 7, '^.7.[.]txt$', ''), ('first', 3, '^0[.]txt$', ''),
-  ('romance', 5, '', '^(fr|es)/[0-9]*5')) AS r(rule_name, priority, name_regex, path_regex)
+  ('text', 9, '[.]txt$', ''), ('romance', 5, '', '^(fr|es)/[0-9]*5')) AS r(rule_name, priority, name_regex, path_regex)
 ON regexp_matches(f.file_name, r.name_regex) AND regexp_matches(f.file_path, r.path_regex)"""
 )
 

@@ -118,6 +118,25 @@ def test_path_patterns_and_rule_tables(spark, make_files):
     assert {(r.file_path, r.rule_name) for r in join_rules(files, pack).collect()} == want
 
 
+def test_joined_rules_agree_with_unrolled_ones(make_files):
+    names = ["a.py", "a.tar.gz", ".gz", "gz", "x.GZ", "a.b\nc.gz", "Dockerfile", "Dockerfile.dev", "*.gz", "d/e.gz", ""]
+    files = make_files(*[(1, n, "") for n in names])
+    patterns = ["*.gz", "*.tar.gz", "*.py", "Dockerfile", "Dockerfile*", "?.py", "*", "a.*", "*.g?", ".gz"]
+    pack = RulePack(tuple(rx(f"r{i}", "x", i, file_pattern=p) for i, p in enumerate(patterns)))
+    columns = ("file_path", "rule_name", "priority")
+    joined = sorted(tuple(r[c] for c in columns) for r in join_rules(files, pack).collect())
+    assert joined == sorted(tuple(r[c] for c in columns) for r in matching_rules(files, pack).collect())
+    assert len(joined) > 20
+
+
+def test_empty_pack(files):
+    none = RulePack(())
+    assert first_match(files, none).count() == 0
+    assert rule_outcomes(files, none).count() == 0
+    assert join_rules(files, none).count() == 0
+    assert execute_rules(files, none, all_files=True).where("rules_applied = 0").count() == 4
+
+
 def test_source_defaults_to_the_file_name(make_files):
     files = make_files((1, "d/x.py", "a=1"))
     assert first_match(files, RulePack((rx("a", r"a=(\d)", 1),))).first().source == "x.py"

@@ -29,8 +29,7 @@ def is_editable(line: Column) -> Column:
 
 def _target(line: Column) -> Column:
     """What an editable line installs; its ``#`` belongs to the URL."""
-    flag = F.when(line.startswith("-e "), drop_prefix(line, "-e ")).otherwise(drop_prefix(line, "--editable "))
-    return trim_space(flag)
+    return trim_space(F.regexp_replace(line, r"\A(?:-e|--editable) ", ""))
 
 
 def _body(line: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusrules.functions.patterns import java_quote
+
 # The characters with the Unicode White_Space property.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"
@@ -32,7 +34,8 @@ def blank_to_null(col: Column) -> Column:
 
 
 def drop_prefix(col: Column, prefix: str) -> Column:
-    return F.when(col.startswith(prefix), F.substr(col, F.lit(len(prefix) + 1))).otherwise(col)
+    """Text without the prefix, once; ``col`` is mentioned a single time, so chains of these stay short."""
+    return F.regexp_replace(col, r"\A" + java_quote(prefix), "")
 
 
 def base_name(path: Column) -> Column:

@@ -138,6 +138,8 @@ def _one_pass(files: DataFrame, searches: Sequence[Search], with_context: bool)
     split = F.when(_any([F.col(n) for n in gates]), F.split("_content", "\n"))
 
     def here(line: Column) -> list[Column]:
+        if len(tests) == 1:  # the only gate was passed when the file was split
+            return [tests[0].matches(line)]
         return [F.col(gate) & test.matches(line) for gate, test in zip(gates, tests)]
 
     def hits(line: Column, i: Column) -> Column:

@@ -37,11 +37,12 @@ POSIX_CLASSES = {
 
 MAX_REPEAT = 1000
 _QUANTIFIER = re.compile(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}")
-_WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-_NOT_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
+_WORD_EDGE = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
+_NOT_WORD_EDGE = r"(?:(?=\w)(?<=\w)|(?!\w)(?<!\w))"
 _WORD_ITEM = r"(?:(?<!\\)\w|\\[wd]|\[[\w-]+\])"
 _WORD_AHEAD = re.compile(rf"({_WORD_ITEM})(?![*?]|\{{0)", re.ASCII)
 _WORD_BEHIND = re.compile(rf"({_WORD_ITEM})(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?\Z", re.ASCII)
+_SIMPLE_GROUP = re.compile(r"\((?:\?:|\?P?<\w+>)?((?:[^()\\?]|\\.)[^()]*)\)(?![*?]|\{0)")
 _CONTROL = {"a": r"\x07", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t", "v": r"\x0B"}
 
 # ASCII letters with a case variant outside ASCII, under RE2's folding and under plain lower-casing.
@@ -316,7 +317,13 @@ class _Rewriter:
         def certain(m: re.Match | None) -> bool:
             return bool(m) and not (self.flags["i"] and _folds_beyond_ascii(m.group(1)))
 
-        if certain(_WORD_AHEAD.match(self.src, self.pos + 2)):
+        def certain_start(at: int) -> bool:
+            group = _SIMPLE_GROUP.match(self.src, at)
+            if group and "[" not in group.group(1):
+                return all(certain(_WORD_AHEAD.match(choice)) for choice in group.group(1).split("|"))
+            return certain(_WORD_AHEAD.match(self.src, at))
+
+        if certain_start(self.pos + 2):
             return r"(?<!\w)"
         if certain(_WORD_BEHIND.search(self.src[: self.pos])):
             return r"(?!\w)"

@@ -91,7 +91,7 @@ def search_literal_ci(spark, sf):
     IN_DOCUMENTS + hits("contains(line, 'License')", "'License'") + f" SELECT {MATCH} FROM hits",
 )
 def search_literal_cs(spark, sf):
-    return S.search_lines(C.document_files(spark, sf), Search("License", case_sensitive=True))
+    return S.search_lines(C.document_files(spark, sf, cheap=True), Search("License", case_sensitive=True))
 
 
 @query(
@@ -432,7 +432,7 @@ ON regexp_matches(f.file_name, r.name_regex) AND regexp_matches(f.file_path, r.p
 
 @query("rules_theta_join", _PATH_RULES_SQL)
 def rules_theta_join(spark, sf):
-    rows = R.join_rules(C.document_files(spark, sf), _PATH_RULES)
+    rows = R.join_rules(C.document_files(spark, sf, cheap=True), _PATH_RULES)
     return rows.select("project_id", "file_path", "rule_name", "priority")
 
 
@@ -442,7 +442,7 @@ def rules_theta_join(spark, sf):
 FROM ({_PATH_RULES_SQL}) AS m""",
 )
 def rules_matching(spark, sf):
-    rows = R.matching_rules(C.document_files(spark, sf), _PATH_RULES)
+    rows = R.matching_rules(C.document_files(spark, sf, cheap=True), _PATH_RULES)
     return rows.select("project_id", "file_path", "rule_name", "priority", "position")
 
 
@@ -932,7 +932,7 @@ def file_inventory(spark, sf):
     with_(DOCUMENT_FILES) + "SELECT project_id, file_name, file_path FROM files WHERE starts_with(file_path, 'de/')",
 )
 def file_inventory_folder(spark, sf):
-    return inventory(C.document_files(spark, sf), path="de")
+    return inventory(C.document_files(spark, sf, cheap=True), path="de")
 
 
 def _stored_files(spark: SparkSession, sf: str) -> DataFrame:

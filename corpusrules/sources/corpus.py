@@ -115,9 +115,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: the source is the project, the language a folder."""
-    return as_document_files(spread(table(spark, sf_dir, "documents"), "doc_id"))
+def document_files(spark: SparkSession, sf_dir: str, cheap: bool = False) -> DataFrame:
+    """Documents as files: the source is the project, the language a folder.  Byte searches are too ``cheap`` to spread."""
+    documents = table(spark, sf_dir, "documents")
+    return as_document_files(documents if cheap else spread(documents, "doc_id"))
 
 
 def as_document_files(documents: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def document_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("project_id"), F.lit("index.html").alias("file_path"), F.col("html").alias("content")
     )
 

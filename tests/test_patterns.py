@@ -55,6 +55,13 @@ PATTERNS = [
     r"\bkey\b",
     r"\w+\b",
     r"\Bo",
+    r"\b(?:foo|bar)\b",
+    r"\b(foo|\.b)",
+    r"\b(?:x*|key)",
+    r"\b(?P<k>K\w+)\s",
+    r"\b(key)?\b",
+    r"\b[a-c]+\b",
+    r"é\b|\bÉ",
     r"(?i)abc",
     r"(?i)straße",
     r"(?i)été",

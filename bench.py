@@ -24,6 +24,8 @@ HEADLINE = [
     "rules_best_match",
     "rules_all_matches",
     "rule_coverage_by_tag",
+    "rules_ten_per_file",
+    "rules_none_matching",
     "page_lang_regex",
     "manifest_pyproject",
     "manifest_requirements",
@@ -39,6 +41,7 @@ HEADLINE = [
 FILES = {
     "documents": ["search_regex_lines", "search_literal_ci", "search_pack_one_pass", "rules_first_match", "rules_all_matches"],
     "part": ["project_versions"],
+    "events": ["rules_ten_per_file", "rules_none_matching"],
 }
 
 

@@ -66,8 +66,7 @@ SECRET = Search(
     r"""\b(?:api_key|token|secret)\s*=\s*['"][0-9a-f]{40}['"]""",
     "secret",
     is_regex=True,
-    file_patterns=("[1-9]*.txt",),
-    max_file_size=12_000,
+    file_patterns=("*.env", "[0-9]*.txt"),
 )
 
 # -- content search ----------------------------------------------------------------------------------------------------
@@ -96,10 +95,7 @@ def search_literal_cs(spark, sf):
 
 @query(
     "search_secret_tokens",
-    with_(DOCUMENT_FILES.replace("FROM documents", "FROM documents WHERE regexp_matches(concat(doc_id, '.txt'), '^[1-9]') AND strlen(text) <= 12000"), LINES)[:-1]
-    + ",\n"
-    + regex_hits("(?i)" + SECRET.term)
-    + f" SELECT {MATCH} FROM hits",
+    IN_DOCUMENTS + regex_hits("(?i)" + SECRET.term, SMALL_FILES) + f" SELECT {MATCH} FROM hits",
 )
 def search_secret_tokens(spark, sf):
     return S.search_lines(C.document_files(spark, sf), SECRET)
@@ -147,13 +143,13 @@ def search_context(spark, sf):
 PACK_SEARCHES = [
     LICENSE_GRANT,
     Search("token", "token-word", case_sensitive=True),
-    Search(r"[\w.]+@mail\d+\.example\.com", "mail", is_regex=True, file_patterns=("*[02468].txt",)),
+    Search(r"[\w.]+@mail\d+\.example\.com", "mail", is_regex=True, file_patterns=("*.txt",)),
     Search("release", "first-releases", max_matches=1),
 ]
 _PACK_HITS = [
     ("license-grant", regex_hits("(?i)" + LICENSE_GRANT.term), ""),
     ("token-word", hits("contains(line, 'token')", "'token'"), ""),
-    ("mail", regex_hits(r"(?i)[\w.]+@mail\d+\.example\.com", " AND regexp_matches(file_path, '[02468].txt$')"), ""),
+    ("mail", regex_hits(r"(?i)[\w.]+@mail\d+\.example\.com"), ""),
     ("first-releases", literal_hits("release"), "1"),
 ]
 
@@ -446,6 +442,41 @@ def rules_matching(spark, sf):
     return rows.select("project_id", "file_path", "rule_name", "priority", "position")
 
 
+# The two micro-benchmarks on record: ten rules that all match a tiny file, and a hundred that do not.
+_TEN_RULES = RulePack(
+    tuple(
+        Rule(f"rule-{i}", "*.py", "simple_version", {"confidence": 0.5 + i / 100}, priority=i) for i in range(10)
+    )
+)
+_NO_RULES = RulePack(tuple(Rule(f"rule-{i}", f"file{i}.txt", "simple_version", priority=i) for i in range(100)))
+
+
+@query(
+    "rules_ten_per_file",
+    """SELECT user_id AS project_id, concat('event-', event_id, '.py') AS file_path, CAST(10 AS BIGINT) AS rules_applied,
+  CAST(10 AS BIGINT) AS results, 'rule-9' AS best_rule, props AS version FROM events""",
+)
+def rules_ten_per_file(spark, sf):
+    executed = R.execute_rules(C.event_files(spark, sf), _TEN_RULES)
+    return executed.select(
+        "project_id",
+        "file_path",
+        F.col("rules_applied").cast("bigint").alias("rules_applied"),
+        F.size("results").cast("bigint").alias("results"),
+        F.col("best_result.rule_name").alias("best_rule"),
+        F.col("best_result.version").alias("version"),
+    )
+
+
+@query(
+    "rules_none_matching",
+    """SELECT user_id AS project_id, concat('event-', event_id, '.py') AS file_path, CAST(0 AS BIGINT) AS rules_matching FROM events""",
+)
+def rules_none_matching(spark, sf):
+    executed = R.execute_rules(C.event_files(spark, sf), _NO_RULES, all_files=True)
+    return executed.select("project_id", "file_path", F.col("rules_applied").cast("bigint").alias("rules_matching"))
+
+
 @query(
     "page_lang_regex",
     """SELECT page_id AS project_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS version, CAST(0.5 AS DOUBLE) AS confidence

@@ -169,6 +169,18 @@ def manifest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, table(spark, sf_dir, "part"), MANIFEST_PROJECTS_SQL)
 
 
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as very small files: the user is the project, the properties the content."""
+    name = F.concat(F.lit("event-"), F.col("event_id").cast("string"), F.lit(".py"))
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
+        F.col("user_id").alias("project_id"),
+        name.alias("file_path"),
+        name.alias("file_name"),
+        F.octet_length("props").cast("bigint").alias("size"),
+        F.col("props").alias("content"),
+    )
+
+
 def event_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as scan results, for statistics at scale."""
     return as_event_results(table(spark, sf_dir, "events"))

@@ -102,6 +102,11 @@ def found(
     return bind(raw, check)
 
 
+def found_text(raw: Column, describe: Callable[[Column], Column]) -> Column:
+    """``describe(raw)`` where the raw value is not empty, else null."""
+    return bind(raw, lambda raw: F.when(raw != "", describe(raw)))
+
+
 # -- P1, P2: files that hold nothing but a version ---------------------------------------------------------------------
 
 
@@ -311,7 +316,7 @@ def regex_extractor(config: Mapping[str, object]) -> Build:
 
     def build(content: Column, name: Column) -> Column:
         raw = pattern.group(content, index)
-        hit = found(raw, t.identity, lambda version, raw: result(t.trim_space(version), name, confidence, raw))
+        hit = found_text(raw, lambda raw: result(t.trim_space(raw), name, confidence, raw))
         guard = pattern.may_occur_in(content)
         return hit if guard is None else F.when(guard, hit)
 
@@ -324,7 +329,7 @@ def simple_version_extractor(config: Mapping[str, object]) -> Build:
 
     def build(content: Column, name: Column) -> Column:
         version = t.trim_space(content) if trim else content
-        return found(version, t.identity, lambda version, raw: result(version, name, confidence, raw))
+        return found_text(version, lambda version: result(version, name, confidence, version))
 
     return build
 

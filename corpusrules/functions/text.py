@@ -21,10 +21,6 @@ def trim_space(col: Column) -> Column:
     return F.trim(col, F.lit(WHITE_SPACE))
 
 
-def identity(col: Column) -> Column:
-    return col
-
-
 def strip_cr(col: Column) -> Column:
     return F.rtrim(col, F.lit("\r"))
 

@@ -194,33 +194,23 @@ def execute_rules(
     outcomes = [r.outcome for r in rules]
     if not all_files:
         files = _worth_reading(files, rules)
-    tried = F.transform(
-        F.array_compact(F.array(*outcomes, _no_outcome())),
-        lambda o, i: F.struct((i + 1).alias("position"), o.alias("outcome")),
-    )
-    rows = files.select(*_keys(files), tried.alias("tried"))
+    limit = 1 if stop_on_first_match else max_results
+    rows = files.select(*_keys(files), F.array_compact(F.array(*outcomes, _no_outcome())).alias("tried"))
     keys = [c for c in rows.columns if c != "tried"]
 
     def accepted(o: Column) -> Column:
-        hit = o["outcome"]["result"].isNotNull()
-        return hit & (o["outcome"]["result"]["confidence"] >= min_confidence) if min_confidence > 0 else hit
+        hit = o["result"].isNotNull()
+        return hit & (o["result"]["confidence"] >= min_confidence) if min_confidence > 0 else hit
 
-    limit = 1 if stop_on_first_match else max_results
-    hits = F.filter("tried", accepted)
-    rows = rows.select(*keys, "tried", (F.slice(hits, 1, limit) if limit > 0 else hits).alias("hits"))
-    applied = F.size("tried")
     if limit > 0:
-        applied = F.when(F.size("hits") >= limit, F.get("hits", F.lit(limit - 1))["position"]).otherwise(applied)
-    rows = rows.select(*keys, "tried", "hits", applied.alias("rules_applied"))
-    failed = F.filter("tried", lambda o: (o["position"] <= F.col("rules_applied")) & o["outcome"]["error"].isNotNull())
-    results = F.transform(
-        "hits", lambda h: F.struct(*_flat(h["outcome"], F.col("file_name")))
-    )
+        rows = _cut_after(rows, keys, accepted, limit)
+    results = F.transform(F.filter("tried", accepted), lambda o: F.struct(*_flat(o, F.col("file_name"))))
+    failed = F.filter("tried", lambda o: o["error"].isNotNull())
     rows = rows.select(
         *keys,
         results.alias("results"),
-        "rules_applied",
-        F.transform(failed, lambda o: o["outcome"]["error"]).alias("errors"),
+        F.size("tried").alias("rules_applied"),
+        F.transform(failed, lambda o: o["error"]).alias("errors"),
     )
     top = F.array_max(F.transform("results", lambda r: r["confidence"]))
     rows = rows.withColumn("_top", top)
@@ -228,6 +218,14 @@ def execute_rules(
     return rows.withColumn("best_result", best).drop("_top")
 
 
+def _cut_after(rows: DataFrame, keys: list[str], accepted: Callable[[Column], Column], limit: int) -> DataFrame:
+    """``tried`` up to and with the ``limit``-th accepted outcome: what follows would not have been tried."""
+    numbered = F.transform("tried", lambda o, i: F.when(accepted(o), i + 1))
+    places = F.array_compact(numbered)
+    last = F.coalesce(F.get(places, F.lit(limit - 1)), F.size("tried"))
+    return rows.select(*keys, "tried", last.alias("_last")).select(*keys, F.slice("tried", F.lit(1), F.col("_last")).alias("tried"))
+
+
 def rule_results(executed: DataFrame) -> DataFrame:
     """Results of :func:`execute_rules` as rows, with ``position`` counting from 1 within a file."""
     keys = [c for c in ("project_id", "file_path", "file_name") if c in executed.columns]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +52,33 @@ class _Shape:
         return F.col("size") if self.sized else F.octet_length(F.col("content"))
 
 
-@dataclass(frozen=True)
 class _Compiled:
-    """A rule as columns over one shape of file table."""
+    """A rule as columns over one shape of file table, null where it does not apply; each column is made when needed."""
+
+    def __init__(self, applies: Column, outcome: Column, error: Column | None):
+        self.applies = applies
+        self._outcome = outcome
+        self._error = error
+
+    @cached_property
+    def outcome(self) -> Column:
+        return F.when(self.applies, self._outcome)
+
+    @cached_property
+    def error(self) -> Column | None:
+        return None if self._error is None else F.when(self.applies, self._error)
+
+    @cached_property
+    def first(self) -> Column:
+        """The outcome, null unless something was found."""
+        return self._accepted(lambda o: o["result"].isNotNull())
 
-    applies: Column
-    outcome: Column
-    error: Column | None
-    first: Column
-    first_with_version: Column
+    @cached_property
+    def first_with_version(self) -> Column:
+        return self._accepted(lambda o: o["result"].isNotNull() & (o["result"]["version"] != ""))
+
+    def _accepted(self, accepted: Callable[[Column], Column]) -> Column:
+        return F.when(self.applies, F.get(F.filter(F.array(self._outcome), accepted), F.lit(0)))
 
 
 def _keys(files: DataFrame) -> list[Column]:
@@ -141,17 +159,7 @@ def _compile(application: str, factory: Factory, rule: Rule, shape: _Shape, patt
         F.when(open_, made).alias("result"),
         (F.lit(None).cast("string") if error is None else error).alias("error"),
     )
-
-    def first(accepted: Callable[[Column], Column]) -> Column:
-        return F.when(applies, F.get(F.filter(F.array(outcome), accepted), F.lit(0)))
-
-    return _Compiled(
-        applies,
-        F.when(applies, outcome),
-        None if error is None else F.when(applies, error),
-        first(lambda o: o["result"].isNotNull()),
-        first(lambda o: o["result"].isNotNull() & (o["result"]["version"] != "")),
-    )
+    return _Compiled(applies, outcome, error)
 
 
 def _flat(outcome: Column, file_name: Column) -> list[Column]:

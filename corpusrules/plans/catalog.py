@@ -487,8 +487,8 @@ def page_lang_regex(spark, sf):
     return R.first_match(C.page_files(spark, sf), pack).select("project_id", "version", "confidence")
 
 
-def _bracketed(config) -> Callable[[Column, Column], Column]:
-    """A user extractor: the first ``[n pages]``-like number of a CI image line, as an example of U1."""
+def _ci_image_extractor(config) -> Callable[[Column, Column], Column]:
+    """U1 by example: a user extractor that leaves the source to be filled in."""
 
     def build(content: Column, name: Column) -> Column:
         image = CI_IMAGE.group(content, 0)
@@ -507,7 +507,7 @@ def _bracketed(config) -> Callable[[Column, Column], Column]:
     return build
 
 
-register_extractor("example_ci_image", _bracketed)
+register_extractor("example_ci_image", _ci_image_extractor)
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusrules.llm import decontaminate
+from corpusrules.llm import decontaminate, jaccard, mixing
 from corpusrules.llm.oracles import ORACLES as ORACLES
 from corpusrules.llm.storage import table
 
@@ -16,6 +16,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(jaccard.similar_documents(table(spark, sf_dir, "documents")))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixed_rows(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op10_mixing": op10_mixing,
 }

@@ -24,6 +24,48 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS run FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), h AS (SELECT doc_id, md5(CAST(run AS VARCHAR)) AS run FROM s
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM h x JOIN h y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * met >= 80 * (na.n + nb.n - met)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT x, b FROM reach JOIN link ON y = a
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] :: DOUBLE AS weight FROM d GROUP BY source
+), f AS (SELECT *, source_size * 2.0 :: DOUBLE AS cap, source_size * 2.0 :: DOUBLE / weight AS full_at FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ()) * 1.5 :: DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM f
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, full_at) FROM l WHERE level <= full_at), 1e300) * weight) AS target FROM l
+), c AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN target - whole * source_size > 0 AND ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_mixing": OP10,
+    "op3_ngram_jaccard": OP3,
     "op1_decontamination": OP1,
 }

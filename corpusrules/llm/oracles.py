@@ -42,6 +42,25 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents
+), p AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS piece FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 - 199 AS BIGINT))) AS i FROM d WHERE len(h) >= 400)
+), twice AS (SELECT piece FROM p GROUP BY piece HAVING count(*) > 1
+), s AS (
+  SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM p JOIN twice USING (piece)
+), m AS (SELECT doc_id, i, sum(CASE WHEN i > earlier + 200 OR earlier IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s
+), r AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY ALL
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM r
+), g AS (
+  SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM k JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -65,6 +84,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN target
 """
 
 ORACLES: dict[str, str] = {
+    "op9_suffix_dedup": OP9,
     "op10_mixing": OP10,
     "op3_ngram_jaccard": OP3,
     "op1_decontamination": OP1,

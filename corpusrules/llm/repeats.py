@@ -109,7 +109,8 @@ def stretches(texts: Texts, length: int = LENGTH, gram: int = GRAM) -> Found:
         count = np.diff(np.append(cuts, len(whole)))
         end = start + count + length - 1
         content = mix((sums[end] - sums[start]) * back[start] + count.astype(np.uint64))
-        parts.append(Found(start + first, count, grams[anchor_at[start]], content))
+        # Least hashes are all small; mixed again, they spread over buckets and shards.
+        parts.append(Found(start + first, count, mix(grams[anchor_at[start]] + np.uint64(0x2545F4914F6CDD1D)), content))
     if not parts:
         return Found(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     return Found(*(np.concatenate(c) for c in zip(*parts, strict=True)))

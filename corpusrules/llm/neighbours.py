@@ -165,9 +165,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The measure of the result, in double precision."""
+    """The measure of the result, in double precision; vectors whose squares leave its range are scaled first."""
     q, v = query.astype(np.float64), vectors.astype(np.float64)
-    return (v @ q) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
+    with np.errstate(all="ignore"):
+        lengths = np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum())
+        found = (v @ q) / lengths
+    odd = ~(np.isfinite(found) & (lengths > 1e-290))
+    if odd.any():
+        q, v = q / np.abs(q).max(), v[odd] / np.abs(v[odd]).max(axis=1, keepdims=True)
+        found[odd] = (v @ q) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return found
 
 
 def usable(vector: Column) -> Column:

@@ -1,7 +1,10 @@
 """Extraction jobs P1-P14 as native column expressions, and the registry users extend.
 
-An extractor factory takes a parser configuration and gives ``build(content, file_name) -> Column``; the column is a
-result struct, or null when nothing was found.  Sizes, file patterns and required content are the rule's business.
+A job is worked out in stages: each stage names columns over the file and over what earlier stages named, and a last step
+describes the result.  Stages of all rules of a pack share one projection each, so no value is worked out twice and no
+expression needs a lambda.  A factory takes a parser configuration and gives :class:`Stages`, or simply a function
+``build(content, file_name) -> Column``; the result is a struct, or null when nothing was found.  Sizes, file patterns and
+required content are the rule's business.
 """
 
 from __future__ import annotations
@@ -14,20 +17,52 @@ from pyspark.sql import functions as F
 
 from corpusrules.functions import text as t
 from corpusrules.functions.patterns import Regex, regex
-from corpusrules.functions.search_lines import first_matching_line
 from corpusrules.functions.requirement_lines import requirement_labels
+from corpusrules.functions.search_lines import line_test, matching_lines
 
+
+class Given:
+    """What a stage may use: ``content``, ``trimmed`` and ``name`` of the file, and earlier stages' columns by name."""
+
+    def __init__(self, content: Column, trimmed: Column, name: Column, columns: Mapping[str, Column] | None = None):
+        self.content, self.trimmed, self.name, self._columns = content, trimmed, name, dict(columns or {})
+
+    def __getitem__(self, name: str) -> Column:
+        return self._columns[name]
+
+    def with_columns(self, columns: Mapping[str, Column]) -> Given:
+        return Given(self.content, self.trimmed, self.name, {**self._columns, **columns})
+
+
+Stage = Callable[[Given], dict[str, Column]]
 Build = Callable[[Column, Column], Column]
-Factory = Callable[[Mapping[str, object]], Build]
+
+
+@dataclass(frozen=True)
+class Stages:
+    """``steps`` one after the other, then ``describe``; columns of the first step are null for files out of question."""
+
+    steps: tuple[Stage, ...]
+    describe: Callable[[Given], Column]
+
+
+Factory = Callable[[Mapping[str, object]], "Stages | Build"]
 
 
 @dataclass(frozen=True)
 class Extractor:
     """A built extractor.  ``can_fail`` marks user extractors whose struct also has an ``error`` field."""
 
-    build: Build
+    stages: Stages
     can_fail: bool = False
 
+    def build(self, content: Column, name: Column) -> Column:
+        """The whole job as one expression, for use outside packs; values used twice are written out twice."""
+        given = Given(content, t.trim_space(content), name)
+        for step in self.stages.steps:
+            given = given.with_columns(step(given))
+        return self.stages.describe(given)
+
 
 _FACTORIES: dict[str, tuple[Factory, bool]] = {}
 
@@ -52,16 +87,19 @@ def extractor_factory(kind: str) -> Factory:
 
 
 def get_extractor(kind: str, config: Mapping[str, object] | None = None) -> Extractor:
-    factory = extractor_factory(kind)
-    return Extractor(factory(config or {}), _FACTORIES[kind][1])
+    made = extractor_factory(kind)(config or {})
+    if not isinstance(made, Stages):
+        build = made
+        made = Stages((lambda given: {"made": build(given.content, given.name)},), lambda given: given["made"])
+    return Extractor(made, _FACTORIES[kind][1])
 
 
-def extractor(kind: str):
-    """Decorator for extractors that take no configuration."""
+def extractor(kind: str, *steps: Stage):
+    """Decorator for the last step of extractors that take no configuration."""
 
-    def wrap(build: Build) -> Build:
-        register_extractor(kind, lambda config: build)
-        return build
+    def wrap(describe: Callable[[Given], Column]) -> Callable[[Given], Column]:
+        register_extractor(kind, lambda config: Stages(steps, describe))
+        return describe
 
     return wrap
 
@@ -81,49 +119,44 @@ def result(version: Column, source: Column, confidence: float | Column, raw: Col
     )
 
 
-def drop_nulls(struct: Column) -> Column:
-    """Result whose metadata may hold nulls, without them."""
-    return struct.withField("metadata", F.map_filter(struct["metadata"], lambda k, v: v.isNotNull()))
+def filled_map(**entries: Column) -> Column:
+    """A map of the entries that are not null; one small map per entry, so no lambda runs over them."""
+    parts = [F.when(v.isNotNull(), F.create_map(F.lit(k), v)).otherwise(F.create_map().cast("map<string,string>")) for k, v in entries.items()]
+    return F.map_concat(*parts)
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def found(describe: Callable[[Given], Column]) -> Callable[[Given], Column]:
+    """The result where the stages found a ``version``, else null."""
+    return lambda given: F.when(given["version"] != "", describe(given))
 
 
-def found(
-    raw: Column, version_of: Callable[[Column], Column], describe: Callable[[Column, Column], Column]
-) -> Column:
-    """``describe(version, raw)`` where the raw value holds a version, else null."""
+def raw_then_version(raw: Callable[[Given], Column], version: Callable[[Column], Column]) -> tuple[Stage, Stage]:
+    """The two stages of most jobs: a raw value, and the version in it."""
+    return lambda given: {"raw": raw(given)}, lambda given: {"version": version(given["raw"])}
 
-    def check(raw: Column) -> Column:
-        return bind(version_of(raw), lambda version: F.when(version != "", describe(version, raw)))
 
-    return bind(raw, check)
+# -- P1, P2: files that hold nothing but a version ---------------------------------------------------------------------
 
+# Fixed values from here on: the confidence and the metadata of each kind of finding.
 
-def found_text(raw: Column, describe: Callable[[Column], Column]) -> Column:
-    """``describe(raw)`` where the raw value is not empty, else null."""
-    return bind(raw, lambda raw: F.when(raw != "", describe(raw)))
 
+def _without(given: Given, *prefixes: str) -> Column:
+    text = given.trimmed
+    for prefix in prefixes:
+        text = t.drop_prefix(text, prefix)
+    return text
 
-# -- P1, P2: files that hold nothing but a version ---------------------------------------------------------------------
 
+@extractor("python_version_file", *raw_then_version(lambda g: _without(g, "python-", "Python-", "py"), t.leading_version))
+@found
+def python_version_file(given: Given) -> Column:
+    return result(given["version"], given.name, 1.0, given["raw"], source_type="explicit_version_file")
 
-@extractor("python_version_file")
-def python_version_file(content: Column, name: Column) -> Column:
-    stripped = t.drop_prefix(t.drop_prefix(t.drop_prefix(t.trim_space(content), "python-"), "Python-"), "py")
-    return found(
-        stripped, t.leading_version, lambda version, raw: result(version, name, 1.0, raw, source_type="explicit_version_file")
-    )
 
-
-@extractor("runtime_txt")
-def runtime_txt(content: Column, name: Column) -> Column:
-    stripped = t.drop_prefix(t.drop_prefix(t.trim_space(content), "python-"), "Python-")
-    return found(
-        stripped, t.leading_version, lambda version, _: result(version, name, 0.95, content, source_type="heroku_runtime")
-    )
+@extractor("runtime_txt", *raw_then_version(lambda g: _without(g, "python-", "Python-"), t.leading_version))
+@found
+def runtime_txt(given: Given) -> Column:
+    return result(given["version"], given.name, 0.95, given.content, source_type="heroku_runtime")
 
 
 # -- P3-P5: packaging manifests ------------------------------------------------------------------------------------------
@@ -131,60 +164,70 @@ def runtime_txt(content: Column, name: Column) -> Column:
 SETUP_PY = regex(r"""python_requires\s*=\s*['"]([^'"]+)['"]""")
 
 
-@extractor("setup_py")
-def setup_py(content: Column, name: Column) -> Column:
-    return found(
-        SETUP_PY.group(content, 1),
-        t.constraint_version,
-        lambda version, raw: result(version, name, 0.9, raw, source_type="setup_py", constraint=raw),
-    )
-
+@extractor("setup_py", *raw_then_version(lambda g: SETUP_PY.group(g.content, 1), t.constraint_version))
+@found
+def setup_py(given: Given) -> Column:
+    return result(given["version"], given.name, 0.9, given["raw"], source_type="setup_py", constraint=given["raw"])
 
-@extractor("pipfile")
-def pipfile(content: Column, name: Column) -> Column:
-    def required(section: Column) -> Column:
-        full = t.blank_to_null(t.quoted_value(section, "python_full_version"))
-        return F.coalesce(full, t.quoted_value(section, "python_version"))
 
-    return found(
-        bind(t.section_body(content, "requires"), required),
+@extractor(
+    "pipfile",
+    lambda g: {"section": t.section_body(g.content, "requires")},
+    *raw_then_version(
+        lambda g: F.coalesce(
+            t.blank_to_null(t.quoted_value(g["section"], "python_full_version")), t.quoted_value(g["section"], "python_version")
+        ),
         t.leading_version,
-        lambda version, raw: result(version, name, 0.9, raw, source_type="pipfile", format="pipenv"),
-    )
+    ),
+)
+@found
+def pipfile(given: Given) -> Column:
+    return result(given["version"], given.name, 0.9, given["raw"], source_type="pipfile", format="pipenv")
 
 
 _POETRY_PYTHON = (
     r"""(?md)^[ \t]*python[ \t]*=[ \t]*"""
     r"""(?:["']([^"'\n]*)["']|\{[^}\n]*?version[ \t]*=[ \t]*["']([^"'\n]*)["'])"""
 )
+# Lines that no TOML file has outside texts of several lines: a header that never closes, and a key without a value.
+_BROKEN_HEADER = r"(?md)^[ \t]*\[[^\]\n]*$(?![\s\S]*^[ \t]*[\]\}])"
+_NO_VALUE = r"(?md)^[ \t]*[A-Za-z0-9_.-]+[ \t]*=[ \t]*(?:#[^\n]*)?\r?$"
+
+
+def _may_be_toml(content: Column) -> Column:
+    texts = content.contains('"""') | content.contains("'''")
+    return texts | ~(content.rlike(_NO_VALUE) | content.rlike(_BROKEN_HEADER))
 
 
 def _positive(n: Column) -> Column:
     return F.when(n > 0, n.cast("string"))
 
 
-@extractor("pyproject_toml")
-def pyproject_toml(content: Column, name: Column) -> Column:
-    def constrained(form: str, raw: Column, dependencies: Column) -> Column:
-        def describe(version: Column, raw: Column) -> Column:
-            made = result(
-                version, name, 0.9, raw, format=form, constraint=raw, dependency_count=_positive(dependencies)
-            )
-            return bind(made, drop_nulls)
-
-        return found(raw, t.constraint_version, describe)
+def _pyproject_raw(given: Given) -> dict[str, Column]:
+    poetry = given["poetry"]
+    return {
+        "standard": t.quoted_value(given["project"], "requires-python"),
+        "tool": F.concat(F.regexp_extract(poetry, _POETRY_PYTHON, 1), F.regexp_extract(poetry, _POETRY_PYTHON, 2)),
+    }
 
-    def standard(project: Column) -> Column:
-        dependencies = F.size(t.list_items(project, "dependencies"))
-        return constrained("PEP621", t.quoted_value(project, "requires-python"), dependencies)
 
-    def poetry(section: Column) -> Column:
-        python = F.concat(F.regexp_extract(section, _POETRY_PYTHON, 1), F.regexp_extract(section, _POETRY_PYTHON, 2))
-        return constrained("Poetry", python, t.key_count(section) - 1)
+@extractor(
+    "pyproject_toml",
+    # A file that cannot be TOML gives nothing.
+    lambda g: {"sound": F.when(_may_be_toml(g.content), g.content)},
+    lambda g: {"project": t.section_body(g["sound"], "project"), "poetry": t.section_body(g["sound"], "tool.poetry.dependencies")},
+    _pyproject_raw,
+    lambda g: {"version": t.constraint_version(g["standard"]), "tool_version": t.constraint_version(g["tool"])},
+)
+def pyproject_toml(given: Given) -> Column:
+    def constrained(version: str, form: str, raw: str, dependencies: Column) -> Column:
+        entries = filled_map(format=F.lit(form), constraint=given[raw], dependency_count=_positive(dependencies))
+        made = result(given[version], given.name, 0.9, given[raw]).withField("metadata", entries)
+        return F.when(given[version] != "", made)
 
     return F.coalesce(
-        bind(t.section_body(content, "project"), standard),
-        bind(t.section_body(content, "tool.poetry.dependencies"), poetry),
+        constrained("version", "PEP621", "standard", F.size(t.list_items(given["project"], "dependencies"))),
+        constrained("tool_version", "Poetry", "tool", t.key_count(given["poetry"]) - 1),
     )
 
 
@@ -196,44 +239,41 @@ _FROM_IMAGE = rf"FROM[\t\f\r ]+python:({t.VERSION})"
 _FROM_PYTHON = rf"(?:\A|\n)[{_IN_LINE}]*({_FROM_IMAGE}[^\n]*)"
 
 
-@extractor("dockerfile")
-def dockerfile(content: Column, name: Column) -> Column:
-    return found(
-        t.trim_space(F.regexp_extract(content, _FROM_PYTHON, 1)),
+@extractor(
+    "dockerfile",
+    *raw_then_version(
+        lambda g: t.trim_space(F.regexp_extract(g.content, _FROM_PYTHON, 1)),
         lambda line: F.regexp_extract(line, rf"\A{_FROM_IMAGE}", 1),
-        lambda version, line: result(version, name, 0.8, line, source_type="dockerfile", from_image=line),
-    )
+    ),
+)
+@found
+def dockerfile(given: Given) -> Column:
+    return result(given["version"], given.name, 0.8, given["raw"], source_type="dockerfile", from_image=given["raw"])
 
 
 CI_IMAGE = regex(rf"image:\s*python:({t.VERSION})")
 
 
-@extractor("gitlab_ci")
-def gitlab_ci(content: Column, name: Column) -> Column:
-    return found(
-        CI_IMAGE.group(content, 0),
-        t.constraint_version,
-        lambda version, image: result(version, name, 0.75, image, source_type="gitlab_ci", image=image),
-    )
+@extractor("gitlab_ci", *raw_then_version(lambda g: CI_IMAGE.group(g.content, 0), t.constraint_version))
+@found
+def gitlab_ci(given: Given) -> Column:
+    return result(given["version"], given.name, 0.75, given["raw"], source_type="gitlab_ci", image=given["raw"])
 
 
 TOX_ENVLIST = regex(r"envlist\s*=\s*([^\n]+)")
 
 
-@extractor("tox_ini")
-def tox_ini(content: Column, name: Column) -> Column:
-    quoted = t.quoted_value(t.section_body(content, "tox"), "envlist")
-    plain = TOX_ENVLIST.group(content, 1)
-    return F.coalesce(
-        *[
-            found(
-                raw,
-                t.tox_env_version,
-                lambda version, raw: result(version, name, 0.7, raw, source_type="tox_ini", envlist=raw),
-            )
-            for raw in (quoted, plain)
-        ]
-    )
+@extractor(
+    "tox_ini",
+    lambda g: {"quoted": t.quoted_value(t.section_body(g.content, "tox"), "envlist"), "plain": TOX_ENVLIST.group(g.content, 1)},
+    lambda g: {"version": t.tox_env_version(g["quoted"]), "plain_version": t.tox_env_version(g["plain"])},
+)
+def tox_ini(given: Given) -> Column:
+    def listed(version: str, raw: str) -> Column:
+        made = result(given[version], given.name, 0.7, given[raw], source_type="tox_ini", envlist=given[raw])
+        return F.when(given[version] != "", made)
+
+    return F.coalesce(listed("version", "quoted"), listed("plain_version", "plain"))
 
 
 # -- P9, P10: requirements files --------------------------------------------------------------------------------------
@@ -257,36 +297,28 @@ def comment_version(line: Column) -> Column:
     return F.coalesce(*[t.blank_to_null(F.regexp_extract(line, p, 1)) for p in _COMMENT_VERSIONS], F.lit(""))
 
 
-@extractor("requirements_comment")
-def requirements_comment(content: Column, name: Column) -> Column:
-    return found(
-        comment_version_line(content),
-        comment_version,
-        lambda version, line: result(version, name, 0.6, line, source_type="requirements_comment"),
-    )
-
+@extractor("requirements_comment", *raw_then_version(lambda g: comment_version_line(g.content), comment_version))
+@found
+def requirements_comment(given: Given) -> Column:
+    return result(given["version"], given.name, 0.6, given["raw"], source_type="requirements_comment")
 
-@extractor("requirements_dependencies")
-def requirements_dependencies(content: Column, name: Column) -> Column:
-    def describe(line: Column, labels: Column) -> Column:
-        version = comment_version(line)
-        has_version, count = line != "", F.size(labels)
-        made = result(
-            version,
-            name,
-            F.when(has_version, 0.6).otherwise(0.5),
-            line,
-            python_version_source=F.when(has_version, "comment"),
-            dependency_count=_positive(count),
-            has_dependencies=F.when(count > 0, "true"),
-            source_type=F.when(has_version, "requirements_txt").otherwise("dependencies_only"),
-            **{f"dependency_{i + 1}": F.get(labels, F.lit(i)) for i in range(5)},
-        )
-        return F.when(has_version | (count > 0), bind(made, drop_nulls))
 
-    return bind(
-        comment_version_line(content), lambda line: bind(requirement_labels(content), lambda labels: describe(line, labels))
+@extractor(
+    "requirements_dependencies",
+    lambda g: {"line": comment_version_line(g.content), "labels": requirement_labels(g.content)},
+    lambda g: {"version": comment_version(g["line"]), "count": F.size(g["labels"])},
+)
+def requirements_dependencies(given: Given) -> Column:
+    has_version, count = given["line"] != "", given["count"]
+    entries = filled_map(
+        python_version_source=F.when(has_version, "comment"),
+        dependency_count=_positive(count),
+        has_dependencies=F.when(count > 0, "true"),
+        source_type=F.when(has_version, "requirements_txt").otherwise("dependencies_only"),
+        **{f"dependency_{i + 1}": F.get(given["labels"], F.lit(i)) for i in range(5)},
     )
+    made = result(given["version"], given.name, F.when(has_version, 0.6).otherwise(0.5), given["line"])
+    return F.when(has_version | (count > 0), made.withField("metadata", entries))
 
 
 # -- P12-P14: extractors that rule packs configure ---------------------------------------------------------------------
@@ -307,61 +339,55 @@ def version_group(pattern: Regex, name: str) -> int:
     return pattern.names.get(name, min(pattern.groups, 1))
 
 
-def regex_extractor(config: Mapping[str, object]) -> Build:
+def regex_extractor(config: Mapping[str, object]) -> Stages:
     if not config.get("pattern"):
         raise ValueError("regex parser requires 'pattern' string in config")
     pattern = regex(str(config["pattern"]))
     index = version_group(pattern, str(config.get("version_group") or "version"))
     confidence = _as_float(config.get("confidence"), 0.5)
 
-    def build(content: Column, name: Column) -> Column:
-        raw = pattern.group(content, index)
-        hit = found_text(raw, lambda raw: result(t.trim_space(raw), name, confidence, raw))
-        guard = pattern.may_occur_in(content)
-        return hit if guard is None else F.when(guard, hit)
+    def raw(given: Given) -> dict[str, Column]:
+        group, guard = pattern.group(given.content, index), pattern.may_occur_in(given.content)
+        return {"raw": group if guard is None else F.when(guard, group)}
+
+    def describe(given: Given) -> Column:
+        return F.when(given["raw"] != "", result(t.trim_space(given["raw"]), given.name, confidence, given["raw"]))
 
-    return build
+    return Stages((raw,), describe)
 
 
-def simple_version_extractor(config: Mapping[str, object]) -> Build:
+def simple_version_extractor(config: Mapping[str, object]) -> Stages:
     confidence = _as_float(config.get("confidence"), 1.0)
     trim = _as_bool(config.get("trim_whitespace"), True)
 
-    def build(content: Column, name: Column) -> Column:
-        version = t.trim_space(content) if trim else content
-        return found_text(version, lambda version: result(version, name, confidence, version))
+    def describe(given: Given) -> Column:
+        version = given.trimmed if trim else given.content
+        return F.when(version != "", result(version, given.name, confidence, version))
 
-    return build
+    return Stages((), describe)
 
 
-def string_search_extractor(config: Mapping[str, object]) -> Build:
+def string_search_extractor(config: Mapping[str, object]) -> Stages:
     if not config.get("search_term"):
         raise ValueError("string_search parser requires 'search_term' string in config")
     limit = int(_as_float(config.get("max_matches"), 0))
-    first = first_matching_line(
-        str(config["search_term"]),
-        _as_bool(config.get("is_regex"), False),
-        _as_bool(config.get("case_sensitive"), False),
-        limit,
-    )
+    test = line_test(str(config["search_term"]), _as_bool(config.get("is_regex"), False), _as_bool(config.get("case_sensitive"), False))
 
-    def build(content: Column, name: Column) -> Column:
-        def describe(hit: Column) -> Column:
-            return F.when(
-                hit["match_count"] > 0,
-                result(
-                    hit["matched_text"],
-                    name,
-                    0.0,
-                    hit["line_content"],
-                    match_count=hit["match_count"].cast("string"),
-                    line_number=hit["line_number"].cast("string"),
-                ),
-            )
-
-        return first(content, describe)
-
-    return build
+    def describe(given: Given) -> Column:
+        count, first = F.size(given["hits"]), given["first"]
+        made = result(
+            test.matched_text(first["line"]),
+            given.name,
+            0.0,
+            t.strip_cr(first["line"]),
+            match_count=(F.least(count, F.lit(limit)) if limit > 0 else count).cast("string"),
+            line_number=(first["i"] + 1).cast("string"),
+        )
+        return F.when(count > 0, made)
+
+    return Stages(
+        (lambda g: {"hits": matching_lines(g.content, test)}, lambda g: {"first": F.get(g["hits"], F.lit(0))}), describe
+    )
 
 
 register_extractor("regex", regex_extractor)

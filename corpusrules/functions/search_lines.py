@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusrules.functions.patterns import Regex, folded_literal, regex
-from corpusrules.functions.text import strip_cr
 
 
 @dataclass(frozen=True)
@@ -40,29 +38,9 @@ def line_test(term: str, is_regex: bool = False, case_sensitive: bool = False) -
     return LineTest(term, None if case_sensitive else folded_literal(term), True)
 
 
-def first_matching_line(
-    term: str, is_regex: bool, case_sensitive: bool, limit: int = 0
-) -> Callable[[Column, Callable[[Column], Column]], Column]:
-    """``apply(content, describe)``: describe a file by its number of matching lines and the first of them."""
-    test = line_test(term, is_regex, case_sensitive)
-
-    def apply(content: Column, describe: Callable[[Column], Column]) -> Column:
-        numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-        hits = F.filter(numbered, lambda x: test.matches(x["line"]))
-
-        def summary(hits: Column) -> Column:
-            first = F.get(hits, F.lit(0))
-            count = F.size(hits)
-            return F.struct(
-                (F.least(count, F.lit(limit)) if limit > 0 else count).alias("match_count"),
-                (first["i"] + 1).cast("bigint").alias("line_number"),
-                strip_cr(first["line"]).alias("line_content"),
-                test.matched_text(first["line"]).alias("matched_text"),
-            )
-
-        described = F.transform(F.transform(F.array(hits), summary), describe)
-        gate = test.may_occur_in(content)
-        row = F.get(described, F.lit(0))
-        return row if gate is None else F.when(gate, row)
-
-    return apply
+def matching_lines(content: Column, test: LineTest) -> Column:
+    """The matching lines of a text as structs of ``line`` and ``i`` (from 0); null where none can match."""
+    numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    hits = F.filter(numbered, lambda x: test.matches(x["line"]))
+    gate = test.may_occur_in(content)
+    return hits if gate is None else F.when(gate, hits)

@@ -1,27 +1,27 @@
 """Applying a rule pack to files.
 
-The pack is unrolled into one projection of literal patterns, so a file is read once whatever the number of rules, no
-rule ever crosses a shuffle, and everything about one file is decided inside its row.
+The pack is unrolled into literal columns, stage by stage: which rules apply, what their extractors find first, what comes
+of it, the results.  A stage is one projection for all rules, so a file is read once whatever the number of rules, no rule
+ever crosses a shuffle, no value is worked out twice, and everything about one file is decided inside its row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import cached_property, lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusrules.functions.extractors import Factory, extractor_factory
+from corpusrules.functions.extractors import Given
 from corpusrules.functions.patterns import regex, rule_glob, rule_glob_matches
-from corpusrules.functions.text import as_text, base_name, blank_to_null
+from corpusrules.functions.text import as_text, base_name, blank_to_null, trim_space
 from corpusrules.rulepack import Rule, RulePack
 from corpusrules.schemas import RESULT
 
 RESULT_FIELDS = ("version", "source", "confidence", "raw_value", "metadata")
-MAX_JOINED_RULES = 100_000
-MAX_UNROLLED_RULES = 200
+_FLAT = "struct<rule_name:string,priority:int,found:boolean,version:string,source:string,confidence:double,raw_value:string,metadata:map<string,string>>"
 
 
 @dataclass(frozen=True)
@@ -43,50 +43,25 @@ class _Shape:
     def name(self) -> Column:
         return F.col("file_name") if self.named else base_name(self.path)
 
-    @property
-    def content(self) -> Column:
-        return as_text(F.col("content"))
-
     @property
     def size(self) -> Column:
         return F.col("size") if self.sized else F.octet_length(F.col("content"))
 
 
-class _Compiled:
-    """A rule as columns over one shape of file table, null where it does not apply; each column is made when needed."""
-
-    def __init__(self, applies: Column, outcome: Column, error: Column | None):
-        self.applies = applies
-        self._outcome = outcome
-        self._error = error
-
-    @cached_property
-    def outcome(self) -> Column:
-        return F.when(self.applies, self._outcome)
-
-    @cached_property
-    def error(self) -> Column | None:
-        return None if self._error is None else F.when(self.applies, self._error)
-
-    @cached_property
-    def first(self) -> Column:
-        """The outcome, null unless something was found."""
-        return self._accepted(lambda o: o["result"].isNotNull())
-
-    @cached_property
-    def first_with_version(self) -> Column:
-        return self._accepted(lambda o: o["result"].isNotNull() & (o["result"]["version"] != ""))
-
-    def _accepted(self, accepted: Callable[[Column], Column]) -> Column:
-        return F.when(self.applies, F.get(F.filter(F.array(self._outcome), accepted), F.lit(0)))
-
-
 def _keys(files: DataFrame) -> list[Column]:
     name = F.col("file_name") if "file_name" in files.columns else base_name(F.col("file_path")).alias("file_name")
     project = [F.col("project_id")] if "project_id" in files.columns else []
     return [*project, F.col("file_path"), name]
 
 
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _all(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
 def rule_applies(rule: Rule, name: Column, path: Column, pattern_mode: str = "glob") -> Column:
     """an enabled rule whose file pattern (F2) and path pattern (F4) both hold; a missing pattern always holds."""
     if not rule.enabled:
@@ -97,23 +72,23 @@ def rule_applies(rule: Rule, name: Column, path: Column, pattern_mode: str = "gl
         tests.append(path == F.lit(rule.file_pattern) if literal else rule_glob_matches(name, rule.file_pattern))
     if rule.path_pattern:
         tests.append(regex(rule.path_pattern).found_in(path))
-    return reduce(lambda a, b: a & b, tests)
+    return _all(tests)
 
 
 def any_rule_applies(pack: RulePack, name: Column, path: Column, pattern_mode: str = "glob") -> Column:
     """Files worth reading at all; needs no content, so it reaches the scan."""
-    if not len(pack):
-        return F.lit(False)
-    return reduce(lambda a, b: a | b, [rule_applies(r, name, path, pattern_mode) for r in pack])
+    plain = _plain_names(pack.rules, pattern_mode)
+    tests = [rule_applies(r, name, path, pattern_mode) for r in pack if not _is_plain(r, pattern_mode)]
+    return _any([name.isin(plain), *tests] if plain else tests)
 
 
-def _no_outcome() -> Column:
-    """A null that gives outcome arrays their type, so that packs without rules work too."""
-    return F.lit(None).cast(f"struct<rule_name:string,priority:int,result:{RESULT.simpleString()},error:string>")
+def _is_plain(rule: Rule, pattern_mode: str) -> bool:
+    """Whether a rule asks for nothing but one file name."""
+    return bool(rule.enabled and rule.file_pattern and not rule.path_pattern and pattern_mode == "glob" and rule_glob(rule.file_pattern) is None)
 
 
-def _worth_reading(files: DataFrame, rules: Sequence[_Compiled]) -> DataFrame:
-    return files.where(reduce(lambda a, b: a | b, [r.applies for r in rules], F.lit(False)))
+def _plain_names(rules: Sequence[Rule], pattern_mode: str) -> list[str]:
+    return sorted({r.file_pattern for r in rules if _is_plain(r, pattern_mode)})
 
 
 def _size_error(rule: Rule, size: Column) -> Column:
@@ -122,65 +97,154 @@ def _size_error(rule: Rule, size: Column) -> Column:
     )
 
 
-def _compile_pack(files: DataFrame, pack: RulePack, pattern_mode: str) -> list[_Compiled]:
-    application = files.sparkSession.sparkContext.applicationId
-    shape = _Shape.of(files)
-    return [_compile(application, extractor_factory(r.parser_type), r, shape, pattern_mode) for r in pack]
-
-
-@lru_cache(maxsize=4096)
-def _compile(application: str, factory: Factory, rule: Rule, shape: _Shape, pattern_mode: str) -> _Compiled:
-    """Columns of one rule on one file, null where the rule does not apply; kept for the application's next query.
-
-    The guards sit outside the extractor in the same ``when``, so content is only searched by rules that get that far.
-    """
-    name, content, size = shape.name, shape.content, shape.size
-    applies = rule_applies(rule, name, shape.path, pattern_mode)
-    extractor = rule.extractor()
-    guards, error = [], None
-    if rule.max_file_size:
-        oversize = size > F.lit(rule.max_file_size)
-        guards.append(~oversize)
-        error = F.when(oversize, _size_error(rule, size))
-    if rule.required_content:
-        guards.append(regex(rule.required_content).found_in(content))
-    open_ = reduce(lambda a, b: a & b, guards) if guards else F.lit(True)
-    if extractor.can_fail:
-        # The extractor may be a Python UDF, which runs before any ``when``: hand it nulls where it is not wanted.
-        made = extractor.build(F.when(applies & open_, content), name)
-        failure = F.concat(F.lit(f"rule {rule.name}: parser error in rule {rule.name}: "), made["error"])
-        error = failure if error is None else F.coalesce(error, failure)
-        made = F.when(made["error"].isNull() & made["version"].isNotNull(), made.dropFields("error").cast(RESULT))
-    else:
-        made = extractor.build(content, name)
-    outcome = F.struct(
-        F.lit(rule.name).alias("rule_name"),
-        F.lit(rule.priority).alias("priority"),
-        F.when(open_, made).alias("result"),
-        (F.lit(None).cast("string") if error is None else error).alias("error"),
-    )
-    return _Compiled(applies, outcome, error)
-
-
-def _flat(outcome: Column, file_name: Column) -> list[Column]:
-    result = outcome["result"]
-    columns = {f: result[f] for f in RESULT_FIELDS}
-    columns["source"] = F.when(result.isNotNull(), F.coalesce(blank_to_null(result["source"]), file_name))  # F11
-    return [
-        outcome["rule_name"].alias("rule_name"),
-        outcome["priority"].alias("priority"),
-        result.isNotNull().alias("found"),
-        *[c.alias(f) for f, c in columns.items()],
-    ]
+class _Tried:
+    """A pack tried on files: ``rows`` has the file keys and, per rule ``i``, whether it applies (``_a``), its result (``_x``)
+    and its error (``_e``, only where it can have one).  Results and errors are null where a rule does not apply."""
+
+    def __init__(self, files: DataFrame, pack: RulePack, pattern_mode: str, all_files: bool = False):
+        self.pack = pack
+        shape = _Shape.of(files)
+        plain = _plain_names(pack.rules, pattern_mode)
+        # One look-up says whether any rule for a single name applies; most files stop there.
+        self._named = F.col("_named") if plain else F.lit(False)
+        gate = [shape.name.isin(plain).alias("_named")] if plain else []
+        keys = _keys(files)
+        rows = files.select(*keys, F.col("content").alias("_content"), shape.size.alias("_size"), *gate)
+        self.keys = rows.columns[: len(keys)]
+        name, path = F.col("file_name"), F.col("file_path")
+
+        def applies(rule: Rule) -> Column:
+            test = rule_applies(rule, name, path, pattern_mode)
+            return self._named & test if _is_plain(rule, pattern_mode) else test
+
+        self.always = [not _is_plain(r, pattern_mode) for r in pack]
+        if not all_files:
+            rows = rows.where(any_rule_applies(pack, name, path, pattern_mode))
+        rows = rows.select("*", *[applies(r).alias(f"_a{i}") for i, r in enumerate(pack)])
+        content = as_text(F.col("_content"))
+        rows = rows.select(*[c for c in rows.columns if c != "_content"], content.alias("_text"), trim_space(content).alias("_trimmed"))
+        extractors = [r.extractor() for r in pack]
+        given = [Given(F.col("_text"), F.col("_trimmed"), name) for _ in pack]
+        opens = [self._open(i, r) for i, r in enumerate(pack)]
+        # A function of the user's may be Python, which runs before any ``when``: it gets nulls where it is not wanted.
+        handed = [
+            Given(F.when(o, g.content), F.when(o, g.trimmed), name) if e.can_fail else g for e, g, o in zip(extractors, given, opens)
+        ]
+        for step in range(max((len(e.stages.steps) for e in extractors), default=0)):
+            made = []
+            for i, e in enumerate(extractors):
+                if step < len(e.stages.steps):
+                    named = e.stages.steps[step]((handed if step == 0 else given)[i])
+                    first = step == 0 and not e.can_fail
+                    made += [(F.when(opens[i], c) if first else c).alias(f"_s{i}_{n}") for n, c in named.items()]
+                    given[i] = given[i].with_columns({n: F.col(f"_s{i}_{n}") for n in named})
+            rows = rows.select("*", *made)
+        columns = []
+        self.can_fail = []
+        for i, (rule, e) in enumerate(zip(pack, extractors)):
+            described, errors = e.stages.describe(given[i]), []
+            if rule.max_file_size:
+                errors.append(F.when(F.col(f"_a{i}") & (F.col("_size") > rule.max_file_size), _size_error(rule, F.col("_size"))))
+            if e.can_fail:
+                failure = described["error"]
+                errors.append(F.concat(F.lit(f"rule {rule.name}: parser error in rule {rule.name}: "), failure))
+                described = F.when(failure.isNull() & described["version"].isNotNull(), described.dropFields("error").cast(RESULT))
+            # Without stages nothing has asked yet whether the rule applies.
+            columns.append((described if e.stages.steps else F.when(opens[i], described)).alias(f"_x{i}"))
+            self.can_fail.append(bool(errors))
+            if errors:
+                columns.append(F.coalesce(*errors).alias(f"_e{i}"))
+        gates = ["_named"] if plain else []
+        self.rows = rows.select(*self.keys, *gates, *[f"_a{i}" for i in range(len(pack))], *columns)
+
+    def _open(self, i: int, rule: Rule) -> Column:
+        """The rule applies, the file is not too large, and required content is there."""
+        tests = [F.col(f"_a{i}")]
+        if rule.max_file_size:
+            tests.append(F.col("_size") <= rule.max_file_size)
+        if rule.required_content:
+            tests.append(regex(rule.required_content).found_in(F.col("_text")))
+        return _all(tests)
+
+    def applies(self, i: int) -> Column:
+        return F.col(f"_a{i}")
+
+    def found(self, i: int) -> Column:
+        return F.col(f"_x{i}").isNotNull()
+
+    def error(self, i: int) -> Column:
+        return F.col(f"_e{i}") if self.can_fail[i] else F.lit(None).cast("string")
+
+    def flat(self, i: int) -> Column:
+        """Rule ``i``'s outcome as a struct of result fields; the source defaults to the file's name."""
+        result, rule = F.col(f"_x{i}"), self.pack.rules[i]
+        fields = {f: result[f] for f in RESULT_FIELDS}
+        fields["source"] = F.when(result.isNotNull(), F.coalesce(blank_to_null(result["source"]), F.col("file_name")))
+        return F.struct(
+            F.lit(rule.name).alias("rule_name"),
+            F.lit(rule.priority).alias("priority"),
+            result.isNotNull().alias("found"),
+            *[c.alias(f) for f, c in fields.items()],
+        ).cast(_FLAT)
+
+    def chosen(self, position: Column) -> Column:
+        """The outcome at a position, null for none."""
+        return F.coalesce(*[F.when(position == i, self.flat(i)) for i in range(len(self.pack))], F.lit(None).cast(_FLAT))
+
+    def chosen_fields(self, position: Column) -> dict[str, Column]:
+        """The same field by field, each a chain of its own."""
+        kinds = {"rule_name": "string", "priority": "int", "found": "boolean", **{f.name: f.dataType.simpleString() for f in RESULT.fields}}
+        values = {name: [] for name in kinds}
+        for i, rule in enumerate(self.pack):
+            result = F.col(f"_x{i}")
+            own = {f: result[f] for f in RESULT_FIELDS} | {"rule_name": F.lit(rule.name), "priority": F.lit(rule.priority)}
+            own["source"] = F.coalesce(blank_to_null(own["source"]), F.col("file_name"))
+            for name, value in own.items():
+                values[name].append(F.when(position == i, value))
+        return {name: F.coalesce(*values[name], F.lit(None).cast(kind)) for name, kind in kinds.items()}
+
+    def first(self, tests: Sequence[Column]) -> Column:
+        """Position of the first rule whose test holds; null if none does."""
+        return _least([F.when(test, F.lit(i)) for i, test in enumerate(tests)])
+
+    def count(self, tests: Sequence[Column]) -> Column:
+        """How many of the tests hold; those of rules for a single name only after the look-up said so."""
+        free = [t.cast("int") for t, a in zip(tests, self.always) if a]
+        named = [t.cast("int") for t, a in zip(tests, self.always) if not a]
+        total = _sum(free)
+        return total + F.when(self._named, _sum(named)).otherwise(0) if named else total
+
+
+def _sum(numbers: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, numbers, F.lit(0))
+
+
+def _least(numbers: Sequence[Column]) -> Column:
+    """The least of columns that may be null."""
+    if not numbers:
+        return F.lit(None).cast("int")
+    return numbers[0] if len(numbers) == 1 else F.least(*numbers)
+
+
+def _error_before(tried: _Tried, position: Column | None = None) -> Column:
+    """The first error, among rules tried before ``position`` if one was reached."""
+    parts = []
+    for i, can_fail in enumerate(tried.can_fail):
+        if can_fail:
+            error = tried.error(i)
+            parts.append(error if position is None else F.when(position.isNull() | (position > i), error))
+    return F.coalesce(*parts, F.lit(None).cast("string"))
 
 
 def rule_outcomes(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
     """One row per (file, applicable rule): found or not, with the result or the error."""
-    rules = _compile_pack(files, pack.enabled(), pattern_mode)
-    outcomes = F.array_compact(F.array(*[r.outcome for r in rules], _no_outcome()))
-    rows = _worth_reading(files, rules).select(*_keys(files), F.explode(outcomes).alias("o"))
-    keys = [c for c in rows.columns if c != "o"]
-    return rows.select(*keys, *_flat(F.col("o"), F.col("file_name")), F.col("o.error").alias("error"))
+    tried = _Tried(files, pack.enabled(), pattern_mode)
+    outcomes = [
+        F.when(tried.applies(i), F.struct(tried.flat(i).alias("r"), tried.error(i).alias("error"))) for i in range(len(tried.pack))
+    ]
+    nothing = F.lit(None).cast(f"struct<r:{_FLAT},error:string>")
+    rows = tried.rows.select(*tried.keys, F.explode(F.array(*outcomes, nothing)).alias("o")).where("o is not null")
+    return rows.select(*tried.keys, "o.r.*", "o.error")
 
 
 def execute_rules(
@@ -195,53 +259,65 @@ def execute_rules(
 ) -> DataFrame:
     """Every result of every file in priority order, one row per file.
 
-    Columns: the file keys, ``results`` (array), ``best_result``, ``rules_applied`` and ``errors``.  Files no rule
-    applies to are left out unless ``all_files``.
+    Columns: the file keys, ``results`` (array) and their number ``result_count``, ``best_result``, ``rules_applied`` and
+    ``errors``.  Files no rule applies to are left out unless ``all_files``.
     """
-    rules = _compile_pack(files, pack.enabled().tagged(tags), pattern_mode)
-    outcomes = [r.outcome for r in rules]
-    if not all_files:
-        files = _worth_reading(files, rules)
+    tried = _Tried(files, pack.enabled().tagged(tags), pattern_mode, all_files)
+    n = len(tried.pack)
+    hits = [tried.found(i) & (F.col(f"_x{i}")["confidence"] >= min_confidence) if min_confidence > 0 else tried.found(i) for i in range(n)]
     limit = 1 if stop_on_first_match else max_results
-    rows = files.select(*_keys(files), F.array_compact(F.array(*outcomes, _no_outcome())).alias("tried"))
-    keys = [c for c in rows.columns if c != "tried"]
-
-    def accepted(o: Column) -> Column:
-        hit = o["result"].isNotNull()
-        return hit & (o["result"]["confidence"] >= min_confidence) if min_confidence > 0 else hit
-
-    if limit > 0:
-        rows = _cut_after(rows, keys, accepted, limit)
-    results = F.transform(F.filter("tried", accepted), lambda o: F.struct(*_flat(o, F.col("file_name"))))
-    failed = F.filter("tried", lambda o: o["error"].isNotNull())
-    rows = rows.select(
-        *keys,
+    rows = tried.rows
+    applies = [tried.applies(i) for i in range(n)]
+    if limit > 0 and n:
+        # What follows the hit that fills the limit would not have been tried.
+        if limit == 1:
+            last = tried.first(hits)
+        else:
+            last = F.get(F.sort_array(F.array(*[F.when(h, F.lit(i)).otherwise(n) for i, h in enumerate(hits)])), F.lit(limit - 1))
+        rows = rows.withColumn("_last", F.coalesce(last, F.lit(n)))
+        hits = [h & (F.col("_last") >= i) for i, h in enumerate(hits)]
+        applies = [a & (F.col("_last") >= i) for i, a in enumerate(applies)]
+    confidences = [F.when(h, F.col(f"_x{i}")["confidence"]) for i, h in enumerate(hits)]
+    top = F.greatest(*confidences) if n > 1 else confidences[0] if n else F.lit(None).cast("double")
+    rows = rows.withColumn("_top", top)
+    best = tried.first([c == F.col("_top") for c in confidences])
+    rows = rows.withColumn("_best", best)
+    none, no_text = F.array().cast(f"array<{_FLAT}>"), F.array().cast("array<string>")
+    results = F.concat(*[F.when(h, F.array(tried.flat(i))).otherwise(none) for i, h in enumerate(hits)], none)
+    failed = [
+        F.when(applies[i] & tried.error(i).isNotNull(), F.array(tried.error(i))).otherwise(no_text) for i in range(n) if tried.can_fail[i]
+    ]
+    return rows.select(
+        *tried.keys,
         results.alias("results"),
-        F.size("tried").alias("rules_applied"),
-        F.transform(failed, lambda o: o["error"]).alias("errors"),
+        tried.count(hits).alias("result_count"),
+        tried.count(applies).alias("rules_applied"),
+        F.concat(*failed, no_text).alias("errors"),
+        tried.chosen(F.col("_best")).alias("best_result"),
     )
-    top = F.array_max(F.transform("results", lambda r: r["confidence"]))
-    rows = rows.withColumn("_top", top)
-    best = F.get(F.filter("results", lambda r: r["confidence"] == F.col("_top")), F.lit(0))
-    return rows.withColumn("best_result", best).drop("_top")
-
-
-def _cut_after(rows: DataFrame, keys: list[str], accepted: Callable[[Column], Column], limit: int) -> DataFrame:
-    """``tried`` up to and with the ``limit``-th accepted outcome: what follows would not have been tried."""
-    numbered = F.transform("tried", lambda o, i: F.when(accepted(o), i + 1))
-    places = F.array_compact(numbered)
-    last = F.coalesce(F.get(places, F.lit(limit - 1)), F.size("tried"))
-    return rows.select(*keys, "tried", last.alias("_last")).select(*keys, F.slice("tried", F.lit(1), F.col("_last")).alias("tried"))
 
 
 def rule_results(executed: DataFrame) -> DataFrame:
     """Results of :func:`execute_rules` as rows, with ``position`` counting from 1 within a file."""
     keys = [c for c in ("project_id", "file_path", "file_name") if c in executed.columns]
     # Exploding the bare column would infer a filter on its size, which moves down and works every result out twice.
-    rows = executed.select(*keys, F.posexplode(F.array_compact("results")).alias("_pos", "r"))
+    rows = executed.select(*keys, F.posexplode(F.slice("results", F.lit(1), F.size("results"))).alias("_pos", "r"))
     return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
 
+def _match(tried: _Tried, position: Column, error: Column, strict: bool) -> DataFrame:
+    """A row per file with a hit or an error; without a hit, ``found`` is false and the result null."""
+    rows = tried.rows.withColumn("_position", position).withColumn("_error", error)
+    reached, failed = F.col("_position"), F.col("_error")
+    fields = tried.chosen_fields(reached) | {"found": reached.isNotNull()}
+    if strict:
+        fields = {c: F.when(failed.isNull(), v) for c, v in fields.items()} | {"found": failed.isNull() & fields["found"]}
+    row = F.struct(*[v.alias(c) for c, v in fields.items()], failed.alias("error"))
+    # A filter would move down through the stages and work every one of them out a second time; a generator stays.
+    kept = rows.select(*tried.keys, F.explode(F.when(reached.isNotNull() | failed.isNotNull(), F.array(row))).alias("r"))
+    return kept.select(*tried.keys, "r.*")
+
+
 def first_match(
     files: DataFrame,
     pack: RulePack,
@@ -249,53 +325,26 @@ def first_match(
     need_version: bool = False,
     pattern_mode: str = "glob",
 ) -> DataFrame:
-    """The first rule, in priority order, that finds something; files without a hit give no row.
+    """The first rule, in priority order, that finds something; a file without a hit or an error gives no row.
 
-    Rules form a lazy chain: later extractors run only where earlier ones found nothing.  ``need_version`` (F10) passes
-    over hits without a version.  ``error`` is the first error met on the way; ``strict`` blanks the result then.
+    ``need_version`` (F10) passes over hits without a version.  ``error`` is the first error met on the way; ``strict``
+    blanks the result then.  A file that has only errors has ``found`` false and no rule.
     """
-    pack = pack.enabled()
-    rules = _compile_pack(files, pack, pattern_mode)
-    chain = F.coalesce(*[r.first_with_version if need_version else r.first for r in rules], _no_outcome())
-    errors = [
-        F.when(r.error.isNotNull(), F.struct(F.lit(i).alias("position"), r.error.alias("error")))
-        for i, r in enumerate(rules)
-        if r.error is not None
+    tried = _Tried(files, pack.enabled(), pattern_mode)
+    hits = [
+        tried.found(i) & (F.col(f"_x{i}")["version"] != "") if need_version else tried.found(i) for i in range(len(tried.pack))
     ]
-    nothing = F.lit(None).cast("struct<position:int,error:string>")
-    first_error = F.get(F.array_compact(F.array(*errors, nothing)), F.lit(0))
-    if not any(r.extractor().can_fail for r in pack):
-        smallest = min((r.max_file_size for r in pack if r.max_file_size), default=0)
-        first_error = F.when(_Shape.of(files).size > smallest, first_error)
-    rows = _worth_reading(files, rules).select(
-        *_keys(files), first_error.alias("_error"), F.explode(F.array_compact(F.array(chain))).alias("o")
-    )
-    keys = [c for c in rows.columns if c not in ("o", "_error")]
-    order = F.array(*[F.lit(r.name) for r in pack]).cast("array<string>")
-    position = F.array_position(order, F.col("o.rule_name")) - 1
-    error = F.when(F.col("_error.position") < position, F.col("_error.error"))
-    rows = rows.select(*keys, *_flat(F.col("o"), F.col("file_name")), error.alias("error"))
-    return _blank_failed(rows) if strict else rows
+    return _match(tried, tried.first(hits), _error_before(tried, F.col("_position")), strict)
 
 
 def best_match(files: DataFrame, pack: RulePack, strict: bool = False, pattern_mode: str = "glob") -> DataFrame:
-    """The result with the highest confidence, the earlier rule on ties; files without a hit give no row."""
-    executed = execute_rules(files, pack, pattern_mode=pattern_mode)
-    keys = [c for c in ("project_id", "file_path", "file_name") if c in executed.columns]
-    rows = executed.select(
-        *keys,
-        F.get("errors", F.lit(0)).alias("error"),
-        F.explode(F.array_compact(F.array("best_result"))).alias("r"),
-    )
-    rows = rows.select(*keys, "r.*", "error")
-    return _blank_failed(rows) if strict else rows
-
-
-def _blank_failed(rows: DataFrame) -> DataFrame:
-    """Strict reading: a file with an error has no result, whatever other rules found."""
-    ok = F.col("error").isNull()
-    blanked = {c: F.when(ok, F.col(c)) for c in ("rule_name", "priority", *RESULT_FIELDS)}
-    return rows.withColumns({**blanked, "found": ok & F.col("found")})
+    """The result with the highest confidence, the earlier rule on ties; a file without a hit or an error gives no row."""
+    tried = _Tried(files, pack.enabled(), pattern_mode)
+    confidences = [F.col(f"_x{i}")["confidence"] for i in range(len(tried.pack))]
+    top = F.greatest(*confidences) if len(confidences) > 1 else confidences[0] if confidences else F.lit(None).cast("double")
+    tried.rows = tried.rows.withColumn("_top", top)
+    position = tried.first([c == F.col("_top") for c in confidences])
+    return _match(tried, position, _error_before(tried), strict)
 
 
 def matching_rules(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
@@ -310,7 +359,8 @@ def matching_rules(files: DataFrame, pack: RulePack, pattern_mode: str = "glob")
         for r in pack
     ]
     nothing = F.lit(None).cast("struct<rule_name:string,priority:int>")
-    rows = files.select(*_keys(files), F.posexplode(F.array_compact(F.array(*hits, nothing))).alias("_pos", "r"))
+    names = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
+    rows = names.select(*_keys(files), F.posexplode(F.array_compact(F.array(*hits, nothing))).alias("_pos", "r"))
     keys = [c for c in rows.columns if c not in ("_pos", "r")]
     return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
@@ -337,22 +387,22 @@ def _name_keys(name: Column) -> Column:
 
 
 def join_rules(files: DataFrame, pack: RulePack) -> DataFrame:
-    """J1 as a join, for packs too long to unroll: plain names and extensions meet their rules by equality.
+    """J1 as a join, for packs too long to unroll: a file's keys meet their rules by equality, in one scan of names.
 
-    The rule side is built from the pack on the driver, so its size is known and checked before it is broadcast.  Rules
-    with other patterns stay unrolled, some hundred at a time, over names and paths only.
+    A plain name and each extension are keys; a rule with another pattern is tested on the spot and has a key of its own.
+    Spark knows the size of the rule side and picks the join.
     """
     pack = pack.enabled()
-    if len(pack) > MAX_JOINED_RULES:
-        raise ValueError(f"{len(pack)} rules; at most {MAX_JOINED_RULES} can be broadcast")
     names = files.select(*_keys(files))
-    keys = names.columns
-    keyed = [(_join_key(r), r.name, r.priority) for r in pack if _join_key(r)]
-    others = [r for r in pack if not _join_key(r)]
-    schema = "_key string, rule_name string, priority int"
-    rules = F.broadcast(files.sparkSession.createDataFrame(keyed, schema))
-    sides = [names.withColumn("_key", F.explode(_name_keys(F.col("file_name")))).join(rules, "_key").drop("_key")]
-    for start in range(0, len(others), MAX_UNROLLED_RULES):
-        part = RulePack(tuple(others[start : start + MAX_UNROLLED_RULES]))
-        sides.append(matching_rules(names, part).drop("position"))
-    return reduce(DataFrame.unionByName, sides).select(*keys, "rule_name", "priority")
+    name, path = F.col("file_name"), F.col("file_path")
+    keyed, others = [], []
+    for i, rule in enumerate(pack):
+        key = _join_key(rule)
+        if key is None:
+            key = f"#{i}"
+            others.append(F.when(rule_applies(rule, name, path), F.lit(key)))
+        keyed.append((key, rule.name, rule.priority))
+    rules = files.sparkSession.createDataFrame(keyed, "_key string, rule_name string, priority int")
+    found = F.concat(_name_keys(name), F.array(*others)) if others else _name_keys(name)
+    rows = names.withColumn("_key", F.explode(F.array_distinct(found))).where("_key is not null")
+    return rows.join(rules, "_key").select(*names.columns, "rule_name", "priority")

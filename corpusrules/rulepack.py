@@ -12,7 +12,6 @@ from corpusrules.functions.patterns import regex
 from corpusrules.functions.search_lines import line_test
 
 DEFAULT_PRIORITY = 50
-DEFAULT_SEARCH_FILE_SIZE = 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -118,7 +117,7 @@ class RulePack:
 
 @dataclass(frozen=True)
 class Search:
-    """One content search.  ``max_matches`` caps matches per project, 0 keeps all."""
+    """One content search.  ``max_matches`` caps matches per project, ``max_file_size`` leaves out larger files; 0 is no limit."""
 
     term: str
     name: str = ""
@@ -127,7 +126,7 @@ class Search:
     file_patterns: tuple[str, ...] = ()
     context_lines: int = 0
     max_matches: int = 0
-    max_file_size: int | None = None
+    max_file_size: int = 0
     enabled: bool = True
     description: str = ""
 
@@ -136,11 +135,6 @@ class Search:
             object.__setattr__(self, "name", self.term)
         line_test(self.term, self.is_regex, self.case_sensitive)
 
-    @property
-    def size_limit(self) -> int | None:
-        """Regex searches read files, so they skip large ones; literal searches go by the text index and do not."""
-        return self.max_file_size or (DEFAULT_SEARCH_FILE_SIZE if self.is_regex else None)
-
     @classmethod
     def from_record(cls, record: Mapping) -> Search:
         if not record.get("name"):
@@ -154,6 +148,7 @@ class Search:
             file_patterns=tuple(record.get("file_patterns") or ()),
             context_lines=int(record.get("context_lines") or 0),
             max_matches=int(record.get("max_matches") or 0),
+            max_file_size=int(record.get("max_file_size") or 0),
             enabled=record.get("enabled") is None or bool(record["enabled"]),
         )
 
@@ -177,12 +172,16 @@ def pack_from_document(document: Mapping) -> RulePack:
 
 
 def builtin_pack(name: str = "default") -> RulePack:
-    """Rule packs shipped as data: ``default``, and ``default+comments`` with the comment-only requirements rule."""
-    base, *extras = name.split("+")
-    rules: tuple[Rule, ...] = ()
-    for part in (base, *extras):
-        text = (package_files("corpusrules") / "packs" / f"{part}.json").read_text()
-        rules += pack_from_document(json.loads(text)).rules
-    return RulePack(rules)
+    """Rule packs shipped as data: ``default``, ``default+comments`` with the comment-only rule, ``basic``, ``licenses``."""
+    return RulePack(tuple(rule for part in name.split("+") for rule in pack_from_document(_packaged(part)).rules))
+
+
+def builtin_searches(name: str = "searches") -> list[Search]:
+    """The search pack shipped as data."""
+    return enabled_searches([Search.from_record(r) for r in _packaged(name)["searches"]])
+
+
+def _packaged(name: str) -> dict:
+    return json.loads((package_files("corpusrules") / "packs" / f"{name}.json").read_text())
 
 

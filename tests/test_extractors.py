@@ -34,6 +34,10 @@ CASES = [
     ("pyproject_toml", "[project]\r\nrequires-python = '>=3.10'\r\n", "3.10", 0.9),
     ("pyproject_toml", '[tool.mypy]\npython_version = "3.11"\n', None, None),
     ("pyproject_toml", '[project]\nrequires-python = ""\n', None, None),
+    ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\n[broken\nname = "x"\n', None, None),
+    ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\nname =\n', None, None),
+    ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\n[tool.tox]\nlegacy_tox_ini = """\n[tox]\nenvlist =\n  py312\n"""\n', "3.12", 0.9),
+    ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\nx = [\n  [\n    1,\n  ],\n]\n', "3.12", 0.9),
     ("dockerfile", "FROM python:3.11-slim", "3.11", 0.8),
     ("dockerfile", "# x\nARG A\n  FROM python:3.9.1\nFROM python:3.12\n", "3.9.1", 0.8),
     ("dockerfile", "FROM ubuntu:latest\nRUN apt-get install python:3.11", None, None),

@@ -89,6 +89,15 @@ def test_size_errors(make_files):
     assert by_path(execute_rules(files, late, stop_on_first_match=True), "errors")["big.py"] == []
 
 
+def test_errors_survive_without_a_hit(make_files):
+    files = make_files((1, "big.py", "none " + "x" * 40), (1, "small.py", "none"))
+    pack = RulePack((rx("a", r"a=(\S+)", 10, max_file_size=10), rx("b", r"b=(\S+)", 20)))
+    message = "rule a: file size 45 exceeds maximum 10 bytes"
+    for match in (first_match, best_match):
+        for strict in (False, True):
+            assert by_path(match(files, pack, strict=strict), "rule_name", "found", "version", "error") == {"big.py": (None, False, None, message)}
+
+
 def test_size_is_in_bytes(make_files):
     files = make_files((1, "u.py", "é=1"))
     pack = RulePack((rx("r", r"=(\d)", 1, max_file_size=3),))
@@ -306,6 +315,24 @@ def test_depth_and_literal_modes(projects, repositories):
     assert literal[1] == ("3.8", "tox.ini") and literal[4] == (None, None)
 
 
+def test_errors_of_projects(projects, make_files):
+    files = make_files((1, ".python-version", "3.11"), (2, ".python-version", "3.11" + " " * 2000), (3, ".python-version", "x" * 2000), (3, "runtime.txt", "python-3.9"))
+    rows = {r.id: (r.python_version, r.error) for r in project_versions(projects, files, builtin_pack()).collect()}
+    assert rows[1] == ("3.11", None) and rows[3] == ("3.9", None) and rows[4] == (None, None)
+    assert rows[2][0] is None and "exceeds maximum" in rows[2][1]
+    none = project_versions(projects, files, RulePack((rx("off", "x", 1, enabled=False),)))
+    assert {r.error for r in none.collect()} == {"no enabled rules found"} and none.count() == 5
+
+
+def test_manifest_corpus_with_keys_from_one(spark, tmp_path):
+    from corpusrules.sources.corpus import manifest_files, manifest_projects
+
+    rows = [(k, f"n{k}", "b", "t", k % 50) for k in range(1, 40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    ids = {r.id for r in manifest_projects(spark, str(tmp_path)).collect()}
+    assert {r.project_id for r in manifest_files(spark, str(tmp_path)).collect()} <= ids and 0 in ids
+
+
 def test_equal_priorities_fall_back_to_names(projects, make_files):
     files = make_files((1, "b.py", "v=2"), (1, "a.py", "v=1"))
     pack = RulePack((rx("z", r"v=(\d)", 5), rx("y", r"v=(\d)", 5)))

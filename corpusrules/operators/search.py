@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrules.functions.patterns import search_globs_match
 from corpusrules.functions.search_lines import LineTest, line_test
 from corpusrules.functions.text import as_text, base_name, strip_cr
-from corpusrules.operators.skew import nest, top_n
+from corpusrules.operators.skew import top_n
 from corpusrules.rulepack import Search
 
-MAX_NESTED_MATCHES = 100_000
 MATCH_COLUMNS = ("line_number", "line_content", "matched_text")
 
 
@@ -29,12 +28,30 @@ def _names_and_sizes(search: Search, columns: Sequence[str]) -> list[Column]:
     globs = search_globs_match(name, search.file_patterns)
     if globs is not None:
         tests.append(globs)
-    if search.size_limit:
-        size = F.col("size") if "size" in columns else F.octet_length(F.col("content"))
-        tests.append(size <= F.lit(search.size_limit))
+    if search.max_file_size:
+        tests.append(~_too_large(search, columns))
     return tests
 
 
+def _too_large(search: Search, columns: Sequence[str]) -> Column:
+    size = F.col("size") if "size" in columns else F.octet_length(F.col("content"))
+    return size > F.lit(search.max_file_size)
+
+
+def skipped_counts(files: DataFrame, searches: Sequence[Search] | Search) -> DataFrame:
+    """files per search and project that would be read but for their size; contents are not read where sizes are known."""
+    searches = [searches] if isinstance(searches, Search) else searches
+    name = F.col("file_name") if "file_name" in files.columns else base_name(F.col("file_path"))
+    names = [F.lit(None).cast("string")]
+    for search in searches:
+        if search.max_file_size:
+            globs = search_globs_match(name, search.file_patterns)
+            large = _too_large(search, files.columns)
+            names.append(F.when(large if globs is None else globs & large, F.lit(search.name)))
+    rows = files.select("project_id", F.explode(F.array(*names)).alias("search_name")).where("search_name is not null")
+    return rows.groupBy("search_name", "project_id").agg(F.count("*").alias("skipped_files"))
+
+
 def _all(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
@@ -51,9 +68,7 @@ def search_lines(files: DataFrame, search: Search) -> DataFrame:
     """One row per matching line.  With ``context_lines`` (C6) neighbours come as ``before`` and ``after``."""
     test, keys = _test(search), _keys(files)
     content = as_text(F.col("content"))
-    possible = test.may_occur_in(content)
-    # The text test gates the split instead of filtering: filters move down, in front of any repartitioning of the files.
-    split = F.split(content, "\n") if possible is None else F.when(possible, F.split(content, "\n"))
+    split = _split(content, test)
     files = files.where(_all(_names_and_sizes(search, files.columns)))
     if search.context_lines > 0:
         return _with_context(files, keys, split, test, search.context_lines)
@@ -61,6 +76,40 @@ def search_lines(files: DataFrame, search: Search) -> DataFrame:
     return lines.where(test.matches(F.col("_line"))).select(*keys, *_match_columns(test))
 
 
+def _split(content: Column, test: LineTest) -> Column:
+    """Lines of a text; null where no line can match.  The test gates the split, because filters move in front of a
+    repartitioning of the files."""
+    possible = test.may_occur_in(content)
+    return F.split(content, "\n") if possible is None else F.when(possible, F.split(content, "\n"))
+
+
+def search_files(files: DataFrame, search: Search) -> DataFrame:
+    """One row per file with matches, which are nested within the file's own row: ``matches`` and ``match_count``."""
+    test, keys = _test(search), _keys(files)
+    split = _split(as_text(F.col("content")), test)
+    files = files.where(_all(_names_and_sizes(search, files.columns)))
+    hits = F.transform(
+        split,
+        lambda line, i: F.when(
+            test.matches(line),
+            F.struct(
+                (i + 1).cast("bigint").alias("line_number"),
+                strip_cr(line).alias("line_content"),
+                test.matched_text(line).alias("matched_text"),
+            ),
+        ),
+    )
+    rows = files.select(*keys, F.array_compact(hits).alias("matches"))
+    return rows.withColumn("match_count", F.size("matches").cast("bigint")).where("match_count > 0")
+
+
+def nest_by_file(matches: DataFrame) -> DataFrame:
+    """Matches that were found line by line, in the shape of :func:`search_files`; a group is one file's matches."""
+    keys = [c for c in ("search_name", "project_id", "file_path") if c in matches.columns]
+    nested = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*MATCH_COLUMNS))).alias("matches"))
+    return nested.withColumn("match_count", F.size("matches").cast("bigint"))
+
+
 def _match_columns(test: LineTest) -> list[Column]:
     return [
         (F.col("_pos") + 1).cast("bigint").alias("line_number"),
@@ -101,30 +150,27 @@ def cap_per_project(matches: DataFrame, n: int) -> DataFrame:
 
 
 def search_content(files: DataFrame, searches: Sequence[Search] | Search) -> DataFrame:
-    """All searches of a pack in one pass over the lines, with ``search_name`` and per-project caps applied.
-
-    Searches with and without a cap are passed over separately, because only capped ones should be ranked.
-    """
+    """All searches of a pack in one pass over the lines, with ``search_name`` and per-project caps applied."""
     searches = [searches] if isinstance(searches, Search) else list(searches)
-    groups = [[s for s in searches if s.max_matches <= 0], [s for s in searches if s.max_matches > 0]]
-    with_context = any(s.context_lines for s in searches)
-    parts = []
-    for group, capped in zip(groups, (False, True)):
-        if group:
-            found = _one_pass(files, group, with_context)
-            parts.append(_apply_caps(found, group) if capped else found)
-    return reduce(DataFrame.unionByName, parts)
+    if not searches:
+        raise ValueError("config holds no search definitions")
+    found = _one_pass(files, searches, any(s.context_lines for s in searches))
+    return _apply_caps(found, searches) if any(s.max_matches > 0 for s in searches) else found
 
 
 def _apply_caps(matches: DataFrame, searches: Sequence[Search]) -> DataFrame:
-    caps = {s.name: s.max_matches for s in searches}
-    largest = max(caps.values())
-    keys = [c for c in ("search_name", "project_id") if c in matches.columns]
-    ranked = top_n(matches, keys, ["file_path", "line_number"], largest, rank="_rank")
-    if len(set(caps.values())) > 1:
-        pairs = [F.lit(x) for item in caps.items() for x in item]
-        ranked = ranked.where(F.col("_rank") <= F.create_map(*pairs)[F.col("search_name")])
-    return ranked.drop("_rank")
+    """Hits of capped searches are ranked per project; a hit of any other search is alone in a lane of its own.
+
+    The largest cap also stands as a literal, so that Spark cuts hot projects before the shuffle where it can.
+    """
+    caps = {s.name: s.max_matches for s in searches if s.max_matches > 0}
+    capped = F.col("search_name").isin(*caps)
+    lanes = [F.when(~capped, F.col(c)) for c in ("file_path", "line_number")]
+    keys = [F.col(c) for c in ("search_name", "project_id") if c in matches.columns]
+    place = F.row_number().over(Window.partitionBy(*keys, *lanes).orderBy("file_path", "line_number"))
+    pairs = [F.lit(x) for item in caps.items() for x in item]
+    cap = F.when(capped, F.create_map(*pairs)[F.col("search_name")]).otherwise(F.lit(1))
+    return matches.withColumn("_rank", place).where((F.col("_rank") <= max(caps.values())) & (F.col("_rank") <= cap)).drop("_rank")
 
 
 def _one_pass(files: DataFrame, searches: Sequence[Search], with_context: bool) -> DataFrame:
@@ -205,26 +251,19 @@ def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy(*keys).agg(F.count("*").alias("match_count"))
 
 
-def project_matches(
-    projects: DataFrame, matches: DataFrame, search_name: str | None = None, max_nested: int = MAX_NESTED_MATCHES
-) -> DataFrame:
-    """One row per project with its matches nested, projects without hits included.
+def project_matches(projects: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row per project with ``match_count`` and ``files_with_matches``, projects without hits included.
 
-    A project with more than about ``max_nested`` matches takes several rows, told apart by ``part``; ``match_count``
-    counts the row's own matches, so sums over a project stay right.
+    Projects listed once per search (``search_name``) meet their own search's matches.  Counts are taken per file first,
+    from partial sums; the matches themselves stay rows, or go by file (:func:`search_files`, :func:`nest_by_file`).
     """
-    if search_name is not None and "search_name" in matches.columns:
-        matches = matches.where(F.col("search_name") == search_name)
-    entry = F.struct("file_path", *MATCH_COLUMNS)
-    spread = [F.col("file_path"), F.floor(F.col("line_number") / 4096)]
-    nested = nest(matches, ["project_id"], spread, entry, "matches", max_nested)
-    joined = projects.join(nested.withColumnRenamed("project_id", "_pid"), F.col("id") == F.col("_pid"), "left").drop("_pid")
-    return joined.withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0)),
-            "match_count": F.coalesce(F.size("matches"), F.lit(0)).cast("bigint"),
-        }
+    keys = [c for c in ("search_name",) if c in matches.columns and c in projects.columns]
+    per_file = matches.groupBy(*keys, "project_id", "file_path").agg(F.count("*").alias("_n"))
+    counts = per_file.groupBy(*keys, F.col("project_id").alias("id")).agg(
+        F.sum("_n").alias("match_count"), F.count("*").alias("files_with_matches")
     )
+    joined = projects.join(counts, [*keys, "id"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("match_count", "files_with_matches")})
 
 
 def projects_with_matches(projects: DataFrame, matches: DataFrame) -> DataFrame:

@@ -4,69 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrules.session import ensure_checkpoint_dir
 
 # Spark ranks before the shuffle only for limits below its own threshold of the same name.
 _GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-_MAX_SLICES = 1024
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``.
 
-    Below Spark's group-limit threshold every task drops all but its own first ``n`` rows of a key before the shuffle.
-    Larger ``n`` would send whole keys to one task, so there the rows are first ranked within hashed slices of the key.
+    For ``n`` below Spark's group-limit threshold every task drops all but its own first ``n`` rows of a key before the
+    shuffle, so a task gets at most ``n`` rows of a key from each.  A larger ``n`` is ranked by range instead: no task
+    holds a key that does not fit into one range.
     """
     out = rank or "_rank"
-    spark = df.sparkSession
-    if n >= int(spark.conf.get(_GROUP_LIMIT_CONF, "1000")):
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(_MAX_SLICES)))
-        within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = sliced.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= n).drop("_n", "_slice")
-    ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if n < int(df.sparkSession.conf.get(_GROUP_LIMIT_CONF, "1000")):
+        ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        ranked = _ranked_by_range(df, keys, order, out)
     ranked = ranked.where(F.col(out) <= n)
     return ranked if rank else ranked.drop(out)
 
 
-def nest(
-    df: DataFrame, keys: Sequence[str], spread: Sequence[Column], item: Column, name: str, max_items: int
-) -> DataFrame:
-    """Collect ``item`` into a sorted array per key, in several rows (``part`` 0, 1, ...) where a key has too many.
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows range-partitioned and sorted, then checkpointed so that they stay put; ``_id`` counts within ``_p``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    placed = placed.withColumn("_id", F.monotonically_increasing_id())
+    return placed.withColumn("_p", F.shiftright("_id", 33))
 
-    Items of a key fall into hashed slices of ``spread``.  Slices within their share of ``max_items`` are merged into
-    ``part = 0``, which therefore stays below ``max_items``; a slice above it becomes parts of its own.  A key of
-    ordinary size gives one row, and no row, group or task ever holds a whole hot key.  The choice needs nothing but
-    the slice's own size, so the input is read once and never joined.
-    """
-    slices = max(1, min(_MAX_SLICES, max_items // 64))
-    rows = df.select(*keys, item.alias("_item"), F.xxhash64(*spread).alias("_hash"))
-    rows = rows.withColumn("_slice", F.pmod("_hash", F.lit(slices)).cast("int"))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_slice")))
-    pieces = F.ceil(F.col("_n") / F.lit(max_items))
-    piece = F.pmod(F.shiftright("_hash", 16), pieces).cast("int")
-    own_part = F.lit(1) + F.col("_slice") + F.lit(slices) * piece
-    rows = rows.withColumn("part", F.when(F.col("_n") <= max_items // slices, 0).otherwise(own_part))
-    return rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_item")).alias(name))
 
+def _ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``name``: each row's place within its key, from the places in its range and the sizes of the key's ranges before."""
+    placed = _placed(df, [*keys, *order])
+    sizes = placed.groupBy("_p", *keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    same = F.col("r._p") == F.col("s._p")
+    for key in keys:
+        same &= F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
+    joined = placed.alias("r").join(starts.alias("s"), same)
+    place = F.col("s._start") + F.col("r._id") - F.col("s._first") + 1
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], place.alias(name))
 
-def with_position(
-    df: DataFrame, order: Sequence[str], name: str = "index", total: str | None = None, partitions: int | None = None
-) -> DataFrame:
+
+def with_position(df: DataFrame, order: Sequence[str], name: str = "index", total: str | None = None) -> DataFrame:
     """Number rows 1..N in ``order``, and optionally add N, without a single-task sort.
 
-    Rows are range-partitioned and sorted, then checkpointed so that partitions stay put; the number is the row's place
-    in its partition plus the sizes of the partitions before it (one short row per partition).
+    The number is the row's place in its range plus the sizes of the ranges before it (one short row per range).  The
+    ranges are checkpointed, in ``spark.checkpoint.dir`` or below the warehouse.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
-    placed = placed.withColumn("_id", F.monotonically_increasing_id())
-    partition = F.shiftright("_id", 33)
-    sizes = placed.groupBy(partition.alias("_p")).agg(F.count("*").alias("_n"))
+    placed = _placed(df, order)
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     by_partition = Window.partitionBy(F.lit(0)).orderBy("_p")
     starts = sizes.select(
         "_p",
@@ -74,9 +66,8 @@ def with_position(
         F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
     )
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    # One row per partition, n at most: small by construction.
-    numbered = placed.withColumn("_p", partition).join(F.broadcast(starts), "_p")
-    numbered = numbered.withColumn(name, F.col("_start") + place)
+    # One row per range, as many as the session's shuffle partitions at most: small by construction.
+    numbered = placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + place)
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
     return numbered.drop("_id", "_p", "_start", "_total")

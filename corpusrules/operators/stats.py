@@ -30,22 +30,28 @@ def version_distribution(results: DataFrame) -> DataFrame:
     return results.where(~failed & detected).groupBy("python_version").agg(F.count("*").alias("projects"))
 
 
-def search_statistics(project_counts: DataFrame) -> DataFrame:
-    """A3: counters over one ``(match_count, error)`` row per project."""
+def search_statistics(project_counts: DataFrame, *keys: str) -> DataFrame:
+    """A3: counters over one ``(match_count, error, skipped_files)`` row per project (and key); the last two may be missing.
+
+    ``skipped_files`` counts files left out for their size (F6).
+    """
     failed = F.col("error").isNotNull() if "error" in project_counts.columns else F.lit(False)
     n = F.coalesce(F.col("match_count"), F.lit(0))
-    return project_counts.agg(
+    return project_counts.groupBy(*keys).agg(
         F.count("*").alias("total_projects"),
         F.count_if(~failed & (n > 0)).alias("projects_with_hits"),
         F.count_if(~failed & (n == 0)).alias("projects_no_hits"),
         F.coalesce(F.sum(F.when(~failed, n)), F.lit(0)).alias("total_matches"),
         F.count_if(failed).alias("error_count"),
+        (F.coalesce(F.sum("skipped_files"), F.lit(0)) if "skipped_files" in project_counts.columns else F.lit(0))
+        .cast("bigint")
+        .alias("skipped_files"),
     )
 
 
-def matches_by_file(matches: DataFrame) -> DataFrame:
-    """A4: matches per path; the same path in different projects counts as one."""
-    return matches.groupBy("file_path").agg(F.count("*").alias("matches"))
+def matches_by_file(matches: DataFrame, *keys: str) -> DataFrame:
+    """A4: matches per path (and key); the same path in different projects counts as one."""
+    return matches.groupBy(*keys, "file_path").agg(F.count("*").alias("matches"))
 
 
 def average_confidence(detections: DataFrame, *keys: str) -> DataFrame:

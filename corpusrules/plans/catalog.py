@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,17 @@ from corpusrules.session import scratch_path
 from corpusrules.sinks import logs as K
 from corpusrules.sources import corpus as C
 from corpusrules.sources.files import fetch_content, file_contents, file_metadata, inventory
-from corpusrules.sources.logs import read_scan_log, read_search_log, scan_log_results, scan_log_summaries
+from corpusrules.sources.logs import (
+    read_scan_log,
+    read_search_log,
+    scan_log_headers,
+    scan_log_results,
+    scan_log_summaries,
+    scan_log_versions,
+    search_log_matches,
+    search_log_projects,
+)
+from corpusrules.sources.packs import load_rules, load_searches, read_pack, rules_table, searches_table
 from corpusrules.sources.projects import list_active_projects, list_projects
 from corpusrules.sources.snippets import search_group_snippets, search_snippets
 from corpusrules.sources.urls import namespace_rollup
@@ -59,7 +72,6 @@ def query(name: str, sql: str | None = None):
 
 MATCH = "project_id, file_path, line_number, line_content, matched_text"
 IN_DOCUMENTS = with_(DOCUMENT_FILES, LINES)[:-1] + ",\n"
-SMALL_FILES = " AND project_id || file_path IN (SELECT project_id || file_path FROM files WHERE size <= 1048576)"
 
 LICENSE_GRANT = Search(r"licen[sc]ed? [^.]*", "license-grant", is_regex=True)
 SECRET = Search(
@@ -74,7 +86,7 @@ SECRET = Search(
 
 @query(
     "search_regex_lines",
-    IN_DOCUMENTS + regex_hits("(?i)" + LICENSE_GRANT.term, SMALL_FILES) + f" SELECT {MATCH} FROM hits",
+    IN_DOCUMENTS + regex_hits("(?i)" + LICENSE_GRANT.term) + f" SELECT {MATCH} FROM hits",
 )
 def search_regex_lines(spark, sf):
     return S.search_lines(C.document_files(spark, sf), LICENSE_GRANT)
@@ -90,17 +102,28 @@ def search_literal_ci(spark, sf):
     IN_DOCUMENTS + hits("contains(line, 'License')", "'License'") + f" SELECT {MATCH} FROM hits",
 )
 def search_literal_cs(spark, sf):
-    return S.search_lines(C.document_files(spark, sf, cheap=True), Search("License", case_sensitive=True))
+    return S.search_lines(C.document_files(spark, sf), Search("License", case_sensitive=True))
 
 
 @query(
     "search_secret_tokens",
-    IN_DOCUMENTS + regex_hits("(?i)" + SECRET.term, SMALL_FILES) + f" SELECT {MATCH} FROM hits",
+    IN_DOCUMENTS + regex_hits("(?i)" + SECRET.term) + f" SELECT {MATCH} FROM hits",
 )
 def search_secret_tokens(spark, sf):
     return S.search_lines(C.document_files(spark, sf), SECRET)
 
 
+SIZED_SEARCH = Search("license", "sized", max_file_size=3000)
+
+
+@query(
+    "search_size_limit",
+    with_(DOCUMENT_FILES, LINES.replace("FROM files", "FROM files WHERE size <= 3000"))[:-1] + ",\n" + literal_hits("license") + f" SELECT {MATCH} FROM hits",
+)
+def search_size_limit(spark, sf):
+    return S.search_lines(C.document_files(spark, sf), SIZED_SEARCH)
+
+
 @query(
     "search_top_n_per_project",
     IN_DOCUMENTS
@@ -234,18 +257,19 @@ FROM (SELECT DISTINCT conv_id AS id FROM conversations) AS p LEFT JOIN hits AS h
 )
 def search_project_rollup(spark, sf):
     rows = S.project_matches(_conversation_projects(spark, sf), _conversation_hits(spark, sf))
-    paths = F.array_distinct(F.transform("matches", lambda m: m["file_path"]))
-    files = F.coalesce(F.size(paths), F.lit(0)).cast("bigint")
-    return rows.select("id", "name", "match_count", files.alias("files_with_matches"))
+    return rows.select("id", "name", "match_count", "files_with_matches")
 
 
 @query(
     "search_nested_results",
-    _CONVERSATIONS + " SELECT project_id AS id, file_path, line_number, line_content, matched_text FROM hits",
+    _CONVERSATIONS
+    + """ SELECT project_id, file_path, CAST(count(*) AS BIGINT) AS match_count,
+  string_agg(concat(line_number, ':', matched_text, ':', line_content), '|' ORDER BY line_number) AS matches FROM hits GROUP BY 1, 2""",
 )
 def search_nested_results(spark, sf):
-    rows = S.project_matches(_conversation_projects(spark, sf), _conversation_hits(spark, sf), max_nested=128)
-    return rows.select("id", F.inline("matches"))
+    rows = S.search_files(C.conversation_files(spark, sf), Search("ing "))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["line_number"].cast("string"), m["matched_text"], m["line_content"]))
+    return rows.select("project_id", "file_path", "match_count", F.array_join(shown, "|").alias("matches"))
 
 
 @query(
@@ -255,13 +279,34 @@ def search_nested_results(spark, sf):
   LEFT JOIN hits AS h ON h.project_id = p.id GROUP BY p.id)
 SELECT CAST(count(*) AS BIGINT) AS total_projects, CAST(count(*) FILTER (n > 0) AS BIGINT) AS projects_with_hits,
   CAST(count(*) FILTER (n = 0) AS BIGINT) AS projects_no_hits, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches,
-  CAST(0 AS BIGINT) AS error_count FROM counts""",
+  CAST(0 AS BIGINT) AS error_count, CAST(0 AS BIGINT) AS skipped_files FROM counts""",
 )
 def search_stats(spark, sf):
     counts = S.match_counts(_conversation_hits(spark, sf)).withColumnRenamed("project_id", "id")
     return A.search_statistics(_conversation_projects(spark, sf).join(counts, "id", "left"))
 
 
+@query(
+    "search_report_statistics",
+    with_(DOCUMENT_FILES, DOCUMENT_PROJECTS, LINES)[:-1]
+    + ",\n"
+    + literal_hits("license")
+    + """, large AS (SELECT project_id, file_path FROM files WHERE size > 3000),
+found AS (SELECT 'all' AS search_name, h.* FROM hits AS h UNION ALL
+  SELECT 'sized' AS search_name, h.* FROM hits AS h ANTI JOIN large USING (project_id, file_path)),
+counts AS (SELECT s.search_name, p.id, count(f.file_path) AS n,
+    CASE WHEN s.search_name = 'sized' THEN (SELECT count(*) FROM large WHERE large.project_id = p.id) ELSE 0 END AS skipped
+  FROM projects AS p CROSS JOIN (VALUES ('all'), ('sized')) AS s(search_name)
+  LEFT JOIN found AS f ON f.project_id = p.id AND f.search_name = s.search_name GROUP BY s.search_name, p.id)
+SELECT search_name, CAST(count(*) AS BIGINT) AS total_projects, CAST(count(*) FILTER (n > 0) AS BIGINT) AS projects_with_hits,
+  CAST(count(*) FILTER (n = 0) AS BIGINT) AS projects_no_hits, CAST(sum(n) AS BIGINT) AS total_matches,
+  CAST(0 AS BIGINT) AS error_count, CAST(sum(skipped) AS BIGINT) AS skipped_files FROM counts GROUP BY 1""",
+)
+def search_report_statistics(spark, sf):
+    searches = [Search("license", "all"), SIZED_SEARCH]
+    return content_search(C.document_projects(spark, sf), C.document_files(spark, sf), searches).statistics
+
+
 @query("matches_by_file", _CONVERSATIONS + " SELECT file_path, CAST(count(*) AS BIGINT) AS matches FROM hits GROUP BY 1")
 def matches_by_file(spark, sf):
     return A.matches_by_file(_conversation_hits(spark, sf))
@@ -286,6 +331,8 @@ def projects_without_matches(spark, sf):
 # -- rule execution ------------------------------------------------------------------------------------------------------
 
 LICENSES = builtin_pack("licenses")
+# The same rules, two of them with a size limit: for queries about errors.
+SIZED = RulePack(tuple(replace(r, max_file_size={"mit": 20_000, "any-license": 8_000}.get(r.name)) for r in LICENSES))
 
 
 def _described(pack: RulePack) -> list[dict]:
@@ -304,6 +351,7 @@ def _described(pack: RulePack) -> list[dict]:
 
 
 LICENSE_RULES = with_(DOCUMENT_FILES, regex_outcomes(_described(LICENSES)))
+SIZED_RULES = with_(DOCUMENT_FILES, regex_outcomes(_described(SIZED)))
 KEYS = "project_id, file_path"
 RESULT = "rule_name, priority, version, confidence, raw_value"
 _RESULT_COLUMNS = RESULT.split(", ")
@@ -349,14 +397,14 @@ def rules_tags(spark, sf):
 
 @query(
     "rules_applied",
-    LICENSE_RULES
+    SIZED_RULES
     + f"""SELECT o.project_id, o.file_path, CAST(coalesce(f.position, 5) AS BIGINT) AS rules_applied,
   CAST(count(o.error) FILTER (o.position <= coalesce(f.position, 5)) AS BIGINT) AS errors
 FROM outcomes AS o LEFT JOIN found AS f ON f.rank = 1 AND f.project_id = o.project_id AND f.file_path = o.file_path
 GROUP BY o.project_id, o.file_path, f.position""",
 )
 def rules_applied(spark, sf):
-    executed = R.execute_rules(C.document_files(spark, sf), LICENSES, stop_on_first_match=True)
+    executed = R.execute_rules(C.document_files(spark, sf), SIZED, stop_on_first_match=True)
     return executed.select(
         "project_id",
         "file_path",
@@ -365,49 +413,102 @@ def rules_applied(spark, sf):
     )
 
 
-@query("rules_errors", LICENSE_RULES + f"SELECT {KEYS}, rule_name, error FROM outcomes WHERE error IS NOT NULL")
+@query("rules_errors", SIZED_RULES + f"SELECT {KEYS}, rule_name, error FROM outcomes WHERE error IS NOT NULL")
 def rules_errors(spark, sf):
-    outcomes = R.rule_outcomes(C.document_files(spark, sf), LICENSES)
+    outcomes = R.rule_outcomes(C.document_files(spark, sf), SIZED)
     return outcomes.where(F.col("error").isNotNull()).select("project_id", "file_path", "rule_name", "error")
 
 
-_FIRST_ERROR = "(SELECT min(struct_pack(p := position, e := error)) FROM outcomes AS e WHERE e.error IS NOT NULL AND e.project_id = f.project_id AND e.file_path = f.file_path{})"
-
-
-@query(
-    "rules_first_match",
-    LICENSE_RULES + f"SELECT {KEYS}, {RESULT}, (" + _FIRST_ERROR.format(" AND e.position < f.position") + ").e AS error FROM found AS f WHERE rank = 1",
+# Every file that was tried, its chosen hit if there is one, and its first error: before the hit, or of all rules.
+_MATCHED = (
+    SIZED_RULES
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY {order}priority, rule_name) AS r FROM found),
+chosen AS (SELECT * FROM ranked WHERE r = 1),
+failed AS (SELECT o.project_id, o.file_path, arg_min(o.error, o.position) AS error FROM outcomes AS o
+  LEFT JOIN chosen AS c ON c.project_id = o.project_id AND c.file_path = o.file_path
+  WHERE o.error IS NOT NULL{before} GROUP BY 1, 2),
+matched AS (SELECT t.project_id, t.file_path, c.rule_name, c.priority, c.version, c.confidence, c.raw_value, f.error
+  FROM (SELECT DISTINCT project_id, file_path FROM outcomes) AS t
+  LEFT JOIN chosen AS c ON c.project_id = t.project_id AND c.file_path = t.file_path
+  LEFT JOIN failed AS f ON f.project_id = t.project_id AND f.file_path = t.file_path
+  WHERE c.rule_name IS NOT NULL OR f.error IS NOT NULL) """
 )
-def rules_first_match(spark, sf):
-    return _results(R.first_match(C.document_files(spark, sf), LICENSES), "error")
+_FIRST = _MATCHED.replace("{order}", "").replace("{before}", " AND (c.position IS NULL OR o.position < c.position)")
+_BEST = _MATCHED.replace("{order}", "confidence DESC, ").replace("{before}", "")
 
 
-_BEST = (
-    LICENSE_RULES
-    + """, best AS (SELECT * FROM (SELECT *,
-  row_number() OVER (PARTITION BY project_id, file_path ORDER BY confidence DESC, priority, rule_name) AS b
-  FROM found) AS r WHERE b = 1) """
-)
+@query("rules_first_match", _FIRST + f"SELECT {KEYS}, {RESULT}, error FROM matched")
+def rules_first_match(spark, sf):
+    return _results(R.first_match(C.document_files(spark, sf), SIZED), "error")
 
 
-@query("rules_best_match", _BEST + f"SELECT {KEYS}, {RESULT}, (" + _FIRST_ERROR.format("") + ").e AS error FROM best AS f")
+@query("rules_best_match", _BEST + f"SELECT {KEYS}, {RESULT}, error FROM matched")
 def rules_best_match(spark, sf):
-    return _results(R.best_match(C.document_files(spark, sf), LICENSES), "error")
+    return _results(R.best_match(C.document_files(spark, sf), SIZED), "error")
 
 
 @query(
     "rules_strict_match",
     _BEST
-    + ", s AS (SELECT *, ("
-    + _FIRST_ERROR.format("")
-    + ").e AS failure FROM best AS f) SELECT project_id, file_path, CASE WHEN failure IS NULL THEN rule_name END AS rule_name, "
-    "CASE WHEN failure IS NULL THEN version END AS version, failure IS NULL AS found, failure AS error FROM s",
+    + "SELECT project_id, file_path, CASE WHEN error IS NULL THEN rule_name END AS rule_name, "
+    "CASE WHEN error IS NULL THEN version END AS version, error IS NULL AS found, error FROM matched",
 )
 def rules_strict_match(spark, sf):
-    rows = R.best_match(C.document_files(spark, sf), LICENSES, strict=True)
+    rows = R.best_match(C.document_files(spark, sf), SIZED, strict=True)
     return rows.select("project_id", "file_path", "rule_name", "version", "found", "error")
 
 
+_PACK_DOCUMENT = {
+    "settings": {"default_priority": 40},
+    "rules": [
+        {"name": "mit-name", "match": {"file_pattern": "*.txt"}, "parser": {"type": "regex", "config": {"pattern": "under the (MIT) License"}}},
+        {"name": "any-grant", "enabled": False, "priority": 1, "match": {"file_pattern": "*"}, "parser": {"type": "regex", "config": {"pattern": "(?i)licen"}}},
+        {"name": "gnu", "priority": 50, "match": {"file_pattern": "*.txt", "required_content": "GNU"}, "parser": {"type": "regex", "config": {"pattern": "version (?P<version>\\d)", "confidence": "0.9"}}},
+    ],
+    "searches": [
+        {"name": "mit", "search_term": "MIT", "case_sensitive": True},
+        {"name": "everything", "search_term": "e", "enabled": False},
+        {"name": "grant", "search_term": "licen[sc]e", "is_regex": True, "max_matches": 2},
+    ],
+}
+
+
+def _written_pack(spark: SparkSession) -> DataFrame:
+    """A pack document as a user has it: JSON in a file, read by Spark."""
+    path = scratch_path(spark, "pack")
+    spark.createDataFrame([(json.dumps(_PACK_DOCUMENT),)], "value string").coalesce(1).write.text(path)
+    return read_pack(spark, path)
+
+
+@query(
+    "pack_document_rules",
+    with_(
+        DOCUMENT_FILES,
+        regex_outcomes(
+            [
+                {"name": "mit-name", "priority": 40, "pattern": "under the (MIT) License", "group": 1, "confidence": 0.5},
+                {"name": "gnu", "priority": 50, "pattern": r"version (\d)", "group": 1, "confidence": 0.9, "required": "GNU"},
+            ]
+        ),
+    )
+    + f"SELECT {KEYS}, {RESULT} FROM found",
+)
+def pack_document_rules(spark, sf):
+    pack = load_rules(rules_table(_written_pack(spark)))
+    return _results(R.rule_results(R.execute_rules(C.document_files(spark, sf), pack)))
+
+
+@query(
+    "pack_document_searches",
+    with_(DOCUMENT_FILES, LINES, hits("contains(line, 'MIT')", "'MIT'").replace("hits AS", "hits0 AS"), regex_hits("(?i)licen[sc]e").replace("hits AS", "hits1 AS"))
+    + f"""SELECT 'mit' AS search_name, {MATCH} FROM hits0 UNION ALL SELECT 'grant' AS search_name, {MATCH} FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line_number) AS rn FROM hits1) AS r WHERE rn <= 2""",
+)
+def pack_document_searches(spark, sf):
+    searches = load_searches(searches_table(_written_pack(spark)))
+    return S.search_content(C.document_files(spark, sf), searches)
+
+
 _PATH_RULES = RulePack(
     (
         Rule("english", "1*.txt", "simple_version", path_pattern="^en/", priority=5),
@@ -428,7 +529,7 @@ ON regexp_matches(f.file_name, r.name_regex) AND regexp_matches(f.file_path, r.p
 
 @query("rules_theta_join", _PATH_RULES_SQL)
 def rules_theta_join(spark, sf):
-    rows = R.join_rules(C.document_files(spark, sf, cheap=True), _PATH_RULES)
+    rows = R.join_rules(C.document_files(spark, sf), _PATH_RULES)
     return rows.select("project_id", "file_path", "rule_name", "priority")
 
 
@@ -438,7 +539,7 @@ def rules_theta_join(spark, sf):
 FROM ({_PATH_RULES_SQL}) AS m""",
 )
 def rules_matching(spark, sf):
-    rows = R.matching_rules(C.document_files(spark, sf, cheap=True), _PATH_RULES)
+    rows = R.matching_rules(C.document_files(spark, sf), _PATH_RULES)
     return rows.select("project_id", "file_path", "rule_name", "priority", "position")
 
 
@@ -462,7 +563,7 @@ def rules_ten_per_file(spark, sf):
         "project_id",
         "file_path",
         F.col("rules_applied").cast("bigint").alias("rules_applied"),
-        F.size("results").cast("bigint").alias("results"),
+        F.col("result_count").cast("bigint").alias("results"),
         F.col("best_result.rule_name").alias("best_rule"),
         F.col("best_result.version").alias("version"),
     )
@@ -523,6 +624,32 @@ def custom_extractor(spark, sf):
     return rows.select("project_id", "file_path", "version", "source", "confidence")
 
 
+def _ci_image_pandas(config) -> Callable[[Column, Column], Column]:
+    """U1 as a ``pandas_udf``: Arrow batches in, result structs out; rows of other files are nulls."""
+
+    @F.pandas_udf("version string, source string, confidence double, raw_value string, metadata map<string,string>")
+    def build(content: pd.Series) -> pd.DataFrame:
+        raw = content.str.extract(rf"(image:\s*python:{VERSION})", expand=False)
+        version = raw.str.extract(rf"({VERSION})$", expand=False)
+        return pd.DataFrame({"version": version, "source": "", "confidence": 0.4, "raw_value": raw, "metadata": [{} for _ in raw]})
+
+    def made(content: Column, name: Column) -> Column:
+        found = build(content)
+        return F.when(found["version"].isNotNull(), found)
+
+    return made
+
+
+register_extractor("example_ci_image_pandas", _ci_image_pandas)
+
+
+@query("custom_pandas_extractor", ORACLES["custom_extractor"])
+def custom_pandas_extractor(spark, sf):
+    pack = RulePack((Rule("custom", ".gitlab-ci.yml", "example_ci_image_pandas"),))
+    rows = R.first_match(C.manifest_files(spark, sf), pack).where("found")
+    return rows.select("project_id", "file_path", "version", "source", "confidence")
+
+
 # -- manifests -----------------------------------------------------------------------------------------------------------
 
 _MANIFEST = "project_id, file_path, version, confidence, raw_value"
@@ -843,6 +970,36 @@ def scan_statistics(spark, sf):
     return A.scan_statistics(_scan(spark, sf, depth="any"))
 
 
+_SMALL_VERSIONS = RulePack((Rule("whole-file", ".python-version", "simple_version", max_file_size=6),))
+
+
+@query(
+    "scan_errors",
+    with_(
+        MANIFESTS,
+        f"""tried AS (SELECT project_id, file_path, strlen(content) > 6 AS large, {trimmed('content')} AS version, strlen(content) AS size
+  FROM files WHERE file_name = '.python-version')""",
+        """won AS (SELECT project_id, arg_min(version, file_path) AS version FROM tried WHERE NOT large AND version <> '' GROUP BY 1)""",
+        """lost AS (SELECT project_id, concat('rule whole-file: file size ', arg_min(size, file_path), ' exceeds maximum 6 bytes') AS error
+  FROM tried WHERE large GROUP BY 1)""",
+        MANIFEST_PROJECTS,
+    )
+    + """SELECT p.id, w.version AS python_version, CASE WHEN w.version IS NULL THEN l.error END AS error
+FROM projects AS p LEFT JOIN won AS w ON w.project_id = p.id LEFT JOIN lost AS l ON l.project_id = p.id""",
+)
+def scan_errors(spark, sf):
+    rows = P.project_versions(C.manifest_projects(spark, sf), C.manifest_files(spark, sf), _SMALL_VERSIONS, depth="any")
+    return rows.select("id", "python_version", "error")
+
+
+@query(
+    "scan_error_statistics",
+    "WITH s AS (" + ORACLES["scan_errors"] + ") " + _STATISTICS + " FROM s",
+)
+def scan_error_statistics(spark, sf):
+    return A.scan_statistics(scan_errors(spark, sf))
+
+
 _EVENT_RESULTS = """results AS (SELECT CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS python_version,
   CASE WHEN event_type = 'error' THEN concat('user ', user_id) END AS error FROM events)"""
 
@@ -963,7 +1120,7 @@ def file_inventory(spark, sf):
     with_(DOCUMENT_FILES) + "SELECT project_id, file_name, file_path FROM files WHERE starts_with(file_path, 'de/')",
 )
 def file_inventory_folder(spark, sf):
-    return inventory(C.document_files(spark, sf, cheap=True), path="de")
+    return inventory(C.document_files(spark, sf), path="de")
 
 
 def _stored_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -1068,15 +1225,44 @@ def scan_log_round_trip(spark, sf):
 @query(
     "scan_log_summary",
     _versions_sql()
-    + """SELECT version AS python_version, CAST(count(*) AS BIGINT) AS projects,
-  (SELECT CAST(count(*) AS BIGINT) FROM projects) AS total_projects, CAST(0 AS BIGINT) AS error_count FROM winners GROUP BY 1""",
+    + """SELECT version AS label, CAST(count(*) AS BIGINT) AS n FROM winners GROUP BY 1
+UNION ALL SELECT 'total_projects', CAST(count(*) AS BIGINT) FROM projects UNION ALL SELECT 'error_count', CAST(0 AS BIGINT)""",
 )
 def scan_log_summary(spark, sf):
     path = scratch_path(spark, "scan-log")
     K.write_full_scan_log(_report(spark, sf).results, path, "https://example.com/group")
-    summary = scan_log_summaries(read_scan_log(spark, path))
-    rows = summary.select("total_projects", "error_count", F.explode("version_counts").alias("python_version", "projects"))
-    return rows.select("python_version", "projects", "total_projects", "error_count")
+    log = read_scan_log(spark, path)
+    counters = [F.struct(F.lit(c).alias("label"), F.col(c).alias("n")) for c in ("total_projects", "error_count")]
+    return scan_log_versions(log).toDF("label", "n").union(scan_log_summaries(log).select(F.inline(F.array(*counters))))
+
+
+@query(
+    "scan_log_header",
+    _versions_sql() + "SELECT 'https://example.com/group' AS gitlab_url, CAST(count(*) AS BIGINT) AS total_projects FROM projects",
+)
+def scan_log_header(spark, sf):
+    path = scratch_path(spark, "scan-log")
+    K.write_full_scan_log(_report(spark, sf).results, path, "https://example.com/group")
+    return scan_log_headers(read_scan_log(spark, path)).select("gitlab_url", "total_projects")
+
+
+@query(
+    "scan_text_log",
+    _INDEXED
+    + """, lines AS (SELECT concat('[<time>] [', i, '/', n, '] ', name, ': ',
+  CASE WHEN version IS NULL THEN 'Python not detected' ELSE concat('Python ', version, ' (from ', source, ')') END) AS value FROM numbered),
+s AS (SELECT count(*) AS n, count(version) AS p FROM numbered)
+SELECT value FROM lines
+UNION ALL SELECT unnest(['=== Scan Log ===', 'Timestamp: <time>', 'Source URL: https://example.com/group', concat('Total Projects: ', n),
+  '=====================================', '=== Scan Summary ===', 'Timestamp: <time>', concat('Total Projects: ', n),
+  concat('Python Projects: ', p), concat('Non-Python Projects: ', n - p), 'Python Version Distribution:', '====================']) AS value FROM s
+UNION ALL SELECT concat('  ', version, ': ', count(*)) AS value FROM winners GROUP BY version""",
+)
+def scan_text_log(spark, sf):
+    path = scratch_path(spark, "scan-text")
+    K.write_full_text_log(_report(spark, sf).results, path, "https://example.com/group")
+    stamp = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:Z|[+-]\d\d:\d\d)"
+    return spark.read.text(path).select(F.regexp_replace("value", stamp, "<time>").alias("value"))
 
 
 _SEARCHED = (
@@ -1089,7 +1275,8 @@ _SEARCHED = (
 
 
 def _search_report(spark: SparkSession, sf: str):
-    return content_search(C.document_projects(spark, sf), C.document_files(spark, sf), [Search("license")])[0]
+    search = Search("license")
+    return content_search(C.document_projects(spark, sf), C.document_files(spark, sf), [search]).of(search)
 
 
 @query(
@@ -1100,7 +1287,8 @@ SELECT concat('[', i, '/', n, '] ', name, ': ', CASE WHEN c = 0 THEN 'no matches
 UNION ALL SELECT concat('  ', file_path, ':', line_number, ': ', line_content) AS value FROM hits""",
 )
 def render_matches(spark, sf):
-    return K.render_search_results(_search_report(spark, sf).results).select("value")
+    report = _search_report(spark, sf)
+    return K.render_search_results(report.results, report.matches).select("value")
 
 
 @query(
@@ -1111,9 +1299,12 @@ def render_matches(spark, sf):
 )
 def search_log_round_trip(spark, sf):
     path = scratch_path(spark, "search-log")
-    K.write_search_log(_search_report(spark, sf).results, path, "license")
+    report = _search_report(spark, sf)
+    K.write_search_log(report.results, report.matches, path, "license")
     log = read_search_log(spark, path)
-    return log.select("project_name", "project_path", "index", "total_projects", F.inline_outer("matches"))
+    keys = ["project_name", "project_path", "index", "total_projects"]
+    found = search_log_matches(log).drop("search_term")
+    return search_log_projects(log).select(*keys).join(found, keys, "left")
 
 
 # -- streams ---------------------------------------------------------------------------------------------------------------------
@@ -1135,6 +1326,23 @@ def stream_scan(spark, sf):
     return spark.read.schema(schema).json(out)
 
 
+@query(
+    "stream_restart",
+    LICENSE_RULES + "SELECT project_id, file_path, rule_name, version, confidence FROM found WHERE rank = 1",
+)
+def stream_restart(spark, sf):
+    """ST3: the documents land in two parts; the stream is started anew for the second and goes on where it was."""
+    landed, out, checkpoint = (scratch_path(spark, f"restart-{n}") for n in ("in", "out", "state"))
+    documents = C.table(spark, sf, "documents")
+    later = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    for part in (~later, later):
+        documents.where(part).write.mode("append").parquet(landed)
+        files = C.as_document_files(ST.stream_table(spark, documents.schema, landed))
+        ST.append_detections(files, LICENSES, out, checkpoint).awaitTermination()
+    schema = "project_id string, file_path string, rule_name string, version string, confidence double"
+    return spark.read.schema(schema).json(out)
+
+
 @query("stream_matches", IN_DOCUMENTS + literal_hits("license") + f" SELECT {MATCH} FROM hits")
 def stream_matches(spark, sf):
     out, checkpoint = scratch_path(spark, "stream-matches"), scratch_path(spark, "stream-state")

@@ -53,6 +53,7 @@ SEARCHES = _struct(
     file_patterns=_texts,
     context_lines=_int,
     max_matches=_int,
+    max_file_size=_long,
     enabled=_bool,
 )
 
@@ -67,7 +68,8 @@ RESULT = _struct(
 
 MATCH_ENTRY = _struct(file_path=_text, line_number=_long, line_content=_text, matched_text=_text)
 
-# One JSON-lines file holds three kinds of record; a result record carries no "type".
+# One JSON-lines file holds several kinds of record; a result record carries no "type".  ``version_counts`` is what older
+# logs hold instead of a record per version.
 SCAN_LOG = _struct(
     type=_text,
     timestamp=T.TimestampType(),
@@ -83,18 +85,20 @@ SCAN_LOG = _struct(
     non_python_projects=_long,
     error_count=_long,
     version_counts=_counts,
-    part=_int,
+    projects=_long,
 )
 
 SEARCH_LOG = _struct(
+    type=_text,
     timestamp=T.TimestampType(),
     project_name=_text,
     project_path=_text,
     search_term=_text,
+    file_path=_text,
     matches=T.ArrayType(MATCH_ENTRY),
     match_count=_long,
+    files_with_matches=_long,
     error=_text,
     index=_long,
     total_projects=_long,
-    part=_int,
 )

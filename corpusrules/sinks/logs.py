@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusrules.functions.text import blank_to_null
-from corpusrules.operators.skew import nest
+from corpusrules.operators.search import nest_by_file
 from corpusrules.operators.stats import scan_statistics, version_distribution
 
 RFC3339 = "yyyy-MM-dd'T'HH:mm:ssXXX"
-MAX_VERSIONS_PER_RECORD = 10_000
 
 
 def _now(df: DataFrame) -> Column:
@@ -79,33 +78,34 @@ def scan_started(statistics: DataFrame, source_url: str) -> DataFrame:
     )
 
 
-def scan_completed(statistics: DataFrame, distribution: DataFrame) -> DataFrame:
-    """K5: summary record with the counters and the version counts.
+def scan_completed(statistics: DataFrame) -> DataFrame:
+    """K5: summary record with the counters."""
+    return statistics.select(F.lit("scan_completed").alias("type"), F.current_timestamp().alias("timestamp"), *statistics.columns)
 
-    More distinct versions than one record should hold continue in further records with ``part`` above 0.
-    """
-    entry = F.struct(F.col("python_version").alias("version"), F.col("projects").alias("n"))
-    counts = nest(distribution, [], [F.col("python_version")], entry, "counts", MAX_VERSIONS_PER_RECORD)
-    counts = counts.select("part", F.map_from_entries("counts").alias("version_counts"))
-    # The statistics are a single row, so this pairs them with the few count records.
-    first = statistics.select(F.lit(0).alias("part"), *statistics.columns)
-    joined = first.join(counts, "part", "full")
-    empty = F.create_map().cast("map<string,bigint>")
-    return joined.select(
-        F.lit("scan_completed").alias("type"),
-        F.current_timestamp().alias("timestamp"),
-        *statistics.columns,
-        F.coalesce("version_counts", empty).alias("version_counts"),
-        F.nullif("part", F.lit(0)).alias("part"),
+
+def version_records(distribution: DataFrame) -> DataFrame:
+    """K5: one record per detected version beside the summary, however many there are."""
+    return distribution.select(
+        F.lit("version_count").alias("type"), F.current_timestamp().alias("timestamp"), "python_version", "projects"
     )
 
 
 def write_full_scan_log(results: DataFrame, path: str, source_url: str, mode: str = "overwrite") -> None:
-    """K1 and K5 in one JSON-lines log; ``results`` should be a stored table, since three records types read it."""
+    """K1 and K5 in one JSON-lines log; ``results`` should be a stored table, since all kinds of record read it."""
     statistics = scan_statistics(results)
     _write(scan_started(statistics, source_url), path, mode, "json")
     _write(scan_log_records(results), path, "append", "json")
-    _write(scan_completed(statistics, version_distribution(results)), path, "append", "json")
+    _write(version_records(version_distribution(results)), path, "append", "json")
+    _write(scan_completed(statistics), path, "append", "json")
+
+
+def write_full_text_log(results: DataFrame, path: str, source_url: str, mode: str = "overwrite") -> None:
+    """K2 and K5 in one text log: the header block, a stamped line per result, the summary block."""
+    statistics = scan_statistics(results)
+    # A block's lines belong together, and are few: counters, and a line per version.
+    _write(render_scan_header(statistics, source_url, log=True).coalesce(1), path, mode, "text")
+    _write(render_scan_results(results, timestamps=True), path, "append", "text")
+    _write(render_scan_summary(statistics, version_distribution(results)), path, "append", "text")
 
 
 def _lines(rows: DataFrame, *lines: Column) -> DataFrame:
@@ -161,25 +161,30 @@ def render_scan_summary(statistics: DataFrame, distribution: DataFrame | None =
 # -- content searches ----------------------------------------------------------------------------------------------------
 
 
-def search_log_records(results: DataFrame, search_term: str) -> DataFrame:
-    """K3: one record per project with its matches nested; ``part`` is left out of projects that need one record."""
-    matches = F.when(F.size("matches") > 0, F.col("matches"))
-    return results.select(
-        _now(results).alias("timestamp"),
-        "project_name",
-        _optional(results, "project_path").alias("project_path"),
-        F.lit(search_term).alias("search_term"),
-        matches.alias("matches"),
-        "match_count",
-        _optional(results, "error").alias("error"),
-        "index",
-        "total_projects",
-        F.nullif(_optional(results, "part", "int"), F.lit(0)).alias("part"),
+def search_log_records(results: DataFrame, matches: DataFrame, search_term: str) -> DataFrame:
+    """K3: one record per project with its counts, and one per file with matches (``type`` "file_matches") that nests them.
+
+    ``results`` are project rows, ``matches`` flat or nested by file.
+    """
+    nested = matches if "matches" in matches.columns else nest_by_file(matches)
+    stamp = _now(results).alias("timestamp")
+    keys = [stamp, "project_name", _optional(results, "project_path").alias("project_path"), F.lit(search_term).alias("search_term")]
+    place = ["index", "total_projects"]
+    projects = results.select(*keys, "match_count", "files_with_matches", _optional(results, "error").alias("error"), *place)
+    by_file = nested.select(F.col("project_id").alias("id"), "file_path", F.col("matches").alias("_matches"), F.col("match_count").alias("_n"))
+    entries = F.transform(
+        "_matches",
+        lambda m: F.struct(F.col("file_path").alias("file_path"), *[m[c].alias(c) for c in ("line_number", "line_content", "matched_text")]),
+    )
+    files = results.drop("match_count").join(by_file, "id").select(
+        F.lit("file_matches").alias("type"), *keys, "file_path", entries.alias("matches"), F.col("_n").alias("match_count"), *place
     )
+    return projects.unionByName(files, allowMissingColumns=True)
 
 
-def render_search_results(results: DataFrame, timestamps: bool = False) -> DataFrame:
-    """K4: a heading per project, then a line per match.  ``line_no`` orders the lines of one project."""
+def render_search_results(results: DataFrame, matches: DataFrame, timestamps: bool = False) -> DataFrame:
+    """K4: a heading per project and a line per match.  Ordered by ``index``, ``file_path`` and ``line_number``, a heading
+    (where the latter two are null) stands above its lines."""
     error = _optional(results, "error")
     found = "%d match(es)" if timestamps else "%d match(es) found"
     text = (
@@ -188,23 +193,21 @@ def render_search_results(results: DataFrame, timestamps: bool = False) -> DataF
         .otherwise(F.format_string(found, "match_count"))
     )
     heading = F.concat(*([_stamp(results)] if timestamps else []), _place(), F.col("project_name"), F.lit(": "), text)
-    shown = F.when(error.isNull(), F.coalesce("matches", F.array().cast(_MATCHES))).otherwise(F.array().cast(_MATCHES))
-    lines = F.transform(shown, lambda m: F.format_string("  %s:%d: %s", m["file_path"], m["line_number"], m["line_content"]))
-    rows = results.select("index", F.posexplode(F.concat(F.array(heading), lines)).alias("line_no", "value"))
-    return rows
-
-
-_MATCHES = "array<struct<file_path:string,line_number:bigint,line_content:string,matched_text:string>>"
+    headings = results.select("index", heading.alias("value"))
+    line = F.format_string("  %s:%d: %s", "file_path", "line_number", "line_content")
+    shown = results.where(error.isNull()).select("id", "index")
+    lines = matches.withColumnRenamed("project_id", "id").join(shown, "id").select("index", "file_path", "line_number", line.alias("value"))
+    return headings.unionByName(lines, allowMissingColumns=True)
 
 
 def write_search_log(
-    results: DataFrame, path: str, search_term: str, mode: str = "overwrite", fmt: str = "json"
+    results: DataFrame, matches: DataFrame, path: str, search_term: str, mode: str = "overwrite", fmt: str = "json"
 ) -> None:
     """K3, K4."""
     if fmt == "text":
-        rows = render_search_results(results, timestamps=True).select("value")
+        rows = render_search_results(results, matches, timestamps=True).orderBy("index", "file_path", "line_number").select("value")
     else:
-        rows = search_log_records(results, search_term)
+        rows = search_log_records(results, matches, search_term)
     _write(rows, path, mode, fmt)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusrules.session import spread
+# Set it to deal out tables that a reader would hand to few tasks; unset, tables are read as they are split.
+PARTITIONS_CONF = "spark.corpusrules.inputPartitions"
 
 # A manifest corpus derived from ``part`` by SQL both Spark and DuckDB run.  Four parts make a project with a file of a
 # different kind each; every third part instead goes to one large shared project, a file per package folder.
@@ -106,7 +107,7 @@ SELECT id,
 FROM (
   SELECT CAST(1 + (p_partkey - p_partkey % 4) / 4 AS BIGINT) AS id FROM part GROUP BY 1
   UNION ALL
-  SELECT CAST(0 AS BIGINT) AS id FROM part WHERE p_partkey = 0
+  SELECT CAST(0 AS BIGINT) AS id FROM part WHERE p_partkey % 3 = 0 GROUP BY 1
 ) AS ids
 """
 
@@ -115,10 +116,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def document_files(spark: SparkSession, sf_dir: str, cheap: bool = False) -> DataFrame:
-    """Documents as files: the source is the project, the language a folder.  Byte searches are too ``cheap`` to spread."""
-    documents = table(spark, sf_dir, "documents")
-    return as_document_files(documents if cheap else spread(documents, "doc_id"))
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` over as many partitions as the caller's session asks for, if it does."""
+    wanted = df.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the project, the language a folder."""
+    return as_document_files(_dealt(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def as_document_files(documents: DataFrame) -> DataFrame:
@@ -149,7 +155,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
+    return _dealt(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         F.col("conv_id").alias("project_id"),
         F.concat("role", F.lit("/"), F.col("turn").cast("string")).alias("file_path"),
         F.col("text").alias("content"),
@@ -162,7 +168,7 @@ def _sql(spark: SparkSession, part: DataFrame, sql: str) -> DataFrame:
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, spread(table(spark, sf_dir, "part"), "p_partkey"), MANIFEST_SQL)
+    return _sql(spark, _dealt(table(spark, sf_dir, "part"), "p_partkey"), MANIFEST_SQL)
 
 
 def manifest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +178,7 @@ def manifest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as very small files: the user is the project, the properties the content."""
     name = F.concat(F.lit("event-"), F.col("event_id").cast("string"), F.lit(".py"))
-    return spread(table(spark, sf_dir, "events"), "event_id").select(
+    return _dealt(table(spark, sf_dir, "events"), "event_id").select(
         F.col("user_id").alias("project_id"),
         name.alias("file_path"),
         name.alias("file_name"),

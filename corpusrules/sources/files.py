@@ -37,9 +37,15 @@ def inventory(
 
 
 def fetch_content(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Content of the wanted ``(project_id, file_path[, ref])``; what does not exist gives no row."""
+    """Content of the wanted ``(project_id, file_path[, ref])``; what does not exist gives no row.
+
+    Files no one asks for drop out by path alone, before contents can meet the wanted keys in a shuffle; where Spark can
+    broadcast the keys, nothing is shuffled at all.
+    """
     keys = [c for c in ("project_id", "file_path", "ref") if c in wanted.columns and c in files.columns]
-    return files.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    asked = wanted.select(*keys).distinct()
+    present = files.select(*keys).join(asked, keys, "left_semi").distinct()
+    return files.join(present, keys, "left_semi")
 
 
 def _metadata(files: DataFrame) -> dict[str, Column]:

@@ -15,8 +15,6 @@ _COMPLETED = (
     "python_projects",
     "non_python_projects",
     "error_count",
-    "version_counts",
-    "part",
 )
 
 
@@ -38,3 +36,20 @@ def scan_log_headers(log: DataFrame) -> DataFrame:
 
 def scan_log_summaries(log: DataFrame) -> DataFrame:
     return log.where(F.col("type") == "scan_completed").select(*_COMPLETED)
+
+
+def scan_log_versions(log: DataFrame) -> DataFrame:
+    """Projects per detected version: from a record each, or from the map in the summary of an older log."""
+    single = log.where(F.col("type") == "version_count").select("python_version", "projects")
+    mapped = log.where(F.col("type") == "scan_completed").select(F.explode("version_counts").alias("python_version", "projects"))
+    return single.union(mapped)
+
+
+def search_log_projects(log: DataFrame) -> DataFrame:
+    """One row per project and search; an older log's rows still nest their matches."""
+    return log.where(F.col("type").isNull()).drop("type", "file_path")
+
+
+def search_log_matches(log: DataFrame) -> DataFrame:
+    """All matches as rows, with their project's name and place."""
+    return log.select("project_name", "project_path", "search_term", "index", "total_projects", F.inline("matches"))

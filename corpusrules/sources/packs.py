@@ -9,7 +9,8 @@ from corpusrules.rulepack import DEFAULT_PRIORITY, Rule, RulePack, Search, enabl
 from corpusrules.schemas import PACK, RULES
 from corpusrules.session import collect_small
 
-MAX_PACK_ENTRIES = 10_000
+# A pack is unrolled into plans on the driver; more entries than this are data, to be joined as a table.
+MAX_PACK_ENTRIES = 100_000
 
 
 def read_pack(spark: SparkSession, path: str) -> DataFrame:

@@ -1,88 +1,94 @@
-"""Raw repository trees, ``root/<project_id>/...``, as a ``files`` relation.
+"""Raw repository trees, ``root/<project folder>/...``, as a ``files`` relation.
 
 Spark's own file sources leave out every name that starts with a dot or an underscore, and version files do.  Trees are
-therefore listed and read through Arrow file systems inside Spark tasks: list, filter on names and sizes, then read.
+therefore listed through Arrow file systems inside Spark tasks, one level of folders after the other: each level's folders
+are dealt out over tasks, whichever project they are in.  Land a tree once (``land_files``), then scan or stream the landed
+table, which has every file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from posixpath import basename
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamReader
 
 from corpusrules.functions.text import base_name
+from corpusrules.session import scratch_path
 
-LISTING = "project_id bigint, file_path string, file_name string, size bigint, modified_at timestamp, location string"
+_ENTRIES = "path string, is_folder boolean, size bigint, modified_at timestamp"
 _ROWS_PER_BATCH = 10_000
 _BYTES_PER_BATCH = 32 * 1024 * 1024
 
 
-def _partitions(spark: SparkSession, wanted: int | None) -> int:
-    return wanted or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _level(spark: SparkSession, folders: DataFrame, root: str) -> DataFrame:
+    """Entries of the given folders, written so that they are listed once."""
 
-
-def list_tree(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """S3 over a raw tree: every file of every project, hidden ones too, without content.
-
-    One task names the projects, then each project is listed by some task; only names and sizes travel.
-    """
-
-    def projects(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-        found = [i.path for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
-        for start in range(0, len(found), _ROWS_PER_BATCH):
-            yield pd.DataFrame({"folder": found[start : start + _ROWS_PER_BATCH]})
-
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for folder in batch["folder"]:
-                yield from _list_project(system, folder)
+            for folder in batch["path"]:
+                infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+                for start in range(0, len(infos), _ROWS_PER_BATCH):
+                    part = infos[start : start + _ROWS_PER_BATCH]
+                    yield pd.DataFrame(
+                        {
+                            "path": [i.path for i in part],
+                            "is_folder": [i.type == fs.FileType.Directory for i in part],
+                            "size": pd.Series([i.size for i in part], dtype="Int64"),
+                            "modified_at": pd.to_datetime([i.mtime for i in part], utc=True).tz_localize(None),
+                        }
+                    )
+
+    path = scratch_path(spark, "listing")
+    folders.repartition("path").mapInPandas(entries, _ENTRIES).write.parquet(path)
+    return spark.read.schema(_ENTRIES).parquet(path)
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """S3 over a raw tree: every file of every project, hidden ones too, without content.
 
-    n = _partitions(spark, partitions)
-    folders = spark.range(0, 1, 1, 1).mapInPandas(projects, "folder string").repartition(n, "folder")
-    return folders.mapInPandas(listing, LISTING)
+    ``project`` is the name of the project's folder, ``project_id`` the same as a number where it is one.
+    """
+    from pyarrow import fs
 
+    _, base = fs.FileSystem.from_uri(root)
+    base = base.rstrip("/")
+    folders = spark.createDataFrame([(base,)], "path string")
+    levels = []
+    while True:
+        entries = _level(spark, folders, root)
+        levels.append(entries.where("not is_folder"))
+        folders = entries.where("is_folder").select("path")
+        if folders.isEmpty():
+            break
+    below = F.substr("path", F.lit(len(base) + 2))
+    project = F.substring_index(below, "/", 1)
+    path = F.substr(below, F.length(project) + 2)
+    # Files that lie beside the project folders belong to no project.
+    files = reduce(DataFrame.union, levels).where(below.contains("/"))
+    return files.select(
+        project.alias("project"),
+        project.try_cast("bigint").alias("project_id"),
+        path.alias("file_path"),
+        base_name(path).alias("file_name"),
+        "size",
+        "modified_at",
+        F.col("path").alias("location"),
+    )
 
-def _list_project(system, folder: str) -> Iterator[pd.DataFrame]:
-    """Rows of one project, folder by folder, so that a large project is never held whole."""
-    from pyarrow import fs
 
-    name = basename(folder.rstrip("/"))
-    project = int(name) if name.isdigit() else None
-    pending = [folder]
-    while pending:
-        infos = system.get_file_info(fs.FileSelector(pending.pop(), allow_not_found=True))
-        pending += [i.path for i in infos if i.type == fs.FileType.Directory]
-        files = [i for i in infos if i.type == fs.FileType.File]
-        for start in range(0, len(files), _ROWS_PER_BATCH):
-            part = files[start : start + _ROWS_PER_BATCH]
-            yield pd.DataFrame(
-                {
-                    "project_id": pd.Series([project] * len(part), dtype="Int64"),
-                    "file_path": [i.path[len(folder) :].lstrip("/") for i in part],
-                    "file_name": [i.base_name for i in part],
-                    "size": [i.size for i in part],
-                    "modified_at": pd.to_datetime([i.mtime for i in part], utc=True).tz_localize(None),
-                    "location": [i.path for i in part],
-                }
-            )
-
-
-def read_listed(listing: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+def read_listed(listing: DataFrame, root: str) -> DataFrame:
     """S4 over a raw tree: content of the listed files; files gone since then give no row.
 
     Filter the listing first.  Files are dealt out evenly over the tasks, whichever project they are from.
     """
-    schema = LISTING.replace("location string", "content binary")
+    kept = [f for f in listing.schema.fields if f.name != "location"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", content binary"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -103,31 +109,9 @@ def read_listed(listing: DataFrame, root: str, partitions: int | None = None) ->
                     yield rows[rows["content"].notna()]
                     contents, start, held = [], i + 1, 0
 
-    return listing.repartition(_partitions(listing.sparkSession, partitions)).mapInPandas(read, schema)
-
-
-def read_tree(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """All files of a raw tree with their content.  Land them once (``land_files``) when they are scanned often."""
-    return read_listed(list_tree(spark, root, partitions), root, partitions)
+    return listing.repartition("location").mapInPandas(read, schema)
 
 
-def stream_tree(reader: DataStreamReader, root: str) -> DataFrame:
-    """New files below ``root/<project_id>/`` as a stream.
-
-    This is Spark's binary file source, which never shows names starting with a dot or an underscore; where those count,
-    land trees as Parquet and stream the landed files.
-    """
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    raw = reader.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    relative = F.substring_index(F.col("path"), base + "/", -1)
-    project = F.substring_index(relative, "/", 1)
-    path = F.substr(relative, F.length(project) + 2)
-    return raw.select(
-        project.try_cast("bigint").alias("project_id"),
-        path.alias("file_path"),
-        base_name(path).alias("file_name"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
-        "content",
-    )
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All files of a raw tree with their content.  Land them once when they are scanned often."""
+    return read_listed(list_tree(spark, root), root)

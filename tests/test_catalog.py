@@ -40,3 +40,14 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_nothing_depends_on_the_optional_subpackage():
+    root = Path(entry.__file__).parent
+    for path in [*root.glob("corpusrules/**/*.py"), root / "bench.py", *root.glob("tests/*.py")]:
+        if "llm" not in path.relative_to(root).parts[:2]:
+            assert "corpusrules.llm" not in path.read_text().replace('"corpusrules.llm" not in', ""), path
+
+
+def test_absent_modules_are_passed_over():
+    assert not entry._present("corpusrules.nothing.catalog") and entry._present("corpusrules.plans.catalog")

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusrules.operators.search import project_matches, search_lines
+from corpusrules.operators.search import project_matches, search_files, search_lines
 from corpusrules.operators.skew import with_position
 from corpusrules.operators.stats import scan_statistics, search_statistics, version_distribution
 from corpusrules.rulepack import Search, builtin_pack
@@ -20,11 +20,20 @@ from corpusrules.sources.files import (
     inventory,
     land_files,
 )
-from corpusrules.sources.logs import read_scan_log, read_search_log, scan_log_headers, scan_log_results, scan_log_summaries
+from corpusrules.sources.logs import (
+    read_scan_log,
+    read_search_log,
+    scan_log_headers,
+    scan_log_results,
+    scan_log_summaries,
+    scan_log_versions,
+    search_log_matches,
+    search_log_projects,
+)
 from corpusrules.sources.packs import load_rules, load_searches, pack_as_table, read_pack, rules_table, searches_table
 from corpusrules.sources.projects import list_active_projects, list_projects, read_projects
 from corpusrules.sources.snippets import search_group_snippets
-from corpusrules.sources.tree import list_tree, read_listed, read_tree, stream_tree
+from corpusrules.sources.tree import list_tree, read_listed, read_tree
 from corpusrules.sources.urls import split_source_url
 from corpusrules.streaming.scan import append_detections, append_matches, publish_running, running_statistics, stream_table
 
@@ -69,6 +78,8 @@ def tree(tmp_path_factory):
         "1/src/app.py": "print('TODO')\n",
         "2/Dockerfile": "FROM python:3.9\n",
         "2/docs/a/readme.md": "x" * 100,
+        "team-x/.gitlab-ci.yml": "image: python:3.8\n",
+        "beside.txt": "of no project",
     }.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
@@ -77,12 +88,13 @@ def tree(tmp_path_factory):
 
 def test_tree_source(spark, tree):
     listing = list_tree(spark, tree)
-    rows = {(r.project_id, r.file_path): (r.file_name, r.size) for r in listing.collect()}
+    rows = {(r.project, r.project_id, r.file_path): (r.file_name, r.size) for r in listing.collect()}
     assert rows == {
-        (1, ".python-version"): (".python-version", 5),
-        (1, "src/app.py"): ("app.py", 14),
-        (2, "Dockerfile"): ("Dockerfile", 16),
-        (2, "docs/a/readme.md"): ("readme.md", 100),
+        ("1", 1, ".python-version"): (".python-version", 5),
+        ("1", 1, "src/app.py"): ("app.py", 14),
+        ("2", 2, "Dockerfile"): ("Dockerfile", 16),
+        ("2", 2, "docs/a/readme.md"): ("readme.md", 100),
+        ("team-x", None, ".gitlab-ci.yml"): (".gitlab-ci.yml", 18),
     }
     small = read_listed(listing.where("size < 10"), tree).collect()
     assert [(r.file_path, bytes(r.content)) for r in small] == [(".python-version", b"3.11\n")]
@@ -123,7 +135,7 @@ def test_inventory_options(spark):
 def test_landing(spark, tree):
     path = scratch_path(spark, "files")
     land_files(read_tree(spark, tree), path)
-    assert spark.read.parquet(path).count() == 4
+    assert spark.read.parquet(path).count() == 5
 
 
 def test_fetch(spark, tree):
@@ -150,10 +162,10 @@ def test_contents_and_metadata(spark):
 @pytest.mark.parametrize(
     "url,base,namespace",
     [
-        ("gitlab.com/group/subgroup", "https://gitlab.com", "group/subgroup"),
-        ("gitlab.com/myorg/", "https://gitlab.com", "myorg"),
-        ("http://gitlab.local/myorg", "http://gitlab.local", "myorg"),
-        ("gitlab.com", "https://gitlab.com", ""),
+        ("code.example.org/tools/build", "https://code.example.org", "tools/build"),
+        ("forge.example.net/atlas/", "https://forge.example.net", "atlas"),
+        ("http://10.1.2.3/lab", "http://10.1.2.3", "lab"),
+        ("code.example.org", "https://code.example.org", ""),
         ("https://host:8443//a/b//?x=1#y", "https://host:8443", "a/b"),
     ],
 )
@@ -282,18 +294,45 @@ def test_scan_log(spark, results):
     frontend = next(r for r in raw if r.get("project_name") == "frontend")
     assert set(frontend) == {"timestamp", "project_name", "project_path", "index", "total_projects"}
     done = next(r for r in raw if r.get("type") == "scan_completed")
-    assert done["version_counts"] == {"3.11.5": 1} and done["error_count"] == 1 and "part" not in done
+    assert done["error_count"] == 1 and "version_counts" not in done
     log = read_scan_log(spark, path)
     assert scan_log_results(log).count() == 3
+    assert [tuple(r) for r in scan_log_versions(log).collect()] == [("3.11.5", 1)]
     assert scan_log_headers(log).first().gitlab_url == "https://host/org"
     summary = scan_log_summaries(log).first()
     assert (summary.total_projects, summary.python_projects, summary.non_python_projects) == (3, 1, 1)
 
 
-def test_summary_without_versions(spark, results):
-    none = results.where("project_name = 'frontend'")
-    r = K.scan_completed(scan_statistics(none), version_distribution(none)).first()
-    assert r.version_counts == {} and r.total_projects == 1
+def test_many_versions_are_one_summary(spark):
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("p"), "id").alias("project_name"),
+        F.concat(F.lit("3."), "id").alias("python_version"),
+        F.lit("f").alias("detection_source"),
+        F.lit(None).cast("string").alias("error"),
+        F.col("id").alias("index"),
+        F.lit(20_000).cast("long").alias("total_projects"),
+    )
+    path = scratch_path(spark, "scan-log")
+    K.write_full_scan_log(rows, path, "u")
+    log = read_scan_log(spark, path)
+    assert [r.python_projects for r in scan_log_summaries(log).collect()] == [20_000]
+    assert scan_log_versions(log).agg(F.count("*"), F.sum("projects")).first() == (20_000, 20_000)
+    assert scan_log_results(log).count() == 20_000
+
+
+def test_older_logs_are_read_too(spark, tmp_path):
+    old = {"type": "scan_completed", "total_projects": 2, "python_projects": 2, "version_counts": {"3.9": 2}}
+    (tmp_path / "old.json").write_text(json.dumps(old))
+    log = read_scan_log(spark, str(tmp_path))
+    assert [tuple(r) for r in scan_log_versions(log).collect()] == [("3.9", 2)]
+    assert scan_log_summaries(log).first().total_projects == 2
+
+
+def test_full_text_log(spark, results):
+    path = scratch_path(spark, "text-log")
+    K.write_full_text_log(results, path, "https://host/org")
+    found = lines(spark.read.text(path))
+    assert len(found) == 5 + 3 + 9 and found.count("=== Scan Summary ===") == 1 and "Errors: 1" in found
 
 
 def test_append_and_overwrite(spark, results):
@@ -311,8 +350,9 @@ def test_search_logs(spark, make_files):
     files = make_files((1, "a.py", "x TODO\ny\nTODO z"), (2, "b.py", "none"))
     projects = spark.createDataFrame([(1, "one"), (2, "two")], "id long, project_name string")
     numbered = with_position(projects, ["project_name"], "index", "total_projects")
-    results = project_matches(numbered, search_lines(files, Search("todo")))
-    rendered = K.render_search_results(results).orderBy("index", "line_no").collect()
+    matches = search_lines(files, Search("todo"))
+    results = project_matches(numbered, matches)
+    rendered = K.render_search_results(results, matches).orderBy("index", "file_path", "line_number").collect()
     assert [r.value for r in rendered] == [
         "[1/2] one: 2 match(es) found",
         "  a.py:1: x TODO",
@@ -320,19 +360,37 @@ def test_search_logs(spark, make_files):
         "[2/2] two: no matches",
     ]
     failed = results.where("index = 2").withColumn("error", F.lit("boom"))
-    assert [r.value for r in K.render_search_results(failed).collect()] == ["[2/2] two: Error - boom"]
+    assert [r.value for r in K.render_search_results(failed, matches).collect()] == ["[2/2] two: Error - boom"]
     path = scratch_path(spark, "search-log")
-    K.write_search_log(results, path, "todo")
-    log = {r.project_name: r for r in read_search_log(spark, path).collect()}
-    assert log["one"].match_count == 2 and log["one"].matches[1].line_number == 3 and log["two"].matches is None
+    K.write_search_log(results, matches, path, "todo")
+    log = read_search_log(spark, path)
+    counted = {r.project_name: (r.match_count, r.files_with_matches) for r in search_log_projects(log).collect()}
+    assert counted == {"one": (2, 1), "two": (0, 0)}
+    assert sorted((r.project_name, r.file_path, r.line_number) for r in search_log_matches(log).collect()) == [("one", "a.py", 1), ("one", "a.py", 3)]
     text = scratch_path(spark, "search-text")
-    K.write_search_log(results, text, "todo", fmt="text")
-    assert spark.read.text(text).count() == 4
-    stats = search_statistics(results.groupBy("id").agg(F.sum("match_count").alias("match_count")))
+    K.write_search_log(results, matches, text, "todo", fmt="text")
+    assert [r.value.split("] ")[-1] for r in spark.read.text(text).collect()] == ["one: 2 match(es)", "  a.py:1: x TODO", "  a.py:3: TODO z", "two: no matches"]
+    stats = search_statistics(results)
     assert lines(K.render_search_header(stats, 'a"b')) == ['Searching 2 projects for "a\\"b"']
     assert lines(K.render_search_summary(stats)) == ["Search complete: 2 projects scanned, 1 with matches (2 total matches)"]
 
 
+def test_hundreds_of_hits_in_one_file_are_one_result(spark, make_files):
+    files = make_files((1, "a.py", "\n".join(["hit"] * 300)), (1, "b.py", "hit"), (2, "c.py", "none"))
+    projects = spark.createDataFrame([(1, "one"), (2, "two")], "id long, project_name string")
+    numbered = with_position(projects, ["project_name"], "index", "total_projects")
+    matches = search_lines(files, Search("hit"))
+    results = project_matches(numbered, matches)
+    headings = [r.value for r in K.render_search_results(results, matches).where("file_path is null").collect()]
+    assert sorted(headings) == ["[1/2] one: 301 match(es) found", "[2/2] two: no matches"]
+    path = scratch_path(spark, "search-log")
+    K.write_search_log(results, matches, path, "hit")
+    raw = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert sorted((r.get("type", ""), r["project_name"], r["match_count"]) for r in raw) == [("", "one", 301), ("", "two", 0), ("file_matches", "one", 1), ("file_matches", "one", 300)]
+    nested = {r.file_path: r.match_count for r in search_files(files, Search("hit")).collect()}
+    assert nested == {"a.py": 300, "b.py": 1}
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------------
 
 
@@ -353,9 +411,12 @@ def test_incremental_scan(spark, tmp_path, make_files):
 
 def test_stream_search(spark, tmp_path, tree):
     out = str(tmp_path / "out")
-    files = stream_tree(spark.readStream, tree)
-    append_matches(files, Search("todo"), out, str(tmp_path / "state")).awaitTermination()
-    assert [(r.project_id, r.file_path) for r in spark.read.json(out).collect()] == [(1, "src/app.py")]
+    landed = str(tmp_path / "landed")
+    land_files(read_tree(spark, tree), landed)
+    files = stream_table(spark, spark.read.parquet(landed).schema, landed)
+    append_matches(files, Search("python"), out, str(tmp_path / "state")).awaitTermination()
+    # Hidden files arrive like any other.
+    assert sorted(r.file_path for r in spark.read.json(out).collect()) == [".gitlab-ci.yml", "Dockerfile"]
     with pytest.raises(ValueError):
         append_matches(files, Search("todo", max_matches=1), out, str(tmp_path / "s2"))
 

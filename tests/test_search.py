@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 from corpusrules.operators.search import (
     cap_per_file,
     cap_per_project,
+    nest_by_file,
     project_matches,
     projects_with_matches,
     projects_without_matches,
     search_content,
+    search_files,
     search_lines,
+    skipped_counts,
     snippet_matches,
 )
-from corpusrules.operators.skew import nest, top_n, with_position
+from corpusrules.operators.skew import top_n, with_position
 from corpusrules.operators.stats import matches_by_file, search_statistics
 from corpusrules.plans.reports import content_search, version_scan
 from corpusrules.rulepack import Search
@@ -67,6 +70,28 @@ def test_names_and_sizes(files):
     assert {r[0] for r in found(search_lines(files, Search("todo", is_regex=True, max_file_size=60)))} == {"src/a.py"}
 
 
+def test_no_limit_unless_asked_for(make_files):
+    files = make_files((1, "big.txt", "x" * (1 << 20) + "\nneedle 1"), (1, "small.txt", "needle 2"), (2, "b.md", "y" * 99))
+    for search in (Search(r"needle \d", is_regex=True), Search("needle"), Search("needle", max_file_size=0), Search.from_record({"name": "n", "search_term": "needle", "max_file_size": 0})):
+        assert len(found(search_lines(files, search))) == 2
+    limited = Search.from_record({"name": "n", "search_term": "needle", "file_patterns": ["*.txt"], "max_file_size": 50})
+    assert [r[0] for r in found(search_lines(files, limited))] == ["small.txt"]
+    assert [tuple(r) for r in skipped_counts(files, [limited, Search("needle")]).collect()] == [("n", 1, 1)]
+
+
+def test_no_searches(files):
+    with pytest.raises(ValueError, match="no search"):
+        search_content(files, [])
+
+
+def test_pack_scans_once(spark, make_files, tmp_path):
+    make_files((1, "a", "x\ny"), (1, "b", "x")).write.parquet(str(tmp_path / "f"))
+    table = spark.read.parquet(str(tmp_path / "f"))
+    capped = search_content(table, [Search("x", max_matches=1), Search("y"), Search("z", max_matches=5000)])
+    assert capped._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted((r.search_name, r.file_path) for r in capped.collect()) == [("x", "a"), ("y", "a")]
+
+
 def test_case_folding_keeps_positions(make_files):
     files = make_files((1, "t", "İİİ Straße ÉTÉ ok"))
     assert found(search_lines(files, Search("été")))[0][3] == "ÉTÉ"
@@ -131,9 +156,11 @@ def projects(spark):
 
 def test_projects(files, projects):
     hits = search_lines(files, Search("password"))
-    rows = {r.id: r for r in project_matches(projects, hits).collect()}
-    assert {i: r.match_count for i, r in rows.items()} == {1: 1, 2: 0, 3: 0}
-    assert rows[1].matches[0].matched_text == "password" and rows[2].matches is None
+    rows = {r.id: (r.match_count, r.files_with_matches) for r in project_matches(projects, hits).collect()}
+    assert rows == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+    nested = search_files(files, Search("password")).collect()
+    assert [(r.file_path, r.match_count, r.matches[0].matched_text) for r in nested] == [("src/b.yml", 1, "password")]
+    assert [tuple(r) for r in nest_by_file(hits).collect()] == [tuple(r) for r in nested]
     assert [r.id for r in projects_with_matches(projects, hits).collect()] == [1]
     assert sorted(r.id for r in projects_without_matches(projects, hits).collect()) == [2, 3]
 
@@ -177,26 +204,28 @@ def test_top_n_drops_rows_before_the_shuffle(skewed):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_nest_splits_hot_keys_only(skewed):
-    rows = nest(skewed, ["k"], [F.col("v")], F.struct("v"), "items", 1000).collect()
-    parts = {}
-    for r in rows:
-        parts.setdefault(r.k, []).append(r)
-        values = [x.v for x in r["items"]]
-        assert values == sorted(values)
-    assert len(parts[0]) > 5 and max(len(r["items"]) for r in parts[0]) <= 1000
-    assert all(len(p) == 1 and p[0].part == 0 for k, p in parts.items() if k != 0)
-    assert sorted(x.v for r in rows for x in r["items"]) == list(range(20_000))
-
-
-def test_nest_without_keys(spark):
-    rows = nest(spark.range(50), [], [F.col("id")], F.struct("id"), "items", 10).collect()
-    assert sorted(x.id for r in rows for x in r["items"]) == list(range(50)) and len(rows) > 1
+def test_large_caps_have_no_task_with_the_hot_key(spark):
+    hot = spark.range(40_000).select(F.lit(0).alias("k"), F.col("id").alias("v")).repartition(8)
+    df = top_n(hot, ["k"], ["v"], 5000, rank="r")
+    assert sorted(r.v for r in df.collect()) == list(range(5000))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # Only the ranges' sizes are windowed; rows were ranked where their range lies.
+    assert "row_number" not in plan
+    # Rows as few as these would be put together again, or broadcast.
+    as_at_scale = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for key, value in as_at_scale.items():
+            spark.conf.set(key, value)
+        ranked = top_n(hot, ["k"], ["v"], 39_000, rank="r")
+        assert ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 39_000
+    finally:
+        for key in as_at_scale:
+            spark.conf.unset(key)
 
 
 def test_positions(spark):
     df = spark.range(1000).select(F.format_string("%05d", 999 - F.col("id")).alias("p")).repartition(7)
-    rows = with_position(df, ["p"], "i", "n", partitions=5).collect()
+    rows = with_position(df, ["p"], "i", "n").collect()
     assert sorted((r.p, r.i) for r in rows) == [(f"{i:05d}", i + 1) for i in range(1000)]
     assert {r.n for r in rows} == {1000}
     assert with_position(df.limit(0), ["p"]).count() == 0
@@ -206,8 +235,9 @@ def test_positions(spark):
 
 
 def test_search_report(files, projects):
-    reports = content_search(projects, files, [Search("todo", "t"), Search("absent", "n")])
-    first, second = reports
+    searches = [Search("todo", "t"), Search("absent", "n")]
+    report = content_search(projects, files, searches)
+    first, second = (report.of(s) for s in searches)
     s = first.statistics.first()
     assert (s.total_projects, s.projects_with_hits, s.total_matches) == (3, 2, 3)
     assert second.statistics.first().projects_with_hits == 0
@@ -217,7 +247,7 @@ def test_search_report(files, projects):
 
 
 def test_search_report_leaves_out_other_projects(files, projects):
-    report = content_search(projects.where("id = 2"), files, [Search("todo")])[0]
+    report = content_search(projects.where("id = 2"), files, [Search("todo")])
     assert report.statistics.first().total_matches == 1
 
 

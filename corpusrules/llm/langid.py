@@ -62,9 +62,11 @@ def family_of(families: Mapping[str, tuple[str, ...]] = FAMILIES) -> dict[str, s
 def has_letters(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     flat, bounds = text_buffer(texts)
-    lower = _LOWER[flat]
-    ascii_letters = np.concatenate([[0], np.cumsum((lower >= 0x61) & (lower <= 0x7A), dtype=np.int64)])
-    found = ascii_letters[bounds[1:]] > ascii_letters[bounds[:-1]]
+    found = np.zeros(len(texts), dtype=bool)
+    for first, last in pieces(bounds, 1 << 20):
+        lower = _LOWER[flat[bounds[first] : bounds[last]]]
+        letters = ((lower >= 0x61) & (lower <= 0x7A)).astype(np.int32)
+        found[first:last] = row_sums(letters, bounds[first : last + 1] - bounds[first]) > 0
     for k in np.flatnonzero(~found):
         if texts[int(k)].is_valid:
             found[k] = any(c.isalpha() for c in texts[int(k)].as_py())

@@ -170,7 +170,7 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
         lengths = np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum())
         found = (v @ q) / lengths
-    odd = ~(np.isfinite(found) & (lengths > 1e-290))
+    odd = ~(np.isfinite(found) & np.isfinite(lengths) & (lengths > 1e-290))
     if odd.any():
         q, v = q / np.abs(q).max(), v[odd] / np.abs(v[odd]).max(axis=1, keepdims=True)
         found[odd] = (v @ q) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))

@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusrules.llm.components import components
 from corpusrules.llm.storage import free_name, written
-from corpusrules.llm.words import hash_words, mix, row_sums, shingle_sets, split_words
+from corpusrules.llm.words import hash_words, mix, release, released, row_sums, shingle_sets, split_words
 
 WIDTH = 5
 #: Links need 100 * intersection >= 80 * union; the ratio in lowest terms.
@@ -88,7 +88,7 @@ def _distinct_sets(sizes: np.ndarray, nodes: np.ndarray, shingles: np.ndarray) -
 
 def _describer(width: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sizes, nodes, shingles = _batch_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.nulls(len(batch), pa.int64()), pa.nulls(len(batch), pa.int64())], schema=schema
@@ -118,7 +118,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
 
 def _mapper(width: int, buckets: int, heavy: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             sizes, nodes, shingles = _distinct_sets(*_batch_sets(batch.column("text"), width))
             if not len(shingles):
                 continue
@@ -160,6 +160,7 @@ def _reducer(buckets: int) -> Callable:
     kind = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("often", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         tokens = _joined(table.column("tokens"), np.uint64)
         owner = np.repeat(_joined(table.column("nodes"), np.int64), _joined(table.column("lengths"), np.int32))
         if table.column("bucket")[0].as_py() >= buckets:
@@ -201,6 +202,7 @@ _CANDIDATE_ARROW = pa.schema(
 
 def _gather(found: pa.Table, known: pa.Table) -> pa.Table:
     """Nodes with enough shared shingles: those ascending, the rarest that a link must touch, and how typical the set is."""
+    release()
     tokens, often = _joined(found.column("tokens"), np.uint64), _joined(found.column("often"), np.int32)
     wide = np.array([len(x.as_buffer()) // 8 for x in found.column("tokens")], np.int64)
     nodes, n = known.column("node").to_numpy(), known.column("n").to_numpy()
@@ -284,9 +286,15 @@ def small_links(candidates: DataFrame, most: int) -> DataFrame:
     return rows.join(least, "key").select(F.col("node").alias("a"), other.alias("b")).where("b is not null and a <> b").distinct()
 
 
-def _fit(a: Column, b: Column, most: int) -> Column:
-    """Sizes that can link, at least one of them large."""
-    return (F.lit(OF) * F.least(a, b) >= F.lit(NEED) * F.greatest(a, b)) & (F.greatest(a, b) > most)
+def _fit(a: str, b: str, most: int) -> Column:
+    """What sizes and places allow; one set is large.
+
+    Shingles that no other node has count for the size but can never be in an overlap, nor can those before the first one
+    that a pair has in common.  A pair that links passes at that shingle, which both prefixes hold; it need not pass at others.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    shared = F.least(F.col(f"{a}.shared") - F.col(f"{a}.place"), F.col(f"{b}.shared") - F.col(f"{b}.place"))
+    return (F.lit(NEED + OF) * shared >= F.lit(NEED) * (n + m)) & (F.greatest(n, m) > most)
 
 
 def small_side(pairs: DataFrame) -> DataFrame:
@@ -295,43 +303,56 @@ def small_side(pairs: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) that link, by exact overlap."""
+    """The rows of ``pairs`` (``a``, ``b`` and more) whose nodes link, by exact overlap."""
+    names = pairs.columns
     pairs = small_side(written(pairs, "pairs"))
     sets = candidates.select("node", "n", "tokens")
-    first = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    second = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return second.join(pairs, "b").join(first, "a").where(F.lit(NEED + OF) * both >= F.lit(NEED) * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def large_links(candidates: DataFrame, small: DataFrame, most: int) -> DataFrame:
-    """Links of pairs with a large set, enough of them for the components that all links make (with ``small`` ones)."""
-    posts = candidates.select("node", "n", "typical", F.explode("prefix").alias("token"))
-    heads = (
-        posts.groupBy("token")
-        .agg(F.max(F.struct("typical", "node", "n")).alias("head"), F.count("*").alias("members"))
-        .where("members > 1")
-        .select("token", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    )
-    stars = posts.join(heads, "token").where((F.col("node") != F.col("head")) & _fit(F.col("n"), F.col("head_n"), most))
-    first = written(compared(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), candidates).union(small), "links")
-    roots = written(components(first), "roots")
-    placed = posts.select("node", "n", "token").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = sets.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_ta"))
+    second = sets.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("tokens").alias("_tb"))
+    both = F.size(F.array_intersect("_ta", "_tb"))
+    return second.join(pairs, "b").join(first, "a").where(F.lit(NEED + OF) * both >= F.lit(NEED) * (F.col("_na") + F.col("_nb"))).select(*names)
+
+
+def star_links(candidates: DataFrame, posts: DataFrame, most: int) -> DataFrame:
+    """Links of each list's most typical member with the others that it links to."""
+    head = F.max(F.struct("typical", "node", "n", "shared", "place")).alias("head")
+    heads = posts.groupBy("token").agg(head, F.count("*").alias("members")).where("members > 1").select("token", "head.*")
+    met = posts.alias("p").join(heads.alias("h"), F.col("p.token") == F.col("h.token"))
+    met = met.where((F.col("p.node") != F.col("h.node")) & _fit("p", "h", most))
+    return compared(met.select(F.col("h.node").alias("a"), F.col("p.node").alias("b")).distinct(), candidates)
+
+
+def rest_links(candidates: DataFrame, posts: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Links between components (``ra``, ``rb``): all pairs of a list that are in different ones and fit are compared."""
+    placed = posts.drop("typical").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_posts = written(placed.join(mixed, "token", "left_semi"), "open")
-    left = open_posts.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = open_posts.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fit(F.col("na"), F.col("nb"), most))
-    return first.union(compared(rest.select("a", "b").distinct(), candidates))
+    met = open_posts.alias("p").join(open_posts.alias("q"), F.col("p.token") == F.col("q.token"))
+    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fit("p", "q", most))
+    pairs = met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+    return compared(pairs.distinct(), candidates).select("ra", "rb")
+
+
+def linked_nodes(candidates: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of every node that links with another."""
+    most = boundary(candidates)
+    posts = candidates.select("node", "n", F.size("tokens").alias("shared"), "typical", F.posexplode("prefix").alias("place", "token"))
+    roots = written(components(written(star_links(candidates, posts, most).union(small_links(candidates, most)), "links")), "roots")
+    rest = written(rest_links(candidates, posts, roots, most), "rest")
+    if rest.isEmpty():
+        return roots
+    # Components that link are joined; this graph has a node per component only.
+    joined = written(components(rest, "ra", "rb"), "joined").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    grown = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return grown.union(alone)
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: ``id``, ``n`` (set size), ``component`` (smallest id that links reach), ``node``, ``root``."""
     described, frequent = describe(docs, id_col, text_col, width)
     candidates = shared_sets(docs, described, frequent, text_col, width)
-    most = boundary(candidates)
-    roots = components(large_links(candidates, small_links(candidates, most), most))
-    roots = roots.select(F.col("node").alias("member"), F.col("root"))
+    roots = linked_nodes(candidates).select(F.col("node").alias("member"), F.col("root"))
     placed = described.join(roots, described["node"] == roots["member"], "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")
     least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
@@ -358,17 +379,19 @@ def first_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     own = free_name(docs, "node")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("first")
     named = found.select("id", "node", "root").distinct()
-    kept = named.groupBy("root").agg(first).select(F.col("first.id").alias("id"), F.col("first.node").alias("node"))
-    dropped = written(named.select("id", "node").join(kept, F.col("id").eqNullSafe(kept["id"]) & (named["node"] == kept["node"]), "left_anti"), "dropped")
+    kept = named.groupBy("root").agg(first).select(F.col("first.id").alias("first_id"), F.col("first.node").alias("first_node"))
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node"))
+    dropped = written(named.select("id", "node").join(kept, is_first, "left_anti"), "dropped")
     again = written(found.groupBy("id", "node").count().where("count > 1").select("id", "node"), "again")
     marked = docs.withColumn(own, F.arrow_udf(lambda texts: set_nodes(texts, width), T.LongType())(F.col(text_col).cast("string")))
 
-    def meets(other: DataFrame):
-        return docs[id_col].eqNullSafe(other["id"]) & (F.col(own) == other["node"])
+    def met(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("o.id")) & (F.col(f"d.`{own}`") == F.col("o.node"))
+        return rows.alias("d").join(small_side(other).alias("o"), same, how)
 
-    left = marked.join(small_side(dropped), meets(dropped), "left_anti")
+    left = met(marked, dropped, "left_anti")
     if again.isEmpty():
         return left.drop(own)
-    single = left.join(small_side(again), meets(again), "left_anti")
-    several = left.join(small_side(again), meets(again), "left_semi").dropDuplicates([id_col, own])
+    single = met(left, again, "left_anti")
+    several = met(left, again, "left_semi").dropDuplicates([id_col, own])
     return single.union(several).drop(own)

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusrules.llm.words import released
+
 WINDOW = 10
 MAX_AUTOMATON_BYTES = 32 << 20
 
@@ -91,7 +93,7 @@ def _scanner(shared: Broadcast):
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton, known = _automaton(shared)
-        for texts, earlier in batches:
+        for texts, earlier in released(batches):
             out = []
             for text, before in zip(texts, earlier, strict=True):
                 line = normalised(text.as_py() or "")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusrules.llm.storage import free_name
-from corpusrules.llm.words import _LOWER, pieces, row_sums, text_buffer
+from corpusrules.llm.words import _LOWER, pieces, release, released, row_sums, text_buffer
 
 BINS = 1 << 12
 PER_CLASS = 1000
@@ -160,6 +160,8 @@ def _fitter(table: pa.Table) -> pa.Table:
     x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table.column("features")])
     y = table.column("sign").to_numpy().astype(np.float32)
     weights, bias = fit_svm(x, y)
+    del x
+    release()
     return pa.table({"pair": pa.array(table.column("pair")[:1].to_pylist(), pa.int32()), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
 
@@ -232,7 +234,7 @@ def language_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column
 
     @F.arrow_udf(GUESS)
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             langs, score = predict(texts, shared.value)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], fields=list(_GUESS_ARROW))
 

@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusrules.llm.tokens import VOCABULARY, encoding, vocabulary
+from corpusrules.llm.words import released
 
 LENGTH = 2048
 END = PAD = 50256
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_000_000
 
 
 class Capacities:
@@ -141,7 +142,7 @@ def packed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             table = pa.Table.from_pydict({c: packed[c] for c in arrow.names}, schema=arrow)
             yield from table.to_batches(max_chunksize=1024)
 
-        for batch in batches:
+        for batch in released(batches):
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 tokens = np.array([*(encode(text.as_py()) if text.is_valid else ()), end], "<u4")
                 held.append((doc, tokens))

@@ -6,8 +6,9 @@ own), so memory follows the longest text, not the batch.  Null texts have no wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+import ctypes
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,24 @@ SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
 
 
+Item = TypeVar("Item")
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library keep for later back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(batches: Iterable[Item]) -> Iterator[Item]:
+    """The batches; what one of them took is given back before the next."""
+    for batch in batches:
+        yield batch
+        release()
+
+
 class Words(NamedTuple):
     """Words of rows ``first`` to ``last`` (exclusive): byte bounds in ``data``, and each word's row within the piece."""
 

@@ -13,16 +13,18 @@ from corpusrules.llm.jaccard import first_of_each_group
 from corpusrules.llm.langid import with_known_language
 from corpusrules.llm.mixing import mixed_documents
 from corpusrules.llm.packing import packed_rows
-from corpusrules.llm.storage import table, written
+from corpusrules.llm.storage import small_batches, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language; those without letters, or like no language that was learned, go."""
+    small_batches(spark)
     return with_known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return first_of_each_group(docs)
 
 
@@ -38,6 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of token ids."""
+    small_batches(spark)
     return packed_rows(docs)
 
 

@@ -12,6 +12,11 @@ Families come from ``FAMILIES``; a language that is not in it is a family of its
 Null texts and texts without letters are ``und`` with score 0; so is everything when nothing could be learned.  Rows with
 a null language, or a text without letters, are not learned from.  A single class wins with probability 1; equal votes go
 to the smaller name.  Other columns are not read.
+
+A score depends on the number of classes, so it does not tell whether a text is in its language at all.  ``likeness`` does:
+each language has a profile (the shares of the trigrams in its sampled rows), and a text is held to be in the language it
+was given if half a mixture of that profile and of trigrams drawn evenly explains it no worse than even draws alone do.
+Other languages do not enter, however many there are.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SCALE = 10.0
 PENALTY = 1e-3
 STEPS = 300
 STEEPNESS = 2.0
+#: Trigrams that a row counts for in a profile at most, so that no long text speaks for a language; seen before any row.
+PROFILE_TRIGRAMS, PRIOR = 1000, 0.5
 
 #: Families of common languages.
 FAMILIES = {
@@ -133,6 +140,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
+def profile(x: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """For each bin the logarithm of how much likelier it is where half the trigrams are as in these rows than where all are even."""
+    counts = (np.minimum(trigrams, PROFILE_TRIGRAMS) / SCALE) @ x + PRIOR
+    return np.log((1 + counts / counts.sum() * len(counts)) / 2)
+
+
 class Classifier(NamedTuple):
     """Positive margins mean ``one``, negative ones ``other``; ``family`` is None for pairs of families."""
 
@@ -144,10 +157,12 @@ class Classifier(NamedTuple):
 
 
 class Model(NamedTuple):
-    """Families with their languages, and a classifier for each pair of families and of languages of a family."""
+    """Families with their languages, a classifier for each pair of families and of languages of a family, and profiles if asked for."""
 
     families: dict[str, tuple[str, ...]]
     classifiers: tuple[Classifier, ...]
+    #: For each language with rows to learn from: the logarithm each trigram adds to a text's likeness.
+    profiles: dict[str, np.ndarray] = {}
 
 
 @F.arrow_udf(T.BinaryType())
@@ -159,14 +174,14 @@ def _features(texts: pa.Array) -> pa.Array:
 def _fitter(table: pa.Table) -> pa.Table:
     x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table.column("features")])
     y = table.column("sign").to_numpy().astype(np.float32)
-    weights, bias = fit_svm(x, y)
+    weights, bias = fit_svm(x, y) if y.any() else (profile(x, table.column("trigrams").to_numpy()), 0.0)
     del x
     release()
     return pa.table({"pair": pa.array(table.column("pair")[:1].to_pylist(), pa.int32()), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS, families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """A model from all rows given, of which about ``per_class`` a language are looked at."""
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS, families: Mapping[str, tuple[str, ...]] = FAMILIES, profiled: bool = False) -> Model:
+    """A model from all rows given, of which about ``per_class`` a language are looked at; with profiles if ``profiled``."""
     named = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
     place = family_of(families)
@@ -175,23 +190,26 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     bar = F.lit(0.0)
     for lang, n in counts.items():
         bar = F.when(F.col("lang") == lang, F.lit(min(1.0, per_class / n))).otherwise(bar)
-    sample = named.where(luck < bar).withColumn("features", _features("text")).where("features is not null").select("lang", "features")
+    sample = named.where(luck < bar).withColumn("features", _features("text")).where("features is not null").select("lang", "features", F.greatest(F.octet_length("text") - 2, F.lit(0)).alias("trigrams"))
     langs: dict[str, list[str]] = {}
     for lang in sorted(counts):
         langs.setdefault(place.get(lang, lang), []).append(lang)
     pairs = [(None, a, b, langs[a], langs[b]) for a, b in combinations(sorted(langs), 2)]
     pairs += [(family, a, b, [a], [b]) for family in sorted(langs) for a, b in combinations(langs[family], 2)]
     fitted: dict[int, tuple[np.ndarray, float]] = {}
-    if pairs:
+    known = sorted(counts) if profiled else []
+    if pairs or known:
         roles = [
             F.when(F.col("lang").isin(one), F.struct(F.lit(k).alias("pair"), F.lit(1).alias("sign"))).when(F.col("lang").isin(other), F.struct(F.lit(k).alias("pair"), F.lit(-1).alias("sign")))
             for k, (_, _, _, one, other) in enumerate(pairs)
         ]
-        rows = sample.select("features", F.explode(F.array_compact(F.array(*roles))).alias("role")).select("features", "role.pair", "role.sign")
+        roles += [F.when(F.col("lang") == lang, F.struct(F.lit(len(pairs) + k).alias("pair"), F.lit(0).alias("sign"))) for k, lang in enumerate(known)]
+        rows = sample.select("features", "trigrams", F.explode(F.array_compact(F.array(*roles))).alias("role")).select("features", "trigrams", "role.pair", "role.sign")
         trained = rows.groupBy("pair").applyInArrow(_fitter, "pair int, weights binary, bias double")
         fitted = {r[0]: (np.frombuffer(r[1], np.float32), r[2]) for r in trained.collect()}
     blank = np.zeros(BINS, np.float32), 0.0
-    return Model({f: tuple(v) for f, v in langs.items()}, tuple(Classifier(f, a, b, *fitted.get(k, blank)) for k, (f, a, b, _, _) in enumerate(pairs)))
+    profiles = {lang: fitted[len(pairs) + k][0] for k, lang in enumerate(known) if len(pairs) + k in fitted}
+    return Model({f: tuple(v) for f, v in langs.items()}, tuple(Classifier(f, a, b, *fitted.get(k, blank)) for k, (f, a, b, _, _) in enumerate(pairs)), profiles)
 
 
 def _level(names: list[str], classifiers: list[tuple[int, Classifier]], margin: np.ndarray) -> np.ndarray:
@@ -228,6 +246,19 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return list(langs), np.clip(score, 0, 1)
 
 
+def likeness(texts: pa.Array, langs: list[str], model: Model) -> np.ndarray:
+    """How each text bears out the language it was given: a logarithm of odds, below 0 if even draws explain it better.
+
+    A language without a profile (no row of it had letters) is neither borne out nor refuted: 0.
+    """
+    names = sorted(model.profiles)
+    columns = {lang: k for k, lang in enumerate([*names, None])}
+    weights = np.stack([*(model.profiles[lang] for lang in names), np.zeros(BINS, np.float32)], axis=1)
+    mean = margins(texts, weights, np.zeros(len(columns)))
+    own = mean[np.arange(len(texts)), [columns.get(lang, len(names)) for lang in langs]]
+    return own / SCALE * np.maximum(np.diff(text_buffer(texts)[1]) - 2, 0)
+
+
 def language_of(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column ``struct<lang_pred, score>`` for the rows of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -256,9 +287,22 @@ def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return slim.withColumn("guess", language_of(slim, model)).select(id_col, held_out(id_col, folds, fold).alias("held_out"), "guess.lang_pred", "guess.score")
 
 
-def with_known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2, folds: int = 5, fold: int = 0) -> DataFrame:
-    """``docs`` without the documents that are in no language: no letters, or a score below ``least``."""
-    own = free_name(docs, "guess")
-    model = fit(docs.where(~held_out(id_col, folds, fold)), text_col=text_col, lang_col=lang_col, id_col=id_col)
-    marked = docs.withColumn(own, language_of(docs, model, text_col))
-    return marked.where((F.col(f"{own}.lang_pred") != UNKNOWN) & (F.col(f"{own}.score") >= least)).drop(own)
+def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", odds: float = 0.05) -> Column:
+    """Whether each text has a language, and bears it out with these odds at least; below 1, so that short texts get the benefit of the doubt."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.BooleanType())
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in released(batches):
+            langs, _ = predict(texts, shared.value)
+            spoken = np.array([lang != UNKNOWN for lang in langs], dtype=bool)
+            yield pa.array(spoken & (likeness(texts, langs, shared.value) >= np.log(odds)), pa.bool_())
+
+    return known(F.col(text_col).cast("string"))
+
+
+def with_known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", odds: float = 0.05, folds: int = 5, fold: int = 0) -> DataFrame:
+    """``docs`` without the documents that are in no language: no letters, or odds below ``odds`` for the language they are most like."""
+    own = free_name(docs, "known")
+    model = fit(docs.where(~held_out(id_col, folds, fold)), text_col=text_col, lang_col=lang_col, id_col=id_col, profiled=True)
+    return docs.withColumn(own, in_known_language(docs, model, text_col, odds)).where(F.col(own)).drop(own)

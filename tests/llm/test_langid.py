@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from corpusrules.llm import langid as op
 
@@ -61,6 +62,25 @@ def test_filter(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(texts)))
 
 
+def made_up(langs, seed=6):
+    """Each language has twelve syllables of its own over the same letters."""
+    rng = random.Random(seed)
+    return {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 3))) for _ in range(12)] for lang in langs}
+
+
+# One family of eleven, eleven families of one, and five families of which one has four.
+@pytest.mark.parametrize("langs", ["da de en fy is nb nl nn no sv yi en", "en fr pl hi tr fi lt ga ar xa xb xc", "da de en sv fr pl hi tr", "en", "en fr"], ids=["family", "families", "both", "one", "two"])
+def test_filter_whatever_the_number_of_languages(docs, langs):
+    rng, langs = random.Random(7), sorted(set(langs.split()))
+    spoken = made_up(langs)
+    values = [(lang, " ".join("".join(rng.choices(spoken[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(2, 60)))) for lang in langs for _ in range(30)]
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(40)) for _ in range(20)]
+    half = [values[k][1] + " " + gibberish[k][: len(values[k][1])] for k in range(0, 20)]
+    texts = [t for _, t in values] + half + ["q", "Zq"] + gibberish
+    kept = sorted(r["doc_id"] for r in op.with_known_language(docs(*texts, lang=[lang for lang, _ in values] + [None] * (len(texts) - len(values)))).collect())
+    assert kept == list(range(len(texts) - len(gibberish)))
+
+
 def test_trigrams_stay_within_texts():
     texts = pa.array(["abc", "", None, "de", "fabcabc"])
     shares = op.trigram_shares(texts)

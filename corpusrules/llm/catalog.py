@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, tokens
 from corpusrules.llm.oracles import ORACLES as ORACLES
-from corpusrules.llm.storage import table
+from corpusrules.llm.storage import table, written
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"))
+    # Answers are read from the written sums, without encoding texts again.
+    return tokens.answered(written(tokens.token_counts(table(spark, sf_dir, "documents")), "sums"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Documents are encoded whole, one after the other inside tasks; only (length, number of documents) leaves them, already
 added up.  The histogram has one row per length that occurs.  Sums over all longer lengths answer, for a limit that is a
 row: how many documents and tokens exceed it, and how many tokens remain when every document is cut to it.  ``at_limits``
-does so for any limits, ``quantiles`` for any shares.
+does so for any limits, by the sums of the first length above each, ``quantiles`` for any shares.  ``answered`` puts the
+answers beside the lengths they were read from.
 
 Sums run in stripes of ``STRIPE`` lengths with the stripes' totals added, so no task sees the whole histogram.
 
@@ -28,6 +29,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STRIPE = 4096
+#: Context limits and shares that ``answered`` gives unless asked for others.
+CONTEXTS = tuple(1 << k for k in range(7, 18))
+SHARES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
 
 def vocabulary(spark: SparkSession, path: str = VOCABULARY):
@@ -93,20 +97,46 @@ def with_suffix_sums(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """For each context limit: documents that fit, tokens in all, tokens kept when cut to it, tokens lost."""
-    longer, more = F.col("length") > F.col("context"), F.lit(0)
-    # Each row meets the few limits asked for; partial sums leave the tasks.
-    rows = sums.select("length", "n_docs", F.explode(F.array(*(F.lit(int(x)).cast("long") for x in limits))).alias("context"))
-    tokens = F.col("n_docs") * F.col("length")
-    kept = F.sum(F.col("n_docs") * F.least("length", "context"))
-    return rows.groupBy("context").agg(F.sum(F.when(longer, more).otherwise(F.col("n_docs"))).alias("docs_within"), F.sum(tokens).alias("tokens"), kept.alias("tokens_kept"), (F.sum(tokens) - kept).alias("tokens_lost"))
-
-
-def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """For each share: the shortest length that this share of all documents does not exceed."""
-    rows = sums.select("length", "share_up_to", F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share"))
-    return rows.where("share_up_to >= share").groupBy("share").agg(F.min("length").alias("length"))
+def at_limits(sums: DataFrame, limits: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """For each context limit (and group): documents that fit, tokens in all, tokens kept when cut to it, tokens lost.
+
+    ``length`` is the greatest that fits, null if none does.
+    """
+    row = F.struct("length", "docs_at_least", "tokens_at_least")
+    # The sums of the first length above a limit are those of all that exceed it; those of the least length, of all.
+    looked = {int(x): (F.max(F.when(F.col("length") <= int(x), F.col("length"))), F.min(F.when(F.col("length") > int(x), row))) for x in limits}
+    found = sums.groupBy(*by).agg(F.min(row).alias("whole"), F.array(*(F.struct(F.lit(x).cast("long").alias("context"), fits.alias("length"), above.alias("above")) for x, (fits, above) in looked.items())).alias("looked"))
+    rows = found.where("whole is not null").select(*by, "whole", F.explode("looked").alias("at")).select(*by, "whole", "at.*")
+    docs, tokens = (F.coalesce(F.col(f"above.{c}"), F.lit(0)) for c in ("docs_at_least", "tokens_at_least"))
+    lost = tokens - docs * F.col("context")
+    return rows.select(*by, "context", (F.col("whole.docs_at_least") - docs).alias("docs_within"), F.col("whole.tokens_at_least").alias("tokens"), (F.col("whole.tokens_at_least") - lost).alias("tokens_kept"), lost.alias("tokens_lost"), "length")
+
+
+def quantiles(sums: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """For each share (and group): the shortest length that this share of all documents does not exceed."""
+    looked = [F.struct(F.lit(x).alias("share"), F.min(F.when(F.col("share_up_to") >= x, F.col("length"))).alias("length")) for x in dict.fromkeys(map(float, shares))]
+    found = sums.groupBy(*by).agg(F.explode(F.array(*looked)).alias("at"))
+    return found.select(*by, "at.*").where("length is not null")
+
+
+def answered(sums: DataFrame, *, limits: Sequence[int] = CONTEXTS, shares: Sequence[float] = SHARES, by: Sequence[str] = ()) -> DataFrame:
+    """``sums`` with two arrays: ``contexts``, the answers for limits from this length up to the next one (those below every
+    length are at the least), and ``quantiles``, the shares that this length is the quantile of.  Each answer is there once."""
+    least = sums.groupBy(*by).agg(F.min("length").alias("least"))
+    answer = F.struct("context", "docs_within", "tokens", "tokens_kept", "tokens_lost")
+
+    def beside(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        """A join in which null groups meet."""
+        named = other.select(*[F.col(c).alias(f"o_{c}") for c in keys], *[c for c in other.columns if c not in keys])
+        same = F.lit(True)
+        for c in keys:
+            same &= F.col(c).eqNullSafe(F.col(f"o_{c}"))
+        return rows.join(named if keys else F.broadcast(named), same, how).drop(*[f"o_{c}" for c in keys])
+
+    met = beside(at_limits(sums, limits, by), least, by, "inner").withColumn("length", F.coalesce("length", "least"))
+    contexts = met.groupBy(*by, "length").agg(F.sort_array(F.collect_list(answer)).alias("contexts"))
+    shared = quantiles(sums, shares, by).groupBy(*by, "length").agg(F.sort_array(F.collect_list("share")).alias("quantiles"))
+    return beside(beside(sums, contexts, [*by, "length"], "left"), shared, [*by, "length"], "left")
 
 
 def token_counts(docs: DataFrame, *, text_col: str = "text", by: Sequence[str] = (), path: str = VOCABULARY) -> DataFrame:

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 
 from corpusrules.llm import packing, tokens
+from corpusrules.llm.catalog import QUERIES
 
 pytestmark = pytest.mark.skipif(not Path(tokens.VOCABULARY).exists(), reason="vocabulary files not present")
 
@@ -48,6 +49,32 @@ def test_groups_and_empty(docs, encode):
     assert tokens.token_counts(docs()).collect() == []
 
 
+def test_registered_result_answers_limits_and_quantiles(spark, docs, encode, tmp_path):
+    docs(*TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
+    lengths = sorted(len(encode(t)) for t in TEXTS)
+    rows = QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()
+    assert {r["length"]: r["n_docs"] for r in rows} == dict(Counter(lengths)) and len(rows) == len(set(lengths))
+    contexts = {c["context"]: c for r in rows for c in r["contexts"] or ()}
+    assert sorted(contexts) == list(tokens.CONTEXTS) and sum(len(r["contexts"] or ()) for r in rows) == len(contexts)
+    for c, r in contexts.items():
+        kept = sum(min(x, c) for x in lengths)
+        assert tuple(r)[1:] == (sum(x <= c for x in lengths), sum(lengths), kept, sum(lengths) - kept)
+    assert {s: r["length"] for r in rows for s in r["quantiles"] or ()} == {s: next(x for k, x in enumerate(lengths, 1) if k / len(lengths) >= s) for s in tokens.SHARES}
+
+
+def test_limits_come_from_suffix_sums(rows, docs, encode):
+    """Sums that a recount of the histogram would contradict, limits twice, groups, limits below every length, no rows."""
+    sums = rows("length long, n_docs long, docs_at_least long, tokens_at_least long", (4, None, 10, 100), (9, None, 3, 40))
+    got = {r["context"]: tuple(r)[1:] for r in tokens.at_limits(sums, [3, 5, 5, 9]).collect()}
+    assert got == {3: (0, 100, 30, 70, None), 5: (7, 100, 75, 25, 4), 9: (10, 100, 100, 0, 9)}
+    by = tokens.token_counts(docs("a", "a b c d", "a b", "a", source=["x", None, None, "x"]), by=["source"])
+    rows = tokens.answered(by, limits=[1, 3], shares=[0.5], by=["source"]).collect()
+    assert {(r["source"], c["context"]): tuple(c)[1:] for r in rows for c in r["contexts"] or ()} == {("x", 1): (2, 2, 2, 0), ("x", 3): (2, 2, 2, 0), (None, 1): (0, 6, 2, 4), (None, 3): (1, 6, 5, 1)}
+    assert {r["source"]: r["length"] for r in rows if r["quantiles"]} == {"x": 1, None: 2}
+    empty = tokens.token_counts(docs())
+    assert tokens.at_limits(empty, [1]).collect() == tokens.quantiles(empty, [0.5]).collect() == tokens.answered(empty).collect() == []
+
+
 @pytest.mark.parametrize("length,group", [(16, 40), (64, 10**6), (1, 3)])
 def test_packing_round_trip(docs, rows, encode, length, group):
     import numpy as np

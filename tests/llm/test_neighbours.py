@@ -1,9 +1,12 @@
 import math
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from corpusrules.llm import neighbours as op
+from corpusrules.llm.catalog import QUERIES
 
 
 def brute(vectors, k=5, every=50):
@@ -51,6 +54,28 @@ def test_recall(rows, clustered, points):
         assert all(s == pytest.approx(scores[i], abs=1e-12) for _, i, s in found)
 
 
+GIVEN = "/root/testdata/check_s"
+
+
+@pytest.mark.skipif(not Path(GIVEN).exists(), reason="given tables not present")
+def test_recall_of_the_registered_query(spark):
+    """Against brute force, block by block, on the given embeddings: two shards of production size."""
+    got = answers(QUERIES["op6_neighbours"](spark, GIVEN))
+    table = pq.read_table(f"{GIVEN}/embeddings.parquet")
+    ids = table["vec_id"].to_numpy()
+    vectors = np.stack(table["embedding"].to_numpy()).astype(float)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert len(ids) > op.SHARD_POINTS and set(got) == set(ids[asked].tolist())
+    hits = 0
+    for block in np.array_split(asked, -(-len(asked) // 256)):
+        scores = vectors[block] @ vectors.T
+        scores[np.arange(len(block)), block] = -2
+        nearest = np.argpartition(-scores, 5, axis=1)[:, :5]
+        hits += sum(len({i for _, i, _ in got[q]} & set(ids[near].tolist())) for q, near in zip(ids[block].tolist(), nearest, strict=True))
+    assert hits / (5 * len(asked)) >= 0.9
+
+
 def test_small_and_odd_rows(rows):
     values = [
         (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, None]), (8, []),

@@ -7,10 +7,11 @@ corpus to shards so that equal strings meet, and leave out what cannot repeat:
 2. A string of ``LENGTH`` bytes has an *anchor*: the ``GRAM``-byte piece with the least hash, the leftmost of equals.  Equal
    strings have equal anchors.  Successive strings of a text with one anchor are a *stretch*, and the strings' whole range
    its content.  Blocks send each (anchor, content) once, as hashes, to buckets by anchor, and get back for each whether the
-   anchor has one stretch only (nothing in it repeats), whether the content occurs again (everything in it repeats), and
-   whether this block is to send the content itself: once per content, if its anchor has several.
-3. Contents go to shards by anchor.  A shard joins its contents, separated, into one text on the task's scratch disk and
-   sorts its suffixes with bounded memory, whatever its size; neighbours with ``LENGTH`` common bytes are repeats.
+   anchor has one stretch only (nothing in it repeats) or whether this block is to send the content itself.
+3. Contents go to shards by anchor, once per block, with all places where the block has the same bytes.  A shard joins its
+   contents, separated, into one text on the task's scratch disk, equal bytes once with the number of their places, and
+   sorts its suffixes with bounded memory, whatever its size; neighbours with ``LENGTH`` common bytes are repeats, and so is
+   a suffix of a content with several places.  Hashes only say what cannot repeat.
 4. Each block joins what was found in it, and cuts its texts.
 
 All strings are judged on the input.  Matches never cross texts.  A null or empty text has no bytes and keeps none; repeated
@@ -21,6 +22,7 @@ bytes: a cut may fall within a character.
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -186,10 +188,6 @@ def _asker(buckets: int, length: int, gram: int) -> Callable:
     return run
 
 
-#: Bits of an answer.
-AGAIN, SEND = 1, 2
-
-
 def _answers(table: pa.Table) -> pa.Table:
     parts = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("anchors", np.uint64), ("contents", np.uint64), ("counts", np.uint8))]
     blocks = table.column("block").to_numpy()
@@ -202,14 +200,14 @@ def _answers(table: pa.Table) -> pa.Table:
     pair, group = np.cumsum(new_pair) - 1, np.cumsum(new_anchor) - 1
     times = np.bincount(pair) + np.bincount(pair, several[order])
     contents = np.bincount(group, new_pair)
-    answer = np.empty(len(order), np.uint8)
-    answer[order] = AGAIN * (times[pair] > 1) + SEND * ((contents[group] > 1) & new_pair)
+    send = np.empty(len(order), np.uint8)
+    send[order] = (times[pair] > 1) | (contents[group] > 1)
     cuts = np.cumsum([len(p) for p in parts[0]])[:-1]
-    return pa.table({"block": pa.array(blocks), "bucket": table.column("bucket").cast(pa.int32()), "answer": pa.array([x.tobytes() for x in np.split(answer, cuts)], pa.binary())})
+    return pa.table({"block": pa.array(blocks), "bucket": table.column("bucket").cast(pa.int32()), "answer": pa.array([x.tobytes() for x in np.split(send, cuts)], pa.binary())})
 
 
-_FOUND = "block long, shard int, start long, windows int, content binary, spans binary"
-_FOUND_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("start", pa.int64()), ("windows", pa.int32()), ("content", pa.binary()), ("spans", pa.binary())])
+_FOUND = "block long, shard int, starts binary, content binary"
+_FOUND_ARROW = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("starts", pa.binary()), ("content", pa.binary())])
 
 
 def _sender(shards: int, length: int, gram: int) -> Callable:
@@ -218,49 +216,65 @@ def _sender(shards: int, length: int, gram: int) -> Callable:
         for block, sizes, data in zip(*(table.column(c) for c in ("block", "sizes", "data")), strict=True):
             texts = _texts(sizes, data)
             found = stretches(texts, length, gram)
-            anchor, _, _, first, place = _pairs(found)
+            anchor, _, _, _, place = _pairs(found)
             order = np.argsort(answers.column("bucket").to_numpy())
             replies = answers.column("answer").to_pylist()
             answer = np.concatenate([np.frombuffer(replies[k], np.uint8) for k in order] or [np.zeros(0, np.uint8)])
-            again = (answer & AGAIN).astype(bool)[place] if len(place) else np.zeros(0, dtype=bool)
-            spans = np.stack([found.start[again], found.start[again] + found.windows[again] + length - 1], axis=1).astype(np.int64)
-            rows = [(None, 0, 0, None, spans.tobytes())]
-            for k in np.flatnonzero(answer & SEND):
-                s = first[k]
-                start, windows = int(found.start[s]), int(found.windows[s])
-                rows.append((int((anchor[k] & np.uint64(0xFFFFFFFF)) % np.uint64(shards)), start, windows, texts.data[start : start + windows + length - 1].tobytes(), None))
-            for row in rows:
-                for name, value in zip(_FOUND_ARROW.names, (block.as_py(), *row), strict=True):
-                    out[name].append(value)
+            asked = np.flatnonzero(answer[place]) if len(place) else np.zeros(0, np.int64)
+            asked = asked[np.argsort(place[asked], kind="stable")]
+            for own in np.split(asked, np.flatnonzero(np.diff(place[asked])) + 1) if len(asked) else ():
+                shard = int((anchor[place[own[0]]] & np.uint64(0xFFFFFFFF)) % np.uint64(shards))
+                starts: dict[bytes, list[int]] = {}
+                for start, windows in zip(found.start[own].tolist(), found.windows[own].tolist(), strict=True):
+                    starts.setdefault(texts.data[start : start + windows + length - 1].tobytes(), []).append(start)
+                for content, places in starts.items():
+                    for name, value in zip(_FOUND_ARROW.names, (block.as_py(), shard, np.array(places, np.int64).tobytes(), content), strict=True):
+                        out[name].append(value)
         return pa.Table.from_pydict(out, schema=_FOUND_ARROW)
 
     return run
 
 
+#: Rows of spans that leave a shard together.
+SPAN_ROWS = 4096
+
+
 def _sorter(length: int, memory: int) -> Callable:
-    """A shard's contents on disk, sorted; the repeated windows of each as spans of its block."""
+    """A shard's contents on disk, sorted; the repeated windows of each as spans of the blocks that have it."""
     schema = pa.schema([("block", pa.int64()), ("spans", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
             scratch = Scratch(folder)
             path, rows, size = scratch.file(), [], 0
-            with open(path, "wb") as file:
+            # By digest, where contents begin and in how many places they are; bytes are compared on the disk.
+            held: dict[bytes, list[list[int]]] = {}
+            with open(path, "w+b") as file:
                 for batch in batches:
-                    for block, start, windows, content in zip(*(batch.column(c) for c in ("block", "start", "windows", "content")), strict=True):
-                        raw = np.frombuffer(content.as_buffer(), np.uint8).astype(np.uint16) + np.uint16(2)
-                        file.write(np.append(raw, np.uint16(1)).tobytes())
-                        rows.append((block.as_py(), start.as_py(), windows.as_py(), size))
-                        size += len(raw) + 1
+                    for block, starts, content in zip(*(batch.column(c) for c in ("block", "starts", "content")), strict=True):
+                        raw = np.append(np.frombuffer(content.as_buffer(), np.uint8).astype(np.uint16) + np.uint16(2), np.uint16(1)).tobytes()
+                        alike = held.setdefault(hashlib.blake2b(raw, digest_size=16).digest(), [])
+                        if alike:
+                            file.flush()
+                        known = next((x for x in alike if os.pread(file.fileno(), len(raw), 2 * x[0]) == raw), None)
+                        if known is None:
+                            known = [size, 0]
+                            alike.append(known)
+                            file.write(raw)
+                            size += len(raw) // 2
+                        known[1] += len(starts.as_buffer()) // 8
+                        rows.append((block.as_py(), known, len(raw) // 2 - length, starts.as_py()))
                 file.write(np.zeros(1, np.uint16).tobytes())
+            del held
             repeated = repeated_windows(np.memmap(path, np.uint16, "r"), scratch, length, memory)
-            blocks, spans = [], []
-            for block, start, windows, at in rows:
-                own = np.flatnonzero(np.diff(np.concatenate([[0], repeated[at : at + windows].astype(np.int8), [0]])))
-                if len(own):
-                    blocks.append(block)
-                    spans.append((own.reshape(-1, 2) + start + np.array([0, length - 1])).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_pydict({"block": blocks, "spans": spans}, schema=schema)
+            for first in range(0, len(rows), SPAN_ROWS):
+                blocks, spans = [], []
+                for block, (at, places), windows, starts in rows[first : first + SPAN_ROWS]:
+                    own = np.flatnonzero(np.diff(np.concatenate([[0], (repeated[at : at + windows] | (places > 1)).astype(np.int8), [0]])))
+                    if len(own):
+                        blocks.append(block)
+                        spans.append((own.reshape(1, -1, 2) + np.frombuffer(starts, np.int64)[:, None, None] + np.array([0, length - 1])).astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_pydict({"block": blocks, "spans": spans}, schema=schema)
 
     return run
 
@@ -299,14 +313,13 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets, shards = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARD_BYTES))
     asked = blocks.select("block", "sizes", "data").mapInArrow(_asker(buckets, length, gram), "block long, bucket int, anchors binary, contents binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, answer binary")
-    found = written(blocks.select("block", "sizes", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sender(shards, length, gram), _FOUND), "contents")
+    found = blocks.select("block", "sizes", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sender(shards, length, gram), _FOUND)
     sort = _sorter(length, memory)
 
     def sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sort(batches)
 
-    sorted_spans = found.where("shard is not null").groupBy("shard").applyInArrow(sorted_shard, "block long, spans binary")
-    spans = found.where("shard is null").select("block", "spans").union(sorted_spans)
+    spans = found.groupBy("shard").applyInArrow(sorted_shard, "block long, spans binary")
     fields = [T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
     fields.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if kept else []))

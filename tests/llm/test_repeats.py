@@ -4,6 +4,8 @@ import tempfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from corpusrules.llm import repeats as op
@@ -74,6 +76,28 @@ def test_nothing_crosses_texts_and_long_texts(docs):
     assert got[4][1:] == (100_000, 1, hashlib.sha256(b"").hexdigest())
 
 
+def test_bytes_decide_not_hashes(monkeypatch):
+    """Every content has the same hash: what is removed is what brute force removes, and copies pass the sort."""
+    found = op.stretches
+    monkeypatch.setattr(op, "stretches", lambda *args: found(*args)._replace(content=np.zeros(len(found(*args).start), np.uint64)))
+    length, texts = 40, corpus(5, 40)
+    raw = [(t or "").encode() for t in texts]
+    halves = [raw[:30], raw[30:]]
+    blocks = pa.table({"block": [0, 1], "sizes": [[len(r) for r in half] for half in halves], "data": [pa.compress(b"".join(half), "zstd", asbytes=True) for half in halves]})
+    asked = pa.Table.from_batches(op._asker(1, length, 13)(blocks.to_batches()))
+    answers = op._answers(asked)
+    sent = pa.concat_tables(op._sender(1, length, 13)(blocks.slice(k, 1), answers.filter(pc.equal(answers["block"], k))) for k in (0, 1))
+    spans = pa.Table.from_batches(op._sorter(length, 16)(sent.to_batches()))
+    got = []
+    for k, half in enumerate(halves):
+        gone = np.zeros(sum(map(len, half)), bool)
+        for x in spans.filter(pc.equal(spans["block"], k))["spans"]:
+            for a, b in np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2):
+                gone[a:b] = True
+        got += [int(part.sum()) for part in np.split(gone, np.cumsum([len(r) for r in half])[:-1])]
+    assert got == [removed for _, removed, _, _ in brute(texts, length)] and sum(got) > 0
+
+
 def test_edges(docs, rows):
     assert op.without_repeats(docs()).collect() == []
     twins = rows("doc_id string, text string, block int", (None, "z" * 200, 1), (None, "z" * 200, 1), ("a", None, 1), ("b", "", 1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, tokens
+from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, sharding, tokens
 from corpusrules.llm.oracles import ORACLES as ORACLES
 from corpusrules.llm.storage import table, written
 
@@ -53,6 +53,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed_rows(table(spark, sf_dir, "documents")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.sharded(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hmm_scores": op8_hmm_scores,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_sharding": op11_sharding,
 }

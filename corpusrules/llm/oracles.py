@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusrules.llm.sharding import MULTIPLIERS, OVERHEAD, SEED, SHARDS, round_keys
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = rf"""
@@ -83,7 +85,39 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN target - whole * source_size > 0 AND ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
 """
 
+#: CRC-32 of a list of hex digit pairs: the table of its remainders, then a fold over the bytes.
+_CRC_TABLE = """(
+  SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+)"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295 :: BIGINT, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda p: ('0x' || p) :: BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+
+
+def _network(source: str) -> str:
+    """The Feistel network over ``x`` of ``source``, round by round, giving ``y``."""
+    one, two = MULTIPLIERS
+    text = f"SELECT i, n, lb, rb, x >> rb AS l, x & ((1::BIGINT << rb) - 1) AS r FROM {source}"
+    for k, key in enumerate(round_keys(SEED)):
+        text = f"SELECT *, (r + {key}) * {one} AS a FROM ({text})"
+        text = f"SELECT *, (xor(a, a >> 23) & 4294967295) * {two} AS b FROM ({text})"
+        wide = "rb" if k % 2 else "lb"
+        text = f"SELECT i, n, lb, rb, r AS l, xor(l, (xor(b, b >> 29) >> 20) & ((1::BIGINT << {wide}) - 1)) AS r FROM ({text})"
+    return f"SELECT i, n, lb, rb, (l << rb) | r AS y FROM ({text})"
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {OVERHEAD} AS size, {_CRC.format("coalesce(text, '')")} AS crc FROM documents, {_CRC_TABLE}
+), r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, size, crc) - 1 AS i, count(*) OVER () AS n FROM d
+), s AS (SELECT i, i AS x, n, bits // 2 AS lb, bits - bits // 2 AS rb FROM (SELECT i, n, greatest(2, ceil(log2(n)) :: BIGINT) AS bits FROM r)
+), walk AS ({_network("s")} UNION ALL {_network("(SELECT i, n, lb, rb, y AS x FROM walk WHERE y >= n)")}
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(y % {SHARDS} AS INTEGER) AS shard, CAST(y // {SHARDS} AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN walk ON r.i = walk.i AND y < r.n
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_sharding": OP11,
     "op9_suffix_dedup": OP9,
     "op10_mixing": OP10,
     "op3_ngram_jaccard": OP3,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, sharding, tokens
+from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, sharding, tokens, whitening
 from corpusrules.llm.oracles import ORACLES as ORACLES
 from corpusrules.llm.storage import table, written
 
@@ -57,6 +57,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.sharded(table(spark, sf_dir, "documents")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -69,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
     "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
 }

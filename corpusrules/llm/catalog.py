@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusrules.llm import decontaminate, hmm, jaccard, langid, mixing, neighbours, packing, quality, repeats, sharding, tokens, whitening
+from corpusrules.llm import decontaminate, hmm, jaccard, langid, merkle, mixing, neighbours, packing, quality, repeats, sharding, tokens, whitening
 from corpusrules.llm.oracles import ORACLES as ORACLES
 from corpusrules.llm.storage import table, written
 
@@ -61,6 +61,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whitened(table(spark, sf_dir, "embeddings")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_sharding": op11_sharding,
     "op12_whitening": op12_whitening,
+    "op13_merkle": op13_merkle,
 }

@@ -116,7 +116,60 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
 FROM r JOIN walk ON r.i = walk.i AND y < r.n
 """
 
+
+def _framed(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END" for c in columns)
+
+
+def _levels(name: str, tree: str, levels: int) -> str:
+    """Trees ``{name}0`` (``tree``, ``i``, ``h``) level by level up to ``16 ** levels`` leaves, with each node's siblings before and after it."""
+    parts = []
+    for k in range(levels):
+        run = f"(PARTITION BY {tree}, i // 16 ORDER BY i ROWS BETWEEN"
+        parts.append(f"""{name}{k}w AS (
+  SELECT {tree}, i, h, count(*) OVER (PARTITION BY {tree}) > 1 AS more, coalesce(string_agg(h, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM {name}{k}
+), {name}{k + 1} AS (
+  SELECT {tree}, i // 16 AS i, CASE WHEN any_value(more) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k}w GROUP BY ALL
+)""")
+    return ", ".join(parts)
+
+
+def _folds(name: str, tree: str, levels: int, of: str) -> str:
+    """Each document's fold up those trees, and its siblings on the way, from ``{of}`` (``j``: its leaf, ``f``, ``p``)."""
+    parts = []
+    for k in range(levels):
+        last = f"{name}f{k - 1}" if k else of
+        parts.append(f"""{name}f{k} AS (
+  SELECT {last}.* EXCLUDE (j, f, p), j // 16 AS j, CASE WHEN more THEN sha256(before || f || behind) ELSE f END AS f, CASE WHEN more THEN p || before || behind ELSE p END AS p
+  FROM {last} JOIN {name}{k}w w ON {last}.{tree} IS NOT DISTINCT FROM w.{tree} AND j = w.i
+)""")
+    return ", ".join(parts)
+
+
+#: Levels that the SQL climbs: 16 ** 6 documents a source, 16 ** 4 sources.
+_LOW, _HIGH = 6, 4
+OP13 = f"""
+WITH d AS (
+  SELECT *, sha256({_framed("doc_id", "source", "lang", "n_chars", "text")}) AS leaf, sha256({_framed("doc_id", "source", "lang", "n_chars", "lower_text")}) AS other
+  FROM (SELECT *, {_LOWER.format("text")} AS lower_text FROM documents)
+), t AS (
+  SELECT doc_id, source, leaf, CASE WHEN coalesce({_CRC.format("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) THEN other ELSE leaf END AS f,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j
+  FROM d, {_CRC_TABLE}
+), s0 AS (SELECT source, j AS i, leaf AS h FROM t
+), {_levels("s", "source", _LOW)}, g AS (SELECT source, h AS subroot, 1 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM s{_LOW}
+), u0 AS (SELECT one, place AS i, subroot AS h FROM g
+), {_levels("u", "one", _HIGH)}, a AS (SELECT doc_id, source, leaf, j, f, '' AS p FROM t
+), {_folds("s", "source", _LOW, "a")}, b AS (
+  SELECT doc_id, leaf, subroot, one, place AS j, f, p FROM sf{_LOW - 1} x JOIN g ON x.source IS NOT DISTINCT FROM g.source
+), {_folds("u", "one", _HIGH, "b")}
+SELECT doc_id, leaf, subroot, u{_HIGH}.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = u{_HIGH}.h AS verified FROM uf{_HIGH - 1} z JOIN u{_HIGH} USING (one)
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_merkle": OP13,
     "op11_sharding": OP11,
     "op9_suffix_dedup": OP9,
     "op10_mixing": OP10,

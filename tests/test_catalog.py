@@ -1,13 +1,14 @@
 """Every registered query against its reference answer in DuckDB, on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_DIR
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="benchmark tables not present")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusrules.llm.tokens import VOCABULARY, encoding, vocabulary
+from corpusrules.llm.tokens import VOCABULARY, encoded, encoding, vocabulary
 from corpusrules.llm.words import released
 
 LENGTH = 2048
@@ -130,7 +130,7 @@ def packed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(shared.value).encode_ordinary
+        encoder = encoding(shared.value)
         task, place = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
@@ -144,7 +144,7 @@ def packed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in released(batches):
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                tokens = np.array([*(encode(text.as_py()) if text.is_valid else ()), end], "<u4")
+                tokens = np.array([*(encoded(encoder, text.as_py()) if text.is_valid else ()), end], "<u4")
                 held.append((doc, tokens))
                 size += len(tokens)
                 if size >= group_tokens:

@@ -8,13 +8,15 @@ answers beside the lengths they were read from.
 
 Sums run in stripes of ``STRIPE`` lengths with the stripes' totals added, so no task sees the whole histogram.
 
-A null or empty text has length 0 and counts as a document.  Other columns are not read; grouping columns keep null as a
-group.  The vocabulary file is read once on the driver and shipped to the tasks.
+A null or empty text has length 0 and counts as a document.  Runs of white space may have any length (:func:`encoded`).  Other
+columns are not read; grouping columns keep null as a group.  The vocabulary file is read once on the driver and shipped to
+the tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -25,9 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusrules.llm.storage import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern means it, in runs that its engine could not hold on its stack (it ends at a million).
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 STRIPE = 4096
 #: Context limits and shares that ``answered`` gives unless asked for others.
 CONTEXTS = tuple(1 << k for k in range(7, 18))
@@ -47,15 +53,31 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def encoded(encoder: tiktoken.Encoding, text: str, blanks: re.Pattern = BLANKS) -> list[int]:
+    """The ids of a text.
+
+    Where the pattern meets a run of white space, it takes all of it at the end of the text, else all but the last character, which it
+    leaves to what follows.  Long runs are cut out just so, and merged as the one piece that they are; ids are the same.
+    """
+    ids, first = [], 0
+    for run in blanks.finditer(text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > first:
+            ids += encoder.encode_ordinary(text[first : run.start()])
+        ids += encoder._encode_single_piece(text[run.start() : last])
+        first = last
+    return ids + encoder.encode_ordinary(text[first:]) if first else encoder.encode_ordinary(text)
+
+
 def token_length(spark: SparkSession, text: Column, path: str = VOCABULARY) -> Column:
     """The encoded length of each text."""
     shared = vocabulary(spark, path)
 
     @F.arrow_udf(T.LongType())
     def length(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoding(shared.value).encode_ordinary
+        encoder = encoding(shared.value)
         for texts in batches:
-            yield pa.array(np.fromiter((len(encode(t.as_py())) if t.is_valid else 0 for t in texts), np.int64, len(texts)))
+            yield pa.array(np.fromiter((len(encoded(encoder, t.as_py())) if t.is_valid else 0 for t in texts), np.int64, len(texts)))
 
     return length(text.cast("string"))
 
@@ -140,5 +162,5 @@ def answered(sums: DataFrame, *, limits: Sequence[int] = CONTEXTS, shares: Seque
 
 
 def token_counts(docs: DataFrame, *, text_col: str = "text", by: Sequence[str] = (), path: str = VOCABULARY) -> DataFrame:
-    """The histogram with its suffix sums, one row per length (and group)."""
-    return with_suffix_sums(length_histogram(docs, text_col=text_col, by=by, path=path), by)
+    """The histogram with its suffix sums, one row per length (and group); the histogram is written, so texts are encoded once."""
+    return with_suffix_sums(written(length_histogram(docs, text_col=text_col, by=by, path=path), "lengths"), by)

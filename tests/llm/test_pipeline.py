@@ -5,7 +5,7 @@ import numpy as np
 import corpus_pipeline
 from corpusrules.llm import packing
 from corpusrules.llm.decontaminate import decontaminate
-from test_langid import corpus
+from made_texts import corpus
 
 
 def test_stages_and_whole_run(spark, tmp_path):

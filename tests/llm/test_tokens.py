@@ -1,3 +1,5 @@
+import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -22,6 +24,34 @@ def test_encoding_round_trip(encode):
     assert all(enc.decode(encode(t)) == t for t in TEXTS if t is not None)
 
 
+BLANK_RUNS = [" " * 2_000_000, "\n" * 2_000_000, " " * 2_000_000 + "word", "a" + "\u3000" * 500_000 + "\tb" + " " * 1_500_000]
+
+
+def test_long_runs_are_cut_as_the_pattern_cuts_them():
+    """The same ids with runs of two and more cut out as with none, whatever stands around them; and where the pattern alone would fail."""
+    enc = tokens.encoding(Path(tokens.VOCABULARY).read_bytes())
+    short = re.compile(tokens.BLANKS.pattern.replace("100000", "2"))
+    rng = random.Random(1)
+    pieces = [" ", "  ", "\n", "\r\n", "\t", "\xa0", "\u2003", "\x85", "\x1c", "a", "Zoë", "7", "'s", "'", "!!", "漢", "…", "\u200b"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 12)))
+        assert tokens.encoded(enc, text, short) == enc.encode_ordinary(text), repr(text)
+    run = " " * 60_000
+    assert tokens.encoded(enc, f"a{run}b{run}", short) == enc.encode_ordinary(f"a{run}b{run}")
+    for text in BLANK_RUNS:
+        assert enc.decode(tokens.encoded(enc, text)) == text
+
+
+def test_long_runs_through_the_queries(spark, docs, tmp_path):
+    enc = tokens.encoding(Path(tokens.VOCABULARY).read_bytes())
+    docs(*BLANK_RUNS).write.parquet(f"{tmp_path}/documents.parquet")
+    lengths = [len(tokens.encoded(enc, t)) for t in BLANK_RUNS]
+    rows = QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()
+    assert {r["length"]: r["n_docs"] for r in rows} == dict(Counter(lengths))
+    ends = QUERIES["op7_token_ids"](spark, str(tmp_path)).selectExpr("sum(cu_seqlens[size(cu_seqlens) - 1])").first()[0]
+    assert ends == sum(lengths) + len(lengths)
+
+
 @pytest.mark.parametrize("stripe", [2, 4096])
 def test_histogram_and_sums(docs, encode, monkeypatch, stripe):
     monkeypatch.setattr(tokens, "STRIPE", stripe)

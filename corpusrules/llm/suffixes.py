@@ -11,9 +11,10 @@ A level sorts the suffixes of one text of integers that ends with a 0 occurring
    leaves, and ``common`` is how much the successor has in common with that of the tuple before it under the same
    character.  A tuple that leaves thus knows the common prefix with its neighbour: ``common + 1``.
 
-Queues, sort runs, types, stars, ranks and sorted suffixes are files in one scratch folder of the caller, which may hold a
-few dozen bytes per character; arrays in memory have about ``memory`` entries, however long the text.  Tuples are handled
-in blocks: all tuples of a character that are there at once.  Common prefixes are counted up to ``most``.
+Queues, sort runs, types, stars, ranks and sorted suffixes are files in one scratch folder of the caller, each removed as soon as
+the next step has it; arrays in memory have about ``memory`` entries, however long the text.  What has no more entries than
+the folder's ``keep`` stays in memory instead, so short texts leave no files.  Tuples are handled in blocks: all tuples of a
+character that are there at once.  Common prefixes are counted up to ``most``.
 """
 
 from __future__ import annotations
@@ -28,45 +29,68 @@ MEMORY = 1 << 22
 
 
 class Scratch:
-    """Files of one folder, named in turn."""
+    """Files of one folder, named in turn; arrays and spools of up to ``keep`` entries are kept in memory."""
 
-    def __init__(self, folder: str | Path):
-        self.folder, self.names = Path(folder), itertools.count()
+    def __init__(self, folder: str | Path, keep: int = 0):
+        self.folder, self.keep, self.names = Path(folder), keep, itertools.count()
 
     def array(self, kind, size: int) -> np.ndarray:
-        path = self.folder / f"{next(self.names)}"
-        return np.memmap(path, kind, "w+", shape=(size,)) if size else np.zeros(0, kind)
+        return np.memmap(self.file(), kind, "w+", shape=(size,)) if size > self.keep else np.zeros(size, kind)
+
+    def drop(self, array: np.ndarray) -> None:
+        """The array's file, if it has one, goes with its last reader."""
+        if isinstance(array, np.memmap) and array.filename:
+            Path(array.filename).unlink(missing_ok=True)
 
     def file(self) -> Path:
         return self.folder / f"{next(self.names)}"
 
 
 class Spool:
-    """Blocks of records appended to a file under a key; read back per key, forwards or backwards, in bounded blocks."""
+    """Blocks of records appended under a key, in memory up to the folder's ``keep`` and then in a file; read back per key,
+    forwards or backwards, in bounded blocks."""
 
     def __init__(self, scratch: Scratch, kind: np.dtype, most: int):
-        self.path, self.kind, self.most = scratch.file(), np.dtype(kind), most
-        self.out = open(self.path, "wb")
+        self.scratch, self.kind, self.most = scratch, np.dtype(kind), most
+        self.path: Path | None = None
+        self.held: dict[int, np.ndarray] = {}
         self.parts: dict[int, list[tuple[int, int]]] = {}
         self.size = 0
 
     def add(self, key: int, records: np.ndarray) -> None:
-        self.out.write(records.tobytes())
+        if not len(records):
+            return
+        if self.path is None and self.size + len(records) > self.scratch.keep:
+            self.path = self.scratch.file()
+            self.out = open(self.path, "wb")
+            for part in self.held.values():
+                self.out.write(part.tobytes())
+            self.held = {}
+        if self.path is None:
+            self.held[self.size] = np.array(records)
+        else:
+            self.out.write(records.tobytes())
         self.parts.setdefault(key, []).append((self.size, len(records)))
         self.size += len(records)
 
     def read(self, key: int, backwards: bool = False) -> Iterator[np.ndarray]:
-        self.out.flush()
         parts = self.parts.get(key, [])
         for start, count in reversed(parts) if backwards else parts:
             cuts = range(0, count, self.most)
             for cut in reversed(cuts) if backwards else cuts:
-                block = np.fromfile(self.path, self.kind, min(self.most, count - cut), offset=(start + cut) * self.kind.itemsize)
+                wide = min(self.most, count - cut)
+                if start in self.held:
+                    block = self.held[start][cut : cut + wide].copy()
+                else:
+                    self.out.flush()
+                    block = np.fromfile(self.path, self.kind, wide, offset=(start + cut) * self.kind.itemsize)
                 yield block[::-1] if backwards else block
 
     def close(self) -> None:
-        self.out.close()
-        self.path.unlink()
+        self.held = {}
+        if self.path is not None:
+            self.out.close()
+            self.path.unlink()
 
 
 _TUPLE = np.dtype([("position", np.int64), ("common", np.int32)])
@@ -287,19 +311,23 @@ def star_order(text: np.ndarray, types: np.ndarray, stars: np.ndarray, scratch:
     count = len(stars)
     if not unique:
         if count <= memory:
-            ranks = doubled_ranks(ranks)
+            names, ranks = ranks, doubled_ranks(ranks)
+            scratch.drop(names)
         else:
             order = scratch.array(np.int64, count)
             at = 0
             for positions, _ in sorted_suffixes(ranks, scratch, memory, 0):
                 order[at : at + len(positions)] = positions
                 at += len(positions)
+            scratch.drop(ranks)
             ranks = scratch.array(np.int64, count)
             for start in range(0, count, memory):
                 ranks[order[start : start + memory]] = np.arange(start, min(count, start + memory))
+            scratch.drop(order)
     out = scratch.array(np.int64, count)
     for start in range(0, count, memory):
         out[ranks[start : start + memory]] = stars[start : start + memory]
+    scratch.drop(ranks)
     return out
 
 
@@ -370,6 +398,10 @@ def sorted_suffixes(text: np.ndarray, scratch: Scratch, memory: int = MEMORY, mo
     if not len(stars):  # the text is its end, or falls all the way to it
         stars = np.array([len(text) - 1])
     order = star_order(text, types, stars, scratch, memory) if len(stars) > 1 else stars
+    scratch.drop(types)
+    if order is not stars:
+        scratch.drop(stars)
+    del types, stars
     seeds = Spool(scratch, kind, memory)
     for start in range(0, len(order), memory):
         here = np.asarray(order[start : start + memory])
@@ -385,6 +417,9 @@ def sorted_suffixes(text: np.ndarray, scratch: Scratch, memory: int = MEMORY, mo
         for char, part in zip(own[cuts].tolist(), np.split(block, cuts[1:]), strict=True):
             seeds.add(int(char), part)
 
+    scratch.drop(order)
+    del order
+
     def run_of(position: int, char: int) -> int:
         length = 0
         while length < max(most, 1) and text[position + length] == char:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import tempfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -76,26 +77,72 @@ def test_nothing_crosses_texts_and_long_texts(docs):
     assert got[4][1:] == (100_000, 1, hashlib.sha256(b"").hexdigest())
 
 
-def test_bytes_decide_not_hashes(monkeypatch):
-    """Every content has the same hash: what is removed is what brute force removes, and copies pass the sort."""
-    found = op.stretches
-    monkeypatch.setattr(op, "stretches", lambda *args: found(*args)._replace(content=np.zeros(len(found(*args).start), np.uint64)))
-    length, texts = 40, corpus(5, 40)
-    raw = [(t or "").encode() for t in texts]
-    halves = [raw[:30], raw[30:]]
+def through_blocks(raw, length, gram, shards=2, lot=op.LOT_BYTES):
+    """The steps by hand over two blocks: rows sent, and removed bytes of each text."""
+    halves = [raw[: len(raw) // 2], raw[len(raw) // 2 :]]
     blocks = pa.table({"block": [0, 1], "sizes": [[len(r) for r in half] for half in halves], "data": [pa.compress(b"".join(half), "zstd", asbytes=True) for half in halves]})
-    asked = pa.Table.from_batches(op._asker(1, length, 13)(blocks.to_batches()))
+    asked = pa.Table.from_batches(op._asker(1, length, gram)(blocks.to_batches()))
     answers = op._answers(asked)
-    sent = pa.concat_tables(op._sender(1, length, 13)(blocks.slice(k, 1), answers.filter(pc.equal(answers["block"], k))) for k in (0, 1))
-    spans = pa.Table.from_batches(op._sorter(length, 16)(sent.to_batches()))
+    sent = pa.concat_tables(op._sender(shards, length, gram)(blocks.slice(k, 1), answers.filter(pc.equal(answers["block"], k))) for k in (0, 1))
+    spans = pa.concat_tables(pa.Table.from_batches(op._sorter(length, 16, lot)(sent.filter(pc.equal(sent["shard"], k)).to_batches()), schema=pa.schema([("block", pa.int64()), ("spans", pa.binary())])) for k in range(shards))
     got = []
     for k, half in enumerate(halves):
         gone = np.zeros(sum(map(len, half)), bool)
         for x in spans.filter(pc.equal(spans["block"], k))["spans"]:
-            for a, b in np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2):
+            for a, b in np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2):
                 gone[a:b] = True
         got += [int(part.sum()) for part in np.split(gone, np.cumsum([len(r) for r in half])[:-1])]
+    return sent, got
+
+
+@pytest.mark.parametrize("lot", [op.LOT_BYTES, 1000])
+def test_contents_travel_once(lot):
+    """A row per block and shard; the bytes of a content come from one block only."""
+    length, texts = 40, corpus(5, 40)
+    raw = [(t or "").encode() for t in texts]
+    sent, got = through_blocks(raw, length, 13, lot=lot)
     assert got == [removed for _, removed, _, _ in brute(texts, length)] and sum(got) > 0
+    assert len(sent) <= 4
+    copies = ["".join(random.Random(k).choices("abcdefgh", k=300)).encode() for k in range(8)]
+    sent, got = through_blocks(copies + copies, 40, 13)
+    assert got == [300] * 16
+    rows = sent.to_pylist()
+    assert {r["block"] for r in rows if r["size"]} == {0} and {r["block"] for r in rows} == {0, 1}
+    assert all(len(r["windows"]) // 4 == len(r["digests"]) // op.DIGEST for r in rows)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_hashes_that_agree_stop_the_job(monkeypatch, apart):
+    """Every content has the same hashes: bytes tell them apart, in a block or between two, and nothing is passed off as a repeat."""
+    find = op.stretches
+    monkeypatch.setattr(op, "stretches", lambda *args: find(*args)._replace(anchor=np.zeros(len(find(*args).start), np.uint64), content=np.zeros((len(find(*args).start), 2), np.uint64)))
+    texts = ["".join(random.Random(k).choices("abcdefgh", k=40)).encode() for k in range(4)]
+    with pytest.raises(RuntimeError, match="digests"):
+        through_blocks(texts[:2] if apart else texts, 40, 13, 1)
+
+
+def test_hot_anchors_are_dealt_by_their_neighbours(docs, monkeypatch):
+    """A short passage in all texts, each time between other words: with it as an anchor and without, the same bytes go."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh", k=16))
+    texts = ["".join(rng.choices("abcdefgh", k=60)) + passage + "".join(rng.choices("abcdefgh", k=60)) for _ in range(200)]
+    texts += [t[20:120] for t in texts[:30]] + [texts[0], texts[1] + texts[2]]
+    expected = brute(texts, 40)
+    seen = []
+    find = op.hot_anchors
+    monkeypatch.setattr(op, "hot_anchors", lambda *args: seen.append(find(*args)) or seen[-1])
+    for contents in (50, 10**9):
+        monkeypatch.setattr(op, "HOT_CONTENTS", contents)
+        got = {r["doc_id"]: tuple(r)[1:] for r in op.digest(op.without_repeats(docs(*texts), length=40, gram=13)).collect()}
+        assert [got[k] for k in range(len(texts))] == expected
+    assert len(seen[0]) and not len(seen[1])
+
+
+def test_merged_spans():
+    bounds = np.array([0, 10, 10, 20])
+    spans = np.array([[12, 15], [2, 6], [6, 10], [10, 11], [1, 3], [15, 16], [18, 20]], np.int32)
+    assert op.merged(spans, bounds).tolist() == [[1, 10], [10, 11], [12, 16], [18, 20]]
+    assert op.merged(spans[:0], bounds).tolist() == []
 
 
 def test_edges(docs, rows):
@@ -114,14 +161,15 @@ def _texts(rng):
         yield np.append(body, 0).astype(np.int64 if sigma > 100 else np.uint16)
 
 
-@pytest.mark.parametrize("memory", [1, 3, 8, 1000])
-def test_suffix_order_and_common_prefixes(memory, tmp_path):
+@pytest.mark.parametrize("memory,keep", [(1, 0), (3, 0), (3, 5), (8, 4), (1000, 0), (1000, 500)])
+def test_suffix_order_and_common_prefixes(memory, keep, tmp_path):
     """Small memory: runs of sorts and queues go to disk, and names that repeat are sorted by recursion."""
     rng = np.random.default_rng(1)
     for text in _texts(rng):
         most = int(rng.choice([1, 2, 5, 200]))
         with tempfile.TemporaryDirectory(dir=tmp_path) as folder:
-            blocks = list(sorted_suffixes(text, Scratch(folder), memory, most))
+            blocks = list(sorted_suffixes(text, Scratch(folder, keep), memory, most))
+            assert not list(Path(folder).iterdir())
         values = text.tolist()
         order = sorted(range(len(values)), key=lambda i: values[i:])
         assert [int(p) for positions, _ in blocks for p in positions] == order

@@ -9,6 +9,7 @@ required content are the rule's business.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -40,10 +41,14 @@ Build = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Stages:
-    """``steps`` one after the other, then ``describe``; columns of the first step are null for files out of question."""
+    """``steps`` one after the other, then ``describe``; columns of the first step are null for files out of question.
+
+    ``confidence`` is set where the configuration gives every result the same one and says nothing else by it.
+    """
 
     steps: tuple[Stage, ...]
     describe: Callable[[Given], Column]
+    confidence: float | None = None
 
 
 Factory = Callable[[Mapping[str, object]], "Stages | Build"]
@@ -65,6 +70,7 @@ class Extractor:
 
 
 _FACTORIES: dict[str, tuple[Factory, bool]] = {}
+_CONFIGURED: set[str] = set()
 
 
 def register_extractor(kind: str, factory: Factory, can_fail: bool = False) -> None:
@@ -74,6 +80,12 @@ def register_extractor(kind: str, factory: Factory, can_fail: bool = False) -> N
     ``pandas_udf``; a struct with an extra string field ``error`` needs ``can_fail=True``.
     """
     _FACTORIES[kind] = (factory, can_fail)
+    _CONFIGURED.discard(kind)
+
+
+def is_built_in(kind: str) -> bool:
+    """Whether a kind is this module's own, and not replaced by a user."""
+    return BUILT_IN.get(kind) is not None and _FACTORIES.get(kind) is BUILT_IN[kind]
 
 
 def extractor_kinds() -> list[str]:
@@ -86,6 +98,12 @@ def extractor_factory(kind: str) -> Factory:
     return _FACTORIES[kind][0]
 
 
+def job_of(kind: str, config: Mapping[str, object]) -> str:
+    """Rules of one job get the same values from a file, if not the same confidence."""
+    same = {k: v for k, v in config.items() if k != "confidence" or kind not in _CONFIGURED}
+    return f"{kind} {json.dumps(same, sort_keys=True, default=repr)}"
+
+
 def get_extractor(kind: str, config: Mapping[str, object] | None = None) -> Extractor:
     made = extractor_factory(kind)(config or {})
     if not isinstance(made, Stages):
@@ -353,7 +371,7 @@ def regex_extractor(config: Mapping[str, object]) -> Stages:
     def describe(given: Given) -> Column:
         return F.when(given["raw"] != "", result(t.trim_space(given["raw"]), given.name, confidence, given["raw"]))
 
-    return Stages((raw,), describe)
+    return Stages((raw,), describe, confidence)
 
 
 def simple_version_extractor(config: Mapping[str, object]) -> Stages:
@@ -364,7 +382,7 @@ def simple_version_extractor(config: Mapping[str, object]) -> Stages:
         version = given.trimmed if trim else given.content
         return F.when(version != "", result(version, given.name, confidence, version))
 
-    return Stages((), describe)
+    return Stages((), describe, confidence)
 
 
 def string_search_extractor(config: Mapping[str, object]) -> Stages:
@@ -393,3 +411,7 @@ def string_search_extractor(config: Mapping[str, object]) -> Stages:
 register_extractor("regex", regex_extractor)
 register_extractor("simple_version", simple_version_extractor)
 register_extractor("string_search", string_search_extractor)
+
+#: Kinds whose ``confidence`` option is their results' confidence, and kinds whose results need no casts.
+_CONFIGURED |= {"regex", "simple_version"}
+BUILT_IN = dict(_FACTORIES)

@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusrules.functions import sqltext
+
 # RE2's white space and its complement, written as the inside of a Java character class.
 RE2_SPACE = r"\t\n\f\r "
 RE2_NOT_SPACE = r"\x00-\x08\x0B\x0E-\x1F\x21-\x{10FFFF}"
@@ -71,6 +73,11 @@ class Regex:
         test = text.rlike(self.java)
         return test if self.literal_folded or len(self.literal) < 2 else F.contains(text, F.lit(self.literal)) & test
 
+    def found_sql(self, text: str) -> str:
+        """:meth:`found_in` as SQL text."""
+        test = f"rlike({text}, {sqltext.text(self.java)})"
+        return test if self.literal_folded or len(self.literal) < 2 else f"contains({text}, {sqltext.text(self.literal)}) AND {test}"
+
     def may_occur_in(self, text: Column) -> Column | None:
         """Cheap necessary condition for a match, or None when the pattern has no usable literal."""
         if len(self.literal) < 2:
@@ -484,6 +491,19 @@ def rule_glob_matches(name: Column, pattern: str) -> Column:
     return name.rlike(java)
 
 
+def rule_glob_sql(name: str, pattern: str) -> str:
+    """:func:`rule_glob_matches` as SQL text."""
+    java = rule_glob(pattern)
+    if java is None:
+        return f"{name} = {sqltext.text(pattern)}"
+    no_break = f"NOT contains({name}, {sqltext.text(chr(10))})"
+    if re.fullmatch(r"[^*?]+\*", pattern):
+        return f"startswith({name}, {sqltext.text(pattern[:-1])}) AND {no_break}"
+    if re.fullmatch(r"\*[^*?]+", pattern):
+        return f"endswith({name}, {sqltext.text(pattern[1:])}) AND {no_break}"
+    return f"rlike({name}, {sqltext.text(java)})"
+
+
 @lru_cache(maxsize=4096)
 def search_glob(pattern: str) -> str | None:
     """Java regex of a search's file pattern (shell style, ``/`` never crossed); None when it is malformed."""

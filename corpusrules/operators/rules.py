@@ -2,7 +2,9 @@
 
 The pack is unrolled into literal columns, stage by stage: which rules apply, what their extractors find first, what comes
 of it, the results.  A stage is one projection for all rules, so a file is read once whatever the number of rules, no rule
-ever crosses a shuffle, no value is worked out twice, and everything about one file is decided inside its row.
+ever crosses a shuffle, no value is worked out twice, and everything about one file is decided inside its row.  Rules with
+the same extractor and options share its values, and what all rules have in common is written as SQL text: building the
+plan of a long pack takes few calls into the JVM.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusrules.functions.extractors import Given
-from corpusrules.functions.patterns import regex, rule_glob, rule_glob_matches
-from corpusrules.functions.text import as_text, base_name, blank_to_null, trim_space
+from corpusrules.functions import sqltext as q
+from corpusrules.functions.extractors import Extractor, Given, is_built_in, job_of
+from corpusrules.functions.patterns import regex, rule_glob, rule_glob_matches, rule_glob_sql
+from corpusrules.functions.text import as_text, base_name, trim_space
 from corpusrules.rulepack import Rule, RulePack
 from corpusrules.schemas import RESULT
 
-RESULT_FIELDS = ("version", "source", "confidence", "raw_value", "metadata")
-_FLAT = "struct<rule_name:string,priority:int,found:boolean,version:string,source:string,confidence:double,raw_value:string,metadata:map<string,string>>"
+_KINDS = {"rule_name": "string", "priority": "int", "found": "boolean", **{f.name: f.dataType.simpleString() for f in RESULT.fields}}
+_FLAT = "struct<" + ",".join(f"{k}:{v}" for k, v in _KINDS.items()) + ">"
+_NOTHING = {k: f"CAST(NULL AS {v})" for k, v in _KINDS.items()}
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,19 @@ def rule_applies(rule: Rule, name: Column, path: Column, pattern_mode: str = "gl
     return _all(tests)
 
 
+def _applies_sql(rule: Rule, pattern_mode: str) -> str:
+    """:func:`rule_applies` over the columns ``file_name`` and ``file_path``."""
+    if not rule.enabled:
+        return "FALSE"
+    tests = []
+    if rule.file_pattern:
+        literal = pattern_mode == "literal"
+        tests.append(f"file_path = {q.text(rule.file_pattern)}" if literal else rule_glob_sql("file_name", rule.file_pattern))
+    if rule.path_pattern:
+        tests.append(regex(rule.path_pattern).found_sql("file_path"))
+    return q.all_of(tests)
+
+
 def any_rule_applies(pack: RulePack, name: Column, path: Column, pattern_mode: str = "glob") -> Column:
     """Files worth reading at all; needs no content, so it reaches the scan."""
     plain = _plain_names(pack.rules, pattern_mode)
@@ -91,159 +108,202 @@ def _plain_names(rules: Sequence[Rule], pattern_mode: str) -> list[str]:
     return sorted({r.file_pattern for r in rules if _is_plain(r, pattern_mode)})
 
 
-def _size_error(rule: Rule, size: Column) -> Column:
-    return F.concat(
-        F.lit(f"rule {rule.name}: file size "), size.cast("string"), F.lit(f" exceeds maximum {rule.max_file_size} bytes")
-    )
+@dataclass(frozen=True)
+class _Job:
+    """What rules with one extractor and the same options share: the rules' positions and the extractor."""
+
+    rules: tuple[int, ...]
+    extractor: Extractor
+    built_in: bool
+
+
+def _jobs(pack: RulePack) -> list[_Job]:
+    rules: dict[str, list[int]] = {}
+    for i, rule in enumerate(pack):
+        rules.setdefault(job_of(rule.parser_type, rule.parser_config), []).append(i)
+    return [_Job(tuple(own), pack.rules[own[0]].extractor(), is_built_in(pack.rules[own[0]].parser_type)) for own in rules.values()]
 
 
 class _Tried:
-    """A pack tried on files: ``rows`` has the file keys and, per rule ``i``, whether it applies (``_a``), its result (``_x``)
-    and its error (``_e``, only where it can have one).  Results and errors are null where a rule does not apply."""
+    """A pack tried on files: ``rows`` has the file keys and what the jobs found (``_x``).
+
+    For rule ``i``, :meth:`applies`, :meth:`found`, :meth:`confidence` and :meth:`error` are SQL text over these rows.
+    Tests that cost something are columns of their own, worked out once for all rules that share them.
+    """
 
     def __init__(self, files: DataFrame, pack: RulePack, pattern_mode: str, all_files: bool = False):
         self.pack = pack
         shape = _Shape.of(files)
+        keys = _keys(files)
         plain = _plain_names(pack.rules, pattern_mode)
         # One look-up says whether any rule for a single name applies; most files stop there.
-        self._named = F.col("_named") if plain else F.lit(False)
-        gate = [shape.name.isin(plain).alias("_named")] if plain else []
-        keys = _keys(files)
-        rows = files.select(*keys, F.col("content").alias("_content"), shape.size.alias("_size"), *gate)
+        self.named = bool(plain)
+        rows = files.select(*keys, F.col("content").alias("_content"), shape.size.alias("_size"))
         self.keys = rows.columns[: len(keys)]
-        name, path = F.col("file_name"), F.col("file_path")
-
-        def applies(rule: Rule) -> Column:
-            test = rule_applies(rule, name, path, pattern_mode)
-            return self._named & test if _is_plain(rule, pattern_mode) else test
-
+        listed = f"file_name IN ({', '.join(map(q.text, plain))})" if plain else "FALSE"
         self.always = [not _is_plain(r, pattern_mode) for r in pack]
+        others = dict.fromkeys(_applies_sql(r, pattern_mode) for r, a in zip(pack, self.always) if a)
         if not all_files:
-            rows = rows.where(any_rule_applies(pack, name, path, pattern_mode))
-        rows = rows.select("*", *[applies(r).alias(f"_a{i}") for i, r in enumerate(pack)])
+            rows = rows.where(F.expr(q.any_of([*([listed] if plain else []), *others])))
+        columns = {test: f"_a{k}" for k, test in enumerate(others)}
+        rows = rows.selectExpr("*", *([f"{listed} AS _named"] if plain else []), *[f"{test} AS {c}" for test, c in columns.items()])
+        self._applies = [
+            columns[_applies_sql(r, pattern_mode)] if a else f"(_named AND file_name = {q.text(r.file_pattern)})" for r, a in zip(pack, self.always)
+        ]
         content = as_text(F.col("_content"))
         rows = rows.select(*[c for c in rows.columns if c != "_content"], content.alias("_text"), trim_space(content).alias("_trimmed"))
-        extractors = [r.extractor() for r in pack]
-        given = [Given(F.col("_text"), F.col("_trimmed"), name) for _ in pack]
-        opens = [self._open(i, r) for i, r in enumerate(pack)]
+        required = dict.fromkeys(r.required_content for r in pack if r.required_content)
+        needed = {r: f"_r{k}" for k, r in enumerate(required)}
+        asked = {r: [i for i, rule in enumerate(pack) if rule.required_content == r] for r in required}
+        opened = [f"CASE WHEN {q.any_of(self._ready(i) for i in asked[r])} THEN {regex(r).found_sql('_text')} ELSE FALSE END AS {c}" for r, c in needed.items()]
+        if opened:
+            rows = rows.selectExpr("*", *opened)
+        self._open = [q.all_of([self._ready(i), *([needed[r.required_content]] if r.required_content else [])]) for i, r in enumerate(pack)]
+        self.jobs = _jobs(pack)
+        self._job = {i: k for k, job in enumerate(self.jobs) for i in job.rules}
+        self._fixed = [r.extractor().stages.confidence for r in pack]
+        rows = self._worked(rows)
+        gates = ["_named"] if plain else []
+        kept = [c for c in rows.columns if c[:2] in ("_a", "_r") or c == "_size"]
+        described = [f"_x{k}" for k in range(len(self.jobs))]
+        self.rows = rows.select(*self.keys, *gates, *kept, *described)
+
+    def _ready(self, i: int) -> str:
+        """The rule applies, and the file is not too large."""
+        rule = self.pack.rules[i]
+        return f"{self._applies[i]} AND _size <= {rule.max_file_size}" if rule.max_file_size else self._applies[i]
+
+    def _worked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``_x``, a result struct or null, of every job."""
+        opens = [F.expr(q.any_of(dict.fromkeys(self._open[i] for i in job.rules))) for job in self.jobs]
+        given = [Given(F.col("_text"), F.col("_trimmed"), F.col("file_name")) for _ in self.jobs]
+        steps = [job.extractor.stages.steps for job in self.jobs]
         # A function of the user's may be Python, which runs before any ``when``: it gets nulls where it is not wanted.
-        handed = [
-            Given(F.when(o, g.content), F.when(o, g.trimmed), name) if e.can_fail else g for e, g, o in zip(extractors, given, opens)
-        ]
-        for step in range(max((len(e.stages.steps) for e in extractors), default=0)):
+        handed = [Given(F.when(o, g.content), F.when(o, g.trimmed), g.name) if j.extractor.can_fail else g for j, g, o in zip(self.jobs, given, opens)]
+        for step in range(max(map(len, steps), default=0)):
             made = []
-            for i, e in enumerate(extractors):
-                if step < len(e.stages.steps):
-                    named = e.stages.steps[step]((handed if step == 0 else given)[i])
-                    first = step == 0 and not e.can_fail
-                    made += [(F.when(opens[i], c) if first else c).alias(f"_s{i}_{n}") for n, c in named.items()]
-                    given[i] = given[i].with_columns({n: F.col(f"_s{i}_{n}") for n in named})
+            for k, job in enumerate(self.jobs):
+                if step < len(steps[k]):
+                    named = steps[k][step]((handed if step == 0 else given)[k])
+                    first = step == 0 and not job.extractor.can_fail
+                    made += [(F.when(opens[k], c) if first else c).alias(f"_s{k}_{n}") for n, c in named.items()]
+                    given[k] = given[k].with_columns({n: F.col(f"_s{k}_{n}") for n in named})
             rows = rows.select("*", *made)
-        columns = []
-        self.can_fail = []
-        for i, (rule, e) in enumerate(zip(pack, extractors)):
-            described, errors = e.stages.describe(given[i]), []
-            if rule.max_file_size:
-                errors.append(F.when(F.col(f"_a{i}") & (F.col("_size") > rule.max_file_size), _size_error(rule, F.col("_size"))))
-            if e.can_fail:
-                failure = described["error"]
-                errors.append(F.concat(F.lit(f"rule {rule.name}: parser error in rule {rule.name}: "), failure))
-                described = F.when(failure.isNull() & described["version"].isNotNull(), described.dropFields("error").cast(RESULT))
+        made, cast = [], {}
+        for k, job in enumerate(self.jobs):
+            described = job.extractor.stages.describe(given[k])
             # Without stages nothing has asked yet whether the rule applies.
-            columns.append((described if e.stages.steps else F.when(opens[i], described)).alias(f"_x{i}"))
-            self.can_fail.append(bool(errors))
-            if errors:
-                columns.append(F.coalesce(*errors).alias(f"_e{i}"))
-        gates = ["_named"] if plain else []
-        self.rows = rows.select(*self.keys, *gates, *[f"_a{i}" for i in range(len(pack))], *columns)
-
-    def _open(self, i: int, rule: Rule) -> Column:
-        """The rule applies, the file is not too large, and required content is there."""
-        tests = [F.col(f"_a{i}")]
+            made.append((described if job.extractor.stages.steps else F.when(opens[k], described)).alias(f"_x{k}"))
+            if not job.built_in:
+                fields = {f.name: f"CAST(_x{k}.{f.name} AS {f.dataType.simpleString()})" for f in RESULT.fields}
+                if job.extractor.can_fail:
+                    fields["error"] = f"CAST(_x{k}.error AS STRING)"
+                cast[f"_x{k}"] = f"CASE WHEN _x{k} IS NOT NULL THEN {q.struct(**fields)} END AS _x{k}"
+        rows = rows.select("*", *made)
+        return rows.selectExpr(*[cast.get(c, q.name(c)) for c in rows.columns]) if cast else rows
+
+    def applies(self, i: int) -> str:
+        return self._applies[i]
+
+    def found(self, i: int) -> str:
+        k = self._job[i]
+        tests = [self._open[i], f"_x{k} IS NOT NULL"]
+        if self.jobs[k].extractor.can_fail:
+            tests += [f"_x{k}.error IS NULL", f"_x{k}.version IS NOT NULL"]
+        return q.all_of(tests)
+
+    def confidence(self, i: int) -> str:
+        own = self._fixed[i]
+        return f"_x{self._job[i]}.confidence" if own is None else f"{own!r}D"
+
+    def can_fail(self, i: int) -> bool:
+        return bool(self.pack.rules[i].max_file_size) or self.jobs[self._job[i]].extractor.can_fail
+
+    def error(self, i: int) -> str:
+        rule, k, errors = self.pack.rules[i], self._job[i], []
         if rule.max_file_size:
-            tests.append(F.col("_size") <= rule.max_file_size)
-        if rule.required_content:
-            tests.append(regex(rule.required_content).found_in(F.col("_text")))
-        return _all(tests)
-
-    def applies(self, i: int) -> Column:
-        return F.col(f"_a{i}")
-
-    def found(self, i: int) -> Column:
-        return F.col(f"_x{i}").isNotNull()
-
-    def error(self, i: int) -> Column:
-        return F.col(f"_e{i}") if self.can_fail[i] else F.lit(None).cast("string")
-
-    def flat(self, i: int) -> Column:
-        """Rule ``i``'s outcome as a struct of result fields; the source defaults to the file's name."""
-        result, rule = F.col(f"_x{i}"), self.pack.rules[i]
-        fields = {f: result[f] for f in RESULT_FIELDS}
-        fields["source"] = F.when(result.isNotNull(), F.coalesce(blank_to_null(result["source"]), F.col("file_name")))
-        return F.struct(
-            F.lit(rule.name).alias("rule_name"),
-            F.lit(rule.priority).alias("priority"),
-            result.isNotNull().alias("found"),
-            *[c.alias(f) for f, c in fields.items()],
-        ).cast(_FLAT)
-
-    def chosen(self, position: Column) -> Column:
-        """The outcome at a position, null for none."""
-        return F.coalesce(*[F.when(position == i, self.flat(i)) for i in range(len(self.pack))], F.lit(None).cast(_FLAT))
-
-    def chosen_fields(self, position: Column) -> dict[str, Column]:
-        """The same field by field, each a chain of its own."""
-        kinds = {"rule_name": "string", "priority": "int", "found": "boolean", **{f.name: f.dataType.simpleString() for f in RESULT.fields}}
-        values = {name: [] for name in kinds}
-        for i, rule in enumerate(self.pack):
-            result = F.col(f"_x{i}")
-            own = {f: result[f] for f in RESULT_FIELDS} | {"rule_name": F.lit(rule.name), "priority": F.lit(rule.priority)}
-            own["source"] = F.coalesce(blank_to_null(own["source"]), F.col("file_name"))
-            for name, value in own.items():
-                values[name].append(F.when(position == i, value))
-        return {name: F.coalesce(*values[name], F.lit(None).cast(kind)) for name, kind in kinds.items()}
-
-    def first(self, tests: Sequence[Column]) -> Column:
+            said = f"concat({q.text(f'rule {rule.name}: file size ')}, CAST(_size AS STRING), ' exceeds maximum {rule.max_file_size} bytes')"
+            errors.append(f"CASE WHEN {self._applies[i]} AND _size > {rule.max_file_size} THEN {said} END")
+        if self.jobs[k].extractor.can_fail:
+            errors.append(f"CASE WHEN {self._open[i]} THEN concat({q.text(f'rule {rule.name}: parser error in rule {rule.name}: ')}, _x{k}.error) END")
+        return q.nested("coalesce", errors, "CAST(NULL AS STRING)")
+
+    def fields(self, i: int) -> dict[str, str]:
+        """Rule ``i``'s result by field, where it found something; the source defaults to the file's name."""
+        rule, x = self.pack.rules[i], f"_x{self._job[i]}"
+        return {
+            "rule_name": q.text(rule.name),
+            "priority": str(rule.priority),
+            "found": "TRUE",
+            "version": f"{x}.version",
+            "source": f"coalesce(nullif({x}.source, ''), file_name)",
+            "confidence": self.confidence(i),
+            "raw_value": f"{x}.raw_value",
+            "metadata": f"{x}.metadata",
+        }
+
+    def flat(self, i: int) -> str:
+        """Rule ``i``'s outcome, found or not, as a struct."""
+        rule = self.pack.rules[i]
+        missed = _NOTHING | {"rule_name": q.text(rule.name), "priority": str(rule.priority), "found": "FALSE"}
+        return f"CASE WHEN {self.found(i)} THEN {q.struct(**self.fields(i))} ELSE {q.struct(**missed)} END"
+
+    def chosen(self, position: str) -> dict[str, str]:
+        """The result at a position that found something, by field; all are null for no position.
+
+        Names, priorities and confidences are looked up by position, the rest is read from the job of the rule there.
+        """
+
+        def at(values: list[str], kind: str) -> str:
+            return f"get(CAST(array({', '.join(values)}) AS ARRAY<{kind}>), {position})" if values else f"CAST(NULL AS {kind})"
+
+        def by_job(field: str) -> str:
+            cases = [f"WHEN {position} IN ({', '.join(map(str, job.rules))}) THEN _x{k}.{field}" for k, job in enumerate(self.jobs)]
+            return f"CASE {' '.join(cases)} END" if cases else _NOTHING[field]
+
+        confidences = [f"{c!r}D" if c is not None else "CAST(NULL AS DOUBLE)" for c in self._fixed]
+        own = at(confidences, "DOUBLE") if any(c is not None for c in self._fixed) else "CAST(NULL AS DOUBLE)"
+        return {
+            "rule_name": at([q.text(r.name) for r in self.pack], "STRING"),
+            "priority": at([str(r.priority) for r in self.pack], "INT"),
+            "found": f"{position} IS NOT NULL",
+            "version": by_job("version"),
+            "source": f"CASE WHEN {position} IS NOT NULL THEN coalesce(nullif({by_job('source')}, ''), file_name) END",
+            "confidence": f"coalesce({own}, {by_job('confidence')})" if None in self._fixed else own,
+            "raw_value": by_job("raw_value"),
+            "metadata": by_job("metadata"),
+        }
+
+    def first(self, tests: Sequence[str]) -> str:
         """Position of the first rule whose test holds; null if none does."""
-        return _least([F.when(test, F.lit(i)) for i, test in enumerate(tests)])
+        return q.nested("least", [f"CASE WHEN {test} THEN {i} END" for i, test in enumerate(tests)], "CAST(NULL AS INT)")
 
-    def count(self, tests: Sequence[Column]) -> Column:
+    def count(self, tests: Sequence[str]) -> str:
         """How many of the tests hold; those of rules for a single name only after the look-up said so."""
-        free = [t.cast("int") for t, a in zip(tests, self.always) if a]
-        named = [t.cast("int") for t, a in zip(tests, self.always) if not a]
-        total = _sum(free)
-        return total + F.when(self._named, _sum(named)).otherwise(0) if named else total
-
-
-def _sum(numbers: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, numbers, F.lit(0))
-
 
-def _least(numbers: Sequence[Column]) -> Column:
-    """The least of columns that may be null."""
-    if not numbers:
-        return F.lit(None).cast("int")
-    return numbers[0] if len(numbers) == 1 else F.least(*numbers)
+        def total(own: list[str]) -> str:
+            return " + ".join(f"CAST(({t}) AS INT)" for t in own) or "0"
 
+        free = total([t for t, a in zip(tests, self.always) if a])
+        named = [t for t, a in zip(tests, self.always) if not a]
+        return f"{free} + CASE WHEN _named THEN {total(named)} ELSE 0 END" if named else free
 
-def _error_before(tried: _Tried, position: Column | None = None) -> Column:
-    """The first error, among rules tried before ``position`` if one was reached."""
-    parts = []
-    for i, can_fail in enumerate(tried.can_fail):
-        if can_fail:
-            error = tried.error(i)
-            parts.append(error if position is None else F.when(position.isNull() | (position > i), error))
-    return F.coalesce(*parts, F.lit(None).cast("string"))
+    def errors(self, position: str | None = None) -> str:
+        """The first error, among rules tried before ``position`` if one was reached."""
+        parts = []
+        for i in range(len(self.pack)):
+            if self.can_fail(i):
+                error = self.error(i)
+                parts.append(error if position is None else f"CASE WHEN {position} IS NULL OR {position} > {i} THEN {error} END")
+        return q.nested("coalesce", parts, "CAST(NULL AS STRING)")
 
 
 def rule_outcomes(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
     """One row per (file, applicable rule): found or not, with the result or the error."""
     tried = _Tried(files, pack.enabled(), pattern_mode)
-    outcomes = [
-        F.when(tried.applies(i), F.struct(tried.flat(i).alias("r"), tried.error(i).alias("error"))) for i in range(len(tried.pack))
-    ]
-    nothing = F.lit(None).cast(f"struct<r:{_FLAT},error:string>")
-    rows = tried.rows.select(*tried.keys, F.explode(F.array(*outcomes, nothing)).alias("o")).where("o is not null")
+    outcomes = [f"CASE WHEN {tried.applies(i)} THEN {q.struct(r=tried.flat(i), error=tried.error(i))} END" for i in range(len(tried.pack))]
+    nothing = f"CAST(NULL AS STRUCT<r:{_FLAT},error:STRING>)"
+    rows = tried.rows.selectExpr(*tried.keys, f"explode(array({', '.join([*outcomes, nothing])})) AS o").where("o is not null")
     return rows.select(*tried.keys, "o.r.*", "o.error")
 
 
@@ -264,7 +324,7 @@ def execute_rules(
     """
     tried = _Tried(files, pack.enabled().tagged(tags), pattern_mode, all_files)
     n = len(tried.pack)
-    hits = [tried.found(i) & (F.col(f"_x{i}")["confidence"] >= min_confidence) if min_confidence > 0 else tried.found(i) for i in range(n)]
+    hits = [q.all_of([tried.found(i), f"{tried.confidence(i)} >= {float(min_confidence)!r}D"]) if min_confidence > 0 else tried.found(i) for i in range(n)]
     limit = 1 if stop_on_first_match else max_results
     rows = tried.rows
     applies = [tried.applies(i) for i in range(n)]
@@ -273,27 +333,27 @@ def execute_rules(
         if limit == 1:
             last = tried.first(hits)
         else:
-            last = F.get(F.sort_array(F.array(*[F.when(h, F.lit(i)).otherwise(n) for i, h in enumerate(hits)])), F.lit(limit - 1))
-        rows = rows.withColumn("_last", F.coalesce(last, F.lit(n)))
-        hits = [h & (F.col("_last") >= i) for i, h in enumerate(hits)]
-        applies = [a & (F.col("_last") >= i) for i, a in enumerate(applies)]
-    confidences = [F.when(h, F.col(f"_x{i}")["confidence"]) for i, h in enumerate(hits)]
-    top = F.greatest(*confidences) if n > 1 else confidences[0] if n else F.lit(None).cast("double")
-    rows = rows.withColumn("_top", top)
-    best = tried.first([c == F.col("_top") for c in confidences])
-    rows = rows.withColumn("_best", best)
-    none, no_text = F.array().cast(f"array<{_FLAT}>"), F.array().cast("array<string>")
-    results = F.concat(*[F.when(h, F.array(tried.flat(i))).otherwise(none) for i, h in enumerate(hits)], none)
-    failed = [
-        F.when(applies[i] & tried.error(i).isNotNull(), F.array(tried.error(i))).otherwise(no_text) for i in range(n) if tried.can_fail[i]
-    ]
-    return rows.select(
+            last = f"get(sort_array(array({', '.join(f'CASE WHEN {h} THEN {i} ELSE {n} END' for i, h in enumerate(hits))})), {limit - 1})"
+        rows = rows.selectExpr("*", f"coalesce({last}, {n}) AS _last")
+        hits = [f"{h} AND _last >= {i}" for i, h in enumerate(hits)]
+        applies = [f"({a} AND _last >= {i})" for i, a in enumerate(applies)]
+    # Whether a rule found something is asked several times from here on.
+    rows = rows.selectExpr("*", *[f"{h} AS _h{i}" for i, h in enumerate(hits)])
+    hits = [f"_h{i}" for i in range(n)]
+    confidences = [f"CASE WHEN {h} THEN {tried.confidence(i)} END" for i, h in enumerate(hits)]
+    rows = rows.selectExpr("*", f"{q.nested('greatest', confidences, 'CAST(NULL AS DOUBLE)')} AS _top")
+    best = tried.first([f"{h} AND {tried.confidence(i)} = _top" for i, h in enumerate(hits)])
+    rows = rows.selectExpr("*", f"{best} AS _best")
+    none, no_text = f"CAST(array() AS ARRAY<{_FLAT}>)", "CAST(array() AS ARRAY<STRING>)"
+    results = [f"CASE WHEN {h} THEN array({q.struct(**tried.fields(i))}) ELSE {none} END" for i, h in enumerate(hits)]
+    failed = [f"CASE WHEN {applies[i]} AND {tried.error(i)} IS NOT NULL THEN array({tried.error(i)}) ELSE {no_text} END" for i in range(n) if tried.can_fail(i)]
+    return rows.selectExpr(
         *tried.keys,
-        results.alias("results"),
-        tried.count(hits).alias("result_count"),
-        tried.count(applies).alias("rules_applied"),
-        F.concat(*failed, no_text).alias("errors"),
-        tried.chosen(F.col("_best")).alias("best_result"),
+        f"concat({', '.join([*results, none])}) AS results",
+        f"{tried.count(hits)} AS result_count",
+        f"{tried.count(applies)} AS rules_applied",
+        f"concat({', '.join([*failed, no_text])}) AS errors",
+        f"CASE WHEN _best IS NOT NULL THEN {q.struct(**tried.chosen('_best'))} END AS best_result",
     )
 
 
@@ -305,16 +365,15 @@ def rule_results(executed: DataFrame) -> DataFrame:
     return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
 
-def _match(tried: _Tried, position: Column, error: Column, strict: bool) -> DataFrame:
+def _match(tried: _Tried, position: str, error: str, strict: bool) -> DataFrame:
     """A row per file with a hit or an error; without a hit, ``found`` is false and the result null."""
-    rows = tried.rows.withColumn("_position", position).withColumn("_error", error)
-    reached, failed = F.col("_position"), F.col("_error")
-    fields = tried.chosen_fields(reached) | {"found": reached.isNotNull()}
+    rows = tried.rows.selectExpr("*", f"{position} AS _position").selectExpr("*", f"{error} AS _error")
+    fields = tried.chosen("_position")
     if strict:
-        fields = {c: F.when(failed.isNull(), v) for c, v in fields.items()} | {"found": failed.isNull() & fields["found"]}
-    row = F.struct(*[v.alias(c) for c, v in fields.items()], failed.alias("error"))
+        fields = {c: f"CASE WHEN _error IS NULL THEN {v} END" for c, v in fields.items()} | {"found": "_error IS NULL AND _position IS NOT NULL"}
+    row = q.struct(**fields, error="_error")
     # A filter would move down through the stages and work every one of them out a second time; a generator stays.
-    kept = rows.select(*tried.keys, F.explode(F.when(reached.isNotNull() | failed.isNotNull(), F.array(row))).alias("r"))
+    kept = rows.selectExpr(*tried.keys, f"explode(CASE WHEN _position IS NOT NULL OR _error IS NOT NULL THEN array({row}) END) AS r")
     return kept.select(*tried.keys, "r.*")
 
 
@@ -331,38 +390,32 @@ def first_match(
     blanks the result then.  A file that has only errors has ``found`` false and no rule.
     """
     tried = _Tried(files, pack.enabled(), pattern_mode)
-    hits = [
-        tried.found(i) & (F.col(f"_x{i}")["version"] != "") if need_version else tried.found(i) for i in range(len(tried.pack))
-    ]
-    return _match(tried, tried.first(hits), _error_before(tried, F.col("_position")), strict)
+    n = range(len(tried.pack))
+    hits = [q.all_of([tried.found(i), f"_x{tried._job[i]}.version != ''"]) if need_version else tried.found(i) for i in n]
+    return _match(tried, tried.first(hits), tried.errors("_position"), strict)
 
 
 def best_match(files: DataFrame, pack: RulePack, strict: bool = False, pattern_mode: str = "glob") -> DataFrame:
     """The result with the highest confidence, the earlier rule on ties; a file without a hit or an error gives no row."""
     tried = _Tried(files, pack.enabled(), pattern_mode)
-    confidences = [F.col(f"_x{i}")["confidence"] for i in range(len(tried.pack))]
-    top = F.greatest(*confidences) if len(confidences) > 1 else confidences[0] if confidences else F.lit(None).cast("double")
-    tried.rows = tried.rows.withColumn("_top", top)
-    position = tried.first([c == F.col("_top") for c in confidences])
-    return _match(tried, position, _error_before(tried), strict)
+    n = range(len(tried.pack))
+    confidences = [f"CASE WHEN {tried.found(i)} THEN {tried.confidence(i)} END" for i in n]
+    tried.rows = tried.rows.selectExpr("*", f"{q.nested('greatest', confidences, 'CAST(NULL AS DOUBLE)')} AS _top")
+    position = tried.first([f"{c} = _top" for c in confidences])
+    return _match(tried, position, tried.errors(), strict)
 
 
 def matching_rules(files: DataFrame, pack: RulePack, pattern_mode: str = "glob") -> DataFrame:
     """J1, unrolled: one row per (file, applicable rule) in ``position`` order, from names and paths alone."""
     pack = pack.enabled()
-    file = _Shape.of(files)
-    hits = [
-        F.when(
-            rule_applies(r, file.name, file.path, pattern_mode),
-            F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.priority).alias("priority")),
-        )
-        for r in pack
-    ]
-    nothing = F.lit(None).cast("struct<rule_name:string,priority:int>")
-    names = files.where(any_rule_applies(pack, file.name, file.path, pattern_mode))
-    rows = names.select(*_keys(files), F.posexplode(F.array_compact(F.array(*hits, nothing))).alias("_pos", "r"))
-    keys = [c for c in rows.columns if c not in ("_pos", "r")]
-    return rows.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
+    names = files.select(*_keys(files))
+    tests = [_applies_sql(r, pattern_mode) for r in pack]
+    hits = [f"CASE WHEN {t} THEN {q.struct(rule_name=q.text(r.name), priority=str(r.priority))} END" for t, r in zip(tests, pack)]
+    nothing = "CAST(NULL AS STRUCT<rule_name:STRING,priority:INT>)"
+    rows = names.where(F.expr(q.any_of(dict.fromkeys(tests)))).selectExpr(
+        *names.columns, f"posexplode(array_compact(array({', '.join([*hits, nothing])}))) AS (_pos, r)"
+    )
+    return rows.select(*names.columns, (F.col("_pos") + 1).cast("bigint").alias("position"), "r.*")
 
 
 def _join_key(rule: Rule) -> str | None:
@@ -394,15 +447,15 @@ def join_rules(files: DataFrame, pack: RulePack) -> DataFrame:
     """
     pack = pack.enabled()
     names = files.select(*_keys(files))
-    name, path = F.col("file_name"), F.col("file_path")
+    name = F.col("file_name")
     keyed, others = [], []
     for i, rule in enumerate(pack):
         key = _join_key(rule)
         if key is None:
             key = f"#{i}"
-            others.append(F.when(rule_applies(rule, name, path), F.lit(key)))
+            others.append(f"CASE WHEN {_applies_sql(rule, 'glob')} THEN '{key}' END")
         keyed.append((key, rule.name, rule.priority))
     rules = files.sparkSession.createDataFrame(keyed, "_key string, rule_name string, priority int")
-    found = F.concat(_name_keys(name), F.array(*others)) if others else _name_keys(name)
+    found = F.concat(_name_keys(name), F.expr(f"array({', '.join(others)})")) if others else _name_keys(name)
     rows = names.withColumn("_key", F.explode(F.array_distinct(found))).where("_key is not null")
     return rows.join(rules, "_key").select(*names.columns, "rule_name", "priority")

@@ -858,10 +858,10 @@ def manifest_requirements(spark, sf):
     "whole_file_version",
     with_(MANIFESTS)
     + f"""SELECT project_id, file_path, {trimmed('content')} AS version, CAST(1.0 AS DOUBLE) AS confidence
-FROM files WHERE file_name = '.python-version' AND strlen(content) <= 1024""",
+FROM files WHERE file_name = '.python-version'""",
 )
 def whole_file_version(spark, sf):
-    pack = RulePack((Rule("whole-file", ".python-version", "simple_version", max_file_size=1024),))
+    pack = RulePack((Rule("whole-file", ".python-version", "simple_version"),))
     rows = R.first_match(C.manifest_files(spark, sf), pack)
     return rows.select("project_id", "file_path", "version", "confidence")
 

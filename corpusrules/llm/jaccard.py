@@ -6,14 +6,16 @@ over nodes; nothing is capped or sampled, and copies are never expanded into pai
 1. ``describe``: one scan gives each document its node and set size, and the shingles that are frequent within a task's
    batch.  Those that make up 0.5 % of all sets or more (``heavy`` shingles; at most ``200 x`` the mean set size of them,
    also checked) are broadcast.
-2. ``shared_sets``: shingles go to buckets by hash, many to a row, and come back to their nodes with their document
-   frequency when another node has them too.  A heavy shingle does not travel: it goes back to its node at once, and is
-   last in the order of frequency.  A node with less than 80 % of its set shared cannot link and is dropped.
+2. ``shared_sets``: shingles go to buckets by hash, and come back to their nodes with their document frequency when another
+   node has them too; both ways, a row holds all that one block or bucket has for the same part of the nodes.  A heavy shingle does not
+   travel: it goes back to its node at once, and is last in the order of frequency.  A node with less than 80 % of its set shared
+   cannot link and is dropped.
 3. Small sets (up to a boundary found by comparing the cost of both ways over the histogram of sizes) list every subset
    of the size that a link needs; sharing one *is* a link.
 4. Pairs with a large set come from inverted lists of the rarest shingles: a set that misses at most ``n - ceil(0.8 n)``
    shingles shares one of its ``n - ceil(0.8 n) + 1`` rarest.  Each list first links its members to its most typical one;
-   components are formed; only pairs of a list that are still in different components are then compared, all of them.
+   components are formed; then all pairs of a list that are still in different components are compared: every member outside the
+   list's largest component meets those of its own band of sizes and of the bands beside it.
 
 A pair is compared by its exact overlap: ``100 * both >= 80 * either``.
 
@@ -27,7 +29,7 @@ import struct
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusrules.llm.components import components
+from corpusrules.llm.lookup import looked_up, small_side
 from corpusrules.llm.storage import free_name, written
 from corpusrules.llm.words import hash_words, mix, release, released, row_sums, shingle_sets, split_words
 
@@ -46,9 +49,10 @@ NEED, OF = 4, 5
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST = 200, 64, 1_000_000
 #: Stands for the frequency of heavy shingles.
 HEAVY_FREQUENCY = 1 << 20
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 SMALL_MOST = 24
-BROADCAST_PAIRS = 1_000_000
+#: Sizes of one band; linked sets differ by 1.25 at most, so their bands are equal or neighbours.
+BAND = 1.26
 
 
 def overlap_needed(n: int, m: int) -> int:
@@ -150,42 +154,44 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column] or [np.zeros(0, kind)])
 
 
-def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Runs of an 8- or 4-byte array as one binary each."""
-    wide = values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * wide).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+_REPLY = "part long, nodes binary, lengths binary, tokens binary, often binary"
 
 
 def _reducer(buckets: int) -> Callable:
-    kind = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("often", pa.binary())])
+    kind = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("nodes", "lengths", "tokens", "often"))])
 
     def run(table: pa.Table) -> pa.Table:
         release()
+        at_home = table.column("bucket")[0].as_py() >= buckets
         tokens = _joined(table.column("tokens"), np.uint64)
         owner = np.repeat(_joined(table.column("nodes"), np.int64), _joined(table.column("lengths"), np.int32))
-        if table.column("bucket")[0].as_py() >= buckets:
-            order = np.lexsort((tokens, owner))
-        else:
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            same = np.zeros(len(tokens) + 1, dtype=bool)
-            same[1:-1] = tokens[1:] == tokens[:-1]
-            again = same[1:] | same[:-1]
-            tokens, owner = tokens[again], owner[again]
-            order = np.lexsort((tokens, owner))
-        tokens, owner = tokens[order], owner[order]
-        once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]) if len(tokens) else np.zeros(0, bool)
-        tokens, owner = tokens[once], owner[once]
-        if table.column("bucket")[0].as_py() >= buckets:
+        if at_home:
             often = np.full(len(tokens), HEAVY_FREQUENCY, np.int32)
         else:
-            _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            often = counts[which].astype(np.int32)
+            order = np.lexsort((owner, tokens))
+            tokens, owner = tokens[order], owner[order]
+            once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+            tokens, owner = tokens[once], owner[once]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            often = np.diff(np.append(starts, len(tokens))).astype(np.int32)
+            often = np.repeat(often, often)
             shared = often > 1
             tokens, owner, often = tokens[shared], owner[shared], often[shared]
-        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        bounds = np.append(starts, len(owner))
-        return pa.Table.from_arrays([pa.array(owner[starts]), _packed(tokens, bounds), _packed(often, bounds)], schema=kind)
+        part = owner % buckets
+        order = np.lexsort((tokens, owner, part))
+        tokens, owner, often, part = tokens[order], owner[order], often[order], part[order]
+        once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]) if len(tokens) else np.zeros(0, bool)
+        tokens, owner, often, part = tokens[once], owner[once], often[once], part[once]
+        runs = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        ends = np.append(runs, len(owner))
+        lengths, node, run_part = np.diff(ends).astype(np.int32), owner[runs], part[runs]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], run_part[1:] != run_part[:-1]])), len(runs)) if len(runs) else np.zeros(1, np.int64)
+        out: dict[str, list] = {c: [] for c in kind.names}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = slice(ends[a], ends[b])
+            for name, value in zip(kind.names, (int(run_part[a]), node[a:b].tobytes(), lengths[a:b].tobytes(), tokens[own].tobytes(), often[own].tobytes()), strict=True):
+                out[name].append(value)
+        return pa.Table.from_pydict(out, schema=kind)
 
     return run
 
@@ -201,32 +207,32 @@ _CANDIDATE_ARROW = pa.schema(
 
 
 def _gather(found: pa.Table, known: pa.Table) -> pa.Table:
-    """Nodes with enough shared shingles: those ascending, the rarest that a link must touch, and how typical the set is."""
+    """Nodes with enough shared shingles: those, rarest first, the first ones that a link must touch, and how typical the set is."""
     release()
     tokens, often = _joined(found.column("tokens"), np.uint64), _joined(found.column("often"), np.int32)
-    wide = np.array([len(x.as_buffer()) // 8 for x in found.column("tokens")], np.int64)
+    sender, wide = _joined(found.column("nodes"), np.int64), _joined(found.column("lengths"), np.int32)
     nodes, n = known.column("node").to_numpy(), known.column("n").to_numpy()
     by_node = np.argsort(nodes)
     nodes, n = nodes[by_node], n[by_node]
-    owner = np.searchsorted(nodes, np.repeat(found.column("node").to_numpy(), wide)) if len(nodes) else np.zeros(0, np.int64)
+    owner = np.searchsorted(nodes, np.repeat(sender, wide)) if len(nodes) else np.zeros(0, np.int64)
     counts = np.bincount(owner, minlength=len(nodes)) if len(nodes) else np.zeros(0, np.int64)
     able = counts >= np.maximum(1, _floor_needed(n))
     keep = able[owner]
     tokens, often, owner = tokens[keep], often[keep], owner[keep]
-    rare = np.lexsort((tokens, often, owner))
-    rank_owner = owner[rare]
+    # The order of frequency is the same in all sets.
+    order = np.lexsort((tokens, often, owner))
+    tokens, often, owner = tokens[order], often[order], owner[order]
     counts = np.bincount(owner, minlength=len(nodes)) if len(nodes) else counts
     begin = np.concatenate([[0], np.cumsum(counts)])
     # Shingles that no other node has come first in the order and are not here.
     prefix_length = np.where(able, n - _floor_needed(n) + 1 - (n - counts), 0)
-    chosen = np.arange(len(rare)) - begin[rank_owner] < prefix_length[rank_owner]
+    chosen = np.arange(len(owner)) - begin[owner] < prefix_length[owner]
     weight = np.bincount(owner, np.log2(often), len(nodes)) if len(nodes) else np.zeros(0)
-    scan = np.bincount(rank_owner[chosen], often[rare][chosen], len(nodes)) if len(nodes) else np.zeros(0)
-    plain = np.lexsort((tokens, owner))
+    scan = np.bincount(owner[chosen], often[chosen], len(nodes)) if len(nodes) else np.zeros(0)
     starts = np.concatenate([[0], np.cumsum(counts[able])])
     prefix_starts = np.concatenate([[0], np.cumsum(prefix_length[able])])
     return pa.Table.from_arrays(
-        [pa.array(nodes[able]), pa.array(n[able]), _lists(tokens[plain], starts), _lists(tokens[rare][chosen], prefix_starts), pa.array(weight[able] / np.maximum(n[able], 1)), pa.array(scan[able].astype(np.int64))],
+        [pa.array(nodes[able]), pa.array(n[able]), _lists(tokens, starts), _lists(tokens[chosen], prefix_starts), pa.array(weight[able] / np.maximum(n[able], 1)), pa.array(scan[able].astype(np.int64))],
         schema=_CANDIDATE_ARROW,
     )
 
@@ -240,9 +246,10 @@ def shared_sets(docs: DataFrame, described: DataFrame, frequent: DataFrame, text
     heavy = np.array([r[0] for r in often.orderBy(F.desc("count"), "token").limit(HEAVY_MOST).select("token").collect()], np.int64).view(np.uint64)
     heavy.sort()
     sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_mapper(width, buckets, heavy), "bucket long, nodes binary, lengths binary, tokens binary")
-    found = sent.groupBy("bucket").applyInArrow(_reducer(buckets), "node long, tokens binary, often binary")
-    part = F.pmod(F.xxhash64("node"), F.lit(buckets))
-    gathered = found.groupBy(part.alias("part")).cogroup(nodes.groupBy(part.alias("part"))).applyInArrow(_gather, _CANDIDATE)
+    found = sent.groupBy("bucket").applyInArrow(_reducer(buckets), _REPLY)
+    # Nodes are hashes; their parts are remainders, here as in the buckets.
+    part = F.pmod("node", F.lit(buckets))
+    gathered = found.groupBy("part").cogroup(nodes.groupBy(part.alias("part"))).applyInArrow(_gather, _CANDIDATE)
     return written(gathered, "shared")
 
 
@@ -297,11 +304,6 @@ def _fit(a: str, b: str, most: int) -> Column:
     return (F.lit(NEED + OF) * shared >= F.lit(NEED) * (n + m)) & (F.greatest(n, m) > most)
 
 
-def small_side(pairs: DataFrame) -> DataFrame:
-    """A written table of one or two numbers a row, broadcast if it has few rows, else left to a shuffled join."""
-    return F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-
-
 def compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (``a``, ``b`` and more) whose nodes link, by exact overlap."""
     names = pairs.columns
@@ -322,13 +324,33 @@ def star_links(candidates: DataFrame, posts: DataFrame, most: int) -> DataFrame:
     return compared(met.select(F.col("h.node").alias("a"), F.col("p.node").alias("b")).distinct(), candidates)
 
 
-def rest_links(candidates: DataFrame, posts: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Links between components (``ra``, ``rb``): all pairs of a list that are in different ones and fit are compared."""
+def open_members(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of lists that span several components, with their ``root``, ``band``, and whether it is the list's largest one (``major``)."""
     placed = posts.drop("typical").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_posts = written(placed.join(mixed, "token", "left_semi"), "open")
-    met = open_posts.alias("p").join(open_posts.alias("q"), F.col("p.token") == F.col("q.token"))
-    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fit("p", "q", most))
+    tally = placed.groupBy("token", "root").agg(F.count("*").alias("members"))
+    lists = tally.groupBy("token").agg(F.max(F.struct("members", "root")).alias("top"), F.count("*").alias("several")).where("several > 1")
+    mixed = small_side(written(lists.select("token", F.col("top.root").alias("top")), "lists"))
+    band = F.floor(F.log("n") / F.lit(log(BAND)))
+    return written(placed.join(mixed, "token").select("token", "node", "n", "shared", "place", "root", band.alias("band"), (F.col("root") == F.col("top")).alias("major")), "open")
+
+
+def _beside(members: DataFrame) -> DataFrame:
+    """Members under each band that a set of theirs may have."""
+    return members.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+
+
+def pairs_tried(members: DataFrame) -> int:
+    """How many pairs of members the join of :func:`rest_links` looks at."""
+    own = members.where("not major").groupBy("token", "band").agg(F.count("*").alias("x"))
+    met = _beside(members).groupBy("token", "band").agg(F.count("*").alias("y"))
+    return own.join(met, ["token", "band"]).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+
+
+def rest_links(candidates: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Links between components (``ra``, ``rb``): of two members in different ones, one at least is outside the list's largest."""
+    p, q = members.where("not major").alias("p"), _beside(members).alias("q")
+    met = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.band") == F.col("q.band")))
+    met = met.where((F.col("q.major") | (F.col("p.node") < F.col("q.node"))) & (F.col("p.root") != F.col("q.root")) & _fit("p", "q", most))
     pairs = met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
     return compared(pairs.distinct(), candidates).select("ra", "rb")
 
@@ -338,7 +360,7 @@ def linked_nodes(candidates: DataFrame) -> DataFrame:
     most = boundary(candidates)
     posts = candidates.select("node", "n", F.size("tokens").alias("shared"), "typical", F.posexplode("prefix").alias("place", "token"))
     roots = written(components(written(star_links(candidates, posts, most).union(small_links(candidates, most)), "links")), "roots")
-    rest = written(rest_links(candidates, posts, roots, most), "rest")
+    rest = written(rest_links(candidates, open_members(posts, roots), most), "rest")
     if rest.isEmpty():
         return roots
     # Components that link are joined; this graph has a node per component only.
@@ -352,11 +374,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document: ``id``, ``n`` (set size), ``component`` (smallest id that links reach), ``node``, ``root``."""
     described, frequent = describe(docs, id_col, text_col, width)
     candidates = shared_sets(docs, described, frequent, text_col, width)
-    roots = linked_nodes(candidates).select(F.col("node").alias("member"), F.col("root"))
-    placed = described.join(roots, described["node"] == roots["member"], "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
-    placed = written(placed, "placed")
-    least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return placed.join(least, "root", "left").select("id", "n", F.coalesce("least", "id").alias("component"), "node", "root")
+    roots = linked_nodes(candidates)
+    placed = written(looked_up(described, "node", roots).select("id", "n", "node", F.coalesce("root", "node").alias("root")), "placed")
+    # A document by itself is its own component's smallest.
+    groups = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
+    return looked_up(placed, "root", groups.select("root", "least")).select("id", "n", F.coalesce("least", "id").alias("component"), "node", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from corpusrules.llm import jaccard as op
 from corpusrules.llm.components import components
+from corpusrules.llm.lookup import looked_up
 
 
 def shingles(text):
@@ -79,6 +81,38 @@ def test_hot_passage_and_copies(docs):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(texts, list(range(len(texts))))
 
 
+@pytest.mark.parametrize("bucket", [op.BUCKET_SHINGLES, 300])
+def test_replies_are_a_row_per_bucket_and_part(docs, monkeypatch, bucket):
+    """However many buckets: the same candidates, and at most a row for each bucket (and each home of heavy shingles) and part."""
+    texts = corpus(6, [30, 40, 60, 90], 12) + [" ".join(f"z{k}_{j}" for j in range(20)) for k in range(200)]
+    table = docs(*texts).select("doc_id", "text")
+    described, frequent = op.describe(table, "doc_id", "text")
+    whole = {r["node"]: tuple(r) for r in op.shared_sets(table, described, frequent, "text").collect()}
+    monkeypatch.setattr(op, "BUCKET_SHINGLES", bucket)
+    assert {r["node"]: tuple(r) for r in op.shared_sets(table, described, frequent, "text").collect()} == whole and len(whole) > 20
+    total = described.select("node", "n").distinct().selectExpr("sum(n)").first()[0]
+    buckets = -(-total // bucket)
+    sent = table.select("text").mapInArrow(op._mapper(op.WIDTH, buckets, np.zeros(0, np.uint64)), "bucket long, nodes binary, lengths binary, tokens binary")
+    replies = sent.groupBy("bucket").applyInArrow(op._reducer(buckets), op._REPLY)
+    assert replies.count() <= buckets**2
+
+
+def test_pairs_tried_between_components(docs, rows):
+    """One list of a large component and a few other sets: members of the former do not meet each other."""
+    large, few = [(1, 100 + k, 50, 50, 0, 7, 16, True) for k in range(1000)], [(1, k, 50 + k, 50, 0, k, 16 + k % 2, False) for k in range(5)]
+    members = rows("token long, node long, n long, shared int, place int, root long, band long, major boolean", *large, *few, (1, 9, 5000, 5000, 0, 9, 36, False))
+    assert op.pairs_tried(members) == 5 * 1005 + 1
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_looked_up(rows, most):
+    table = rows("k long, v string", *[(1, f"a{k}") for k in range(40)], *[(k, "b") for k in range(2, 9)], (None, "c"), (None, "d"))
+    values = rows("k long, w int", *[(k, 10 * k) for k in range(1, 6)])
+    got = looked_up(table, "k", values, most=most or 1, hot_rows=20)
+    assert got.columns == ["k", "v", "w"]
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted((str(r["k"]), r["v"], str(10 * r["k"] if r["k"] and r["k"] < 6 else None)) for r in table.collect())
+
+
 def test_repeated_and_null_ids(rows):
     table = rows("doc_id long, text string, id int", (5, "a b c d e f", 0), (5, "a b c d e f", 0), (None, "a b c d e f", 0), (3, "a b c d e f", 0), (5, "other words", 0), (None, None, 0))
     texts = [r["text"] for r in table.collect()]

@@ -124,6 +124,35 @@ def _jobs(pack: RulePack) -> list[_Job]:
     return [_Job(tuple(own), pack.rules[own[0]].extractor(), is_built_in(pack.rules[own[0]].parser_type)) for own in rules.values()]
 
 
+def worked(rows: DataFrame, jobs: Sequence[_Job], opens: Sequence[Column]) -> DataFrame:
+    """``rows`` (with ``_text``, ``_trimmed``, ``file_name``) with ``_x``, a result struct or null, of every job where it is open."""
+    given = [Given(F.col("_text"), F.col("_trimmed"), F.col("file_name")) for _ in jobs]
+    steps = [job.extractor.stages.steps for job in jobs]
+    # A function of the user's may be Python, which runs before any ``when``: it gets nulls where it is not wanted.
+    handed = [Given(F.when(o, g.content), F.when(o, g.trimmed), g.name) if j.extractor.can_fail else g for j, g, o in zip(jobs, given, opens)]
+    for step in range(max(map(len, steps), default=0)):
+        made = []
+        for k, job in enumerate(jobs):
+            if step < len(steps[k]):
+                named = steps[k][step]((handed if step == 0 else given)[k])
+                first = step == 0 and not job.extractor.can_fail
+                made += [(F.when(opens[k], c) if first else c).alias(f"_s{k}_{n}") for n, c in named.items()]
+                given[k] = given[k].with_columns({n: F.col(f"_s{k}_{n}") for n in named})
+        rows = rows.select("*", *made)
+    made, cast = [], {}
+    for k, job in enumerate(jobs):
+        described = job.extractor.stages.describe(given[k])
+        # Without stages nothing has asked yet whether the rule applies.
+        made.append((described if job.extractor.stages.steps else F.when(opens[k], described)).alias(f"_x{k}"))
+        if not job.built_in:
+            fields = {f.name: f"CAST(_x{k}.{f.name} AS {f.dataType.simpleString()})" for f in RESULT.fields}
+            if job.extractor.can_fail:
+                fields["error"] = f"CAST(_x{k}.error AS STRING)"
+            cast[f"_x{k}"] = f"CASE WHEN _x{k} IS NOT NULL THEN {q.struct(**fields)} END AS _x{k}"
+    rows = rows.select("*", *made)
+    return rows.selectExpr(*[cast.get(c, q.name(c)) for c in rows.columns]) if cast else rows
+
+
 class _Tried:
     """A pack tried on files: ``rows`` has the file keys and what the jobs found (``_x``).
 
@@ -162,7 +191,7 @@ class _Tried:
         self.jobs = _jobs(pack)
         self._job = {i: k for k, job in enumerate(self.jobs) for i in job.rules}
         self._fixed = [r.extractor().stages.confidence for r in pack]
-        rows = self._worked(rows)
+        rows = worked(rows, self.jobs, [F.expr(q.any_of(dict.fromkeys(self._open[i] for i in job.rules))) for job in self.jobs])
         gates = ["_named"] if plain else []
         kept = [c for c in rows.columns if c[:2] in ("_a", "_r") or c == "_size"]
         described = [f"_x{k}" for k in range(len(self.jobs))]
@@ -173,35 +202,6 @@ class _Tried:
         rule = self.pack.rules[i]
         return f"{self._applies[i]} AND _size <= {rule.max_file_size}" if rule.max_file_size else self._applies[i]
 
-    def _worked(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``_x``, a result struct or null, of every job."""
-        opens = [F.expr(q.any_of(dict.fromkeys(self._open[i] for i in job.rules))) for job in self.jobs]
-        given = [Given(F.col("_text"), F.col("_trimmed"), F.col("file_name")) for _ in self.jobs]
-        steps = [job.extractor.stages.steps for job in self.jobs]
-        # A function of the user's may be Python, which runs before any ``when``: it gets nulls where it is not wanted.
-        handed = [Given(F.when(o, g.content), F.when(o, g.trimmed), g.name) if j.extractor.can_fail else g for j, g, o in zip(self.jobs, given, opens)]
-        for step in range(max(map(len, steps), default=0)):
-            made = []
-            for k, job in enumerate(self.jobs):
-                if step < len(steps[k]):
-                    named = steps[k][step]((handed if step == 0 else given)[k])
-                    first = step == 0 and not job.extractor.can_fail
-                    made += [(F.when(opens[k], c) if first else c).alias(f"_s{k}_{n}") for n, c in named.items()]
-                    given[k] = given[k].with_columns({n: F.col(f"_s{k}_{n}") for n in named})
-            rows = rows.select("*", *made)
-        made, cast = [], {}
-        for k, job in enumerate(self.jobs):
-            described = job.extractor.stages.describe(given[k])
-            # Without stages nothing has asked yet whether the rule applies.
-            made.append((described if job.extractor.stages.steps else F.when(opens[k], described)).alias(f"_x{k}"))
-            if not job.built_in:
-                fields = {f.name: f"CAST(_x{k}.{f.name} AS {f.dataType.simpleString()})" for f in RESULT.fields}
-                if job.extractor.can_fail:
-                    fields["error"] = f"CAST(_x{k}.error AS STRING)"
-                cast[f"_x{k}"] = f"CASE WHEN _x{k} IS NOT NULL THEN {q.struct(**fields)} END AS _x{k}"
-        rows = rows.select("*", *made)
-        return rows.selectExpr(*[cast.get(c, q.name(c)) for c in rows.columns]) if cast else rows
-
     def applies(self, i: int) -> str:
         return self._applies[i]
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusrules.functions.extractors import CI_IMAGE, register_extractor
 from corpusrules.functions.text import VERSION
 from corpusrules.operators import projects as P
+from corpusrules.operators import rule_table as RT
 from corpusrules.operators import rules as R
 from corpusrules.operators import search as S
 from corpusrules.operators import stats as A
@@ -578,6 +579,81 @@ def rules_none_matching(spark, sf):
     return executed.select("project_id", "file_path", F.col("rules_applied").cast("bigint").alias("rules_matching"))
 
 
+# A pack as large as the corpus: five rules for every document, made of its number and of its first word.
+_RULES_FROM_DOCUMENTS = """
+SELECT concat('r', doc_id, '-', k) AS rule_name, CAST(doc_id % 50 AS INT) AS priority, CAST(k AS INT) AS k, word,
+  CASE k WHEN 1 THEN concat(substr(number, 1, length(number) - 1), '?.txt') WHEN 2 THEN concat('?', substr(number, 2), '.txt') ELSE concat(number, '.txt') END AS file_pattern,
+  CASE WHEN k = 3 THEN concat('^', lang, '/') END AS path_pattern,
+  CASE WHEN k = 4 THEN '[0-9]' END AS required_content,
+  concat(word, '[ ]+([A-Za-z]+)') AS pattern
+FROM (SELECT doc_id, lang, CAST(doc_id AS STRING) AS number, regexp_extract(text, '[A-Za-z]+', 0) AS word FROM documents) AS d
+CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS n(k)
+WHERE word <> ''
+"""
+_FIRST_LINE = "list_filter(string_split(content, chr(10)), lambda line: contains(line, word))[1]"
+_TABLE_OUTCOMES = (
+    with_(DOCUMENT_FILES)[:-1]
+    + f""",
+rules AS ({_RULES_FROM_DOCUMENTS}),
+pairs AS (
+  SELECT f.project_id, f.file_path, f.content, r.* FROM files AS f JOIN rules AS r
+  ON f.file_name LIKE replace(r.file_pattern, '?', '_') AND (r.path_pattern IS NULL OR regexp_matches(f.file_path, r.path_pattern))),
+outcomes AS (
+  SELECT project_id, file_path, rule_name, priority, CASE WHEN k = 3 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
+    CASE WHEN k = 3 THEN nullif(rtrim({_FIRST_LINE}, chr(13)), '') WHEN k = 4 AND NOT regexp_matches(content, required_content) THEN NULL
+         ELSE nullif(regexp_extract(content, pattern, 1), '') END AS raw_value,
+    CASE WHEN k = 3 THEN word END AS matched
+  FROM pairs)
+"""
+)
+
+
+def _rules_from_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pack as a rules table."""
+    made = spark.sql(_RULES_FROM_DOCUMENTS.replace("FROM documents", "FROM {documents}"), documents=C.table(spark, sf, "documents"))
+    search = F.col("k") == 3
+    config = F.when(search, F.create_map(F.lit("search_term"), "word", F.lit("case_sensitive"), F.lit("true"))).otherwise(F.create_map(F.lit("pattern"), "pattern"))
+    return made.select(
+        F.col("rule_name").alias("name"),
+        F.lit("").alias("description"),
+        "priority",
+        F.lit(True).alias("enabled"),
+        F.array().cast("array<string>").alias("tags"),
+        F.struct("file_pattern", "path_pattern", "required_content", F.lit(None).cast("long").alias("max_file_size")).alias("match"),
+        F.struct(F.when(search, "string_search").otherwise("regex").alias("type"), config.alias("config")).alias("parser"),
+    )
+
+
+@query(
+    "rules_table_outcomes",
+    _TABLE_OUTCOMES + "SELECT project_id, file_path, rule_name, priority, raw_value IS NOT NULL AS found, coalesce(matched, raw_value) AS version, raw_value FROM outcomes WHERE raw_value IS NOT NULL OR matched IS NULL",
+)
+def rules_table_outcomes(spark, sf):
+    rows = RT.table_outcomes(C.document_files(spark, sf), RT.prepare_rules(_rules_from_documents(spark, sf)))
+    return rows.select("project_id", "file_path", "rule_name", "priority", "found", "version", "raw_value")
+
+
+def _table_choice(order: str) -> str:
+    return (
+        _TABLE_OUTCOMES
+        + f"""SELECT project_id, file_path, rule_name, coalesce(matched, raw_value) AS version, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY {order}priority, rule_name) AS place FROM outcomes WHERE raw_value IS NOT NULL) AS o
+WHERE place = 1"""
+    )
+
+
+@query("rules_table_first_match", _table_choice(""))
+def rules_table_first_match(spark, sf):
+    rows = RT.table_first_match(C.document_files(spark, sf), RT.prepare_rules(_rules_from_documents(spark, sf)))
+    return rows.select("project_id", "file_path", "rule_name", "version", "confidence")
+
+
+@query("rules_table_best_match", _table_choice("confidence DESC, "))
+def rules_table_best_match(spark, sf):
+    rows = RT.table_best_match(C.document_files(spark, sf), RT.prepare_rules(_rules_from_documents(spark, sf)))
+    return rows.select("project_id", "file_path", "rule_name", "version", "confidence")
+
+
 @query(
     "page_lang_regex",
     """SELECT page_id AS project_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS version, CAST(0.5 AS DOUBLE) AS confidence

@@ -53,6 +53,8 @@ from corpusrules.sources.packs import load_rules, load_searches, read_pack, rule
 from corpusrules.sources.projects import list_active_projects, list_projects
 from corpusrules.sources.snippets import search_group_snippets, search_snippets
 from corpusrules.sources.urls import namespace_rollup
+from corpusrules.streaming import projects as SJ
+from corpusrules.streaming import publish as SP
 from corpusrules.streaming import scan as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1432,5 +1434,51 @@ def stream_matches(spark, sf):
 def stream_statistics(spark, sf):
     out, checkpoint = scratch_path(spark, "stream-stats"), scratch_path(spark, "stream-state")
     results = C.as_event_results(_stream(spark, sf, "events"))
-    ST.publish_running(ST.running_statistics(results), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    counters = ST.running_statistics(results)
+    ST.publish_running(counters, out, checkpoint).awaitTermination()
+    return SP.read_published(spark, out, counters.schema)
+
+
+def _landings(spark: SparkSession, rows: DataFrame, parts: list[Column], start: Callable[[DataFrame], object]) -> None:
+    """Rows land in parts; a stream is started anew for each and goes on where it was."""
+    landed = scratch_path(spark, "landed")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(landed)
+        start(ST.stream_table(spark, rows.schema, landed)).awaitTermination()
+
+
+@query("stream_project_versions", _versions_sql() + _SCAN_COLUMNS)
+def stream_project_versions(spark, sf):
+    """ST1 by project: three landings, the file names that win last, so that winners change; published by batch and made one base on the way."""
+    files, out, state = C.manifest_files(spark, sf), scratch_path(spark, "winners"), scratch_path(spark, "winners-state")
+    pack, schema = builtin_pack(), SJ.winners_schema(files)
+    first = F.col("file_name").isin(".python-version", "setup.py", "runtime.txt")
+    second = F.col("file_name").startswith("req") | F.col("file_name").startswith("tox")
+
+    def start(stream: DataFrame):
+        SP.compact(spark, out, schema, ["project_id"])
+        return SP.publish(SJ.stream_winners(stream, pack, depth="any"), out, state)
+
+    _landings(spark, files, [second, ~first & ~second, first], start)
+    projects = C.manifest_projects(spark, sf)
+    return SJ.with_projects(projects, SP.read_latest(spark, out, schema, ["project_id"])).select(*_SCAN_OUT)
+
+
+@query(
+    "stream_top_matches",
+    IN_DOCUMENTS
+    + literal_hits("license")
+    + f""" SELECT {MATCH}, CAST(rn AS INTEGER) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line_number) AS rn FROM hits) AS r WHERE rn <= 3""",
+)
+def stream_top_matches(spark, sf):
+    """C5 in a stream: three landings; each may push out matches of the one before."""
+    documents, out, state = C.table(spark, sf, "documents"), scratch_path(spark, "top"), scratch_path(spark, "top-state")
+    schema = SJ.top_matches_schema(C.as_document_files(documents))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+
+    def start(stream: DataFrame):
+        return SP.publish(SJ.stream_top_matches(C.as_document_files(stream), Search("license", max_matches=3)), out, state)
+
+    _landings(spark, documents, [third == k for k in (2, 0, 1)], start)
+    return SP.read_latest(spark, out, schema, ["project_id"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -12,8 +10,7 @@ from corpusrules.operators.rules import first_match
 from corpusrules.operators.search import search_content
 from corpusrules.operators.stats import scan_statistics
 from corpusrules.rulepack import RulePack, Search
-
-Prepare = Callable[[DataFrame], DataFrame]
+from corpusrules.streaming.publish import publish
 
 
 def stream_table(
@@ -37,9 +34,9 @@ def append_detections(files: DataFrame, pack: RulePack, out: str, checkpoint: st
 
 
 def append_matches(files: DataFrame, search: Search, out: str, checkpoint: str) -> StreamingQuery:
-    """ST1 for content search; per-project caps need whole projects and do not apply to a stream of files."""
+    """ST1 for content search; capped searches change what they found before, see ``streaming.projects.stream_top_matches``."""
     if search.max_matches:
-        raise ValueError("max_matches needs all files of a project; cap the stored matches instead")
+        raise ValueError("a capped search is published by project: stream_top_matches")
     return _append(search_content(files, search), out, checkpoint)
 
 
@@ -54,10 +51,5 @@ def running_statistics(results: DataFrame) -> DataFrame:
 
 
 def publish_running(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Overwrite ``out`` with the current aggregate after every batch; the aggregate must be small, as counters are."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    writer = rows.writeStream.outputMode("complete").foreachBatch(replace)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The current aggregate after every batch, small as counters are, for ``streaming.publish.read_published``."""
+    return publish(rows, out, checkpoint, "complete")

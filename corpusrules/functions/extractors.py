@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusrules.functions import manifests as m
 from corpusrules.functions import text as t
 from corpusrules.functions.patterns import Regex, regex
 from corpusrules.functions.requirement_lines import requirement_labels
@@ -190,10 +191,10 @@ def setup_py(given: Given) -> Column:
 
 @extractor(
     "pipfile",
-    lambda g: {"section": t.section_body(g.content, "requires")},
+    lambda g: {"read": m.read_manifest(g.content)},
     *raw_then_version(
         lambda g: F.coalesce(
-            t.blank_to_null(t.quoted_value(g["section"], "python_full_version")), t.quoted_value(g["section"], "python_version")
+            *[t.blank_to_null(m.text_of(_sound(g["read"]), f"requires.{key}")) for key in ("python_full_version", "python_version")], F.lit("")
         ),
         t.leading_version,
     ),
@@ -203,18 +204,13 @@ def pipfile(given: Given) -> Column:
     return result(given["version"], given.name, 0.9, given["raw"], source_type="pipfile", format="pipenv")
 
 
-_POETRY_PYTHON = (
-    r"""(?md)^[ \t]*python[ \t]*=[ \t]*"""
-    r"""(?:["']([^"'\n]*)["']|\{[^}\n]*?version[ \t]*=[ \t]*["']([^"'\n]*)["'])"""
-)
-# Lines that no TOML file has outside texts of several lines: a header that never closes, and a key without a value.
-_BROKEN_HEADER = r"(?md)^[ \t]*\[[^\]\n]*$(?![\s\S]*^[ \t]*[\]\}])"
-_NO_VALUE = r"(?md)^[ \t]*[A-Za-z0-9_.-]+[ \t]*=[ \t]*(?:#[^\n]*)?\r?$"
+def _sound(read: Column) -> Column:
+    """The entries of a manifest, null if it is broken."""
+    return F.when(~read["broken"], read["entries"])
 
 
-def _may_be_toml(content: Column) -> Column:
-    texts = content.contains('"""') | content.contains("'''")
-    return texts | ~(content.rlike(_NO_VALUE) | content.rlike(_BROKEN_HEADER))
+_POETRY = "tool.poetry.dependencies"
+_TABLE_VERSION = r"""\A\{(?:[^}]*?[,\s])?version[ \t]*=[ \t]*["']([^"'\n]*)["']"""
 
 
 def _positive(n: Column) -> Column:
@@ -222,18 +218,20 @@ def _positive(n: Column) -> Column:
 
 
 def _pyproject_raw(given: Given) -> dict[str, Column]:
-    poetry = given["poetry"]
+    entries = given["entries"]
+    plain, table = m.text_of(entries, f"{_POETRY}.python"), F.regexp_extract(F.coalesce(m.value_of(entries, f"{_POETRY}.python"), F.lit("")), _TABLE_VERSION, 1)
+    own = m.text_of(entries, f"{_POETRY}.python.version")
     return {
-        "standard": t.quoted_value(given["project"], "requires-python"),
-        "tool": F.concat(F.regexp_extract(poetry, _POETRY_PYTHON, 1), F.regexp_extract(poetry, _POETRY_PYTHON, 2)),
+        "standard": m.text_of(entries, "project.requires-python"),
+        "tool": F.coalesce(*[t.blank_to_null(c) for c in (plain, table, own)], F.lit("")),
     }
 
 
 @extractor(
     "pyproject_toml",
     # A file that cannot be TOML gives nothing.
-    lambda g: {"sound": F.when(_may_be_toml(g.content), g.content)},
-    lambda g: {"project": t.section_body(g["sound"], "project"), "poetry": t.section_body(g["sound"], "tool.poetry.dependencies")},
+    lambda g: {"read": m.read_manifest(g.content)},
+    lambda g: {"entries": _sound(g["read"])},
     _pyproject_raw,
     lambda g: {"version": t.constraint_version(g["standard"]), "tool_version": t.constraint_version(g["tool"])},
 )
@@ -243,9 +241,10 @@ def pyproject_toml(given: Given) -> Column:
         made = result(given[version], given.name, 0.9, given[raw]).withField("metadata", entries)
         return F.when(given[version] != "", made)
 
+    listed = m.value_of(given["entries"], "project.dependencies")
     return F.coalesce(
-        constrained("version", "PEP621", "standard", F.size(t.list_items(given["project"], "dependencies"))),
-        constrained("tool_version", "Poetry", "tool", t.key_count(given["poetry"]) - 1),
+        constrained("version", "PEP621", "standard", F.size(m.items_of(listed))),
+        constrained("tool_version", "Poetry", "tool", F.size(m.keys_below(given["entries"], _POETRY)) - 1),
     )
 
 
@@ -283,7 +282,7 @@ TOX_ENVLIST = regex(r"envlist\s*=\s*([^\n]+)")
 
 @extractor(
     "tox_ini",
-    lambda g: {"quoted": t.quoted_value(t.section_body(g.content, "tox"), "envlist"), "plain": TOX_ENVLIST.group(g.content, 1)},
+    lambda g: {"quoted": m.text_of(m.read_manifest(g.content, ini=True)["entries"], "tox.envlist"), "plain": TOX_ENVLIST.group(g.content, 1)},
     lambda g: {"version": t.tox_env_version(g["quoted"]), "plain_version": t.tox_env_version(g["plain"])},
 )
 def tox_ini(given: Given) -> Column:

@@ -90,6 +90,26 @@ class Regex:
         return F.regexp_extract(text, self.java, index)
 
 
+@dataclass
+class _Item:
+    """One part of a sequence: whether it can be empty, the quantifier that lets it go on for ever, and a group's alternatives."""
+
+    empty: bool
+    body: list[list[_Item]] | None = None
+    repeat: str = ""
+
+    def repeats_itself(self) -> bool:
+        """Whether some alternative of a group is an endless repeat and else nothing that has to be there: repeated in turn, it can
+        cut the same text in exponentially many ways, and Java tries them all where there is no match."""
+        return any(x.repeat and all(o.empty for o in items if o is not x) for items in self.body or () for x in items)
+
+    def single_repeat(self) -> str:
+        """``*`` or ``+`` if the group is nothing but one such repeat of a single character."""
+        if self.body and len(self.body) == 1 and len(self.body[0]) == 1 and self.body[0][0].body is None:
+            return self.body[0][0].repeat if self.body[0][0].repeat in ("*", "+") else ""
+        return ""
+
+
 class _Rewriter:
     """Single left-to-right pass from RE2 syntax to Java syntax."""
 
@@ -102,6 +122,7 @@ class _Rewriter:
         self.groups = 0
         self.names: dict[str, int] = {}
         self.runs: list[list[tuple[str, bool]]] = [[]]
+        self.bodies: list[list[list[_Item]]] = [[[]]]
         self.top_level_choice = False
         self.quantifiable = False
 
@@ -134,8 +155,10 @@ class _Rewriter:
 
     # -- emitting ----------------------------------------------------------------------------------------------------
 
-    def _atom(self, java: str, literal: str | None = None):
+    def _atom(self, java: str, literal: str | None = None, wide: bool = True):
         self.out.append(java)
+        if java != ")":
+            self.bodies[-1][-1].append(_Item(not wide))
         self.quantifiable = True
         if literal is None:
             self._break_run()
@@ -163,11 +186,14 @@ class _Rewriter:
                 self.fail("unexpected )")
             self.flags = self.scopes.pop()
             self.pos += 1
+            body = self.bodies.pop()
+            self.bodies[-1][-1].append(_Item(any(all(x.empty for x in items) for items in body), body))
             self._atom(")")
         elif c == "|":
             self.top_level_choice |= not self.scopes
             self.pos += 1
             self.out.append("|")
+            self.bodies[-1].append([])
             self._break_run()
             self.quantifiable = False
         elif c == "[":
@@ -181,9 +207,9 @@ class _Rewriter:
             if c == ".":
                 self._atom("(?s:.)" if self.flags["s"] else r"[^\n]")
             elif c == "^":
-                self._atom(r"(?:\A|(?<=\n))" if self.flags["m"] else r"\A")
+                self._atom(r"(?:\A|(?<=\n))" if self.flags["m"] else r"\A", wide=False)
             elif c == "$":
-                self._atom(r"(?=\n|\z)" if self.flags["m"] else r"\z")
+                self._atom(r"(?=\n|\z)" if self.flags["m"] else r"\z", wide=False)
             else:
                 self._literal(c)
 
@@ -203,7 +229,19 @@ class _Rewriter:
         self.pos += lazy
         if _QUANTIFIER.match(self.src, self.pos):
             self.fail("invalid nested repetition operator")
-        self.out.append(m.group() + ("?" if lazy != self.flags["U"] else ""))
+        lazy = lazy != self.flags["U"]
+        java = m.group() + ("?" if lazy else "")
+        item = self.bodies[-1][-1][-1]
+        endless = m.group() in "*+" or (m.group(2) == "," and not high)
+        if endless and item.repeats_itself():
+            inner = item.single_repeat()
+            if not inner or lazy or m.group() not in "*+":
+                self.fail(f"{m.group()} repeats a group that can match the same text in many ways, which would take exponential time")
+            # The inner repeat does all that both do.
+            java = "?" if (inner, m.group()) == ("+", "*") else ""
+        self.out.append(java)
+        item.empty |= at_least == 0
+        item.repeat = (m.group() if not lazy else "lazy") if endless else item.repeat
         if at_least == 0 and self.runs[-1]:
             self.runs[-1].pop()
         self._break_run()
@@ -233,6 +271,7 @@ class _Rewriter:
 
     def _enter(self, java: str, saved: dict):
         self._break_run()
+        self.bodies.append([[]])
         self.scopes.append(saved)
         self.out.append(java)
         self.quantifiable = False
@@ -309,7 +348,7 @@ class _Rewriter:
         if c in "AzbB":
             java = self._word_edge() if c == "b" else {"A": r"\A", "z": r"\z", "B": _NOT_WORD_EDGE}[c]
             self.pos += 2
-            return self._atom(java)
+            return self._atom(java, wide=False)
         point = self._code_point()
         if point is not None:
             return self._literal(point)

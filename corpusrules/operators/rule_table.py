@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusrules.functions import text as t
 from corpusrules.functions.extractors import get_extractor, is_built_in, job_of, result, version_group
-from corpusrules.functions.patterns import regex, rule_glob
+from corpusrules.functions.patterns import java_quote, regex, rule_glob
 from corpusrules.functions.search_lines import line_test
 from corpusrules.operators.rules import _FLAT, _keys, _Job, _name_keys, worked
 from corpusrules.schemas import RESULT
@@ -103,15 +103,11 @@ def _prepared(record: dict) -> dict | None:
         return row | {"trimmed": str(config.get("trim_whitespace", True)).strip().lower() == "true", "fixed_confidence": fixed}
     options = {c: str(config.get(c, False)).strip().lower() == "true" for c in ("is_regex", "case_sensitive")}
     test = line_test(str(config["search_term"]), **options)
-    java = test.pattern.java if test.pattern else regex(_quoted(test.term)).java
+    java = test.pattern.java if test.pattern else java_quote(test.term)
     literal = test.term if test.pattern is None else test.pattern.literal if len(test.pattern.literal) >= 2 and not test.pattern.literal_folded else None
     return row | {"pattern": java, "guard": literal, "match_limit": int(float(config.get("max_matches") or 0))}
 
 
-def _quoted(term: str) -> str:
-    return "".join(c if c.isalnum() or ord(c) > 127 or c in " _" else "\\" + c if c not in "\n\t\r" else {"\n": "\\n", "\t": "\\t", "\r": "\\r"}[c] for c in term)
-
-
 def _preparer(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

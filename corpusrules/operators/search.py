@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusrules.functions.patterns import search_globs_match
 from corpusrules.functions.search_lines import LineTest, line_test
 from corpusrules.functions.text import as_text, base_name, strip_cr
-from corpusrules.operators.skew import top_n
+from corpusrules.operators.skew import group_limit, ranked_by_range, top_n
 from corpusrules.rulepack import Search
 
 MATCH_COLUMNS = ("line_number", "line_content", "matched_text")
@@ -155,21 +155,26 @@ def search_content(files: DataFrame, searches: Sequence[Search] | Search) -> Dat
     if not searches:
         raise ValueError("config holds no search definitions")
     found = _one_pass(files, searches, any(s.context_lines for s in searches))
-    return _apply_caps(found, searches) if any(s.max_matches > 0 for s in searches) else found
+    return apply_caps(found, searches) if any(s.max_matches > 0 for s in searches) else found
 
 
-def _apply_caps(matches: DataFrame, searches: Sequence[Search]) -> DataFrame:
+def apply_caps(matches: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """Hits of capped searches are ranked per project; a hit of any other search is alone in a lane of its own.
 
-    The largest cap also stands as a literal, so that Spark cuts hot projects before the shuffle where it can.
+    The largest cap also stands as a literal, so that Spark cuts hot projects before the shuffle where it can.  Caps too large for that are ranked by range: no task
+    gets a project's hits together, and hits of searches without a cap are in no window.
     """
     caps = {s.name: s.max_matches for s in searches if s.max_matches > 0}
     capped = F.col("search_name").isin(*caps)
+    keys = [c for c in ("search_name", "project_id") if c in matches.columns]
+    pairs = [F.lit(x) for item in caps.items() for x in item]
+    cap = F.create_map(*pairs)[F.col("search_name")]
+    if max(caps.values()) >= group_limit(matches):
+        ranked = ranked_by_range(matches, keys, ["file_path", "line_number"], "_rank")
+        return ranked.where(~capped | (F.col("_rank") <= cap)).drop("_rank")
     lanes = [F.when(~capped, F.col(c)) for c in ("file_path", "line_number")]
-    keys = [F.col(c) for c in ("search_name", "project_id") if c in matches.columns]
     place = F.row_number().over(Window.partitionBy(*keys, *lanes).orderBy("file_path", "line_number"))
-    pairs = [F.lit(x) for item in caps.items() for x in item]
-    cap = F.when(capped, F.create_map(*pairs)[F.col("search_name")]).otherwise(F.lit(1))
+    cap = F.when(capped, cap).otherwise(F.lit(1))
     return matches.withColumn("_rank", place).where((F.col("_rank") <= max(caps.values())) & (F.col("_rank") <= cap)).drop("_rank")
 
 

@@ -13,6 +13,11 @@ from corpusrules.session import ensure_checkpoint_dir
 _GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def group_limit(df: DataFrame) -> int:
+    """Ranks below this are cut before the shuffle."""
+    return int(df.sparkSession.conf.get(_GROUP_LIMIT_CONF, "1000"))
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``.
 
@@ -21,10 +26,10 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, rank
     holds a key that does not fit into one range.
     """
     out = rank or "_rank"
-    if n < int(df.sparkSession.conf.get(_GROUP_LIMIT_CONF, "1000")):
+    if n < group_limit(df):
         ranked = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     else:
-        ranked = _ranked_by_range(df, keys, order, out)
+        ranked = ranked_by_range(df, keys, order, out)
     ranked = ranked.where(F.col(out) <= n)
     return ranked if rank else ranked.drop(out)
 
@@ -37,7 +42,7 @@ def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return placed.withColumn("_p", F.shiftright("_id", 33))
 
 
-def _ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``name``: each row's place within its key, from the places in its range and the sizes of the key's ranges before."""
     placed = _placed(df, [*keys, *order])
     sizes = placed.groupBy("_p", *keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))

@@ -68,6 +68,22 @@ def write_scan_log(results: DataFrame, path: str, mode: str = "overwrite", fmt:
     _write(rows, path, mode, fmt)
 
 
+def _run_path(path: str, run: str) -> str:
+    if not run or "/" in run:
+        raise ValueError("a run needs a name without slashes")
+    return f"{path}/run={run}"
+
+
+def write_scan_run(results: DataFrame, path: str, run: str, source_url: str = "") -> None:
+    """K1, K5: one run's records in a log of many; a run that is written again replaces its own records and no others."""
+    write_full_scan_log(results, _run_path(path, run), source_url)
+
+
+def write_search_run(results: DataFrame, matches: DataFrame, path: str, run: str, search_term: str) -> None:
+    """K3: the same for a content search."""
+    write_search_log(results, matches, _run_path(path, run), search_term)
+
+
 def scan_started(statistics: DataFrame, source_url: str) -> DataFrame:
     """K5: header record of a JSON log."""
     return statistics.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusrules.schemas import SCAN_LOG, SEARCH_LOG
 
@@ -18,12 +19,30 @@ _COMPLETED = (
 )
 
 
+#: The column that holds a line no record could be read from.
+BROKEN = "_broken"
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Records and broken lines; the latter have nothing else.  Logs of several runs (``run=`` folders) have a column ``run``."""
+    whole = StructType([*schema.fields, StructField(BROKEN, StringType())])
+    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+
+
 def read_scan_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCAN_LOG).json(path)
+    """The records of a scan log; lines that are torn or no records are left out, see :func:`broken_lines`."""
+    return _read(spark, path, SCAN_LOG).where(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SEARCH_LOG).json(path)
+    return _read(spark, path, SEARCH_LOG).where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_lines(spark: SparkSession, path: str, schema: StructType = SCAN_LOG) -> DataFrame:
+    """One row: ``records`` that can be read from a log, and ``broken`` lines beside them."""
+    # Every record has a time; Spark reads no log for its broken lines alone.
+    times = F.when(F.col(BROKEN).isNull(), F.col("timestamp"))
+    return _read(spark, path, schema).agg(F.count(times).alias("records"), F.count(BROKEN).alias("broken"))
 
 
 def scan_log_results(log: DataFrame) -> DataFrame:

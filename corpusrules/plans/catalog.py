@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusrules.functions import manifests as ML
 from corpusrules.functions.extractors import CI_IMAGE, register_extractor
 from corpusrules.functions.text import VERSION
 from corpusrules.operators import projects as P
 from corpusrules.operators import rule_table as RT
 from corpusrules.operators import rules as R
 from corpusrules.operators import search as S
+from corpusrules.operators import search_table as SM
 from corpusrules.operators import stats as A
 from corpusrules.operators.requirements import dependency_counts, requirement_rows
 from corpusrules.plans.oracles import (
@@ -38,8 +40,10 @@ from corpusrules.rulepack import Rule, RulePack, Search, builtin_pack
 from corpusrules.session import scratch_path
 from corpusrules.sinks import logs as K
 from corpusrules.sources import corpus as C
+from corpusrules.sources import index as X
 from corpusrules.sources.files import fetch_content, file_contents, file_metadata, inventory
 from corpusrules.sources.logs import (
+    broken_lines,
     read_scan_log,
     read_search_log,
     scan_log_headers,
@@ -204,6 +208,80 @@ def search_conversations(spark, sf):
     return S.search_lines(C.conversation_files(spark, sf), Search(r"\b(?:the|der) \w+ing\b", is_regex=True))
 
 
+# -- search over an index, and by very many terms -----------------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, files: DataFrame) -> str:
+    path = scratch_path(spark, "index")
+    X.write_index(files, path)
+    return path
+
+
+@query("indexed_search_literal", IN_DOCUMENTS + literal_hits("LICENSE") + f" SELECT {MATCH} FROM hits")
+def indexed_search_literal(spark, sf):
+    path = _index(spark, C.document_files(spark, sf))
+    return X.indexed_search(spark, path, Search("LICENSE")).drop("search_name")
+
+
+@query("indexed_search_regex", IN_DOCUMENTS + regex_hits("(?i)" + LICENSE_GRANT.term) + f" SELECT {MATCH} FROM hits")
+def indexed_search_regex(spark, sf):
+    path = _index(spark, C.document_files(spark, sf))
+    return X.indexed_search(spark, path, LICENSE_GRANT).drop("search_name")
+
+
+def _trigram_test(text: str, term: str) -> str:
+    return " AND ".join(f"contains({text}, {q(term[k : k + 3])})" for k in range(len(term) - 2))
+
+
+@query(
+    "index_report",
+    with_(DOCUMENT_FILES)
+    + f"""SELECT 'license-grant' AS search_name, CAST(count(*) AS BIGINT) AS files,
+  CAST(count(*) FILTER (WHERE ({_trigram_test("lower(content)", "licensed")}) OR ({_trigram_test("lower(content)", "licenced")})
+    OR ({_trigram_test("lower(content)", "license ")}) OR ({_trigram_test("lower(content)", "licence ")})) AS BIGINT) AS files_read FROM files
+UNION ALL SELECT 'License', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE {_trigram_test("lower(content)", "license")}) AS BIGINT) FROM files""",
+)
+def index_report(spark, sf):
+    """How many files an indexed search reads: those that have all trigrams that the search asks for."""
+    path = _index(spark, C.document_files(spark, sf))
+    return X.index_report(spark, path, [LICENSE_GRANT, Search("License", case_sensitive=True)])
+
+
+def _item_searches(spark: SparkSession, sf: str) -> list[Search]:
+    """A search for every word of six letters or more in the benchmark, case-sensitive for every other one."""
+    words = C.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).distinct()
+    return [Search(r[0], case_sensitive=len(r[0]) % 2 == 0) for r in words.orderBy("word").collect()]
+
+
+_ITEM_WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS word FROM benchmark)"
+_WORD_HITS = (
+    with_(DOCUMENT_FILES, LINES, _ITEM_WORDS)
+    + """SELECT project_id, file_path, line_number, rtrim(line, chr(13)) AS line_content, word AS search_name,
+  CASE WHEN length(word) % 2 = 0 THEN word ELSE substr(line, strpos(lower(line), word), length(word)) END AS matched_text
+FROM lines JOIN words ON CASE WHEN length(word) % 2 = 0 THEN contains(line, word) ELSE contains(lower(line), word) END"""
+)
+
+
+@query("search_many_terms", _WORD_HITS)
+def search_many_terms(spark, sf):
+    return SM.search_many(C.document_files(spark, sf), _item_searches(spark, sf))
+
+
+@query(
+    "search_large_caps",
+    IN_DOCUMENTS
+    + literal_hits("e").replace("hits AS", "hits0 AS")
+    + ",\n"
+    + literal_hits("license").replace("hits AS", "hits1 AS")
+    + f"""SELECT 'e' AS search_name, {MATCH} FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_path, line_number) AS rn FROM hits0) AS r WHERE rn <= 5000
+UNION ALL SELECT 'license' AS search_name, {MATCH} FROM hits1""",
+)
+def search_large_caps(spark, sf):
+    """A cap too large to rank before the shuffle, beside a search without one."""
+    return S.search_content(C.document_files(spark, sf), [Search("e", max_matches=5000), Search("license")])
+
+
 _SNIPPETS = """parts AS (SELECT project_id, file_path, string_split(content, chr(10)) AS p FROM files),
 starts AS (SELECT project_id, file_path, p, unnest(range(0, len(p), 3)) AS s FROM parts),
 snippets AS (
@@ -932,6 +1010,32 @@ def manifest_requirements(spark, sf):
     return rows.select(*_MANIFEST.split(", "), *[F.col("metadata")[k].alias(k) for k in keys])
 
 
+_TOML_ENTRIES = r"""lines AS (
+  SELECT project_id, file_path, CAST(i AS INTEGER) AS line, string_split(content, chr(10))[i] AS text
+  FROM (SELECT *, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files WHERE file_name IN ('pyproject.toml', 'Pipfile')) AS f),
+placed AS (
+  SELECT *, last_value(nullif(regexp_extract(text, '^\[([^\]]+)\]', 1), '') IGNORE NULLS) OVER (PARTITION BY project_id, file_path ORDER BY line) AS section,
+    regexp_extract(text, '^([A-Za-z0-9_-]+) = (.*)$', 1) AS key, regexp_extract(text, '^([A-Za-z0-9_-]+) = (.*)$', 2) AS value
+  FROM lines)
+"""
+
+
+@query(
+    "manifest_lines",
+    with_(MANIFESTS)[:-1]
+    + ",\n"
+    + _TOML_ENTRIES
+    + r"""SELECT project_id, file_path, line, section || '.' || key AS path, starts_with(value, '"') AS quoted,
+  CASE WHEN starts_with(value, '"') THEN replace(value, '"', '') ELSE value END AS value
+FROM placed WHERE key <> '' AND value <> '['""",
+)
+def manifest_lines(spark, sf):
+    """H4 as a relation; lists over several lines are left to ``manifest_pyproject``."""
+    files = C.manifest_files(spark, sf).where(F.col("file_name").isin("pyproject.toml", "Pipfile"))
+    rows = ML.manifest_lines(files).where(~F.col("value").contains("\n"))
+    return rows.select("project_id", "file_path", "line", "path", "value", "quoted")
+
+
 @query(
     "whole_file_version",
     with_(MANIFESTS)
@@ -1385,6 +1489,26 @@ def search_log_round_trip(spark, sf):
     return search_log_projects(log).select(*keys).join(found, keys, "left")
 
 
+@query(
+    "scan_log_runs",
+    _INDEXED
+    + """SELECT run, CAST(count(*) AS BIGINT) AS records, CAST(count(version) AS BIGINT) AS detected, CAST(1 AS BIGINT) AS broken
+FROM numbered, (VALUES ('a'), ('b')) AS r(run) GROUP BY run""",
+)
+def scan_log_runs(spark, sf):
+    """A log of two runs, one written twice, each with a torn last line."""
+    path, report = scratch_path(spark, "runs"), _report(spark, sf)
+    for run in ("a", "b", "a"):
+        K.write_scan_run(report.results, path, run, "https://example.com")
+    torn = spark.createDataFrame([('{"timestamp":"2024-01-01T00:00:00Z","project_name":"lo',)], "value string").coalesce(1)
+    for run in ("a", "b"):
+        torn.write.mode("append").text(f"{path}/run={run}")
+    results = scan_log_results(read_scan_log(spark, path), "run")
+    counted = results.groupBy("run").agg(F.count("*").alias("records"), F.count("python_version").alias("detected"))
+    broken = [(run, broken_lines(spark, f"{path}/run={run}").first()["broken"]) for run in ("a", "b")]
+    return counted.join(spark.createDataFrame(broken, "run string, broken long"), "run")
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------------------
 
 

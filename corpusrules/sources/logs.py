@@ -45,8 +45,8 @@ def broken_lines(spark: SparkSession, path: str, schema: StructType = SCAN_LOG)
     return _read(spark, path, schema).agg(F.count(times).alias("records"), F.count(BROKEN).alias("broken"))
 
 
-def scan_log_results(log: DataFrame) -> DataFrame:
-    return log.where(F.col("type").isNull()).select(*_RESULT)
+def scan_log_results(log: DataFrame, *more: str) -> DataFrame:
+    return log.where(F.col("type").isNull()).select(*more, *_RESULT)
 
 
 def scan_log_headers(log: DataFrame) -> DataFrame:

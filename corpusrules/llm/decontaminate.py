@@ -4,9 +4,10 @@ Texts are lower-cased (A-Z) and reduced to words of ASCII letters, digits and ev
 ``window`` consecutive words of an item; a shorter item is one window, an item without words none.  Every word of a
 document inside an occurrence of a window is hit, and runs of hit words are mapped back to offsets of the original text.
 
-The automaton's size is checked: windows are held as text, ``MAX_AUTOMATON_BYTES`` at a time.  A benchmark beyond that is
-cut into shards of distinct windows by hash, and each shard is one more narrow scan that adds to the row's findings, so
-neither documents nor findings are ever shuffled, and no task holds more than one shard.
+The automaton's size is checked: it has about a node for every byte of its windows and takes some 50 bytes of memory for each, so
+``MAX_AUTOMATON_BYTES`` of windows are held at a time (100 MB a worker).  A benchmark beyond that is cut into shards of distinct windows by hash.  Documents
+are then numbered and written once, each shard is a scan of its own that writes what it finds (rows of hit documents only), and findings meet their documents at
+the end; no task ever holds more than one shard.
 
 Nulls and empties: a null or empty text has no words, no hits and no items.  A null item text has no windows; an item
 without id marks words but is not listed.  Repeated items count once, repeated documents keep their rows.
@@ -16,19 +17,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusrules.llm.storage import free_name, written
 from corpusrules.llm.words import released
 
 WINDOW = 10
-MAX_AUTOMATON_BYTES = 32 << 20
+MAX_AUTOMATON_BYTES = 2 << 20
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
@@ -91,38 +94,57 @@ def normalised(text: str) -> bytes:
 
 def _scanner(shared: Broadcast):
     @F.arrow_udf(FOUND)
-    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton, known = _automaton(shared)
-        for texts, earlier in released(batches):
+        for texts in released(batches):
             out = []
-            for text, before in zip(texts, earlier, strict=True):
+            for text in texts:
                 line = normalised(text.as_py() or "")
                 n_words = max(0, line.count(b" ") - 1)
-                found = list(automaton.iter(line.decode("latin-1"))) if len(known) else []
-                hit, items = set(), set()
-                if before.is_valid:
-                    past = before.as_py()
-                    hit.update(past["hit"])
-                    items.update(past["items"])
-                if found:
-                    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-                    for end, (k, length) in found:
-                        first = int(np.searchsorted(gaps, end - length + 1))
-                        hit.update(range(first, int(np.searchsorted(gaps, end))))
+                hit, items = np.zeros(0, np.int64), set()
+                if len(known):
+                    gaps, runs = None, []
+                    for end, (k, length) in automaton.iter(line.decode("latin-1")):
+                        if gaps is None:
+                            gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+                        first, last = int(np.searchsorted(gaps, end - length + 1)), int(np.searchsorted(gaps, end))
                         items.update(known[k][1])
-                out.append((n_words, sorted(hit), sorted(items)))
+                        # Occurrences come by their ends; runs are kept joined, so a text full of hits takes no more than its words.
+                        while runs and runs[-1][0] >= first:
+                            last = max(last, runs.pop()[1])
+                        if runs and runs[-1][1] >= first:
+                            runs[-1][1] = max(runs[-1][1], last)
+                        else:
+                            runs.append([first, last])
+                    if runs:
+                        hit = np.concatenate([np.arange(a, b) for a, b in runs])
+                out.append((n_words, hit, sorted(items)))
             yield pa.array([dict(zip(("n_words", "hit", "items"), row, strict=True)) for row in out], _FOUND_TYPE)
 
     return scan
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_AUTOMATON_BYTES) -> Column:
-    """A column of ``docs`` rows: number of words, positions of hit words, ids of the items found (ascending)."""
+def with_findings(docs: DataFrame, items: DataFrame, name: str, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+    """``docs`` with a column ``name``: number of words, positions of hit words, ids of the items found (ascending)."""
     spark = docs.sparkSession
-    found: Column = F.lit(None).cast(FOUND)
-    for shard in window_shards(benchmark_windows(items, item_col, item_text_col, window), most):
-        found = _scanner(spark.sparkContext.broadcast(shard))(F.col(text_col), found)
-    return found
+    shards = window_shards(benchmark_windows(items, item_col, item_text_col, window), most)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        return docs.withColumn(name, _scanner(spark.sparkContext.broadcast(first))(F.col(text_col)))
+    row = free_name(docs, "_row")
+    kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = None
+    for k, shard in enumerate(chain([first, second], shards)):
+        scanned = kept.select(row, _scanner(spark.sparkContext.broadcast(shard))(F.col(text_col)).alias(name))
+        # The first scan says for every document how many words it has.
+        part = written(scanned if k == 0 else scanned.where(F.size(f"{name}.hit") > 0), "findings")
+        found = part if found is None else found.union(part)
+    listed = found.groupBy(row).agg(
+        F.max(f"{name}.n_words").alias("n_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"{name}.hit")))).alias("hit"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(f"{name}.items")))).alias("items"),
+    )
+    return kept.join(listed.select(row, F.struct("n_words", "hit", "items").cast(FOUND).alias(name)), row).drop(row)
 
 
 @F.arrow_udf(_SPANS)
@@ -142,32 +164,26 @@ def hit_spans(texts: pa.Array, hits: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = MAX_AUTOMATON_BYTES) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``items`` (ids as text, ascending) and ``spans`` of the original text.
 
     Other columns of ``docs`` are not read, whatever their names.
     """
     slim = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    found = contamination(slim, items, item_col=item_col, item_text_col=item_text_col, window=window)
-    return (
-        slim.withColumn("found", found)
-        .select(
-            id_col,
-            F.col("found.n_words").alias("n_words"),
-            F.size("found.hit").cast("long").alias("n_hit"),
-            F.col("found.items").alias("items"),
-            hit_spans("text", "found.hit").alias("spans"),
-        )
+    found = with_findings(slim, items, "found", item_col=item_col, item_text_col=item_text_col, window=window, most=most)
+    return found.select(
+        id_col,
+        F.col("found.n_words").alias("n_words"),
+        F.size("found.hit").cast("long").alias("n_hit"),
+        F.col("found.items").alias("items"),
+        hit_spans("text", "found.hit").alias("spans"),
     )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, **names: str) -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item; all other rows and columns as they were."""
-    mark = "found"
-    while mark in docs.columns:
-        mark += "_"
-    found = contamination(docs, items, text_col=text_col, window=window, **names)
-    return docs.withColumn(mark, found).where(F.size(f"{mark}.hit") == 0).drop(mark)
+    mark = free_name(docs, "found")
+    return with_findings(docs, items, mark, text_col=text_col, window=window, **names).where(F.size(f"{mark}.hit") == 0).drop(mark)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -121,28 +121,44 @@ def margins(texts: pa.Array, weights: np.ndarray, biases: np.ndarray) -> np.ndar
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+class Rows:
+    """Feature vectors as they came, in parts that are never copied into one."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([p @ v for p in self.parts])
+
+    def summed(self, weights: np.ndarray) -> np.ndarray:
+        """The vectors' weighed sum."""
+        return np.sum([weights[a:b] @ p for p, a, b in zip(self.parts, self.bounds[:-1], self.bounds[1:], strict=True)], axis=0)
+
+
+def fit_svm(x: Rows, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Linear SVM (squared hinge, classes weighed equally, bias not penalised) by accelerated gradient steps."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    v = np.ones(x.shape[1] + 1, np.float32)
+    wide = x.parts[0].shape[1]
+    v = np.ones(wide + 1, np.float32)
     for _ in range(20):  # the largest curvature, by the power method
         v /= np.linalg.norm(v)
-        r = share * (x @ v[:-1] + v[-1])
-        v = np.append(x.T @ r, r.sum())
+        r = share * (x.dot(v[:-1]) + v[-1])
+        v = np.append(x.summed(r), r.sum())
     step = 1 / (2 * np.linalg.norm(v) * 1.05 + PENALTY)
-    w = last = np.zeros(x.shape[1] + 1, np.float32)
+    w = last = np.zeros(wide + 1, np.float32)
     for k in range(STEPS):
         ahead = w + (k / (k + 3)) * (w - last)
-        slack = share * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1])) * y
-        gradient = -2 * np.append(x.T @ slack, slack.sum())
+        slack = share * np.maximum(0, 1 - y * (x.dot(ahead[:-1]) + ahead[-1])) * y
+        gradient = -2 * np.append(x.summed(slack), slack.sum())
         gradient[:-1] += PENALTY * ahead[:-1]
         last, w = w, (ahead - step * gradient).astype(np.float32)
     return w[:-1], float(w[-1])
 
 
-def profile(x: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+def profile(x: Rows, trigrams: np.ndarray) -> np.ndarray:
     """For each bin the logarithm of how much likelier it is where half the trigrams are as in these rows than where all are even."""
-    counts = (np.minimum(trigrams, PROFILE_TRIGRAMS) / SCALE) @ x + PRIOR
+    counts = x.summed(np.minimum(trigrams, PROFILE_TRIGRAMS) / SCALE) + PRIOR
     return np.log((1 + counts / counts.sum() * len(counts)) / 2)
 
 
@@ -167,17 +183,27 @@ class Model(NamedTuple):
 
 @F.arrow_udf(T.BinaryType())
 def _features(texts: pa.Array) -> pa.Array:
-    shares, known = trigram_shares(texts).astype(np.float32), has_letters(texts)
-    return pa.array([row.tobytes() if ok else None for row, ok in zip(shares, known, strict=True)], pa.binary())
+    known, parts = has_letters(texts), []
+    for first in range(0, len(texts), 128):
+        own = trigram_shares(texts[first : first + 128])
+        parts.append(pa.array([row.tobytes() if ok else None for row, ok in zip(own, known[first : first + 128], strict=True)], pa.binary()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+_FITTED = pa.schema([("pair", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64())])
 
 
-def _fitter(table: pa.Table) -> pa.Table:
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table.column("features")])
-    y = table.column("sign").to_numpy().astype(np.float32)
-    weights, bias = fit_svm(x, y) if y.any() else (profile(x, table.column("trigrams").to_numpy()), 0.0)
-    del x
+def _fitter(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, signs, trigrams = [], [], []
+    for batch in batches:
+        parts.append(np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in batch.column("features")]))
+        signs.append(batch.column("sign").to_numpy().astype(np.float32))
+        trigrams.append(batch.column("trigrams").to_numpy())
+    x, y = Rows(parts), np.concatenate(signs)
+    weights, bias = fit_svm(x, y) if y.any() else (profile(x, np.concatenate(trigrams)), 0.0)
+    del x, parts
     release()
-    return pa.table({"pair": pa.array(table.column("pair")[:1].to_pylist(), pa.int32()), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+    yield pa.RecordBatch.from_pydict({"pair": [key[0].as_py()], "weights": [weights.astype(np.float32).tobytes()], "bias": [bias]}, schema=_FITTED)
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS, families: Mapping[str, tuple[str, ...]] = FAMILIES, profiled: bool = False) -> Model:

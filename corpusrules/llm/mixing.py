@@ -31,6 +31,8 @@ from corpusrules.llm.storage import free_name, written
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SHARDS = 64
+#: Words of a shard that one task shuffles.
+PIECE_WORDS = 32_000_000
 STRIPES = 4096
 SEED = 20
 
@@ -226,11 +228,16 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, **shape) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, by shard and in random order within it."""
-    plan = mix_plan(narrow_rows(docs, id_col, source_col, text_col, seed), shards=shards, seed=seed, **shape)
+    rows = narrow_rows(docs, id_col, source_col, text_col, seed)
+    plan = mix_plan(rows, shards=shards, seed=seed, **shape)
+    # A shard of many words is several tasks' work; each has a random part of it, in random order.
+    words = rows.agg(F.sum("size")).first()[0] or 0
+    pieces = max(1, -(-words // (shards * PIECE_WORDS)))
     own = free_name(docs, "mix")
     plan = plan.select(F.struct("source", "whole", "last_key", "bounds").alias(own))
     joined = docs.join(plan, docs[source_col].cast("string").eqNullSafe(F.col(f"{own}.source")))
     copies = (F.col(f"{own}.whole") + F.when(order_key(id_col, seed) <= F.col(f"{own}.last_key"), 1).otherwise(0)).cast("int")
     drawn = joined.select(*docs.columns, F.posexplode(_shards(copies, id_col, F.col(f"{own}.bounds"), seed)).alias(f"{own}_copy", f"{own}_shard"))
     place = order_key(id_col, seed + 2, F.col(f"{own}_copy"))
-    return drawn.repartition(shards, f"{own}_shard").sortWithinPartitions(f"{own}_shard", place).select(*docs.columns)
+    piece = F.pmod(F.xxhash64(place), F.lit(pieces))
+    return drawn.repartition(shards * pieces, f"{own}_shard", piece).sortWithinPartitions(f"{own}_shard", place).select(*docs.columns)

@@ -5,7 +5,7 @@
 2. Points are dealt to shards by hash, about ``SHARD_POINTS`` each.  A task builds a shard's graph: vectors of length one,
    a level per point, and neighbour numbers as one flat array per shard (``2 * LINKS`` on the ground level, ``LINKS``
    above, -1 for none).  The index is a table of shards; it is written and can be kept.
-3. Queries travel in blocks, each block to every shard.  A shard descends its levels greedily and searches the ground level
+3. Queries travel in blocks, each block to every shard; a shard travels once for ``GROUP_BLOCKS`` of them.  It descends its levels greedily and searches the ground level
    with ``BREADTH`` candidates; the nearest ``k + 1`` points are measured again: the cosine in double precision, on the
    vectors as they were.
 4. The shards' rows are ranked by score, then by id.
@@ -33,6 +33,8 @@ BREADTH = 128
 SHARD_POINTS = 8192
 SHARD_BYTES = 64 << 20
 QUERY_BLOCK = 512
+#: Query blocks that meet a shard together (64 MB of 64 numbers each).
+GROUP_BLOCKS = 256
 SEED = 6
 
 _NONE = -1
@@ -224,44 +226,50 @@ def build_index(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
         most = max(1, min(shard_points, SHARD_BYTES // (8 * dim)))
         per_shard = F.when(F.col("dim") == dim, F.lit(-(-n // most))).otherwise(per_shard)
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("vector", F.lit(SEED)), per_shard).cast("int"))
-    return written(dealt.groupBy("shard", "dim").applyInArrow(_build, _SHARD), "index")
+    # A shard is minutes of work: each has a task of its own, where no small shuffle is made smaller still.
+    tasks = sum(-(-n // max(1, min(shard_points, SHARD_BYTES // (8 * dim)))) for dim, n in sizes.items())
+    placed = dealt.repartition(max(1, 4 * tasks), "shard", "dim")
+    return written(placed.groupBy("shard", "dim").applyInArrow(_build, _SHARD), "index")
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
     matrix = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return pa.table({"dim": pa.array([key[1].as_py()], pa.int32()), "query_ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "queries": pa.array([matrix.tobytes()], pa.binary())})
+    block, dim = (pa.array([x.as_py()], pa.int32()) for x in key)
+    return pa.table({"block": block, "dim": dim, "query_ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "queries": pa.array([matrix.tobytes()], pa.binary())})
+
+
+def _opened(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, Graph, list[np.ndarray]]:
+    """Vectors, graph and ids of a stored shard."""
+    dim = row["dim"].as_py()
+    vectors = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(-1, dim)
+    graph = Graph(unit(vectors), np.frombuffer(row["levels"].as_buffer(), np.int32))
+    graph.ground = np.frombuffer(row["ground"].as_buffer(), np.int32).reshape(len(vectors), -1)
+    graph.upper = np.frombuffer(row["upper"].as_buffer(), np.int32).reshape(-1, LINKS)
+    graph.entry = row["entry"].as_py()
+    ids = np.split(np.frombuffer(row["ids"].as_buffer(), np.int64), np.frombuffer(row["id_ends"].as_buffer(), np.int64)[:-1])
+    return vectors, graph, ids
+
+
+_MET = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _searcher(k: int, breadth: int) -> Callable:
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = {c: batch.column(c)[row] for c in batch.schema.names}
-                name = part["shard"].as_py(), part["dim"].as_py()
-                dim = name[1]
-                if held is None or held[0] != name:
-                    vectors = np.frombuffer(part["vectors"].as_py(), np.float64).reshape(-1, dim)
-                    levels = np.frombuffer(part["levels"].as_py(), np.int32)
-                    graph = Graph(unit(vectors), levels)
-                    graph.ground = np.frombuffer(part["ground"].as_py(), np.int32).reshape(len(vectors), -1)
-                    graph.upper = np.frombuffer(part["upper"].as_py(), np.int32).reshape(-1, LINKS)
-                    graph.entry = part["entry"].as_py()
-                    ids = np.split(np.frombuffer(part["ids"].as_py(), np.int64), np.frombuffer(part["id_ends"].as_py(), np.int64)[:-1])
-                    held = name, vectors, graph, ids
-                _, vectors, graph, ids = held
-                queries = np.frombuffer(part["queries"].as_py(), np.float64).reshape(-1, dim)
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                for query_id, query, turned in zip(np.frombuffer(part["query_ids"].as_py(), np.int64).tolist(), queries, unit(queries), strict=True):
+    """A shard, which is there once, and the query blocks that come to it."""
+
+    def run(shard: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        if len(shard) and len(blocks):
+            vectors, graph, ids = _opened({c: shard.column(c)[0] for c in shard.column_names})
+            for query_ids, packed in zip(blocks.column("query_ids"), blocks.column("queries"), strict=True):
+                queries = np.frombuffer(packed.as_buffer(), np.float64).reshape(-1, vectors.shape[1])
+                for query_id, query, turned in zip(np.frombuffer(query_ids.as_buffer(), np.int64).tolist(), queries, unit(queries), strict=True):
                     near = graph.nearest(turned, k + 1, breadth)
                     scores = cosines(query, vectors[near])
                     ranked = sorted((-s, i) for s, p in zip(scores.tolist(), near, strict=True) for i in ids[p].tolist() if i != query_id)[:k]
                     out["query_id"] += [query_id] * len(ranked)
                     out["vec_id"] += [i for _, i in ranked]
                     out["score"] += [-s for s, _ in ranked]
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+        return pa.Table.from_pydict(out, schema=_MET)
 
     return run
 
@@ -271,14 +279,19 @@ def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vect
     asked = _vectors(queries, id_col, vector_col).distinct().withColumn("dim", F.size("vector"))
     count = asked.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
-    made = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "dim").applyInArrow(_block, "dim int, query_ids binary, queries binary")
-    # Every block goes to every shard of its length: a row per block and shard, not per query and vector.
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    made = asked.groupBy(block, "dim").applyInArrow(_block, "block int, dim int, query_ids binary, queries binary")
+    # Every group of blocks goes to every shard of its length, and a shard to every group: rows per group, not per query.
+    groups = -(-blocks // GROUP_BLOCKS)
     shards = {r[0]: r[1] for r in index.groupBy("dim").agg(F.max("shard")).collect()}
     last = F.lit(-1)
     for dim, shard in shards.items():
         last = F.when(F.col("dim") == dim, F.lit(shard)).otherwise(last)
-    sent = made.withColumn("last", last).where("last >= 0").select("dim", "query_ids", "queries", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"))
-    met = index.join(sent, ["shard", "dim"]).mapInArrow(_searcher(k, breadth), "query_id long, vec_id long, score double")
+    grouped = made.withColumn("last", last).where("last >= 0").withColumn("group", (F.col("block") / GROUP_BLOCKS).cast("int"))
+    sent = grouped.select("dim", "group", "query_ids", "queries", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"))
+    dealt = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    keys = ["shard", "dim", "group"]
+    met = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_searcher(k, breadth), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # Queries of one id with several vectors may meet a row twice; its best score counts.
     return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

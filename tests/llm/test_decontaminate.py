@@ -40,16 +40,21 @@ TEXTS = [
 
 
 @pytest.mark.parametrize("most", [op.MAX_AUTOMATON_BYTES, 40])
-def test_against_brute_force(docs, rows, monkeypatch, most):
-    monkeypatch.setattr(op, "MAX_AUTOMATON_BYTES", most)
+def test_against_brute_force(docs, rows, most):
     items = rows("item_id long, text string, doc_id int", *((*i, 0) for i in ITEMS))
     table = docs(*TEXTS)
-    slim = table.select("doc_id", "text").withColumn("f", op.contamination(table, items, most=most))
-    sharded = {r["doc_id"]: (r["f"]["n_words"], len(r["f"]["hit"]), len(r["f"]["items"])) for r in slim.collect()}
-    got = {r["doc_id"]: tuple(r)[1:] for r in op.digest(op.decontaminate(table, items)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in op.digest(op.decontaminate(table, items, most=most)).collect()}
     expected = brute(TEXTS, ITEMS)
     assert [got[k] for k in range(len(TEXTS))] == expected
-    assert [sharded[k] for k in range(len(TEXTS))] == [e[:3] for e in expected]
+    clean = op.without_contaminated(table, items, most=most)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [k for k, e in enumerate(expected) if not e[-1]]
+
+
+def test_long_text_full_of_hits(docs, rows):
+    """Ten million characters of one benchmark passage, repeated."""
+    items = rows("item_id long, text string", (1, TEN))
+    (row,) = op.digest(op.decontaminate(docs((TEN + " ") * 200_000), items)).collect()
+    assert row["n_words"] == row["n_hit"] == 2_000_000 and row["contaminated"]
 
 
 def test_spans_point_into_the_original(docs, rows):

@@ -101,7 +101,7 @@ class _Item:
     def repeats_itself(self) -> bool:
         """Whether some alternative of a group is an endless repeat and else nothing that has to be there: repeated in turn, it can
         cut the same text in exponentially many ways, and Java tries them all where there is no match."""
-        return any(x.repeat and all(o.empty for o in items if o is not x) for items in self.body or () for x in items)
+        return any((x.repeat or x.repeats_itself()) and all(o.empty for o in items if o is not x) for items in self.body or () for x in items)
 
     def single_repeat(self) -> str:
         """``*`` or ``+`` if the group is nothing but one such repeat of a single character."""

@@ -31,16 +31,22 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def read_scan_log(spark: SparkSession, path: str) -> DataFrame:
     """The records of a scan log; lines that are torn or no records are left out, see :func:`broken_lines`."""
-    return _read(spark, path, SCAN_LOG).where(F.col(BROKEN).isNull()).drop(BROKEN)
+    return _whole(_read(spark, path, SCAN_LOG))
 
 
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, SEARCH_LOG).where(F.col(BROKEN).isNull()).drop(BROKEN)
+    return _whole(_read(spark, path, SEARCH_LOG))
+
+
+def _whole(log: DataFrame) -> DataFrame:
+    """Records alone.  Spark reads no log for its broken lines alone, as a count of records would: the time goes with them."""
+    row, none = F.struct(BROKEN, "timestamp"), F.struct(F.lit(None).cast("string").alias(BROKEN), "timestamp")
+    return log.where(row.eqNullSafe(none)).drop(BROKEN)
 
 
 def broken_lines(spark: SparkSession, path: str, schema: StructType = SCAN_LOG) -> DataFrame:
     """One row: ``records`` that can be read from a log, and ``broken`` lines beside them."""
-    # Every record has a time; Spark reads no log for its broken lines alone.
+    # Every record has a time.
     times = F.when(F.col(BROKEN).isNull(), F.col("timestamp"))
     return _read(spark, path, schema).agg(F.count(times).alias("records"), F.count(BROKEN).alias("broken"))
 

@@ -224,3 +224,25 @@ def test_search_globs_combine(spark):
     assert search_glob("[a") is None
     row = spark.range(1).select(search_globs_match(F.lit("a.yml"), ["*.py", "[bad", "*.yml"]).alias("m")).first()
     assert row.m is True
+
+
+@pytest.mark.parametrize("pattern,java", [("(a+)+$", r"(a+)\z"), ("(?:a*)*b", "(?:a*)b"), ("(a+)*", "(a+)?"), (r"([^x]+)+", "([^x]+)"), ("(a*)+", "(a*)")])
+def test_repeated_repeats_become_one(pattern, java):
+    assert regex(pattern).java == java
+
+
+@pytest.mark.parametrize("pattern", [r"(\w+\s?)*$", "(a+b?)+c", "((a+)b*)+", "(a|b+)*c", "(a+){2,}", "(?:a+?)+b", r"(\b\w+)+!"])
+def test_ambiguous_repeats_are_refused(pattern):
+    with pytest.raises(PatternError, match="exponential"):
+        regex(pattern)
+
+
+@pytest.mark.parametrize("pattern", ["(ab+)+", "(a+,)*", "(?:a{2,5})+", "(a?b)*", r"(?:\d+\.)+\d+", "(abc)+"])
+def test_other_repeats_stay(pattern):
+    assert regex(pattern).groups == pattern.count("(") - pattern.count("(?:")
+
+
+def test_repeated_repeats_end_quickly(spark):
+    line = "a" * 200_000 + "b"
+    df = spark.createDataFrame([(line,)], "s string")
+    assert not df.select(regex("(a+)+$").found_in(F.col("s"))).first()[0]

@@ -87,7 +87,7 @@ def test_no_searches(files):
 def test_pack_scans_once(spark, make_files, tmp_path):
     make_files((1, "a", "x\ny"), (1, "b", "x")).write.parquet(str(tmp_path / "f"))
     table = spark.read.parquet(str(tmp_path / "f"))
-    capped = search_content(table, [Search("x", max_matches=1), Search("y"), Search("z", max_matches=5000)])
+    capped = search_content(table, [Search("x", max_matches=1), Search("y"), Search("z", max_matches=500)])
     assert capped._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((r.search_name, r.file_path) for r in capped.collect()) == [("x", "a"), ("y", "a")]
 
@@ -256,3 +256,19 @@ def test_scan_report(projects, make_files):
     report = version_scan(projects, files)
     assert tuple(report.statistics.first()) == (3, 2, 1, 0)
     assert {r.python_version: r.projects for r in report.distribution.collect()} == {"3.11": 1, "3.9": 1}
+
+
+def test_caps_too_large_for_the_group_limit(spark, make_files):
+    """Ranked by range: a hot project's hits are spread, and searches without a cap keep all."""
+    rows = make_files(*[(k % 2, f"f{k:04d}.txt", "hit\nhit other\nno") for k in range(700)])
+    searches = [Search("hit", name="large", max_matches=1001), Search("other", name="free"), Search("hit", name="small", max_matches=3)]
+    got = search_content(rows, searches)
+    counts = {(r["search_name"], r["project_id"]): r["count"] for r in got.groupBy("search_name", "project_id").count().collect()}
+    assert counts == {("large", 0): 700, ("large", 1): 700, ("free", 0): 350, ("free", 1): 350, ("small", 0): 3, ("small", 1): 3}
+    more = [Search("hit", name="large", max_matches=1000)]
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "600")
+    try:
+        by_range = found(search_content(rows.where("project_id = 0"), [Search("hit", name="x", max_matches=650)]))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert by_range == found(search_content(rows.where("project_id = 0"), more))[:650]

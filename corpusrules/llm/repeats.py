@@ -3,7 +3,7 @@
 Repeats are found by suffix arrays, which external induced sorting builds shard by shard (``suffixes``); three steps deal the
 corpus to shards so that equal strings meet, and leave out what cannot repeat:
 
-1. Texts become blocks of about ``BLOCK_BYTES`` (compressed; one row each), written once.
+1. Texts become blocks of about ``BLOCK_BYTES`` (compressed; one row each), written once, by hash of the block: answers and spans come to them.
 2. A string of ``LENGTH`` bytes has an *anchor*: the ``GRAM``-byte piece with the least hash, the leftmost of equals.  Equal
    strings have equal anchors.  Successive strings of a text with one anchor are a *stretch*, and the strings' whole range
    its content.  Blocks send each (anchor, content) once, as hashes (128 bits of the content), to buckets by anchor, and get back for
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusrules.llm.storage import written
+from corpusrules.llm.storage import kept_by
 from corpusrules.llm.suffixes import Scratch, repeated_windows
 from corpusrules.llm.words import mix, text_buffer
 
@@ -505,7 +505,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType
     block_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
-    blocks = written(slim.mapInArrow(_blocker(to_arrow_schema(block_schema)), block_schema), "blocks")
+    blocks = kept_by(slim.mapInArrow(_blocker(to_arrow_schema(block_schema)), block_schema), "block", "blocks")
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets, shards = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARD_BYTES))
     hot = hot_anchors(blocks, length, gram)

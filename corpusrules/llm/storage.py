@@ -14,6 +14,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written by hash of ``key``, one file a partition, as many as the session's shuffle partitions: it moves this once, and rows that are
+    grouped by ``key`` with it later come to it."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.repartition(parts, key).write.option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 #: What a task hands to Python at a time.  Spark's own 10,000 rows or 64 MB are held several times over, by either side.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 

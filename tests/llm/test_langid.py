@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -76,3 +78,45 @@ def test_trigrams_stay_within_texts():
     alone = [op.trigram_shares(pa.array([t]))[0] for t in texts.to_pylist()]
     assert all((a == b).all() for a, b in zip(shares, alone, strict=True))
     assert [round(float(s.sum()), 4) for s in shares] == [op.SCALE, 0, 0, 0, op.SCALE]
+
+
+def test_against_plain_python(docs):
+    """Scores worked out again: trigrams counted one by one, machines fitted on all rows at once, votes of each level."""
+    texts, langs = corpus(6, 30)
+    got = {r["doc_id"]: r for r in op.languages(docs(*texts, lang=langs)).collect()}
+
+    def features(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        counts = np.zeros(op.BINS)
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            code = a | b << 8 | c << 16
+            mixed = (code * 0x9E3779B1 & 0xFFFFFFFF) ^ ((code >> 7) * 0x85EBCA6B & 0xFFFFFFFF)
+            counts[mixed >> 13 & op.BINS - 1] += 1
+        return counts * op.SCALE / max(1, len(raw) - 2)
+
+    x = np.array([features(t) for t in texts])
+    learned = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5]
+    place = op.family_of()
+
+    def margin(one, other, of):
+        rows = [k for k in learned if of(langs[k]) in (one, other)]
+        y = np.array([1.0 if of(langs[k]) == one else -1.0 for k in rows], np.float32)
+        w, b = op.fit_svm(op.Rows([x[rows].astype(np.float32)]), y)
+        return 1 / (1 + np.exp(-op.STEEPNESS * (x @ w.astype(float) + b)))
+
+    def level(names, of):
+        votes = {n: np.zeros(len(x)) for n in names}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                vote = margin(a, b, of)
+                votes[a] += vote
+                votes[b] += 1 - vote
+        total = sum(votes.values()) if len(names) > 1 else 1
+        return {n: votes[n] / total if len(names) > 1 else np.ones(len(x)) for n in names}
+
+    families = level(sorted({place.get(lang, lang) for lang in langs}), lambda lang: place.get(lang, lang))
+    within = {f: level(sorted({lang for lang in langs if place.get(lang, lang) == f}), lambda lang: lang) for f in families}
+    for k in range(len(texts)):
+        family = max(families, key=lambda f: families[f][k])
+        lang = max(within[family], key=lambda n: within[family][n][k])
+        assert got[k]["lang_pred"] == lang and got[k]["score"] == pytest.approx(families[family][k] * within[family][lang][k], abs=1e-3)

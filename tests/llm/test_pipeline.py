@@ -12,8 +12,10 @@ def test_stages_and_whole_run(spark, tmp_path):
     texts, langs = corpus(4, 30, ("en", "de", "fr", "es"))
     rng = random.Random(4)
     passage = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(14))
-    extra = [texts[0], texts[0] + " more", texts[1] + " " + passage, None, "", "123 456"]
-    values = [(k, t, lang, f"s{k % 3}", len(t or "")) for k, (t, lang) in enumerate(zip(texts + extra, langs + ["en"] * 6, strict=True))]
+    # The last two are letters that the languages have, in no order that they have.
+    gibberish = [" ".join("".join(rng.choices("bcdfgjkmpqvwxyz", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(2)]
+    extra = [texts[0], texts[0] + " more", texts[1] + " " + passage, None, "", "123 456", *gibberish]
+    values = [(k, t, lang, f"s{k % 3}", len(t or "")) for k, (t, lang) in enumerate(zip(texts + extra, langs + ["en"] * 8, strict=True))]
     values.append(values[5])
     spark.createDataFrame(values, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, passage), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +65,36 @@ def test_partition_sums_are_those_of_one_task(rows):
     schema = "x array<double>, y double, fold int"
     one, many = op.fit(rows(schema, *values).coalesce(1)), op.fit(rows(schema, *values).repartition(7))
     assert np.allclose(one.weights, many.weights) and np.allclose(one.chances, many.chances)
+
+
+def test_against_plain_numpy(docs, rows):
+    """Scores worked out again from all labelled rows at once: standardised statistics, cosines, ridge, isotonic means of out-of-fold scores."""
+    texts, marks = corpus(300, 3)
+    labels = rows("doc_id long, quality int", *enumerate(marks))
+    table = docs(*texts)
+    got = {r["doc_id"]: r for r in op.quality(table, labels).collect()}
+    fold = {r[0]: r[1] for r in table.selectExpr("doc_id", f"pmod(xxhash64(doc_id, {op.SEED}), {op.FOLDS})").collect()}
+    x = np.concatenate([op.document_statistics(pa.array([t])) for t in texts])
+    assert np.allclose(x, [got[k]["statistics"] for k in range(len(texts))])
+    learned = np.array([k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 4 != 2])
+    y, folds = np.array(marks, float)[learned], np.array([fold[k] for k in learned])
+    rng = np.random.default_rng(op.SEED)
+    turns, shifts = rng.normal(size=(x.shape[1], op.FEATURES)) / op.WIDTH, rng.uniform(0, 2 * np.pi, op.FEATURES)
+    mean, spread = x[learned].mean(0), np.maximum(x[learned].std(0), 1e-6)
+    z = np.column_stack([np.cos(np.clip((x - mean) / spread, -6, 6) @ turns + shifts) * np.sqrt(2 / op.FEATURES), np.ones(len(x))])
+
+    def ridge(kept):
+        a, n = z[learned[kept]], kept.sum()
+        return np.linalg.solve(a.T @ a + np.diag([op.RIDGE * n] * op.FEATURES + [1e-9]), a.T @ y[kept])
+
+    raw = np.empty(len(learned))
+    for f in range(op.FOLDS):
+        raw[folds == f] = z[learned[folds == f]] @ ridge(folds != f)
+    steps = np.clip(np.rint((raw + 0.5) * op.GRID / 2), 0, op.GRID)
+    levels = np.unique(steps)
+    # The isotonic fit by its minimax form.
+    ones, counts = np.array([y[steps == s].sum() for s in levels]), np.array([(steps == s).sum() for s in levels])
+    up, down = np.concatenate([[0], np.cumsum(ones)]), np.concatenate([[0], np.cumsum(counts)])
+    chances = [max(min((up[b] - up[a]) / (down[b] - down[a]) for b in range(k + 1, len(levels) + 1)) for a in range(k + 1)) for k in range(len(levels))]
+    expected = np.clip(np.interp(z @ ridge(np.ones(len(learned), bool)), levels / (op.GRID / 2) - 0.5, chances), 0, 1)
+    assert max(abs(got[k]["score"] - expected[k]) for k in range(len(texts))) < 1e-6

@@ -138,6 +138,13 @@ def test_hot_anchors_are_dealt_by_their_neighbours(docs, monkeypatch):
     assert len(seen[0]) and not len(seen[1])
 
 
+def test_blocks_stay_where_they_are(docs):
+    """Texts move once, when they become blocks; later steps shuffle what is found."""
+    plan = op.without_repeats(docs(*corpus(6, 40)), length=40)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange" in line and "block" in line]
+    assert len(exchanged) == 2 and all("hashpartitioning(block" in line for line in exchanged)
+
+
 def test_merged_spans():
     bounds = np.array([0, 10, 10, 20])
     spans = np.array([[12, 15], [2, 6], [6, 10], [10, 11], [1, 3], [15, 16], [18, 20]], np.int32)

@@ -38,13 +38,13 @@ CASES = [
     ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\nname =\n', None, None),
     ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\n[tool.tox]\nlegacy_tox_ini = """\n[tox]\nenvlist =\n  py312\n"""\n', "3.12", 0.9),
     ("pyproject_toml", '[project]\nrequires-python = ">=3.12"\nx = [\n  [\n    1,\n  ],\n]\n', "3.12", 0.9),
-    ("dockerfile", "FROM python:3.11-slim", "3.11", 0.8),
+    ("dockerfile", "FROM python:3.13-bullseye AS base", "3.13", 0.8),
     ("dockerfile", "# x\nARG A\n  FROM python:3.9.1\nFROM python:3.12\n", "3.9.1", 0.8),
-    ("dockerfile", "FROM ubuntu:latest\nRUN apt-get install python:3.11", None, None),
-    ("dockerfile", "from python:3.11", None, None),
-    ("dockerfile", "FROM\npython:3.11", None, None),
-    ("gitlab_ci", "image: python:3.11-slim", "3.11", 0.75),
-    ("gitlab_ci", "image: python:3.11.5-alpine", "3.11.5", 0.75),
+    ("dockerfile", "FROM scratch\nCOPY --from=x python:3.4 /y", None, None),
+    ("dockerfile", "from python:3.4", None, None),
+    ("dockerfile", "FROM\npython:3.4", None, None),
+    ("gitlab_ci", "build:\n  image: python:3.13-bookworm", "3.13", 0.75),
+    ("gitlab_ci", "image:\tpython:3.10.14-own-suffix", "3.10.14", 0.75),
     ("gitlab_ci", 'image: "python:3.11"', None, None),
     ("gitlab_ci", "image: ubuntu:latest", None, None),
     ("tox_ini", "[tox]\nenvlist = py311,py312", "3.11", 0.7),
@@ -178,8 +178,8 @@ def test_unknown_kind():
 
 
 REQUIREMENTS = """# Requires Python >= 3.11
-requests[security, socks]>=2.28.0; python_version>='3.8'  # http
--e git+https://github.com/user/repo.git@main#egg=package
+harbour[gates, locks]>=4.1; os_name=='posix'  # tides
+-e hg+https://code.example.net/team/lighthouse@v2#egg=lighthouse
 --editable ./local#frag
 zope.interface==5
 
@@ -201,13 +201,13 @@ def test_requirement_rows(make_files):
     assert sorted(rows) == [2, 3, 4, 5, 10, 11, 12, 13, 15]
     r = rows[2]
     assert (r.name, r.specifier, r.extras, r.markers, r.comment) == (
-        "requests",
-        ">=2.28.0",
-        ["security", "socks"],
-        "python_version>='3.8'",
-        "http",
+        "harbour",
+        ">=4.1",
+        ["gates", "locks"],
+        "os_name=='posix'",
+        "tides",
     )
-    assert rows[3].is_editable and rows[3].name == "git+https://github.com/user/repo.git@main#egg=package"
+    assert rows[3].is_editable and rows[3].name == "hg+https://code.example.net/team/lighthouse@v2#egg=lighthouse"
     assert rows[4].name == "./local#frag"
     assert (rows[5].name, rows[5].specifier) == ("zope", ".interface==5")
     assert rows[10].hashes == ["sha256:abc", "sha256:def"] and rows[10].specifier == "==1.0"

@@ -11,7 +11,7 @@ from corpusrules.operators.skew import with_position
 from corpusrules.operators.stats import scan_statistics, search_statistics, version_distribution
 from corpusrules.rulepack import Search, builtin_pack
 from corpusrules.schemas import PROJECTS
-from corpusrules.session import collect_small, scratch_path, shared_dir
+from corpusrules.session import collect_small, run_folder, scratch_path, shared_dir
 from corpusrules.sinks import logs as K
 from corpusrules.sources.files import (
     fetch_content,
@@ -463,6 +463,16 @@ def test_running_statistics(spark, tmp_path):
     assert run((None, "boom"), ("3.9", None)) == (4, 2, 1, 1)
 
 
+def test_a_run_has_a_folder_of_its_own(spark):
+    outside = scratch_path(spark, "x")
+    with run_folder(spark, "nightly") as folder:
+        assert scratch_path(spark, "x").startswith(f"{folder}/x-") and folder.startswith(f"{shared_dir(spark)}/nightly-")
+        with run_folder(spark) as inner:
+            assert scratch_path(spark, "x").startswith(inner)
+        assert scratch_path(spark, "x").startswith(folder)
+    assert scratch_path(spark, "x").rsplit("/", 1)[0] == outside.rsplit("/", 1)[0] == shared_dir(spark)
+
+
 def test_shared_dir_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")

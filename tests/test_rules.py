@@ -113,16 +113,16 @@ def test_required_content_skips_quietly(files):
 
 
 def test_path_patterns_and_rule_tables(spark, make_files):
-    files = make_files((1, "project/docker/Dockerfile", ""), (1, "project/test/Dockerfile", ""), (1, "a/b.toml", ""))
+    files = make_files((1, "harbour/images/Dockerfile", ""), (1, "harbour/probe/Dockerfile", ""), (1, "a/b.toml", ""))
     pack = RulePack(
         (
-            rx("dock", "x", 1, file_pattern="Dockerfile", path_pattern="^.*/test/.*$"),
+            rx("dock", "x", 1, file_pattern="Dockerfile", path_pattern="/probe/"),
             rx("any", "x", 2, file_pattern=None, path_pattern=r"b\.toml$"),
             rx("glob", "x", 3, file_pattern="*.t?ml"),
             rx("off", "x", 4, file_pattern="*", enabled=False),
         )
     )
-    want = {("project/test/Dockerfile", "dock"), ("a/b.toml", "any"), ("a/b.toml", "glob")}
+    want = {("harbour/probe/Dockerfile", "dock"), ("a/b.toml", "any"), ("a/b.toml", "glob")}
     assert {(r.file_path, r.rule_name) for r in matching_rules(files, pack).collect()} == want
     assert {(r.file_path, r.rule_name) for r in join_rules(files, pack).collect()} == want
 

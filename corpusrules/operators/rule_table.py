@@ -2,8 +2,9 @@
 
 1. :func:`prepare_rules` writes the table once: every rule with a key under which files find it by equality, its patterns in Java's dialect, and the
    options of its extractor as columns.  Rules are prepared in tasks, however many there are.
-2. A file has a key for its name, each of its extensions, and each length of a pattern's literal beginning or end that occurs.  Few rules are broadcast (their number
-   is checked), so contents stay where they are read; more rules meet names first, and contents follow to the pairs found.
+2. A file has a key for its name, each of its extensions, and each shape of a pattern with wildcards that occurs: how long its literal beginning and end are and, if
+   no ``*`` is between them, how long the name is.  Few rules are broadcast (their number is checked), so contents stay where they are read; more rules meet names
+   first, and contents follow to the pairs found.
 3. One stage works out all rules of an extractor kind, reading pattern and options from the rule's columns.  Kinds with code of their own, and users' kinds, are a
    stage per kind and options.
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,8 +47,11 @@ PREPARED = T.StructType(
         T.StructField("fixed_confidence", T.DoubleType()),
         T.StructField("trimmed", T.BooleanType()),
         T.StructField("tags", T.ArrayType(T.StringType())),
+        T.StructField("shape", T.ArrayType(T.IntegerType())),
     ]
 )
+#: Keys of patterns with wildcards: shape, then beginning and end.  Other keys start with ``=`` or ``*``.
+_SHAPED = "{},{},{}:"
 
 
 def _literal_end(pattern: str) -> tuple[str, str]:
@@ -66,6 +72,22 @@ def rule_key(pattern: str | None) -> tuple[str, bool]:
     return (("^" + head) if len(head) >= len(tail) else ("$" + tail)) if head or tail else "", False
 
 
+def meeting_key(pattern: str | None) -> tuple[str, tuple[int, int, int] | None, bool]:
+    """The key under which files meet a file pattern, its shape if it has one, and whether the key says all that the pattern does.
+
+    A shape is the lengths of the literal beginning and end, and of the whole name (-1 if a ``*`` leaves that open).  Beginning and end count together: what one of them
+    says alone (an extension that all files have) would meet files and rules by the square.
+    """
+    key, whole = rule_key(pattern)
+    if whole:
+        return key, None, True
+    head, tail = _literal_end(pattern)
+    shape = len(head), len(tail), -1 if "*" in pattern else len(pattern)
+    if not any(shape[:2]) and shape[2] < 0:
+        return "", None, False
+    return _SHAPED.format(*shape) + head + tail, shape, False
+
+
 def _prepared(record: dict) -> dict | None:
     """One rule of a rules table; raises for a rule that cannot be.  Users' kinds are checked where they are built."""
     match, parser = record.get("match") or {}, record.get("parser") or {}
@@ -79,13 +101,14 @@ def _prepared(record: dict) -> dict | None:
     file_pattern, path_pattern = match.get("file_pattern") or None, match.get("path_pattern") or None
     if not file_pattern and not path_pattern:
         raise ValueError(f"rule {name}: a file_pattern or path_pattern is required")
-    key, whole = rule_key(file_pattern)
+    key, shape, whole = meeting_key(file_pattern)
     priority = record.get("priority")
     row = dict.fromkeys(PREPARED.names) | {
         "rule_name": name,
         "priority": 50 if priority is None else int(priority),
         "tags": record.get("tags"),
         "key": key,
+        "shape": shape,
         "name_pattern": None if whole else rule_glob(file_pattern),
         "path_pattern": regex(path_pattern).java if path_pattern else None,
         "required": regex(match["required_content"]).java if match.get("required_content") else None,
@@ -118,12 +141,11 @@ def _preparer(schema: pa.Schema) -> Callable:
 
 
 class RuleTable(NamedTuple):
-    """Prepared rules, how many, lengths of their literal beginnings and ends, and the jobs of kinds that need stages of their own."""
+    """Prepared rules, how many, the shapes of their patterns, and the jobs of kinds that need stages of their own."""
 
     rules: DataFrame
     count: int
-    heads: list[int]
-    tails: list[int]
+    shapes: list[list[int]]
     kinds: list[str]
     jobs: list[tuple[str, str, str]]
 
@@ -136,20 +158,21 @@ def prepare_rules(rules: DataFrame) -> RuleTable:
     repeated = made.groupBy("rule_name").count().where("count > 1").orderBy("rule_name").limit(5).collect()
     if repeated:
         raise ValueError(f"duplicate rule name: {', '.join(r[0] for r in repeated)}")
-    mark, length = F.substring("key", 1, 1), F.length("key") - 1
     found = made.agg(
         F.count("*").alias("n"),
-        *[F.sort_array(F.collect_set(F.when(mark == m, length))).alias(c) for m, c in (("^", "heads"), ("$", "tails"))],
+        F.sort_array(F.collect_set("shape")).alias("shapes"),
         F.sort_array(F.collect_set(F.when(F.col("kind").isin(*_TABLE), F.col("kind")))).alias("kinds"),
     ).first()
     jobs = collect_small(made.where("job is not null").select("job", "kind", "config").distinct(), MAX_JOBS, "extractors with options of their own")
-    return RuleTable(made, found["n"], found["heads"], found["tails"], found["kinds"], sorted(tuple(j) for j in jobs))
+    return RuleTable(made, found["n"], found["shapes"], found["kinds"], sorted(tuple(j) for j in jobs))
 
 
 def _file_keys(name: Column, table: RuleTable) -> Column:
-    ends = [F.when(F.length(name) >= n, F.concat(F.lit("^"), F.left(name, F.lit(n)))) for n in table.heads]
-    ends += [F.when(F.length(name) >= n, F.concat(F.lit("$"), F.right(name, F.lit(n)))) for n in table.tails]
-    return F.array_distinct(F.array_compact(F.concat(_name_keys(name), F.array(F.lit(""), *ends))))
+    shapes = F.array(*[F.array(*map(F.lit, shape)) for shape in table.shapes]).cast("array<array<int>>")
+    length = F.length(name)
+    fits = F.filter(shapes, lambda s: F.when(s[2] < 0, length >= s[0] + s[1]).otherwise(length == s[2]))
+    said = F.transform(fits, lambda s: F.concat(F.array_join(s, ","), F.lit(":"), F.left(name, s[0]), F.right(name, s[1])))
+    return F.array_distinct(F.array_compact(F.concat(_name_keys(name), F.array(F.lit("")), said)))
 
 
 def table_pairs(files: DataFrame, table: RuleTable, *carried: Column) -> DataFrame:
@@ -157,7 +180,7 @@ def table_pairs(files: DataFrame, table: RuleTable, *carried: Column) -> DataFra
     slim = files.select(*_keys(files), *carried)
     keyed = slim.withColumn("_key", F.explode(_file_keys(F.col("file_name"), table)))
     rules = F.broadcast(table.rules) if table.count <= BROADCAST_RULES else table.rules
-    met = keyed.join(rules.withColumnRenamed("key", "_key"), "_key").drop("_key")
+    met = keyed.join(rules.drop("shape").withColumnRenamed("key", "_key"), "_key").drop("_key")
     return met.where("(name_pattern IS NULL OR rlike(file_name, name_pattern)) AND (path_pattern IS NULL OR rlike(file_path, path_pattern))")
 
 
@@ -207,10 +230,12 @@ def table_outcomes(files: DataFrame, table: RuleTable) -> DataFrame:
     if table.count <= BROADCAST_RULES:
         pairs = table_pairs(files, table, *content)
     else:
-        # Names meet the rules; contents, each once, go to the pairs.
-        names = table_pairs(files, table)
-        own = [c for c in ("project_id", "file_path") if c in names.columns]
-        pairs = names.join(files.select(*own, *content), own)
+        # Names, each once, meet the rules; contents, each once, go to the pairs.  Keys may be null, and files may have the same ones.
+        held = files.select(*_keys(files), *content)
+        own = [c for c in held.columns if c not in ("_text", "_size")]
+        names = table_pairs(held.select(*own).distinct(), table)
+        same = reduce(and_, [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in own])
+        pairs = names.alias("p").join(held.alias("f"), same).select("p.*", "f._text", "f._size")
     keys = [c for c in ("project_id", "file_path", "file_name") if c in pairs.columns]
     small = F.col("max_file_size").isNull() | (F.col("_size") <= F.col("max_file_size"))
     rows = pairs.withColumn("_small", small).withColumn("_open", F.expr("_small AND (required IS NULL OR rlike(_text, required))"))
@@ -225,10 +250,13 @@ def table_outcomes(files: DataFrame, table: RuleTable) -> DataFrame:
 
 
 def _chosen(outcomes: DataFrame, order: Column) -> DataFrame:
-    """Per file, the found outcome that comes first; results are narrow, and partial choices leave the map side."""
+    """Per file, the found outcome that comes first; results are narrow, and partial choices leave the map side.
+
+    What was not found has no place in the order: a filter would move down through the stages and work every pair out again.
+    """
     keys = [c for c in ("project_id", "file_path", "file_name") if c in outcomes.columns]
     row = F.struct("rule_name", "priority", "version", "source", "confidence", "raw_value", "metadata")
-    return outcomes.where("found").groupBy(*keys).agg(F.min_by(row, order).alias("r")).select(*keys, "r.*")
+    return outcomes.groupBy(*keys).agg(F.min_by(row, F.when(F.col("found"), order)).alias("r")).where("r is not null").select(*keys, "r.*")
 
 
 def table_first_match(files: DataFrame, table: RuleTable) -> DataFrame:

@@ -133,3 +133,34 @@ def test_thousands_of_rules_build_in_seconds(spark, make_files):
     text = {r["file_path"]: r["content"] for r in files.collect()}
     expected = {(path, r.name) for r in pack for path, content in text.items() if f"{words[int(r.name[1:])]}=" in content and (r.file_pattern in (path, "*.txt") or r.file_pattern.endswith("*") and path.startswith(r.file_pattern[:-1]))}
     assert got == expected and len(got) > 500
+
+
+@pytest.mark.parametrize(
+    "pattern,key,shape",
+    [("12?.txt", "2,4,7:12.txt", (2, 4, 7)), ("?2.txt", "0,5,6:2.txt", (0, 5, 6)), ("ab*c", "2,1,-1:abc", (2, 1, -1)), ("??", "0,0,2:", (0, 0, 2)), ("*a*", "", None), ("*", "", None), ("*.txt", "*.txt", None), ("a", "=a", None)],
+)
+def test_meeting_keys(pattern, key, shape):
+    assert RT.meeting_key(pattern)[:2] == (key, shape)
+
+
+@pytest.mark.parametrize("broadcast", [RT.BROADCAST_RULES, 3])
+def test_patterns_meet_few_names_by_key(spark, make_files, monkeypatch, broadcast):
+    """Rules that share an extension with every file meet the files that they are for, not all."""
+    monkeypatch.setattr(RT, "BROADCAST_RULES", broadcast)
+    numbers = range(100, 400)
+    pack = RulePack(tuple(Rule(f"r{n}", f"{str(n)[:2]}?.txt", "simple_version") for n in numbers) + (Rule("any", "??", "simple_version"), Rule("open", "3*9.txt", "simple_version")))
+    files = make_files(*[(1, f"{n}.txt", f"v{n}") for n in numbers], (1, "ab", "x"), (1, "ü?", "y"))
+    table = RT.prepare_rules(pack_as_table(spark, pack))
+    keyed = files.select(F.explode(RT._file_keys(F.col("file_path"), table)).alias("key"))
+    assert keyed.join(table.rules, "key").count() == 300 * 10 + 2 + 10
+    got = {(r["file_path"], r["rule_name"]) for r in RT.table_outcomes(files, table).where("found").collect()}
+    expected = {(f"{n}.txt", f"r{m}") for n in numbers for m in numbers if n // 10 == m // 10}
+    assert got == expected | {("ab", "any"), ("ü?", "any")} | {(f"3{k}9.txt", "open") for k in range(10)}
+
+
+def test_many_rules_keep_files_that_share_keys_or_have_none(spark, make_files, monkeypatch):
+    files = make_files(*FILES, (None, "a.txt", "Version 3.5"), (7, "b.tar.gz", "1"), (7, "b.tar.gz", "2"), (7, "b.tar.gz", "2"), (8, None, "x"))
+    table = RT.prepare_rules(pack_as_table(spark, PACK))
+    expected = _rows(RT.table_outcomes(files, table))
+    monkeypatch.setattr(RT, "BROADCAST_RULES", 3)
+    assert _rows(RT.table_outcomes(files, table)) == expected

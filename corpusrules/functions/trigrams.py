@@ -34,10 +34,15 @@ def normalised(raw: bytes) -> bytes:
     return _LOWER[np.frombuffer(raw, np.uint8)].tobytes() if raw else raw
 
 
+def all_codes(text: bytes) -> np.ndarray:
+    """The trigrams of a normalised text as numbers, in its order."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint32)
+    return data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:] if len(data) > 2 else np.zeros(0, np.uint32)
+
+
 def codes(raw: bytes) -> np.ndarray:
     """The distinct trigrams of a text as numbers, ascending."""
-    data = np.frombuffer(normalised(raw), np.uint8).astype(np.uint32)
-    return np.unique(data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) if len(data) > 2 else np.zeros(0, np.uint32)
+    return np.unique(all_codes(normalised(raw)))
 
 
 def _and(parts: list) -> Condition:

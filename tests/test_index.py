@@ -6,10 +6,11 @@ import warnings
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusrules.functions import trigrams as G
 from corpusrules.operators.search import search_content
-from corpusrules.operators.search_table import search_many
+from corpusrules.operators.search_table import gate, search_many
 from corpusrules.rulepack import Search
 from corpusrules.sources import index as X
 
@@ -83,6 +84,24 @@ def test_sizes_and_malformed_globs(spark, make_files):
     assert _rows(search_many(files, searches)) == sorted(row for s in searches for row in _rows(search_content(files, s)))
 
 
+def test_only_lines_that_may_match_leave_the_gate(spark, make_files):
+    """A file meets its searches line by line: many searches do not carry its whole text each."""
+    words = [f"word{k:03d}x" for k in range(200)]
+    text = "\n".join(["Kelvin ſtraße", *words, "", "word001x word002x\r", "word003", "x", words[1].upper()])
+    searches = [*(Search(w, name=w) for w in words), Search("(straße|word1)\\w* *", name="folded", is_regex=True), Search("word003\nx", name="break"), Search("z", name="short")]
+    files = make_files((1, "a.txt", text), (1, "b.txt", None), (2, "c.txt", ""), (2, "d.txt", "nothing\n" * 50))
+    expected = sorted(row for s in searches[:6] + searches[-3:] for row in _rows(search_content(files, s)))
+    assert _rows(search_many(files, searches[:6] + searches[-3:])) == expected and len(expected) == 9 + 101
+    parts = files.select("file_path", F.explode(gate(searches[:-1], F.col("content"))).alias("p")).select("file_path", "p.*").collect()
+    assert {r["file_path"] for r in parts} == {"a.txt"}
+    met = {r["first"]: (bytes(r["part"]).decode(), list(r["searches"])) for r in parts}
+    assert met.pop(0) == ("Kelvin ſtraße", [200])
+    assert met.pop(202) == ("word001x word002x\r", [1, 2]) and met.pop(205) == ("WORD001X", [1])
+    assert met == {k + 1: (w, [k, 200] if w[4] == "1" else [k]) for k, w in enumerate(words)}
+    plan = search_many(files, searches)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize(
     "pattern,condition",
     [

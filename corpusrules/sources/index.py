@@ -8,6 +8,7 @@ only where the lists leave a possibility.  Results are those of ``operators.sear
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from corpusrules.session import scratch_path
 
 #: Files of a block, as a power of two; a posting list has one entry a file.
 BLOCK_BITS = 16
-#: Postings that a task gathers before it writes them out.
-GATHERED = 4_000_000
+#: Postings that a task gathers before it writes them out, and what it is handed at a time: a task's memory is some 50 bytes a posting, whatever the files.
+GATHERED = 1_000_000
+HANDED = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Candidates that are looked up one by one; of more, parts with candidates are read whole.
 MOST_CANDIDATES = 5_000_000
 
@@ -35,24 +37,26 @@ def _poster() -> Callable:
     schema = pa.schema([("trigram", pa.int32()), ("part", pa.int32()), ("block", pa.int32()), ("files", pa.binary())])
 
     def rows(part: int, block: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        codes = np.concatenate([c for _, c in held])
-        places = np.repeat(np.array([p for p, _ in held], np.uint32), [len(c) for _, c in held])
-        order = np.argsort(codes, kind="stable")
-        codes, places = codes[order], places[order]
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        lists = [x.tobytes() for x in np.split(places, starts[1:])] if len(starts) else []
-        return pa.RecordBatch.from_pydict({"trigram": codes[starts].astype(np.int32), "part": [part] * len(starts), "block": [block] * len(starts), "files": lists}, schema=schema)
+        own = np.concatenate([c for _, c in held]).astype(np.uint64) << np.uint64(32)
+        own |= np.repeat(np.array([p for p, _ in held], np.uint64), [len(c) for _, c in held])
+        own.sort()
+        codes, places = (own >> np.uint64(32)).astype(np.int32), own.astype(np.uint32)
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        offsets = (np.append(starts, len(codes)) * places.itemsize).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(places)])
+        columns = [codes[starts], np.full(len(starts), part, np.int32), np.full(len(starts), block, np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
         for batch in batches:
             for number, content in zip(batch.column("file_no").to_pylist(), batch.column("content"), strict=True):
                 part, place = number >> _PART_BITS, number & (1 << _PART_BITS) - 1
-                if held and (at != (part, place >> BLOCK_BITS) or size > GATHERED):
+                own = G.codes(content.as_py()) if content.is_valid else np.zeros(0, np.uint32)
+                if held and (at != (part, place >> BLOCK_BITS) or size + len(own) > GATHERED):
                     yield rows(*at, held)
                     held, size = [], 0
                 at = (part, place >> BLOCK_BITS)
-                own = G.codes(content.as_py()) if content.is_valid else np.zeros(0, np.uint32)
                 held.append((place, own))
                 size += len(own)
         if held:
@@ -61,6 +65,22 @@ def _poster() -> Callable:
     return run
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with other settings while this lasts."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def write_index(files: DataFrame, path: str) -> None:
     """Land ``files`` below ``path`` with their posting lists; a reader's split becomes a part."""
     number = F.monotonically_increasing_id()
@@ -69,7 +89,8 @@ def write_index(files: DataFrame, path: str) -> None:
     stored = files.sparkSession.read.parquet(f"{path}/files")
     # Numbers grow within a part, so a task meets a part's blocks in order, and lists ascend.
     lists = stored.select("file_no", F.col("content").cast("binary").alias("content")).mapInArrow(_poster(), _POSTINGS)
-    lists.repartitionByRange("trigram", "part").sortWithinPartitions("trigram", "part", "block").write.parquet(f"{path}/postings")
+    with _set(files.sparkSession, HANDED):
+        lists.repartitionByRange("trigram", "part").sortWithinPartitions("trigram", "part", "block").write.parquet(f"{path}/postings")
 
 
 def indexed_files(spark: SparkSession, path: str) -> DataFrame:

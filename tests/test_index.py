@@ -1,8 +1,11 @@
 """Trigram conditions, search over an index, and gates for many searches: the same rows as searching everything."""
 
 import re
+import tracemalloc
 import warnings
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +68,28 @@ def test_many_candidates_and_blocks(spark, make_files, tmp_path, monkeypatch):
         assert _rows(X.indexed_search(spark, f"{tmp_path}/index", search)) == _rows(search_content(files, search))
 
 
+def test_a_task_of_the_index_holds_little():
+    """Memory goes by what is gathered, and lists are whole."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 20_000, np.uint8).tobytes() for _ in range(300)] + [None, b"", b"ab"]
+    batches = [pa.record_batch({"file_no": pa.array([k], pa.int64()), "content": pa.array([t], pa.binary())}) for k, t in enumerate(texts)]
+    expected: dict[int, list[int]] = {}
+    for k, t in enumerate(texts):
+        for code in G.codes(t or b"").tolist():
+            expected.setdefault(code, []).append(k)
+    got: dict[int, list[int]] = {}
+    tracemalloc.start()
+    try:
+        for batch in X._poster()(iter(batches)):
+            for row in range(batch.num_rows):
+                got.setdefault(batch["trigram"][row].as_py(), []).append(batch["files"][row].as_py())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {code: np.frombuffer(b"".join(own), np.uint32).tolist() for code, own in got.items()} == expected
+    assert peak < 75 << 20
+
+
 def test_many_searches(spark, make_files):
     files = make_files(*ROWS)
     expected = sorted(row for s in SEARCHES for row in _rows(search_content(files, s)))

@@ -255,14 +255,18 @@ def star_ranks(text: np.ndarray, types: np.ndarray, stars: np.ndarray, scratch:
         sort = ExternalSort(scratch, _RECORD, memory)
         for star in still.read(0):
             key = ranks[star].astype(np.uint64) << np.uint64(32)
-            end = np.asarray(stars[np.minimum(star + 1, count - 1)])
+            begin, end = np.asarray(stars[star]) + offset, np.asarray(stars[np.minimum(star + 1, count - 1)])
             for k in range(step):
-                at = np.asarray(stars[star]) + offset + k
-                inside = at <= end
-                at = np.minimum(at, last)
-                part = (text[at].astype(np.uint64) << np.uint64(1) | types[at]).astype(np.uint64) if small else (np.asarray(text[at]).astype(np.uint64) * np.uint64(2) + types[at])
-                key |= np.where(inside, part, 0).astype(np.uint64) << np.uint64(bits * (step - 1 - k))
-            records = np.zeros(len(star), _RECORD)
+                at = begin + k
+                outside = at > end
+                np.minimum(at, last, out=at)
+                part = np.asarray(text[at]).astype(np.uint64)
+                part <<= np.uint64(1)
+                part |= types[at]
+                part[outside] = 0
+                part <<= np.uint64(bits * (step - 1 - k))
+                key |= part
+            records = np.empty(len(star), _RECORD)
             records["key"], records["star"] = key, star
             sort.add(records)
         still.close()
@@ -294,15 +298,28 @@ def star_ranks(text: np.ndarray, types: np.ndarray, stars: np.ndarray, scratch:
 
 
 def doubled_ranks(names: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of a text in memory, by prefix doubling; the last character is the least and single."""
-    names = np.unique(np.asarray(names), return_inverse=True)[1].astype(np.int64)
-    width, n = 1, len(names)
-    while names.max() < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[:-width or None] = names[width:] + 1
-        names = np.unique(names * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+    """Ranks of all suffixes of a text in memory, by prefix doubling; the last character is the least and single.
+
+    A suffix has the place where its group begins, and is sorted only while others share it.
+    """
+    inverse, counts = np.unique(np.asarray(names), return_inverse=True, return_counts=True)[1:]
+    n = len(inverse)
+    ranks = (np.cumsum(counts) - counts)[inverse].astype(np.int64)
+    still = np.flatnonzero(counts[inverse] > 1)
+    width = 1
+    while len(still):
+        ahead = still + width
+        keys = ranks[still] * (n + 1) + np.where(ahead < n, ranks[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(keys)
+        keys, still = keys[order], still[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        old = keys[starts] // (n + 1)
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), starts, 0))
+        ranks[still] = np.repeat(old + starts - begin, sizes)
+        still = still[np.repeat(sizes > 1, sizes)]
         width *= 2
-    return names
+    return ranks
 
 
 def star_order(text: np.ndarray, types: np.ndarray, stars: np.ndarray, scratch: Scratch, memory: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import pytest
 
 from corpusrules.llm import repeats as op
-from corpusrules.llm.suffixes import ExternalSort, Scratch, repeated_windows, sorted_suffixes
+from corpusrules.llm.suffixes import ExternalSort, Scratch, doubled_ranks, repeated_windows, sorted_suffixes
 
 
 def brute(texts, length):
@@ -217,3 +217,18 @@ def test_windows(tmp_path):
     text = np.array([2, 3, 4, 1, 3, 4, 1, 2, 3, 4, 1, 0], np.uint16)
     with tempfile.TemporaryDirectory(dir=tmp_path) as folder:
         assert np.flatnonzero(repeated_windows(text, Scratch(folder), 2, 4)).tolist() == [0, 1, 2, 4, 5, 7, 8, 9]
+
+
+def test_doubling_sorts_what_is_still_shared(monkeypatch):
+    """Ranks are those of plain sorting; suffixes that stand alone are not sorted again."""
+    rng = np.random.default_rng(3)
+    for size, letters in ((1, 1), (2, 1), (60, 1), (200, 2), (300, 40)):
+        text = np.append(np.tile(rng.integers(1, letters + 1, size), 2), 0)
+        order = sorted(range(len(text)), key=lambda k: text[k:].tolist())
+        assert doubled_ranks(text)[order].tolist() == list(range(len(text)))
+    sorted_at_a_time = []
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda keys, *a, **k: sorted_at_a_time.append(len(keys)) or plain(keys, *a, **k))
+    text = np.concatenate([np.arange(1, 5001), np.ones(300, np.int64), [0]])
+    assert sorted(doubled_ranks(text).tolist()) == list(range(len(text)))
+    assert len(sorted_at_a_time) > 5 and max(sorted_at_a_time) < 400
